@@ -86,3 +86,13 @@ class Generations(dict):
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
+
+
+def hash_threshold(ids: DataFrame, n: int, seed: int = 11) -> tuple[Column, int]:
+    """The seeded key of doc_id and the key of the n-th row in its order: rows up to it are a uniform sample of n (and copies).
+
+    Only the doc_id column is read, and one number comes to the driver.
+    """
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    last = ids.select(key.alias("key")).orderBy("key").limit(n).agg(F.max("key")).first()[0]
+    return key, -(1 << 63) if last is None else last

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import segtree_bpe, source_mix, token_planes
+from fathom.llm import secret_scan, segtree_bpe, source_mix, token_planes
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_token_planes(spark, sf_dir):
     return token_planes.write_and_read(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -25,5 +29,5 @@ def op6_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_planes, op5_segtree_bpe, op6_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op5_segtree_bpe, op6_source_mix)}
 ORACLES = {"op6_source_mix": source_mix.ORACLE}
