@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import minhash_forest, secret_scan, segtree_bpe, source_mix, token_planes
+from fathom.llm import hmm_lm, minhash_forest, secret_scan, segtree_bpe, source_mix, token_planes
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,10 @@ def op3_minhash_forest(spark, sf_dir):
     return minhash_forest.groups(table(spark, sf_dir, "documents"), k=4)
 
 
+def op4_hmm_lm(spark, sf_dir):
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_segtree_bpe(spark, sf_dir):
     return segtree_bpe.digests(table(spark, sf_dir, "documents"), MULTI_BPE, public_tokenizers.PATTERN)
 
@@ -33,5 +37,5 @@ def op6_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op3_minhash_forest, op5_segtree_bpe, op6_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op3_minhash_forest, op4_hmm_lm, op5_segtree_bpe, op6_source_mix)}
 ORACLES = {"op6_source_mix": source_mix.ORACLE}
