@@ -119,14 +119,14 @@ class Model:
 
     @staticmethod
     def first(lexicon: Lexicon, states: int, seed: int) -> "Model":
-        """Unigram emissions, shaken so that states can part."""
+        """Unigram emissions, shaken so that states can part, and states that last, so that they part by what goes together."""
         rng = np.random.default_rng(seed)
         n = np.zeros(lexicon.end + 1)
         rank_counts = np.zeros(len(lexicon.counts))
         rank_counts[lexicon.order] = lexicon.counts
         n[: lexicon.symbols] = rank_counts[: lexicon.symbols]
         n[lexicon.symbols : lexicon.end], n[lexicon.end] = lexicon.class_n, lexicon.texts
-        return Model.of(np.ones(states), rng.uniform(1, 2, (states, states)), (n[:, None] + ALPHA) * rng.uniform(0.5, 1.5, (len(n), states)))
+        return Model.of(np.ones(states), rng.uniform(1, 2, (states, states)) + 50 * states * np.eye(states), (n[:, None] + ALPHA) * rng.uniform(0.5, 1.5, (len(n), states)))
 
     @staticmethod
     def of(start: np.ndarray, transition: np.ndarray, emission: np.ndarray) -> "Model":
