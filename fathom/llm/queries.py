@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import hmm_lm, minhash_forest, secret_scan, segtree_bpe, source_mix, token_planes
+from fathom.llm import grid_order_join, hmm_lm, minhash_forest, secret_scan, segtree_bpe, source_mix, token_planes, topk_search
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,5 +37,14 @@ def op6_source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op3_minhash_forest, op4_hmm_lm, op5_segtree_bpe, op6_source_mix)}
-ORACLES = {"op6_source_mix": source_mix.ORACLE}
+def op7_topk_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id as id", "embedding as vector")
+    return topk_search.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op8_grid_order_join(spark, sf_dir):
+    return grid_order_join.groups(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op3_minhash_forest, op4_hmm_lm, op5_segtree_bpe, op6_source_mix, op7_topk_search, op8_grid_order_join)}
+ORACLES = {"op6_source_mix": source_mix.ORACLE, "op7_topk_search": topk_search.ORACLE}
