@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import grid_order_join, hmm_lm, minhash_forest, secret_scan, segtree_bpe, source_mix, token_planes, topk_search
+from fathom.llm import grid_order_join, hmm_lm, lang_id, minhash_forest, quality_fm, secret_scan, segtree_bpe, source_mix, token_planes, topk_search
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,5 +46,13 @@ def op8_grid_order_join(spark, sf_dir):
     return grid_order_join.groups(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op3_minhash_forest, op4_hmm_lm, op5_segtree_bpe, op6_source_mix, op7_topk_search, op8_grid_order_join)}
+def op9_lang_id(spark, sf_dir):
+    return lang_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_fm(spark, sf_dir):
+    return quality_fm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_planes, op3_minhash_forest, op4_hmm_lm, op5_segtree_bpe, op6_source_mix, op7_topk_search, op8_grid_order_join, op9_lang_id, op10_quality_fm)}
 ORACLES = {"op6_source_mix": source_mix.ORACLE, "op7_topk_search": topk_search.ORACLE}
