@@ -172,7 +172,7 @@ def stream_counters(spark, sf_dir):
     return drained(counters_stream(event_stream(spark, f"{sf_dir}/events.parquet")), "complete")
 
 
-@query("SELECT user_id AS run_id, count(*) AS n, max_by(value, event_id) AS last, 'open' AS status FROM events GROUP BY 1")
+@query("WITH r AS (SELECT user_id AS run_id, count(*) AS n, max_by(value, event_id) AS last, max(ts) AS t FROM events GROUP BY 1) SELECT run_id, n, last, 'open' AS status FROM r UNION ALL SELECT run_id, n, last, 'pending' FROM r WHERE t + INTERVAL 70 MINUTE < (SELECT max(ts) FROM events)")
 def stream_run_states(spark, sf_dir):
     from fathom.streaming.audit_stream import drained, event_stream, run_states
 

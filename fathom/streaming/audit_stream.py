@@ -10,6 +10,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathom.operators import audit
 
+SILENCE_MS = 3_600_000
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The events table, a file or a folder of files, as a stream; ts becomes an event time with ten minutes of patience."""
@@ -35,8 +37,8 @@ def limit_stream(events: DataFrame, per_minute: int) -> DataFrame:
 
 
 def accumulate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A run's state: events seen, last value, greatest time; a final event closes it, silence makes it pending."""
-    n, last, at = state.get if state.exists else (0, 0.0, -1)
+    """A run's state: events seen, the newest event's value, and its time. An hour's silence ends it as pending."""
+    n, last, at, time = state.get if state.exists else (0, 0.0, -1, 0)
     if state.hasTimedOut:
         state.remove()
         yield pd.DataFrame({"run_id": [key[0]], "n": [n], "last": [last], "status": ["pending"]})
@@ -44,17 +46,18 @@ def accumulate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
     for rows in batches:
         newest = rows.loc[rows["event_id"].idxmax()]
         n += len(rows)
+        time = max(time, int(rows["millis"].max()))
         if newest["event_id"] > at:
             at, last = int(newest["event_id"]), float(newest["value"])
-    state.update((n, last, at))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
+    state.update((n, last, at, time))
+    state.setTimeoutTimestamp(max(time + SILENCE_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"run_id": [key[0]], "n": [n], "last": [last], "status": ["open"]})
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """(run_id, n, last, status): a row whenever a run's state changes."""
-    rows = events.select(F.col("user_id").alias("run_id"), "event_id", "value", "time")
-    return rows.groupBy("run_id").applyInPandasWithState(accumulate, "run_id long, n long, last double, status string", "n long, last double, at long", "update", GroupStateTimeout.EventTimeTimeout)
+    """(run_id, n, last, status): a row whenever a run's state changes. Each run is a key of its own, its state four numbers."""
+    rows = events.select(F.col("user_id").alias("run_id"), "event_id", "value", "time", F.unix_millis("time").alias("millis"))
+    return rows.groupBy("run_id").applyInPandasWithState(accumulate, "run_id long, n long, last double, status string", "n long, last double, at long, time long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_json(stream: DataFrame, path: str, checkpoint: str):
