@@ -1,6 +1,6 @@
 """All queries of the library by name, and their DuckDB SQL."""
 
-from fathom.plans import metric_queries, search_queries, table_queries, text_queries  # noqa: F401
+from fathom.plans import metric_queries, model_queries, search_queries, table_queries, text_queries  # noqa: F401
 from fathom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
