@@ -21,7 +21,7 @@ WORDS = 1 << BITS
 BUCKETS = 24
 STATISTICS = ("words", "word length", "distinct words", "letters", "capitals", "digits", "marks", "line length", "repeated neighbours", "longest word", "characters")
 WIDTH = WORDS + BUCKETS * len(STATISTICS)
-SAMPLE_LABELS, EPOCHS, BATCH = 8_000, 6, 64
+SAMPLE_LABELS, EPOCHS, STEPS, BATCH = 8_000, 6, 24_000, 64
 THRESHOLD = 0.7
 SLICE_BYTES = 1 << 20
 UPPER, LOWER, DIGIT, WIDE, BREAK = (np.zeros(256, np.int64) for _ in range(5))
@@ -83,10 +83,12 @@ class Machine:
     def score(self, bounds, at, x) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(bounds, at, x), -30, 30)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4) -> "Machine":
-        """rows: (features, values, label) in a fixed order, taken in small batches with AdaGrad steps."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int | None = None, rate: float = 0.1, decay: float = 1e-4) -> "Machine":
+        """rows: (features, values, label) in a fixed order, taken in small batches with AdaGrad steps. Few rows are gone
+        through more often, until STEPS examples have been seen."""
         if not rows:
             return self
+        epochs = epochs or max(EPOCHS, min(80, -(-STEPS // len(rows))))
         share = np.clip(np.mean([y for _, _, y in rows]), 0.01, 0.99)
         self.bias = float(np.log(share / (1 - share)))
         w2, v2 = np.full(WIDTH, 1e-6), np.full((WIDTH, FACTORS), 1e-6)
