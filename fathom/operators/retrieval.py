@@ -86,9 +86,14 @@ def deduplicate(hits: DataFrame) -> DataFrame:
     return once.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def token_set(text: Column) -> Column:
+    """The distinct search tokens of a text as 64-bit hashes: sets of numbers are far cheaper to compare than of strings."""
+    return F.array_distinct(F.transform(tokenize(text), lambda t: F.xxhash64(t)))
+
+
 def token_similarity(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Jaccard similarity of two sets, arrays without repeats; 0 for two empty ones."""
+    return F.element_at(F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: F.coalesce(n / F.nullif(F.size(a) + F.size(b) - n, F.lit(0)), F.lit(0.0))), 1)
 
 
 def mmr(hits: DataFrame, k: int = TOP, trade: float = MMR_LAMBDA, similarity=token_similarity) -> DataFrame:
@@ -98,7 +103,8 @@ def mmr(hits: DataFrame, k: int = TOP, trade: float = MMR_LAMBDA, similarity=tok
     trade * relevance - (1 - trade) * greatest similarity, ties to the better rank. A query's hits are a top-k list of
     a few dozen, so they are one row; the picking is one fold over it.
     """
-    rows = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "item"))).alias("hs"))
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row: kept apart
+    rows = hits.repartition(tasks, "qid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "item"))).alias("hs"))
     hs = F.col("hs")
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 

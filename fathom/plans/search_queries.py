@@ -59,7 +59,7 @@ def sources_of(spark, sf_dir):
 
 
 def token_items(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.tokenize(F.col("text"))).alias("item"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), retrieval.token_set(F.col("text")).alias("item"))
 
 
 @query(f"WITH {BM25_SQL} SELECT qid, id, score, rank::INTEGER AS rank FROM bm")
