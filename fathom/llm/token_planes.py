@@ -17,7 +17,9 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,10 +30,13 @@ from fathom.llm.common import Generations, in_slices, materialise, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 16 * BLOCK
-CACHED_PARTS = 600_000
+CACHED_PARTS, CACHED_PIECES = 500_000, 400_000
 SLICE_BYTES = 2 << 20
 WIDTH = {"byte": 4, "bit": 32}
 CHUNKS = "shard int, chunk long, first long, n_ids long, doc_ids array<long>, doc_ids_n array<long>, planes binary, ends array<int>"
+#: Byte-level vocabularies write a visible Latin-1 byte as itself and the n-th of the others as the letter 256 + n.
+HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(HIDDEN)}
 PACKER, UNPACKER = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
@@ -75,9 +80,26 @@ def loaded(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode_parts(found: list[str]) -> list[bytes]:
+    def encoded(found: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
+    pattern, pieces, model = regex.compile(public_tokenizers.PATTERN), Generations(CACHED_PIECES), tokenizer.model
+
+    def merged(piece: str) -> bytes:
+        """The ids of one match of the pattern, by the library's model alone."""
+        return np.array([x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
+
+    def encode_parts(found: list[str]) -> list[bytes]:
+        """Parts are made of pieces that recur in other parts. Letters on which versions of Unicode might differ go whole."""
+        plain = [max(p, default="") < "\u0250" for p in found]
+        whole = encoded([p for p, easy in zip(found, plain) if not easy])
+        split = [pattern.findall(p) for p, easy in zip(found, plain) if easy]
+        missing = pieces.absent(x for s in split for x in s)
+        pieces.update((x, merged(x)) for x in missing)
+        easy_ids, whole_ids = iter([b"".join(map(pieces.__getitem__, s)) for s in split]), iter(whole)
+        pieces.age()
+        return [next(easy_ids) if easy else next(whole_ids) for easy in plain]
+
     return encode_parts, Generations(CACHED_PARTS)
 
 
