@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """df itself; from now on its session hands texts to Python in batches of about size, unless the session says otherwise.
+
+    The default, 64 MB, is held several times over by each Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) == "67108864b":
+        df.sparkSession.conf.set(name, size)
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

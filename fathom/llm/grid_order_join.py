@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialise
+from fathom.llm.common import materialise, small_batches
 from fathom.llm.components import components
 from fathom.llm.vectors import matrix, usable
 
@@ -33,7 +33,7 @@ def principal(vectors: DataFrame, width: int, n: int) -> np.ndarray:
         rows = np.concatenate([square.ravel(), total, [count]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(rows)], ["i", "s"])
 
-    sums = vectors.select("vector").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toArrow()["s"].to_numpy()
+    sums = small_batches(vectors.select("vector")).mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toArrow()["s"].to_numpy()
     count = max(1.0, sums[-1])
     mean = sums[-1 - width : -1] / count
     _, directions = np.linalg.eigh(sums[: width * width].reshape(width, width) / count - np.outer(mean, mean))

@@ -14,15 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import binary_texts, held_out, in_slices, materialise
+from fathom.llm.common import binary_texts, held_out, in_slices, materialise, small_batches
 from fathom.llm.wordhash import Words, words
 
 STATES, ROUNDS, SYMBOLS, FREQUENT = 6, 3, 16_384, 131_072
 LENGTHS, SHAPES = 16, 3
 CLASSES = LENGTHS * SHAPES
 ALPHA = 0.1
-SLICE_BYTES = 2 << 20
-HELD_WORDS = 1_000_000
+SLICE_BYTES = 1 << 20
+HELD_WORDS = 600_000
 
 
 def word_class(found: Words) -> np.ndarray:
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(*merged())
 
-    return docs.select("text").mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    return small_batches(docs.select("text")).mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
 class Lexicon:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import binary_texts, in_slices, materialise
+from fathom.llm.common import binary_texts, in_slices, materialise, small_batches
 from fathom.llm.components import components, joined
 from fathom.llm.wordhash import mix, words
 
@@ -24,7 +24,7 @@ HASHES = TREES * DEPTH
 REGION = 512
 HELD = 1 << 15
 LIKELY = 0.60
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 1_000_000
 SLICE_BYTES = 1 << 20
 
 _state = np.random.default_rng(20240607)
@@ -81,7 +81,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "cid", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, signature binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, cid long, signature binary")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -245,8 +245,9 @@ def shingles_of(docs: DataFrame, k: int) -> DataFrame:
 def confirmed_links(docs: DataFrame, one_of: DataFrame, found: DataFrame, k: int, percent: int, group_shingles: int) -> DataFrame:
     """Links (a, b) that connect exactly the classes which links on full sets connect. found: (node, component) of candidates.
 
-    A component of up to group_shingles shingles is one task's group. A larger one is dealt into blocks: links within blocks
-    come first; then each pair of blocks is compared, what is in one part already being skipped.
+    A component of up to group_shingles shingles is one task's group. A larger one is dealt into blocks. Links within blocks
+    come first, then those among one class of each part. Only where a component is still in several parts after that, each
+    pair of blocks is compared, what is in one part already being skipped.
     """
     wanted = materialise(found.join(one_of, found.node == one_of.cid).select("doc_id", "cid", F.col("component").alias("grp"), "n_shingles"), "members")
     sets = shingles_of(joined(docs.select("doc_id", "text"), wanted.select("doc_id", "cid", "grp"), "doc_id", "inner", wanted.count()), k)
@@ -255,15 +256,28 @@ def confirmed_links(docs: DataFrame, one_of: DataFrame, found: DataFrame, k: int
     n_large = large.count()
     if not n_large:
         return confirm(sets.withColumn("label", F.col("cid")), percent)
-    sets = materialise(joined(sets, large, "grp", "left", n_large), "sets").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid"), "blocks")).cast("int"))
-    inner = sets.withColumn("grp", F.when(F.col("blocks").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", "block"))).withColumn("label", F.col("cid"))
-    first = materialise(confirm(inner, percent), "links")
-    labels = materialise(components(first), "labels")
-    across = sets.where("blocks is not null").join(labels, sets.cid == labels.node, "left").withColumn("label", F.coalesce("component", "cid")).drop("node", "component")
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    across = across.withColumn("other", other).where("other <> block")
-    across = across.withColumn("grp", F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")))
-    return first.unionByName(confirm(across, percent))
+    sets = materialise(joined(sets, large, "grp", "left", n_large), "sets").withColumn("label", F.col("cid"))
+    block = lambda n: F.when(n.isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("cid"), n)))
+    links = materialise(confirm(sets.withColumn("grp", block(F.col("blocks"))), percent), "links")
+    for across in (False, True):
+        members = _labelled(sets.where("blocks is not null"), links)
+        if not across:  # one of each part: they are few, and most often linked
+            leaders = members.where("cid = label")
+            sizes = leaders.groupBy("grp").agg(F.ceil(F.sum("n") / group_shingles).alias("n_blocks"))
+            more = confirm(leaders.join(sizes, "grp").withColumn("grp", block(F.col("n_blocks"))), percent)
+        else:  # groups still in several parts: all pairs of blocks
+            several = members.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("grp")
+            other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+            own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+            pairs = members.join(several, "grp", "left_semi").withColumn("block", own).withColumn("other", other).where("other <> block")
+            more = confirm(pairs.withColumn("grp", F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))), percent)
+        links = materialise(links.unionByName(more), "links")
+    return links
+
+
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    parts = materialise(components(links), "labels")
+    return sets.drop("label").join(parts, sets.cid == parts.node, "left").withColumn("label", F.coalesce("component", "cid")).drop("node", "component")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION, group_shingles: int = GROUP_SHINGLES) -> DataFrame:

@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from fathom.llm.chunks import encode_batch
-from fathom.llm.common import Generations, in_slices, texts
+from fathom.llm.common import Generations, in_slices, small_batches, texts
 
 NONE = np.int64(1) << np.int64(62)
-CACHED_PARTS = 600_000
+CACHED_PARTS = 200_000
 SLICE_BYTES = 2 << 20
 
 
@@ -189,7 +189,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -209,4 +209,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(counts, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)

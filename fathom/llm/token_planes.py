@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.chunks import encode_batch
-from fathom.llm.common import Generations, in_slices, materialise, texts
+from fathom.llm.common import Generations, in_slices, materialise, small_batches, texts
 
 BLOCK = 16_384
 CHUNK_IDS = 16 * BLOCK
@@ -133,7 +133,7 @@ def write(docs: DataFrame, path: str, end_id: int, kind: str = "byte") -> DataFr
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs.select("doc_id", "text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(ordered.mapInArrow(run, CHUNKS), "token-planes")
 
 

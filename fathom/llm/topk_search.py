@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialise
+from fathom.llm.common import materialise, small_batches
 from fathom.llm.vectors import matrix, usable
 
 QUERY_BLOCK, ROW_BLOCK, DIMENSIONS = 512, 4096, 8
@@ -45,7 +45,7 @@ def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
         if ids and sum(map(len, ids)):
             yield packed()
 
-    packed = vectors.mapInArrow(run, "ids binary, columns binary, width int")
+    packed = small_batches(vectors).mapInArrow(run, "ids binary, columns binary, width int")
     return materialise(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
