@@ -21,7 +21,7 @@ STATES, ROUNDS, SYMBOLS, FREQUENT = 6, 3, 16_384, 131_072
 LENGTHS, SHAPES = 16, 3
 CLASSES = LENGTHS * SHAPES
 ALPHA = 0.1
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20  # the fewer the slices, the more texts step together
 HELD_WORDS = 600_000
 
 
