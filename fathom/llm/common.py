@@ -85,7 +85,7 @@ class Generations(dict):
     def absent(self, keys) -> list:
         """The distinct keys that are not held; the others are moved to the young generation."""
         missing = []
-        for key in set(keys).difference(self):
+        for key in dict.fromkeys([k for k in keys if k not in self]):
             if key in self.old:
                 self[key] = self.old[key]
             else:

@@ -14,6 +14,7 @@ Plane k of a block holds byte k (or bit k) of all its ids, least significant fir
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -87,13 +88,15 @@ def loaded(path: str):
 
     def merged(piece: str) -> bytes:
         """The ids of one match of the pattern, by the library's model alone."""
-        return np.array([x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
+        plain = piece.isascii() and piece.isprintable()  # but for the space, such bytes are written as themselves
+        letters = piece.replace(" ", BYTE_LETTERS[32]) if plain else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [x.id for x in model.tokenize(letters)]).tobytes()
 
     def encode_parts(found: list[str]) -> list[bytes]:
         """Parts are made of pieces that recur in other parts. Letters on which versions of Unicode might differ go whole."""
-        plain = [max(p, default="") < "\u0250" for p in found]
+        plain = [p.isascii() or max(p) < "\u0250" for p in found]
         whole = encoded([p for p, easy in zip(found, plain) if not easy])
-        split = [pattern.findall(p) for p, easy in zip(found, plain) if easy]
+        split = [[p] if p.isascii() and p[1:].isalpha() and p[0] == " " else pattern.findall(p) for p, easy in zip(found, plain) if easy]  # a space and letters are one match
         missing = pieces.absent(x for s in split for x in s)
         pieces.update((x, merged(x)) for x in missing)
         easy_ids, whole_ids = iter([b"".join(map(pieces.__getitem__, s)) for s in split]), iter(whole)
