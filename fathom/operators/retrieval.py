@@ -6,6 +6,8 @@ the smaller id, so that results don't depend on how sums were split.
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,16 +57,47 @@ def normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 256) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = 4096) -> DataFrame:
     """vectors: (id, vector), queries: (qid, vector), all of length 1. Exact search: each block of queries meets all vectors.
+    With a column cell in both, only those of an equal cell meet; a vector may be in several.
 
-    Queries go in blocks of `block`, so a vector is read once a block; a block's best k are kept in each task.
+    Both go in blocks of about `block`, so a vector is sent once a block of queries. A pair of blocks is one matrix product,
+    which leaves a query's best k.
     """
-    asked = queries.select(F.struct("qid", "vector").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // block)))).alias("block"))
-    blocks = asked.groupBy("block").agg(F.collect_list("q").alias("qs"))
-    n = F.lit([r[0] for r in blocks.select("block").collect()]).cast("array<bigint>")
-    met = vectors.withColumn("block", F.explode(n)).join(blocks, "block").select("id", "vector", F.explode("qs").alias("q"))
-    return top(met.select("q.qid", "id", F.round(dot(F.col("q.vector"), F.col("vector")), 6).alias("score")), k)
+    cell = ["cell"] if "cell" in vectors.columns else []
+    n_q, n_v = (max(1, -(-df.select(key).distinct().count() // block)) for df, key in ((queries, "qid"), (vectors, "id")))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    renamed = [F.col(c).alias(f"asked_{c}") for c in ("qid", "vector", *cell)]  # new columns: queries most often come from vectors
+    asked = queries.where("vector is not null").select(*renamed, part("qid", n_q).alias("q_block")).withColumn("v_block", every(n_v))
+    rows = vectors.where("vector is not null").select("id", "vector", *cell, part("id", n_v).alias("v_block")).withColumn("q_block", every(n_q))
+    qid, vid = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    keys = ["q_block", "v_block"]
+    found = asked.groupBy(*keys, *(f"asked_{c}" for c in cell)).cogroup(rows.groupBy(*keys, *cell)).applyInArrow(lambda q, v: _best_of_block(q, v, k), f"qid {qid}, id {vid}, score double")
+    if cell:
+        found = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    return top(found, k)
+
+
+def _best_of_block(asked: pa.Table, rows: pa.Table, k: int, slab: int = 128) -> pa.Table:
+    """(qid, id, score): the k best rows of each query, ties to the smaller id."""
+    out = pa.table({"qid": asked["asked_qid"].slice(0, 0), "id": rows["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+    if not asked.num_rows or not rows.num_rows:
+        return out
+    matrix = lambda c: c.combine_chunks().flatten().to_numpy().astype(float).reshape(len(c), -1)
+    rows = rows.sort_by("id")
+    q, v = matrix(asked["asked_vector"]), matrix(rows["vector"]).T
+    parts = [out]
+    for a in range(0, len(q), slab):
+        s = np.round(q[a : a + slab] @ v, 6) + 0.0  # no negative zero
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        i, j = np.nonzero(s >= least[:, None])
+        order = np.lexsort((j, -s[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[first], j[first]
+        parts.append(pa.table({"qid": asked["asked_qid"].take(pa.array(i + a)), "id": rows["id"].take(pa.array(j)), "score": pa.array(s[i, j])}))
+    return pa.concat_tables(parts)
 
 
 def reciprocal_rank_fusion(lists: dict[str, DataFrame], weights: dict[str, float], k: int = RRF_K) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from fathom.functions import numbers as N
 from fathom.functions import text as T
 from fathom.operators import agent, cohort, corpus, evaluation, graph, ml, retrieval
+from fathom.plans import QUERIES
 from fathom.sources import sse, tables
 
 
@@ -213,3 +215,35 @@ def test_sources_round_trip(spark, tmp_path):
 def test_frames_with_broken_data_are_skipped(spark):
     stream = sse.frames(spark.createDataFrame([("start", '{"a": 1}'), ("bad", "{x")], "event string, data string"))
     assert [(r.event, r.data.a) for r in sse.parse(stream, "a int").collect()] == [("start", 1)]
+
+
+def exact_hits(spark, sf, k):
+    """(qid, ids) of each twentieth vector against all, by brute force."""
+    rows = sorted((r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    return {int(i): [int(j) for j in ids[np.lexsort((ids, -np.round(x @ v, 6)))[:k]]] for i, v in rows if i % 20 == 0}
+
+
+def test_vector_searches_ask_each_twentieth_row(spark, sf):
+    wanted = exact_hits(spark, sf, 10)
+    got = {}
+    for r in QUERIES["ann_topk"](spark, sf).collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got.keys() == wanted.keys() and all(len(ids) == len(set(ids)) == 10 for ids in got.values())
+    assert sum(len({*got[q]} & {*wanted[q]}) for q in wanted) >= 0.9 * 10 * len(wanted)
+    assert {r.qid for r in QUERIES["mmr_vectors"](spark, sf).select("qid").distinct().collect()} == wanted.keys()
+
+
+def test_far_vectors_are_still_found(spark, tmp_path):
+    rows = [(i, [1.0, 0.0] if i == 0 else [-1.0, 0.0]) for i in range(13)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["ann_topk"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r.qid, r.id, r.score) for r in got] == [(0, 0, 1.0), *((0, i, -1.0) for i in range(1, 10))]
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_dense_by_blocks_is_exact(spark, sf, block):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).where("id < 60")
+    wanted = retrieval.top(vectors.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q")).crossJoin(vectors).select("qid", "id", F.round(retrieval.dot(F.col("q"), F.col("vector")), 6).alias("score")), 5)
+    got = retrieval.dense(vectors, vectors.where("id % 20 = 0").withColumnRenamed("id", "qid"), 5, block)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
