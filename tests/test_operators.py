@@ -247,3 +247,8 @@ def test_dense_by_blocks_is_exact(spark, sf, block):
     wanted = retrieval.top(vectors.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q")).crossJoin(vectors).select("qid", "id", F.round(retrieval.dot(F.col("q"), F.col("vector")), 6).alias("score")), 5)
     got = retrieval.dense(vectors, vectors.where("id % 20 = 0").withColumnRenamed("id", "qid"), 5, block)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_every_stay_is_served(spark, sf):
+    wanted = sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
+    assert sorted(r.id for r in QUERIES["predict_serve"](spark, sf).select("id").collect()) == wanted
