@@ -3,8 +3,10 @@
 The fixed rules give the base spans. Their values on a bounded sample of documents are the labelled credentials of each
 kind. For each kind the values' prefix tree is folded into a probabilistic automaton: two states merge where a Hoeffding
 bound can't tell their futures apart. Long runs of credential characters that no rule marks train a background automaton
-the same way. A run is a secret where some kind's automaton explains it better than the background does by min_log_odds,
-and by a quarter more than for any ordinary run of the sample.
+the same way, without up to OUTLIERS of them, those that a kind explains better: they may be credentials too. A run is a
+secret where some kind's automaton explains it better than the background does by min_log_odds, and by a quarter more than
+for all but OUTLIERS of the sample's ordinary runs. Where labelled credentials are shorter than LONG, runs down to their
+least length are judged too, against a background and threshold of their own.
 """
 
 import math
@@ -25,10 +27,14 @@ ASSIGN = re.compile(
 MAYBE_ASSIGN = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LONG = 16
+candidates = lambda least: re.compile(rf"[A-Za-z0-9+/_.=-]{{{least},}}")
+CANDIDATE = candidates(LONG)
 SAMPLE_DOCS = 20_000
 SAMPLE_VALUES = 1_500
 MIN_LOG_ODDS = 7.0
+OUTLIERS = 0.1
+VERDICTS = 1 << 17
 CLASSES = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U"), **{c: c for c in "+/_.=-"}}
 MEMBERS = Counter(CLASSES.values())
 
@@ -147,10 +153,13 @@ def log_likelihood(table, s: str) -> float:
 
 
 class Scanner:
-    """tables: the background's automaton, then one for each kind with labelled credentials."""
+    """tables: the background's automaton, then one for each kind with labelled credentials. short: least length, background
+    and least log odds of the runs under LONG, if they are judged."""
 
-    def __init__(self, tables: list, min_log_odds: float = MIN_LOG_ODDS):
-        self.tables, self.min_log_odds = tables, min_log_odds
+    def __init__(self, tables: list, min_log_odds: float = MIN_LOG_ODDS, short: tuple | None = None):
+        self.tables, self.min_log_odds, self.short = tables, min_log_odds, short
+        self.candidate = candidates(short[0]) if short else CANDIDATE
+        self.verdicts: dict[str, bool] = {}
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """All (start, kind's place, end), by start, then kind. Inferred spans overlap no base span."""
@@ -159,45 +168,85 @@ class Scanner:
 
     def _inferred(self, text: str, base: list) -> list[tuple[int, int, int]]:
         found = []
-        for m in CANDIDATE.finditer(text):
+        for m in self.candidate.finditer(text):
             a, b = m.span()
             if any(x[0] < b and a < x[2] for x in base):
                 continue
-            if self.log_odds(m[0]) >= self.min_log_odds:
+            if self.log_odds(m[0]) >= self.min_log_odds if b - a >= LONG else self._short_secret(m[0]):
                 found.append((a, 3, b))
         return found
 
+    def _short_secret(self, s: str) -> bool:
+        """Most short runs are words that come again."""
+        if s not in self.verdicts:
+            if len(self.verdicts) >= VERDICTS:
+                self.verdicts.clear()
+            self.verdicts[s] = self.log_odds(s) >= self.short[2]
+        return self.verdicts[s]
+
     def log_odds(self, s: str) -> float:
-        usual, *kinds = (log_likelihood(t, s) for t in self.tables)
-        return max(kinds) - usual
+        usual = self.short[1] if self.short and len(s) < LONG else self.tables[0]
+        return max(log_likelihood(t, s) for t in self.tables[1:]) - log_likelihood(usual, s)
+
+
+def background(usual: list[str], kinds: list, min_log_odds: float) -> tuple[list, float]:
+    """The background's table and the least log odds of a secret. Few credentials among the usual runs move neither.
+
+    The runs that a kind explains better than the background, the best explained first, are left out of it, OUTLIERS of all
+    at most; then it is fitted again, and those it had learnt from the first time stand out too.
+    """
+    spare = int(OUTLIERS * len(usual))
+    kept, left_out = usual, set()
+    while True:
+        table = Automaton(kept or ["x"]).table()
+        if not kinds:
+            return table, min_log_odds
+        odds = {s: max(log_likelihood(t, s) for t in kinds) - log_likelihood(table, s) for s in usual}
+        more = sorted((s for s in kept if odds[s] > 0), key=lambda s: (-odds[s], s))[: spare - len(left_out)]
+        if not more:
+            break
+        left_out.update(more)
+        kept = [s for s in usual if s not in left_out]
+    ranked = sorted(odds.values(), reverse=True)
+    return table, max([min_log_odds, *(1.25 * x for x in ranked[spare : spare + 1])])
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES, min_log_odds: float = MIN_LOG_ODDS) -> Scanner:
     """Learns from a uniform sample of sample_docs documents (a documented bound) and at most sample_values distinct
     values of each kind. The sample's values are found on the executors; only those up to the bound come to the driver."""
     key, last = hash_threshold(docs.select("doc_id"), sample_docs)
-
-    def labelled(batches):
-        for batch in batches:
-            found = set()
-            for text in texts(batch.column("text")):
-                base = base_spans(text)
-                found.update((KINDS[k], value) for _, k, _, value in base)
-                found.update((KINDS[3], m[0]) for m in CANDIDATE.finditer(text) if not any(x[0] < m.end() and m.start() < x[2] for x in base))
-            found = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["kind", "value"])
-
-    values = small_batches(docs.where(key <= last).select("text")).mapInArrow(labelled, "kind string, value string").distinct().cache()
-    tables, usual = [], []
-    for kind in (KINDS[3], *KINDS[:3]):
-        rows = values.where(F.col("kind") == kind).orderBy(F.md5(F.col("value").cast("binary")), "value").limit(sample_values).collect()
-        if rows or kind == KINDS[3]:
-            tables.append(Automaton([r["value"] for r in rows] or ["x"]).table())
-            usual = usual or [r["value"] for r in rows]
+    sample = small_batches(docs.where(key <= last).select("text"))
+
+    def labelled(least, below):
+        """(kind, value) of each sampled document; runs of no rule from least to under below characters."""
+        candidate = candidates(least)
+
+        def run(batches):
+            for batch in batches:
+                found = set()
+                for text in texts(batch.column("text")):
+                    base = base_spans(text)
+                    found.update((KINDS[k], value) for _, k, _, value in base)
+                    found.update((KINDS[3], m[0]) for m in candidate.finditer(text) if m.end() - m.start() < below and not any(x[0] < m.end() and m.start() < x[2] for x in base))
+                found = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["kind", "value"])
+
+        return sample.mapInArrow(run, "kind string, value string")
+
+    def some(values, kind):
+        rows = values.where(F.col("kind") == kind)
+        return [r["value"] for r in rows.orderBy(F.md5(F.col("value").cast("binary")), "value").limit(sample_values).collect()]
+
+    values = labelled(LONG, float("inf")).distinct().cache()
+    usual, *known = [some(values, kind) for kind in (KINDS[3], *KINDS[:3])]
+    least = values.where(F.col("kind") != KINDS[3]).agg(F.min(F.length("value"))).first()[0]
     values.unpersist()
-    scanner = Scanner(tables, min_log_odds)
-    scanner.min_log_odds = max([min_log_odds, *(1.25 * scanner.log_odds(s) for s in usual)]) if len(tables) > 1 else min_log_odds
-    return scanner
+    kinds = [Automaton(found).table() for found in known if found]
+    table, threshold = background(usual, kinds, min_log_odds)
+    short = None
+    if least is not None and least < LONG:
+        short = (least, *background(some(labelled(least, LONG).where(F.col("kind") == KINDS[3]).distinct(), KINDS[3]), kinds, min_log_odds))
+    return Scanner([table, *kinds], threshold, short)
 
 
 def find(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:

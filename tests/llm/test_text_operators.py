@@ -142,6 +142,25 @@ def test_inferred_formats():
             assert 0.9 < sum(math.exp(p) for p, _ in moves.values()) + math.exp(end) < 1.1
 
 
+@pytest.mark.parametrize("length", [24, 10])
+def test_unlabelled_secrets_are_found(spark, length):
+    """Credentials of a labelled format stand bare in other documents, which the background is learnt from too."""
+    import random
+
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda a, b: "".join(rng.choice(["an", "er", "the", "ing", "on", "tion", "es", "lich"]) for _ in range(rng.randint(a, b)))
+    secret = lambda: pick("QXZJKVWY", length - 4) + pick("0123456789", 4)
+    prose = lambda: " ".join([word(1, 4) for _ in range(30)] + [word(8, 10), word(8, 10)])
+    bare = {1000 + i: secret() for i in range(30)}
+    rows = [(i, f"{prose()} token = {secret()} {prose()}") for i in range(150)] + [(i, f"{prose()} {s} {prose()}") for i, s in bare.items()] + [(i, prose()) for i in range(2000, 2300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "inferred"] for r in secret_scan.find(docs).collect()}
+    assert all(found[i] == [s] for i, s in bare.items())
+    assert not any(spans for i, spans in found.items() if i not in bare)
+
+
 def test_water_filling_follows_the_rule(spark):
     sizes = {"a": 10, "b": 1000, "c": 3, "d": 500, None: 2000, "e": 0}
     rows = spark.createDataFrame([(("-" if s is None else "+" + s), s, n) for s, n in sizes.items()], "sk string, source string, source_size long")
