@@ -1,13 +1,13 @@
 """Near-duplicates by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
-Exact copies of a set are one class. Each class has TREES signatures of DEPTH min-hashes. For every tree the classes are
-range-partitioned and sorted by signature, so that those with a common prefix are neighbours. A region is a run of
-neighbours that share the first BASE hashes; one with more than REGION members is entered at a greater depth, and so on,
-each where it needs it. Within a region, neighbours whose signatures agree in less than LIKELY of all positions are let go
-(a true link falls below that with a probability under 1e-5); the others span a forest of candidate links, fewer than the
-region has members, however dense it is. The classes that candidates connect are then compared on their full sets until
-all links between different parts are known to be there or not. A pair at the threshold shares no region in any tree with
-a probability of (1 - 0.8**3)**16 = 1e-5.
+Exact copies of a set are one class. Each class has TREES signatures of DEPTH min-hashes. A region is all classes that share
+the first BASE hashes in a tree. One of more than BLOCK * REGION members is dealt into blocks of that size, and each pair of
+blocks is a task's group, so that all pairs of a region meet, however large it is. Within a group, those whose signatures
+agree in less than LIKELY of all positions are let go (a true link falls below that with a probability under 1e-5); the
+others span a forest of candidate links, fewer than the group has members, however dense it is. The classes that candidates
+connect are then compared on their full sets until all links between different parts are known to be there or not. A pair
+at the threshold shares no region in any tree with a probability of (1 - 0.8**3)**16 = 1e-5; that is the miss rate of dense
+regions too.
 """
 
 import numpy as np
@@ -22,7 +22,7 @@ from fathom.llm.wordhash import mix, words
 TREES, DEPTH, BASE = 16, 6, 3
 HASHES = TREES * DEPTH
 REGION = 512
-HELD = 1 << 15
+BLOCK = 8
 LIKELY = 0.60
 GROUP_SHINGLES = 1_000_000
 SLICE_BYTES = 1 << 20
@@ -85,14 +85,14 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """For each class and tree: the tree, its signature there (the sort key), the class, and one byte of each of its hashes."""
+    """For each class and tree: the tree, its first BASE hashes there (the region), the class, and one byte of each of its hashes."""
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, TREES, DEPTH * 4)
             low = [x.tobytes() for x in sig.reshape(len(sig), HASHES, 4)[:, :, 3]]
             for tree in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array([x.tobytes() for x in sig[:, tree]], pa.binary()), batch.column("cid"), pa.array(low, pa.binary())], ["tree", "key", "cid", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array([x.tobytes() for x in sig[:, tree, : 4 * BASE]], pa.binary()), batch.column("cid"), pa.array(low, pa.binary())], ["tree", "key", "cid", "low"])
 
     return classes.select("cid", "signature").mapInArrow(run, "tree int, key binary, cid long, low binary")
 
@@ -100,71 +100,65 @@ def forest_rows(classes: DataFrame) -> DataFrame:
 def spanning(low: np.ndarray) -> list[tuple[int, int]]:
     """A forest over the rows that connects those whose bytes agree in at least LIKELY of the positions, directly or not."""
     rest, links = np.arange(len(low)), []
+    left = low  # the rows of rest
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest, left = [rest[0]], rest[1:], left[1:]
         while queue and len(rest):
             i = queue.pop()
-            near = (low[rest] == low[i]).sum(axis=1) >= LIKELY * HASHES
-            links += [(i, j) for j in rest[near]]
-            queue += rest[near].tolist()
-            rest = rest[~near]
-    return links
-
-
-def region_links(key: np.ndarray, low: np.ndarray, depth: int, region: int) -> list[tuple[int, int]]:
-    """Candidate links among sorted rows that share `depth` hashes. Too large a region is split where the next hash
-    changes; of two neighbouring parts, the last and the first row are compared, as in the sorted order they are nearest."""
-    if len(key) <= region:
-        return spanning(low) if len(key) > 1 else []
-    if depth < DEPTH:
-        changes = np.flatnonzero((key[1:, 4 * depth : 4 * depth + 4] != key[:-1, 4 * depth : 4 * depth + 4]).any(axis=1)) + 1
-        bounds = [0, *changes.tolist(), len(key)]
-        lap = 0
-    else:
-        bounds = [*range(0, len(key), region), len(key)]
-        lap = 1
-    links = []
-    for a, b in zip(bounds, bounds[1:]):
-        links += [(i + a, j + a) for i, j in region_links(key[a : b + lap], low[a : b + lap], depth + 1, region + lap)]
-        if not lap and b < len(key) and (low[b - 1] == low[b]).sum() >= LIKELY * HASHES:
-            links.append((b - 1, b))
+            near = (left == low[i]).sum(axis=1) >= LIKELY * HASHES
+            if near.any():
+                links += [(i, j) for j in rest[near]]
+                queue += rest[near].tolist()
+                rest, left = rest[~near], left[~near]
     return links
 
 
 def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
-    """Candidate links (a, b) between classes."""
+    """Candidate links (a, b) between classes. A group is a region, or two blocks of one of more than BLOCK * region classes."""
+    block = BLOCK * region
+    rows = forest_rows(classes)
+    large = rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("tree", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    large = materialise(large, "regions")
+    n_large = large.count()
+    if n_large:
+        rows = joined(rows, large, ["tree", "key"], "left", n_large)
+        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        rows = rows.select("tree", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "cid", "low")
+        by = ["tree", "key", "first", "second"]
+    else:
+        by = ["tree", "key"]
 
     def run(batches):
-        tree, key, cid, low = np.zeros(0, np.int32), np.zeros((0, DEPTH * 4), np.uint8), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8)
+        held = None
         for batch in batches:
-            tree = np.concatenate([tree, batch.column("tree").to_numpy()])
-            key = np.concatenate([key, np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, DEPTH * 4)])
-            cid = np.concatenate([cid, batch.column("cid").to_numpy()])
-            low = np.concatenate([low, np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)])
-            starts = region_starts(tree, key)
-            last = starts[-1]
-            yield links_of(starts, key, cid, low)
-            if len(tree) - last >= HELD:  # a region that goes on: what has been read is done, the newest rows stay to meet the next
-                yield links_of(np.array([last, len(tree)]), key, cid, low)
-                last = len(tree) - region
-            tree, key, cid, low = tree[last:], key[last:], cid[last:], low[last:]
-        if len(tree):
-            yield links_of(np.array([*region_starts(tree, key), len(tree)]), key, cid, low)
-
-    def region_starts(tree, key):
-        changes = (tree[1:] != tree[:-1]) | (key[1:, : 4 * BASE] != key[:-1, : 4 * BASE]).any(axis=1)
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]).combine_chunks() if held else table
+            starts = group_starts(held)
+            yield links_of(starts, held)
+            held = held.slice(starts[-1])  # the last group may go on
+        if held:
+            yield links_of(np.append(group_starts(held), len(held)), held)
+
+    def group_starts(table):
+        changes = np.zeros(max(0, len(table) - 1), bool)
+        for name in by:
+            column = table[name].combine_chunks()
+            values = np.frombuffer(b"".join(column.to_pylist()), f"V{4 * BASE}") if name == "key" else column.to_numpy()
+            changes |= values[1:] != values[:-1]
         return np.concatenate([[0], np.flatnonzero(changes) + 1])
 
-    def links_of(starts, key, cid, low):
+    def links_of(starts, table):
+        cid, low = table["cid"].to_numpy(), np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, HASHES)
         found = []
         for i in np.flatnonzero(np.diff(starts) > 1):
             a, b = starts[i], starts[i + 1]
-            found += [(i + a, j + a) for i, j in region_links(key[a:b], low[a:b], BASE, region)]
+            found += [(i + a, j + a) for i, j in spanning(low[a:b])]
         at = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(cid[at[:, 0]]), pa.array(cid[at[:, 1]])], ["a", "b"])
 
-    ordered = forest_rows(classes).repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "cid")
-    return ordered.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    grouped = rows.repartition(*by).sortWithinPartitions(*by, "cid")
+    return grouped.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked_parts(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarray:

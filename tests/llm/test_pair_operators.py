@@ -72,6 +72,19 @@ def test_forest_finds_all_links(spark, region, group_shingles):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (label[i] == i) for i, r in got.items())
 
 
+def test_forest_misses_no_pair_of_a_large_region(spark):
+    """All classes share one tree's first hashes; the pairs meet nowhere else and differ in that tree's next hash."""
+    rng = np.random.default_rng(7)
+    first = rng.integers(0, 1 << 32, (300, minhash_forest.TREES, minhash_forest.DEPTH), dtype=np.uint32)
+    first[:, 0, : minhash_forest.BASE] = 1
+    second = first[:20].copy()
+    second[:, 1:, 0] += 1
+    second[:, 0, minhash_forest.BASE] += 1
+    rows = [(i, bytearray(x.astype(">u4").tobytes())) for i, x in enumerate([*first, *second])]
+    df = spark.createDataFrame(rows, "cid long, signature binary")
+    assert {tuple(r) for r in minhash_forest.candidates(df, region=4).collect()} == {(i, 300 + i) for i in range(20)}
+
+
 def test_forest_on_odd_rows(spark, odd_docs, no_docs):
     got = minhash_forest.groups(odd_docs, 4).collect()
     assert len(got) == odd_docs.count() and minhash_forest.groups(no_docs, 4).count() == 0
