@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,37 +15,83 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_folder: ContextVar[str | None] = ContextVar("fathom_folder", default=None)
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("fathom.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session, whose one process
+    sees its own disk, gets a folder of its own; any other is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathom.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = Path(tempfile.mkdtemp(prefix="fathom-")).as_uri()
         spark.conf.set("fathom.shared.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
-    """df itself; from now on its session hands texts to Python in batches of about size, unless the session says otherwise.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    The default, 64 MB, is held several times over by each Python worker.
+    Within an operator marked `whole` the table goes when the operator is done.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(name) == "67108864b":
-        df.sparkSession.conf.set(name, size)
-    return df
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """While this lasts texts go to Python in batches of about size, unless the session has a size of its own: the default,
+    64 MB, is held several times over by each Python worker."""
+    own = spark.conf.get(BATCH_BYTES) == "67108864b"
+    if own:
+        spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(BATCH_BYTES)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder for tables that are needed no longer than this lasts."""
+    path = f"{_folder.get() or shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    held = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(held)
+        _delete(spark, path)
+
+
+def whole(operator):
+    """An operator, its first argument a DataFrame, whose result is written as one table of the shared folder, texts going to
+    Python in small batches. All other tables it wrote are deleted then, and the session's settings are as before."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        outside = _folder.get()
+        with small_batches(df.sparkSession), scratch(df.sparkSession):
+            out = operator(df, *args, **kwargs)
+            inside = _folder.set(outside)  # the result stays
+            try:
+                return materialise(out, operator.__name__)
+            finally:
+                _folder.reset(inside)
+
+    return run
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32(doc_id as text) mod modulus = remainder; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

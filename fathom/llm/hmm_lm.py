@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import binary_texts, held_out, in_slices, materialise, small_batches
+from fathom.llm.common import binary_texts, held_out, in_slices, materialise, whole
 from fathom.llm.wordhash import Words, words
 
 STATES, ROUNDS, SYMBOLS, FREQUENT = 6, 3, 16_384, 131_072
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(*merged())
 
-    return small_batches(docs.select("text")).mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -217,6 +217,7 @@ def trained(docs: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = R
     return model
 
 
+@whole
 def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

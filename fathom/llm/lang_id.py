@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import hash_threshold, held_out, small_batches, texts
+from fathom.llm.common import hash_threshold, held_out, whole, texts
 
 BITS = 16
 STEPS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -114,7 +114,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 seen[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen), dtype=np.int32)), pa.array(seen)], ["i", "n"])
 
-    sums = small_batches(docs.select("text")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((1 << BITS) + 1, np.int64)
     out[sums["i"].to_numpy()] = sums["n"].to_numpy()
     return out[:-1], int(out[-1])
@@ -148,6 +148,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return model.fit([(a.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64), place[y]) for _, _, a, x, y in ordered])
 
 
+@whole
 def predict(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import binary_texts, in_slices, materialise, small_batches
+from fathom.llm.common import binary_texts, in_slices, materialise, whole
 from fathom.llm.components import components, joined
 from fathom.llm.wordhash import mix, words
 
@@ -81,7 +81,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "cid", "signature"],
                 )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, cid long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, signature binary")
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
@@ -274,6 +274,7 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.drop("label").join(parts, sets.cid == parts.node, "left").withColumn("label", F.coalesce("component", "cid")).drop("node", "component")
 
 
+@whole
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -298,6 +299,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION,
     return own.join(lookup, "cid", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+@whole
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all columns, that stay: one of each group of near-duplicates. Of repeated rows one stays."""
     judged = materialise(groups(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")), "judged")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import binary_texts, held_out, in_slices, small_batches
+from fathom.llm.common import binary_texts, held_out, in_slices, whole
 from fathom.llm.wordhash import IS_SPACE, Words, words
 
 BITS, FACTORS = 16, 8
@@ -139,11 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
                     ["doc_id", "label", "at", "x"],
                 )
 
-    got = small_batches(rows).mapInArrow(run, "doc_id long, label int, at array<int>, x array<float>").toArrow()
+    got = rows.mapInArrow(run, "doc_id long, label int, at array<int>, x array<float>").toArrow()
     ordered = sorted(zip([zlib.crc32(str(i).encode()) for i in got["doc_id"].to_pylist()], got["doc_id"].to_pylist(), got["at"], got["x"], got["label"].to_pylist()), key=lambda r: r[:2])
     return Machine().fit([(a.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64), y) for _, _, a, x, y in ordered])
 
 
+@whole
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = THRESHOLD, sample_labels: int = SAMPLE_LABELS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -162,9 +163,10 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("held_out")[a:b], pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     fold = held_out(F.col("doc_id"), modulus, remainder).alias("held_out")
-    return small_batches(docs.select("doc_id", fold, "text", "n_chars")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", fold, "text", "n_chars").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+@whole
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, whose score is threshold or more."""
     machine = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")), labels))
@@ -175,4 +177,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             keep = [machine.value.score(*_features_of(batch, a, b, found)) >= threshold for a, b in in_slices(found, SLICE_BYTES)]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from fathom.llm.chunks import encode_batch
-from fathom.llm.common import Generations, in_slices, small_batches, texts
+from fathom.llm.common import Generations, in_slices, whole, texts
 
 NONE = np.int64(1) << np.int64(62)
 CACHED_PARTS = 200_000
@@ -170,6 +170,7 @@ def loaded(path: str, pattern: str) -> tuple[Bpe, Generations]:
     return Bpe(path, pattern), Generations(CACHED_PARTS)
 
 
+@whole
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array<int>), decoded (binary).
 
@@ -189,9 +190,10 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+@whole
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """encode_and_decode with ids and decoded bytes as sha256 digests, taken where they are made: ids need no row of their own."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -209,4 +211,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(counts, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

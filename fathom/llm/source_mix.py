@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import WORD, materialise
+from fathom.llm.common import WORD, materialise, whole
 
 BINS = 4096
 
@@ -74,6 +74,7 @@ def _taken(docs: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
     return sure.unionByName(at_edge).withColumn("taken", F.col("whole") * F.col("size") + F.col("part_taken"))
 
 
+@whole
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted).
 
@@ -85,6 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     return _taken(docs, plan(docs, weights, max_epochs, seed), seed).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@whole
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole repetition, and the first words of the document
     (with the white space between them) where the fractional one ends within it. n_chars, if there, follows the text."""

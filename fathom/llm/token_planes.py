@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.chunks import encode_batch
-from fathom.llm.common import Generations, in_slices, materialise, small_batches, texts
+from fathom.llm.common import Generations, materialise, small_batches, texts, whole
 
 BLOCK = 16_384
 CHUNK_IDS = 16 * BLOCK
-CACHED_PARTS, CACHED_PIECES = 500_000, 400_000
-SLICE_BYTES = 2 << 20
+CACHED_PARTS = 500_000
+SLICE_BYTES = 8 << 20  # words recur: the more text together, the fewer look-ups
 WIDTH = {"byte": 4, "bit": 32}
 CHUNKS = "shard int, chunk long, first long, n_ids long, doc_ids array<long>, doc_ids_n array<long>, planes binary, ends array<int>"
 #: Byte-level vocabularies write a visible Latin-1 byte as itself and the n-th of the others as the letter 256 + n.
@@ -74,70 +74,104 @@ def unpack(planes: bytes, ends: list[int], n_ids: int, kind: str = "byte") -> np
 
 @lru_cache(maxsize=1)
 def loaded(path: str):
-    """Once a Python worker: from distinct parts to the bytes of their ids, and a bounded cache of them."""
+    """Once a Python worker: from texts to arrays of their ids, parts coming from a bounded cache."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def encoded(found: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+    pattern, model, space = regex.compile(public_tokenizers.PATTERN), tokenizer.model, BYTE_LETTERS[32]
+    cache = Generations(CACHED_PARTS)
 
-    pattern, pieces, model = regex.compile(public_tokenizers.PATTERN), Generations(CACHED_PIECES), tokenizer.model
-
-    def merged(piece: str) -> bytes:
+    def merged(letters: str) -> bytes:
         """The ids of one match of the pattern, by the library's model alone."""
-        plain = piece.isascii() and piece.isprintable()  # but for the space, such bytes are written as themselves
-        letters = piece.replace(" ", BYTE_LETTERS[32]) if plain else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [x.id for x in model.tokenize(letters)]).tobytes()
 
-    def encode_parts(found: list[str]) -> list[bytes]:
-        """Parts are made of pieces that recur in other parts. Letters on which versions of Unicode might differ go whole."""
-        plain = [p.isascii() or max(p) < "\u0250" for p in found]
-        whole = encoded([p for p, easy in zip(found, plain) if not easy])
-        split = [[p] if p.isascii() and p[1:].isalpha() and p[0] == " " else pattern.findall(p) for p, easy in zip(found, plain) if easy]  # a space and letters are one match
-        missing = pieces.absent(x for s in split for x in s)
-        pieces.update((x, merged(x)) for x in missing)
-        easy_ids, whole_ids = iter([b"".join(map(pieces.__getitem__, s)) for s in split]), iter(whole)
-        pieces.age()
-        return [next(easy_ids) if easy else next(whole_ids) for easy in plain]
+    def piece_ids(piece: str) -> bytes:
+        ids = cache.get(piece)  # a piece is a part too: most are words that stand alone elsewhere
+        if ids is None:
+            plain = piece.isascii() and piece.isprintable()  # but for the space, such bytes are written as themselves
+            ids = cache[piece] = merged(piece.replace(" ", space) if plain else piece.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return ids
 
-    return encode_parts, Generations(CACHED_PARTS)
+    def encode_parts(found: list[str]) -> list[bytes]:
+        """A space and letters are one match. Letters on which versions of Unicode might differ go through the whole library."""
+        out, whole = [], []
+        for p in found:
+            if p.isascii():
+                bare = p[1:]
+                if bare.isalpha() and p[0] == " ":
+                    out.append(merged(space + bare))
+                    continue
+            elif max(p) >= "\u0250":
+                whole.append(len(out))
+                out.append(b"")
+                continue
+            out.append(b"".join(map(piece_ids, pattern.findall(p))))
+        for i, x in zip(whole, tokenizer.encode_batch_fast([found[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
+            out[i] = np.array(x.ids, "<u4").tobytes()
+        return out
+
+    def encode(found: list[str]) -> list[np.ndarray]:
+        """A text that holds an added token, such as <|endoftext|>, goes through the library whole."""
+        special = {i for i, text in enumerate(found) if any(token in text for token in added)}
+        out = encode_batch(["" if i in special else text for i, text in enumerate(found)] if special else found, cache, encode_parts)
+        for i in special:
+            out[i] = np.array(tokenizer.encode(found[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+    return encode
+
+
+def in_large_slices(batches):
+    """(doc_ids, texts) of about SLICE_BYTES of text together, whatever the batches' size; one row at least."""
+    numbers, found, held = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+            numbers.append(doc_id)
+            found.append(text)
+            held += len(text)
+            if held >= SLICE_BYTES:
+                yield numbers, found
+                numbers, found, held = [], [], 0
+    if found:
+        yield numbers, found
 
 
 def write(docs: DataFrame, path: str, end_id: int, kind: str = "byte") -> DataFrame:
     """Encodes docs, appends end_id to each, writes the chunks in ascending doc_id order and returns the written table.
 
-    path: a tokenizers file that every executor has. Null doc_ids come first; rows of one doc_id are ordered by their text.
+    path: a tokenizers file that every executor has. Null doc_ids come first; rows of one doc_id are ordered by their text,
+    and go to several tasks where their first characters differ. A very long text is encoded, and its chunk held, whole.
     """
 
     def run(batches):
-        encode_parts, cache = loaded(path)
+        encode = loaded(path)
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
-        held, doc_ids = [], []
+        held, doc_ids, size = [], [], 0
 
         def flush():
-            nonlocal chunk, first, held, doc_ids
+            nonlocal chunk, first, held, doc_ids, size
             ids = np.concatenate(held)
             planes, ends = pack(ids, kind)
             row = {"shard": shard, "chunk": chunk, "first": first, "n_ids": len(ids), "doc_ids": doc_ids, "doc_ids_n": [len(x) for x in held], "planes": planes, "ends": ends}
-            chunk, first, held, doc_ids = chunk + 1, first + len(ids), [], []
+            chunk, first, held, doc_ids, size = chunk + 1, first + len(ids), [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
-        for batch in batches:
-            found, numbers = texts(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in in_slices(found, SLICE_BYTES):
-                for doc_id, ids in zip(numbers[a:b], encode_batch(found[a:b], cache, encode_parts), strict=True):
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    doc_ids.append(doc_id)
-                    if sum(map(len, held)) >= CHUNK_IDS if len(held) % 64 == 0 or len(ids) > BLOCK else False:
-                        yield flush()
+        for numbers, found in in_large_slices(batches):
+            for doc_id, ids in zip(numbers, encode(found), strict=True):
+                held.append(np.append(ids, np.uint32(end_id)))
+                doc_ids.append(doc_id)
+                size += len(ids) + 1
+                if size >= CHUNK_IDS:
+                    yield flush()
         if held:
             yield flush()
 
-    ordered = small_batches(docs.select("doc_id", "text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(run, CHUNKS), "token-planes")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return materialise(ordered.mapInArrow(run, CHUNKS), "token-planes")
 
 
 ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ids_n", pa.list_(pa.int64())), ("planes", pa.binary()), ("ends", pa.list_(pa.int32()))])
@@ -170,6 +204,7 @@ def starts(chunks: DataFrame) -> DataFrame:
     return shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
+@whole
 def write_and_read(docs: DataFrame, path: str, end_id: int = 2, kind: str = "byte") -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
 

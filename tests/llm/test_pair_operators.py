@@ -1,7 +1,9 @@
 """Near-duplicates, top-k search, the grid join, components and the pipeline against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -138,9 +140,11 @@ def vectors(seed=1, n=260, width=16):
     return rows
 
 
-def test_grid_join_is_exact(spark):
-    rows = vectors()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as key", "2 as copies", "'c' as cell")
+@pytest.mark.parametrize(("kind", "interval", "broadcast"), [("double", None, 64 << 20), ("double", 8, 0), ("float", 8, 64 << 20)])
+def test_grid_join_is_exact(spark, monkeypatch, kind, interval, broadcast):
+    monkeypatch.setattr(grid_order_join, "BROADCAST", broadcast)
+    rows = [(i, v and [x if x is None else float(np.dtype(kind).type(x)) for x in v]) for i, v in vectors()]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 as key", "2 as copies", "'c' as cell")
     good = [(i, np.array(v)) for i, v in rows if i is not None and (i < 900)]
     x = np.array([v for _, v in good])
     x /= np.sqrt((x * x).sum(1, keepdims=True))
@@ -148,20 +152,26 @@ def test_grid_join_is_exact(spark):
     ids = [i for i, _ in good]
     label = least_labels(set(ids), [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near)) if i < j])
     wanted = Counter((ids[i], int(near[i].sum()) - 1, label[ids[i]], label[ids[i]] == ids[i]) for i in range(len(ids))) + Counter((i, 0, i, True) for i in range(900, 906)) + Counter([(None, 0, None, True)])
-    for interval in (1024, 8):
-        assert Counter(map(tuple, grid_order_join.groups(df, 0.95, interval).collect())) == wanted
-    assert grid_order_join.groups(df.where("false")).count() == 0
+    assert Counter(map(tuple, grid_order_join.groups(df, 0.95, interval).collect())) == wanted
+    if interval is None:
+        assert grid_order_join.groups(df.where("false")).count() == 0
 
 
-def test_top_k_is_exact(spark):
-    rows = vectors(7)
-    df = spark.createDataFrame(rows, "id long, vector array<double>").where("id is not null").selectExpr("*", "1 as block", "2 as width")
-    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and i < 900]
+def brute_top(rows, asked, k=5):
+    """(query_id, rank, vec_id, score), by integers of any length."""
+    good = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     wanted = Counter()
     for q, v in good:
-        if q % 13 == 0:
-            best = sorted(((-int(v @ u), i) for i, u in good if i != q))[:5]
-            wanted.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+        if q is not None and asked(q):
+            best = sorted(((-sum(a * b for a, b in zip(v, u)), i is None, i or 0) for i, u in good if i != q))[:k]
+            wanted.update((q, n + 1, None if none else i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, none, i) in enumerate(best))
+    return wanted
+
+
+def test_top_k_is_exact(spark):
+    rows = vectors(7)
+    df = spark.createDataFrame(rows, "id long, vector array<double>").selectExpr("*", "1 as block", "2 as width", "3 as cell")
+    wanted = brute_top(rows, lambda q: q % 13 == 0)
     asked = df.where("id % 13 = 0")
     for sizes in ((512, 4096), (4, 16)):
         assert Counter(map(tuple, topk_search.top_k(df, asked, 5, *sizes).collect())) == wanted
@@ -169,6 +179,16 @@ def test_top_k_is_exact(spark):
     assert topk_search.top_k(few, few, 5).count() == 6 and topk_search.top_k(df.where("false"), asked).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 8)]) for i in range(30)]
+    rows += [(100, [70_000.0] * 8), (101, [70_000.0] * 8), (102, [float(1 << 40)] * 8), (103, [float(1 << 40)] * 7 + [float(1 << 40) + 0.5]), (104, [1e300, -1e300, 1e290, 0.003] * 2), (105, [-1e308] * 8), (106, [5e-324] * 8), (None, [70_000.0] * 8)]
+    rows += [(200 + i, [2.0**24 / 256 + (j == i) for j in range(8)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    for sizes in ((512, 4096), (4, 8)):
+        assert Counter(map(tuple, topk_search.top_k(df, df, 5, *sizes).collect())) == brute_top(rows, lambda q: True)
+
+
 def test_ten_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 

@@ -12,11 +12,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fathom.llm import hmm_lm, lang_id, quality_fm, secret_scan, segtree_bpe, source_mix, token_planes
-from fathom.llm.chunks import encode_batch, parts
-from fathom.llm.common import Generations
+from fathom.llm.chunks import parts
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -57,14 +57,16 @@ def test_bpe_digests(spark, odd_docs, no_docs, reference):
     assert bytes(full.decoded).decode() == "日本語 é ñ \x1c end" and full.n_tokens == len(full.ids)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(st.sampled_from(list(" \n\t'as1é日\x1c\x85　!|<>")) | st.characters(codec="utf-8"), max_size=80))
-def test_cached_parts_encode_as_the_library_does(text):
-    encode_parts, _ = token_planes.loaded(JSON)
-    whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
-    assert "".join(parts(text)) == text
-    assert encode_batch([text], Generations(10), encode_parts)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+ODD_PIECES = st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", " \t", "don't", "'S", "é", "日本", "\x1c", "\x85", "\u3000", "1²", "word", " word", "word,", "À"]) | st.text(st.characters(codec="utf-8"), max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(ODD_PIECES, max_size=14).map("".join), max_size=4))
+def test_texts_encode_as_the_plain_library_does(batch):
+    encode, plain = token_planes.loaded(JSON), Tokenizer.from_file(JSON)
+    for text, ids in zip(batch, encode(batch), strict=True):
+        assert "".join(parts(text)) == text
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
@@ -78,7 +80,7 @@ def test_planes_round_trip(kind, n):
 
 def test_token_files(spark, odd_docs, no_docs):
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
+    odd_docs = odd_docs.unionByName(odd_docs.where("doc_id = 1").withColumns({"doc_id": F.lit(11), "text": F.lit("hello <|endoftext|> world")}))
     start, wanted = 0, []
     for r in sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
         ids = [*whole.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -161,6 +163,36 @@ def test_unlabelled_secrets_are_found(spark, length):
     assert not any(spans for i, spans in found.items() if i not in bare)
 
 
+def test_few_unlabelled_secrets_are_found_and_no_ordinary_runs(spark):
+    """Nothing but a few credentials may stand among the unlabelled long runs; and ordinary long runs aren't taken for them."""
+    import random
+
+    rng = random.Random(8)
+    pick = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    secret = lambda: "ghx_" + pick(36)
+    bare = [secret() for _ in range(5)]
+    labelled = [(i, f"the value is token={secret()} here") for i in range(600)]
+    found = {r.doc_id: r.spans for r in secret_scan.digest(spark.createDataFrame(labelled + [(1000 + i, f"see {s} now") for i, s in enumerate(bare)], "doc_id long, text string")).collect()}
+    assert all(found[1000 + i] == "inferred:4:44" for i in range(5))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mixed = docs.unionByName(spark.createDataFrame([(10**6 + i, f"{t} and {s}") for (i, t), s in zip(labelled, [secret() for _ in range(40)])], "doc_id long, text string"))
+    scanner = secret_scan.train(mixed)
+    assert all(len(table) > 10 for table in scanner.tables)  # the background's, and those of the labelled kinds
+    got = {r.doc_id: r.n_inferred for r in secret_scan.digest(mixed).collect()}
+    assert sum(got[10**6 + i] == 1 for i in range(40)) == 40
+    assert sum(n for i, n in got.items() if i < 10**6) <= 1
+
+
+def test_states_of_a_fixed_format_are_a_chain():
+    import random
+
+    rng = random.Random(2)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(400)]
+    assert 30 <= len(secret_scan.Automaton(values).states) <= 40
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.choice([4, 5, 6, 7, 8, 9, 10, 12]))) for _ in range(2000)]
+    assert 1 < len(secret_scan.Automaton(words).states) < 60
+
+
 def test_water_filling_follows_the_rule(spark):
     sizes = {"a": 10, "b": 1000, "c": 3, "d": 500, None: 2000, "e": 0}
     rows = spark.createDataFrame([(("-" if s is None else "+" + s), s, n) for s, n in sizes.items()], "sk string, source string, source_size long")
