@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import minhash_forest, quality_fm, queries, secret_scan, segtree_bpe, source_mix
-from fathom.llm.common import materialise
+from fathom.llm.common import whole
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, "pipeline")
+    """The last stage's rows. Each stage's result is a table of its own; those but the last are deleted at the end."""
+    return _run(queries.table(spark, sf_dir, "documents"), sf_dir)
+
+
+@whole
+def _run(docs: DataFrame, sf_dir: str) -> DataFrame:
+    for _, stage in STAGES:
+        docs = stage(docs.sparkSession, docs, sf_dir)
     return docs
