@@ -55,7 +55,7 @@ def run_loop(runs: DataFrame, draft: Callable[[DataFrame], DataFrame], judge: Ca
     """runs: (run_id, query, ...). Each pass drafts and judges the runs still open; at most max_reformulations + 1 passes.
 
     draft adds answer; judge adds groundedness; reformulate changes query. One row a run: run_id, answer, groundedness, best,
-    attempts, outcome.
+    attempts, outcome, query (as it was last asked).
     """
     best = F.lit(0.0)
     open_, done = runs.withColumn("best", best), None
@@ -63,7 +63,8 @@ def run_loop(runs: DataFrame, draft: Callable[[DataFrame], DataFrame], judge: Ca
         judged = judge(draft(open_.withColumn("attempt", F.lit(attempt))))
         score = F.when(F.col("answer") == ABSTAIN, 0.0).otherwise(F.coalesce("groundedness", F.lit(0.0)))
         judged = judged.withColumn("groundedness", score).withColumn("best", F.greatest("best", score)).withColumn("outcome", decision(score, F.col("attempt"), threshold, max_reformulations))
-        ended = judged.where("outcome <> 'reformulate'").select("run_id", "answer", "groundedness", "best", F.col("attempt").alias("attempts"), "outcome")
+        asked = F.col("query") if "query" in judged.columns else F.lit(None).cast("string")
+        ended = judged.where("outcome <> 'reformulate'").select("run_id", "answer", "groundedness", "best", F.col("attempt").alias("attempts"), "outcome", asked.alias("query"))
         done = ended if done is None else done.unionByName(ended)
         open_ = judged.where("outcome = 'reformulate'").select(*runs.columns, "best")
         open_ = reformulate(open_) if reformulate else open_
@@ -72,3 +73,8 @@ def run_loop(runs: DataFrame, draft: Callable[[DataFrame], DataFrame], judge: Ca
 
 def without_citations(answer: Column) -> Column:
     return F.regexp_replace(answer, CITATION, "")
+
+
+def audit_rows(done: DataFrame) -> DataFrame:
+    """The log rows of finished runs: (run_id, node, event, detail), detail being the run as JSON."""
+    return done.select("run_id", F.lit("run").alias("node"), F.col("outcome").alias("event"), F.to_json(F.struct("query", "answer", "groundedness", "best", "attempts", "outcome")).alias("detail"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Bucket bounds that define the results.
 LATENCY = (0.5, 1, 2, 3, 5, 8, 13, 21, 34, 60)
 GROUNDEDNESS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0)
 
@@ -36,8 +37,21 @@ def histogram(rows: DataFrame, value: str, bounds: tuple[float, ...]) -> DataFra
 
 
 def exposition(histogram_rows: DataFrame, name: str) -> DataFrame:
-    """One text line a bucket."""
-    return histogram_rows.select(F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n").alias("line"))
+    """The text lines of a histogram: its type, one line a bucket, the sum and the count."""
+    line = lambda place, text: F.struct(F.lit(place).alias("place"), text.alias("line"))
+    bucket = line(1, F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n"))
+    ends = F.array(line(0, F.lit(f"# TYPE {name} histogram")), bucket, line(2, F.format_string(f"{name}_sum %.4f", F.coalesce("total", F.lit(0.0)))), line(3, F.format_string(f"{name}_count %d", "n")))
+    lines = F.when(F.col("le") == "+Inf", ends).otherwise(F.array(bucket))
+    return histogram_rows.select(F.explode(lines).alias("x")).select("x.line")
+
+
+def counter_lines(counted: DataFrame, prefix: str) -> DataFrame:
+    """counters() as text: for each family its type and one line a label; a family without labels has one plain line."""
+    name = F.concat(F.lit(f"{prefix}_"), "family", F.lit("_total"))
+    plain = F.col("label") == ""
+    value = F.when(plain, F.format_string("%s %d", name, "value")).otherwise(F.format_string('%s{%s="%s"} %d', name, "family", "label", "value"))
+    types = counted.select(F.concat(F.lit("# TYPE "), name, F.lit(" counter")).alias("line")).distinct()
+    return types.unionByName(counted.select(value.alias("line")))
 
 
 def over_limit(events: DataFrame, client: str, ts: str, per_minute: int = 30) -> DataFrame:

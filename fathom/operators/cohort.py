@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions.numbers import coerce_pain, ratio
 from fathom.functions.text import COMPLAINTS, complaint_flag
 
+# Feature and column names that define the results.
 NUMERIC = ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "acuity")
 CATEGORICAL = ("gender", "arrival_transport")
 LEAKY = ("los_hours", "n_vital_checks", "hr_std", "sbp_min", "o2sat_min", "n_diagnoses")
@@ -45,10 +46,30 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     return shares.unpivot([], columns, "column", "missing")
 
 
-def category_support(df: DataFrame, column: str, support: int) -> list[str]:
-    """Categories with at least `support` rows; a null counts as 'nan'. There are at most rows / support of them."""
-    named = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("v")).agg(F.count("*").alias("n"))
-    return [r["v"] for r in named.where(F.col("n") >= support).orderBy("v").collect()]
+def label(status: Column, positive: str) -> Column:
+    """1 where the status is the positive one, in any case; null is none."""
+    return (F.upper(F.coalesce(status, F.lit(""))) == positive).cast("int")
+
+
+def supported(df: DataFrame, column: str, support: int) -> DataFrame:
+    """(category): those with at least `support` rows; a null counts as 'nan'."""
+    named = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("category")).agg(F.count("*").alias("n"))
+    return named.where(F.col("n") >= support).select("category")
+
+
+def category_support(df: DataFrame, column: str, support: int, most: int = 10_000) -> list[str]:
+    """The supported categories, to be columns: an error if they are more than any table can have as columns."""
+    found = [r[0] for r in supported(df, column, support).orderBy("category").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories of {support} rows or more")
+    return found
+
+
+def long_one_hot(df: DataFrame, key: str, column: str, support: int) -> DataFrame:
+    """(key, category, flag): one row for each row of df and supported category."""
+    own = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
+    wanted = category_support(df, column, support)
+    return df.select(key, own.alias("own"), F.explode(F.lit(wanted).cast("array<string>")).alias("category")).select(key, "category", (F.col("own") == F.col("category")).cast("double").alias("flag"))
 
 
 def one_hot(column: str, values: list[str]) -> list[Column]:

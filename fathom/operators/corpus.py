@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import TOKENS_PER_WORD, count_tokens, detect_section, normalize_breaks, quality_gate, split_sentences, stable_id, words
+from fathom.operators.order import positions_by
+from fathom.session import materialise
 
 CHILD, OVERLAP, PARENT = 450, 60, 2000
 
@@ -39,59 +41,79 @@ def stratified(docs: DataFrame, limit: int, min_chars: int = 1200) -> DataFrame:
     Each source gives its quota by even stride through its usable documents in doc_id order.
     """
     usable = docs.where(quality_gate(F.col("text"), min_chars).isNull()).select("doc_id", "source")
-    given = quotas(usable.groupBy("source").agg(F.count("*").alias("n")), limit)
-    by_source = Window.partitionBy("source")
-    rows = usable.withColumn("place", F.row_number().over(by_source.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(by_source)).join(given, "source")
+    rows = positions_by(materialise(usable, "usable"), "source", ["doc_id"], "place")  # texts are read once
+    given = quotas(rows.groupBy("source").agg(F.count("*").alias("n")), limit)
+    rows = rows.join(F.broadcast(given), rows.source.eqNullSafe(given.source)).drop(given.source)  # one row a source
     stride = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.lit(1), F.col("quota"))))
     rows = rows.where((F.col("place") % stride == 0) & (F.col("place") / stride < F.col("quota")))
     return rows.select("doc_id", "source", (F.floor(F.col("place") / stride) + 1).alias("n"))
 
 
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pack(units: Column, limit: int, overlap: int = 0) -> Column:
     """Greedy blocks of whole units of at most limit estimated tokens, each as an array of units.
 
     A new block begins with the last units of the one before, as many as fit in overlap. A unit over the limit becomes
     blocks of its own, cut by words, without overlap.
+
+    Each unit's words are counted once. The fold over the counts keeps numbers only: where the current block begins, its
+    tokens, and the blocks so far as (first unit, last unit), a unit of its own having its last before its first.
     """
     wrap = int(limit / TOKENS_PER_WORD)
-    empty = F.array().cast("array<string>")
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    span = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    state = lambda blocks, first, t: F.struct(blocks.alias("blocks"), first.cast("int").alias("first"), t.cast("int").alias("t"))
+
+    def tail(ns: Column, first: Column, last: Column) -> Column:
+        """The first of the units up to last that fit in overlap, and their tokens."""
+        if not overlap:
+            return F.struct((last + 1).alias("first"), F.lit(0).alias("t"))
+        start = F.struct((last + 1).alias("first"), F.lit(0).alias("t"), F.lit(True).alias("go"))
+        back = F.slice(ns, first, last - first + 1)
+
+        def step(acc: Column, n: Column) -> Column:
+            fits = acc["go"] & (acc["t"] + n <= overlap)
+            return F.when(fits, F.struct((acc["first"] - 1).alias("first"), (acc["t"] + n).alias("t"), F.lit(True).alias("go"))).otherwise(F.struct(acc["first"].alias("first"), acc["t"].alias("t"), F.lit(False).alias("go")))
 
-    def tail(block: Column) -> Column:
-        """The last units that fit in overlap."""
-        start = F.struct(empty.alias("kept"), F.lit(0).alias("t"), F.lit(True).alias("go"))
+        return F.aggregate(F.reverse(back), start, step)
 
-        def back(acc: Column, u: Column) -> Column:
-            t = acc["t"] + count_tokens(u)
-            fits = acc["go"] & (t <= overlap)
-            return F.when(fits, F.struct(F.concat(F.array(u), acc["kept"]).alias("kept"), t.alias("t"), F.lit(True).alias("go"))).otherwise(F.struct(acc["kept"].alias("kept"), acc["t"].alias("t"), F.lit(False).alias("go")))
+    def flushed(acc: Column, last: Column) -> Column:
+        """The blocks with the current one, which ends at last, if it has units."""
+        return F.when(last >= acc["first"], F.array_append(acc["blocks"], span(acc["first"], last))).otherwise(acc["blocks"])
 
-        return F.aggregate(F.reverse(block), start, back)
+    def fold(ns: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            n = F.element_at(ns, i)
+            long = state(F.array_append(flushed(acc, i - 1), span(i, F.lit(0))), i + 1, F.lit(0))
+            full = (acc["t"] + n > limit) & (i > acc["first"])
+            begun = _let(tail(ns, acc["first"], i - 1), lambda k: state(flushed(acc, i - 1), k["first"], k["t"] + n))
+            return F.when(n > limit, long).when(full, begun).otherwise(state(acc["blocks"], acc["first"], acc["t"] + n))
 
-    def state(blocks: Column, cur: Column, t: Column) -> Column:
-        return F.struct(blocks.alias("blocks"), cur.alias("cur"), t.alias("t"))
+        places = F.when(F.size(ns) > 0, F.sequence(F.lit(1), F.size(ns))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, state(F.array().cast("array<struct<first: int, last: int>>"), F.lit(1), F.lit(0)), step, lambda acc: flushed(acc, F.size(ns)))
 
-    def flushed(acc: Column) -> Column:
-        return F.when(F.size(acc["cur"]) > 0, F.concat(acc["blocks"], F.array(acc["cur"]))).otherwise(acc["blocks"])
+    def cut(unit: Column) -> Column:
+        return _let(words(unit), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / wrap).cast("int")), lambda i: F.array(F.array_join(F.slice(w, i * wrap + 1, F.lit(wrap)), " "))))
 
-    def step(acc: Column, u: Column) -> Column:
-        n = count_tokens(u)
-        cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / wrap).cast("int")), lambda i: F.array(F.array_join(F.slice(w, i * wrap + 1, F.lit(wrap)), " ")))
-        long = state(F.concat(flushed(acc), let(words(u), cut)), empty, F.lit(0))
-        full = (acc["t"] + n > limit) & (F.size(acc["cur"]) > 0)
-        begun = let(tail(acc["cur"]), lambda k: state(flushed(acc), F.concat(k["kept"], F.array(u)), k["t"] + n))
-        return F.when(n > limit, long).when(full, begun).otherwise(state(acc["blocks"], F.concat(acc["cur"], F.array(u)), acc["t"] + n))
+    def whole(block: Column) -> Column:
+        own = F.array(F.slice(units, block["first"], block["last"] - block["first"] + 1))
+        return F.when(block["last"] > 0, own).otherwise(cut(F.element_at(units, block["first"])))
 
-    return F.aggregate(units, state(F.array().cast("array<array<string>>"), empty, F.lit(0)), step, flushed)
+    counts = F.transform(units, count_tokens)
+    return F.flatten(F.transform(_let(counts, fold), whole))
 
 
 def chunk_documents(docs: DataFrame, separator: str = "\n\n", child: int = CHILD, overlap: int = OVERLAP, parent: int = PARENT) -> tuple[DataFrame, DataFrame]:
     """docs: (doc_id, text, title, source, url) -> parents and children, with stable ids. Blank texts have neither."""
     units = F.filter(F.transform(F.split(normalize_breaks(F.col("text")), separator), lambda p: F.trim(p)), lambda p: p != "")
-    blocks = docs.select("doc_id", "title", "source", "url", F.posexplode(pack(units, parent)).alias("p", "block"))
+    rows = docs.select("doc_id", "title", "source", "url", units.alias("units"))
+    blocks = rows.select("doc_id", "title", "source", "url", F.posexplode(pack(F.col("units"), parent)).alias("p", "block"))
     text = F.array_join("block", " ")
     parents = blocks.select(stable_id("p", F.col("doc_id"), F.col("p")).alias("parent_id"), "doc_id", text.alias("text"), "title", "source", detect_section(text).alias("section"), "p", "url")
-    cut = parents.select("parent_id", "doc_id", "title", "source", "section", "url", "p", F.posexplode(pack(split_sentences(F.col("text")), child, overlap)).alias("c", "block"))
+    cut = parents.select("parent_id", "doc_id", "title", "source", "section", "url", "p", split_sentences(F.col("text")).alias("units"))
+    cut = cut.select("parent_id", "doc_id", "title", "source", "section", "url", "p", F.posexplode(pack(F.col("units"), child, overlap)).alias("c", "block"))
     text = F.array_join("block", " ")
     children = cut.select(stable_id("c", F.col("doc_id"), F.col("p"), F.col("c")).alias("chunk_id"), "parent_id", "doc_id", text.alias("text"), "title", "source", "section", "url", count_tokens(text).alias("token_count"))
     return parents.drop("p", "url"), children

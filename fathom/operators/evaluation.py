@@ -1,10 +1,16 @@
 """Evaluation statistics."""
 
+import struct
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.numbers import clamp, wilson
 from fathom.functions.text import content_tokens, split_claims
+from fathom.operators.order import quantiles, running_sums
 
 
 def summarize(rows: DataFrame) -> DataFrame:
@@ -21,12 +27,12 @@ def summarize(rows: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(rows: DataFrame, by: str, value: str, q: float) -> DataFrame:
-    """(by, mean, p95, n): the value at the rank that is nearest to q, half to even. A window sorts each group, none is gathered."""
-    n = F.count("*").over(Window.partitionBy(by))
-    placed = rows.select(by, value).withColumn("n", n).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1)
-    at = F.bround((F.col("n") - 1) * F.lit(q), 0)
-    return placed.groupBy(by, "n").agg(F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("place") == at, F.col(value))).alias("p95")).select(by, "mean", "p95", "n")
+def nearest_rank(rows: DataFrame, by: str, value: str, q: float = 0.95) -> DataFrame:
+    """(by, mean, median, p95, n): the interpolated median, and the value at the rank that is nearest to q, half to even."""
+    rows = rows.select(by, value).where(F.col(value).isNotNull())
+    means = rows.groupBy(by).agg(F.round(F.avg(value), 6).alias("mean"))
+    ranks = quantiles(rows, by, value, {"p95": q}, nearest=True).join(quantiles(rows, by, value, {"median": 0.5}).drop("n"), by)
+    return means.join(ranks, by).select(by, "mean", F.round("median", 6).alias("median"), "p95", "n")
 
 
 def jaccard(a: Column, b: Column, both_empty: float) -> Column:
@@ -73,16 +79,15 @@ def _by_score(rows: DataFrame) -> DataFrame:
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """rows: (score, label 0/1) -> auc: of all pairs of a positive and a negative, the share ranked right; ties count half."""
-    below = Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = _by_score(rows).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(below), F.lit(0)))
+    steps = running_sums(_by_score(rows), ["score"], {"below": F.col("n") - F.col("pos")})
     right = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2))
     return steps.agg((right / F.nullif((F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """rows: (score, label 0/1) -> average_precision: the sum over distinct thresholds of recall gained times precision."""
-    upto = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = _by_score(rows).withColumn("precision", F.sum("pos").over(upto) / F.sum("n").over(upto))
+    steps = running_sums(_by_score(rows), [F.desc("score")], {"hits": F.col("pos"), "found": F.col("n")})
+    steps = steps.withColumn("precision", (F.col("hits") + F.col("pos")) / (F.col("found") + F.col("n")))
     return steps.agg((F.sum(F.col("pos") * F.col("precision")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
@@ -90,21 +95,31 @@ def brier(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"), F.avg("score").alias("mean_predicted"), F.avg("label").alias("observed"))
 
 
-def auc_bootstrap(rows: DataFrame, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """low, high: the 2.5 and 97.5 percentiles of the area over Poisson(1) resamples. Only (resample, score) sums are shuffled."""
-    drawn = rows.select("score", "label", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "resample", "score", "label", F.monotonically_increasing_id()), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 8):
-        total += term
-        term /= k
-        weight = weight + (u > total).cast("int")
-    sums = drawn.withColumn("w", weight).groupBy("resample", "score").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("pos"))
-    below = Window.partitionBy("resample").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = sums.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(below), F.lit(0)))
-    pairs = F.sum("pos") * F.sum(F.col("n") - F.col("pos"))
-    area = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)) / F.nullif(pairs.cast("double"), F.lit(0.0))
-    return steps.groupBy("resample").agg(area.alias("auc")).where("auc is not null").agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
+def auc_bootstrap(rows: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """low, high: the 2.5 and 97.5 percentiles of the area over Poisson resamples; those without both classes are left out.
+
+    A row is drawn a Poisson(1) number of times, so n rows of one score and label are drawn a Poisson(n) number of times. Each
+    range of scores sends one row a resample: its positives, negatives, and the pairs ranked right within it.
+    """
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        pos, neg, right = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            for score, n, p in zip(*(batch.column(c).to_pylist() for c in ("score", "n", "pos"))):
+                rng = np.random.default_rng([seed, int.from_bytes(struct.pack("<d", score), "little")])
+                own_pos, own_neg = rng.poisson(p, resamples), rng.poisson(n - p, resamples)
+                right += own_pos * (neg + own_neg / 2)
+                pos, neg = pos + own_pos, neg + own_neg
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, part)), pa.array(np.arange(resamples)), pa.array(pos), pa.array(neg), pa.array(right)], ["part", "resample", "pos", "neg", "inside"])
+
+    steps = _by_score(rows.where("score is not null and label is not null")).select(F.col("score").cast("double").alias("score"), "n", "pos")
+    sums = steps.repartitionByRange("score").sortWithinPartitions("score").mapInArrow(run, "part long, resample long, pos double, neg double, inside double")
+    below = Window.partitionBy("resample").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("right", F.col("inside") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    pairs = F.sum("pos") * F.sum("neg")
+    areas = sums.groupBy("resample").agg((F.sum("right") / F.nullif(pairs, F.lit(0.0))).alias("auc")).where("auc is not null")
+    return areas.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 
 
 def mean_pairwise_redundancy(hits: DataFrame) -> DataFrame:
@@ -116,3 +131,10 @@ def mean_pairwise_redundancy(hits: DataFrame) -> DataFrame:
     pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.pos") < F.col("b.pos")))
     means = pairs.groupBy("a.qid").agg(F.avg(jaccard(F.col("a.tokens"), F.col("b.tokens"), 1.0)).alias("m"))
     return hits.select("qid").distinct().join(means, "qid", "left").select("qid", F.coalesce("m", F.lit(0.0)).alias("redundancy"))
+
+
+def redundancy_drop(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the mean redundancy of the queries' hits before and after a selection, and the relative drop (0 from 0)."""
+    means = lambda hits, name: mean_pairwise_redundancy(hits).agg(F.avg("redundancy").alias(name))
+    both = means(before, "before").join(means(after, "after"))  # one row each
+    return both.withColumn("drop", F.when(F.col("before") > 0, (F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.text import normalize_entity
 
+# Types and bounds that define the results.
 NODE_TYPES = ("condition", "medication", "symptom", "guideline_section")
 EDGE_TYPES = ("treats", "contraindicated_with", "symptom_of", "references", "interacts_with")
 MAX_NAME, MAX_NODES, PER_NODE = 90, 25, 3
@@ -29,6 +30,19 @@ def build_edges(relations: DataFrame) -> DataFrame:
     return rows.groupBy("src", "rel", "dst").agg(F.count("*").alias("weight"), F.min_by("chunk_id", "seq").alias("chunk_id"))
 
 
+def accepted_relations(relations: DataFrame) -> DataFrame:
+    """The extracted relations that have both ends and a known relation; the others are rejected, not made references."""
+    ends = (normalize_entity(F.col("source")) != "") & (normalize_entity(F.col("target")) != "")
+    return relations.where(ends & F.coalesce(F.col("relation").isin(*EDGE_TYPES), F.lit(False)))
+
+
+def extraction_counts(relations: DataFrame) -> DataFrame:
+    """One row: relations accepted and rejected."""
+    ends = (normalize_entity(F.col("source")) != "") & (normalize_entity(F.col("target")) != "")
+    known = ends & F.coalesce(F.col("relation").isin(*EDGE_TYPES), F.lit(False))
+    return relations.agg(F.count_if(known).alias("accepted"), F.count_if(~known).alias("rejected"))
+
+
 def annotate_drugs(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """Adds rxcui to medication nodes by exact key. names: (name, rxcui)."""
     found = names.select(F.lower("name").alias("key"), F.lit("medication").alias("node_type"), "rxcui").dropDuplicates(["key"])
@@ -39,16 +53,19 @@ def match_entities(queries: DataFrame, nodes: DataFrame, limit: int) -> DataFram
     """queries: (qid, text), nodes: (key): (qid, key, score, place). A key that occurs in the text as characters scores its
     length + 10; else shared words squared over the key's words.
 
-    Nodes meet queries through shared words and, for keys inside a text, through its substrings of word starts: no query
-    is compared with all nodes.
+    Nodes meet queries through shared words and, for keys inside a text, through its substrings of the lengths that keys
+    have, MAX_NAME at most: no query is compared with all nodes.
     """
     text = normalize_entity(F.col("text"))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     q = queries.select("qid", text.alias("text"), words(text).alias("qw"))
     n = nodes.select("key", words(F.col("key")).alias("nw"))
     shared = q.select("qid", F.explode("qw").alias("w")).join(n.select("key", F.explode("nw").alias("w")), "w").groupBy("qid", "key").agg(F.count("*").alias("shared"))
-    gram = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_NAME), F.length("text") - i + 1)), lambda m: F.substr("text", i, m)))))
-    inside = q.where("text <> ''").select("qid", gram.alias("key")).distinct().join(nodes.select("key"), "key").select("qid", "key", F.lit(True).alias("inside"))
+    lengths = [r[0] for r in nodes.select(F.length("key")).distinct().where(F.length("key").between(1, MAX_NAME)).collect()]  # MAX_NAME at most
+    size = F.explode(F.lit(lengths).cast("array<int>"))
+    sized = q.where("text <> ''").select("qid", "text", size.alias("m")).where(F.length("text") >= F.col("m"))
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("m") + 1), lambda i: F.substr("text", i, F.col("m"))))
+    inside = sized.select("qid", gram.alias("key")).distinct().join(nodes.select("key"), "key").select("qid", "key", F.lit(True).alias("inside"))
     found = shared.join(inside, ["qid", "key"], "full").join(n, "key")
     score = F.when(F.col("inside"), F.length("key") + 10.0).otherwise(F.round(F.pow("shared", F.lit(2)) / F.size("nw"), 9))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))
@@ -60,9 +77,11 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) ->
 
     (qid, ordinal, nodes, rels, score): in the order of a breadth-first search, seed by seed; edges by descending weight,
     then name. The score is the last edge's weight over the number of nodes. The search ends when max_nodes different
-    targets have been reached, which is a prefix of that order.
+    targets have been reached, which is a prefix of that order. Two nodes have one edge a relation at most, as build_edges
+    makes them: so a node's first (max_nodes + 1) * relations edges are all that can count.
     """
     edges = edges.withColumn("e", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst", "rel")))
+    edges = edges.where(F.col("e") <= (max_nodes + 1) * len(EDGE_TYPES))
     a, b = edges.alias("a"), edges.alias("b")
     one = seeds.join(a, F.col("key") == F.col("a.src"))
     step = lambda hop, e1, e2, nodes, rels, weight: (F.lit(hop).alias("hop"), e1.alias("e1"), e2.alias("e2"), F.array(*nodes).alias("nodes"), F.array(*rels).alias("rels"), (weight / len(nodes)).alias("score"))
@@ -86,6 +105,13 @@ def collect_chunk_ids(paths: DataFrame, nodes: DataFrame, best: int = 12, limit:
     return rows.select("qid", F.slice(F.array_distinct(F.flatten(F.transform("all", lambda x: x["ids"]))), 1, limit).alias("ids"))
 
 
+def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 6, best: int = 12, most: int = 40) -> DataFrame:
+    """queries: (qid, text) -> hits (qid, id, score, rank): the chunks of the nodes on the best paths from the entities that a
+    text names. The score is 1 / (1 + rank)."""
+    ids = collect_chunk_ids(traverse(match_entities(queries, nodes, limit), edges), nodes, best, most)
+    return ids.select("qid", F.posexplode("ids").alias("rank", "id")).select("qid", "id", (F.lit(1.0) / (1 + F.col("rank"))).alias("score"), "rank")
+
+
 def neighbors_of(edges: DataFrame, key: Column | str, relation: str | None = None) -> DataFrame:
     found = edges.where(F.col("src") == key)
     return found if relation is None else found.where(F.col("rel") == relation)

@@ -1,35 +1,69 @@
 """Risk models: grouped folds, three model kinds, out-of-fold predictions, serving."""
 
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.numbers import logit, risk_band
-from fathom.operators.evaluation import average_precision, brier, roc_auc
+from fathom.operators.evaluation import auc_bootstrap, average_precision, brier, roc_auc
+from fathom.operators.order import positions_by
+from fathom.session import materialise
 
 SEED, FOLDS = 42, 5
 
 
+def deal(sizes: list[tuple[int, int]], folds: int) -> dict[int, tuple[list[int], list[int]]]:
+    """sizes: (size, how many groups have it). For each size the folds of its groups, in turn: a beginning, and a round that is
+    gone through again and again after it. Each group, the largest first, goes to the fold with the fewest rows so far.
+
+    Once all folds are within less than a group's size of each other the order in which they are served repeats itself.
+    """
+    load, out = [0] * folds, {}
+    for size, n in sorted(sizes, reverse=True):
+        first: list[int] = []
+        while len(first) < n and max(load) - min(load) >= size:
+            k = load.index(min(load))
+            first.append(k)
+            load[k] += size
+        turn: list[int] = []
+        if len(first) < n:
+            left = n - len(first)
+            turn = sorted(range(folds), key=lambda k: (load[k], k))
+            for place, k in enumerate(turn):
+                load[k] += size * (left // folds + (place < left % folds))
+        out[size] = first, turn
+    return out
+
+
 def grouped_folds(rows: DataFrame, group: str, folds: int = FOLDS) -> DataFrame:
-    """(group, fold): the largest groups dealt first, back and forth, so that folds are of like size and no group is in two.
+    """(group, fold): the largest groups first, each to the fold with the fewest rows; of equal groups the least key first. There
+    are no more folds than groups.
 
-    Only one row a group is sorted.
+    The driver gets one row for each different group size, of which there are few: groups of sizes 1 to s have s * s / 2 rows.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), F.col(group))) - 1
-    turn = F.pmod(F.floor(place / folds), F.lit(2))
-    at = F.pmod(place, F.lit(folds))
-    return sizes.select(group, F.when(turn == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    counts = [tuple(r) for r in sizes.groupBy("_size").agg(F.count("*")).collect()]
+    dealt = deal(counts, max(1, min(folds, sum(n for _, n in counts))))
+    table = rows.sparkSession.createDataFrame([(size, first, turn) for size, (first, turn) in dealt.items()], "_size long, first array<int>, turn array<int>")
+    placed = positions_by(sizes, "_size", [group]).join(F.broadcast(table), "_size")
+    began = F.size("first")
+    later = F.element_at("turn", (F.pmod(F.col("position") - began, F.size("turn")) + 1).cast("int"))
+    fold = F.when(F.col("position") < began, F.try_element_at("first", (F.col("position") + 1).cast("int"))).otherwise(F.when(F.size("turn") > 0, later))
+    return placed.select(group, fold.cast("int").alias("fold"))
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, folds: int = FOLDS) -> DataFrame:
     """(key, fold): each class dealt evenly by a hash of the key."""
-    return rows.select(key, F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(SEED), key), key)), F.lit(folds)).cast("int").alias("fold"))
+    placed = positions_by(rows.select(key, label), label, [F.xxhash64(F.lit(SEED), key), key])
+    return placed.select(key, F.pmod("position", F.lit(folds)).cast("int").alias("fold"))
 
 
 class Prepared:
@@ -57,7 +91,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 0
 
 
 def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int = 120) -> Callable[[DataFrame], DataFrame]:
-    """Gradient-boosted trees of depth 2."""
+    """Gradient-boosted trees of depth 2, each round's on a sample of the rows."""
     prepared = Prepared(train, features, label)
     stages = [VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=2, stepSize=0.06, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED).setProbabilityCol("_p").setRawPredictionCol("_m").setPredictionCol("_c")]
     return _predictor(prepared, Pipeline(stages=stages).fit(prepared(train)))
@@ -74,13 +108,12 @@ def _predictor(prepared: Prepared, model) -> Callable[[DataFrame], DataFrame]:
 
 def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str, inner: int = 3) -> Callable[[DataFrame], DataFrame]:
     """Sigmoid-calibrated logistic regressions, one for each inner fold, averaged. Inner folds keep groups together."""
-    folds = train.join(grouped_folds(train, group, inner), group).cache()
+    folds = materialise(train.join(grouped_folds(train, group, inner), group), "inner-folds")
     parts = []
     for k in range(inner):
         base = fit_logistic(folds.where(F.col("fold") != k).drop("fold"), features, label)
         held = base(folds.where(F.col("fold") == k).drop("fold")).select(F.col(label).cast("double").alias("_y"), logit(F.col("p")).alias("m"))
         parts.append((base, _line(held)))
-    folds.unpersist()
 
     def predict(rows: DataFrame) -> DataFrame:
         out, names = rows, []
@@ -89,6 +122,7 @@ def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str
             names.append(f"p{k}")
         return out.withColumn("p", sum(F.col(c) for c in names) / len(names)).drop(*names)
 
+    predict.parts = [base for base, _ in parts]
     return predict
 
 
@@ -104,31 +138,60 @@ def calibration_slope(rows: DataFrame) -> float | None:
     return None if labels < 2 else _line(rows.select(F.col("label").cast("double").alias("_y"), logit(F.col("score")).alias("m")))[0]
 
 
-def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[[DataFrame], Callable], n: int = FOLDS) -> DataFrame:
-    """rows with p, predicted by models that haven't seen the row's fold."""
-    dealt = rows.join(folds, on).cache()
-    parts = [fit(dealt.where(F.col("fold") != k).drop("fold"))(dealt.where(F.col("fold") == k)) for k in range(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[[DataFrame], Callable], parallel: int = FOLDS) -> DataFrame:
+    """rows with p, predicted by models that haven't seen the row's fold. The folds' models are fitted at the same time."""
+    dealt = materialise(rows.join(folds, on), "folds")
+    numbers = [r[0] for r in dealt.select("fold").distinct().orderBy("fold").collect()]  # five or so
+
+    def one(k: int) -> DataFrame:
+        return fit(dealt.where(F.col("fold") != k).drop("fold"))(dealt.where(F.col("fold") == k))
+
+    with ThreadPool(parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(one), numbers))
 
 
-def metrics(predictions: DataFrame, label: str, name: str) -> DataFrame:
-    """(model, auc, average_precision, brier) of predictions with p."""
-    s = predictions.select(F.col("p").alias("score"), F.col(label).cast("long").alias("label"))
-    return roc_auc(s).join(average_precision(s)).join(brier(s).select("brier")).select(F.lit(name).alias("model"), "auc", "average_precision", "brier")  # one row each
+def metrics(predictions: DataFrame, label: str, name: str, resamples: int = 2000) -> DataFrame:
+    """One row for predictions with p: model, n, auc with its interval (low, high), average_precision, brier, mean_predicted,
+    observed, slope (of calibration; null where it can't be fitted)."""
+    s = materialise(predictions.select(F.col("p").alias("score"), F.col(label).cast("long").alias("label")), "scored")
+    slope = F.lit(calibration_slope(s)).cast("double").alias("slope")
+    one = roc_auc(s).join(auc_bootstrap(s, resamples)).join(average_precision(s)).join(brier(s)).join(s.agg(F.count("*").alias("n")))  # one row each
+    return one.select(F.lit(name).alias("model"), "n", "auc", "low", "high", "average_precision", "brier", "mean_predicted", "observed", slope)
 
 
 def select_model(results: DataFrame) -> DataFrame:
-    """The model of the least Brier score; the first by name on a tie."""
+    """The row of the model with the least Brier score; the first by name on a tie."""
     return results.orderBy("brier", "model").limit(1)
 
 
+def inflation_gap(grouped: DataFrame, ungrouped: DataFrame) -> DataFrame:
+    """One row: the areas with folds that keep groups together and with folds that don't, and by how much the latter flatter."""
+    both = grouped.select(F.col("auc").alias("grouped_auc")).join(ungrouped.select(F.col("auc").alias("ungrouped_auc")))  # one row each
+    return both.withColumn("gap", F.col("ungrouped_auc") - F.col("grouped_auc"))
+
+
+def importance(predict) -> list[float]:
+    """How much each feature counts: the size of its coefficient, the mean over inner folds, or its share of the trees' gains."""
+    if hasattr(predict, "parts"):
+        each = [importance(p) for p in predict.parts]
+        return [sum(x) / len(each) for x in zip(*each)]
+    last = predict.model.stages[-1]
+    return [abs(float(x)) for x in (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()]
+
+
 def top_features(predict, features: list[str], n: int = 10) -> list[tuple[str, float]]:
-    """The features of the largest coefficients by size."""
-    weights = predict.model.stages[-1].coefficients.toArray()
-    return sorted(zip(features, map(float, weights)), key=lambda x: -abs(x[1]))[:n]
+    """The features that count most, ties by name."""
+    return sorted(zip(features, importance(predict)), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def model_info(results: DataFrame, features: list[tuple[str, float]]) -> DataFrame:
+    """The selected model's row with its top features: one row."""
+    return select_model(results).withColumn("top_features", F.array(*[F.struct(F.lit(name).alias("feature"), F.lit(x).alias("weight")) for name, x in features]))
+
+
+def list_patients(cohort: DataFrame, order: str, columns: list[str], limit: int = 25) -> DataFrame:
+    """The first stays in the given order."""
+    return cohort.orderBy(order).limit(limit).select(*columns)
 
 
 def serve(wanted: DataFrame, rows: DataFrame, predict) -> DataFrame:

@@ -8,12 +8,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokenize
+from fathom.session import materialise
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
+BROADCAST_TERMS = 400_000
 RRF_K, MMR_LAMBDA, CANDIDATES, TOP = 60, 0.6, 40, 12
 
 
@@ -23,28 +27,87 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", place - 1).where(F.col("rank") < k).select("qid", "id", "score", "rank")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
-    """docs: (id, text), queries: (qid, text). Okapi scores; a word that most documents have weighs a quarter of the mean
+def term_index(docs: DataFrame) -> DataFrame:
+    """docs: (id, text) -> (id, dl, term, tf): one row for each different token of a document, and one without a term for the
+    document itself, so that those without tokens count too. Texts are tokenised once; a saved index is searched as it is."""
+    tokens = docs.select("id", tokenize(F.col("text")).alias("t"))
+    each = tokens.select("id", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(None))).alias("term"))
+    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, block: int = 16_384) -> DataFrame:
+    """index: of term_index, queries: (qid, text). Okapi scores; a word that most documents have weighs a quarter of the mean
     weight; a word asked twice counts twice. Documents that score 0 or less are left out.
 
-    Only words that are asked for are shuffled with their documents; document frequencies of all words are counted first,
-    as the floor is a mean over the vocabulary.
+    Document frequencies of all words are counted first, as the floor is a mean over the vocabulary. Only the postings of words
+    that are asked for are shuffled, as numbers, once a block of queries; a block of queries and one of documents leave each
+    query's best k. So no row is made for a query and a document that share a word.
     """
-    tokens = docs.select("id", tokenize(F.col("text")).alias("t"))
-    sizes = tokens.select("id", F.size("t").alias("dl"))
-    total = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    each = tokens.select("id", F.explode(F.array_distinct("t")).alias("term"))
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weighed = df.join(F.broadcast(total)).withColumn("raw", raw)  # one row
-    mean = weighed.agg(F.avg("raw").alias("mean_raw"))
+    total = index.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    if not total["n_docs"]:
+        return queries.select("qid").limit(0).join(index.select("id").limit(0)).select("qid", "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    n_docs, avgdl = F.lit(total["n_docs"]), F.lit(total["avgdl"])
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    idf = weighed.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean))
-    idf = idf.select("term", "avgdl", F.when(F.col("raw") < 0, F.col("mean_raw") * IDF_FLOOR).otherwise(F.col("raw")).alias("idf"))
-    postings = tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(idf, "term").groupBy("id", "term", "dl", "avgdl", "idf").agg(F.count("*").alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.select("id", "term", weight.alias("w")).join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
-    return top(scored.where("score > 0"), k)
+    asked = materialise(asked, "asked")
+    terms = materialise(asked.select("term").distinct().withColumn("n", F.monotonically_increasing_id()), "asked-terms")
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
+    df = index.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = df.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).join(small(terms), "term", "left")
+    idf = materialise(weighed.groupBy(F.coalesce("n", F.lit(-1).cast("long")).alias("n")).agg(F.sum("raw").alias("raw"), F.count("*").alias("words")), "weights")  # -1: all words not asked for
+    mean = idf.agg((F.sum("raw") / F.sum("words")).alias("mean")).first()["mean"]
+    idf = idf.where("n >= 0").select("n", F.when(F.col("raw") < 0, F.lit(mean) * IDF_FLOOR).otherwise(F.col("raw")).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    postings = index.join(small(terms.join(small(idf), "n")), "term").select("id", "n", weight.alias("w"))
+    numbered = asked.join(small(terms), "term").select(F.col("qid").alias("asked_qid"), F.col("n").alias("asked_n"), "qf")
+    n_q, n_v = (max(1, -(-n // block)) for n in (queries.count(), total["n_docs"]))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = numbered.withColumn("q_block", part("asked_qid", n_q)).withColumn("v_block", every(n_v))
+    right = postings.withColumn("v_block", part("id", n_v)).withColumn("q_block", every(n_q))
+    qid, vid = queries.schema["qid"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+    found = left.groupBy("q_block", "v_block").cogroup(right.groupBy("q_block", "v_block")).applyInArrow(lambda q, v: _best_postings(q, v, k), f"qid {qid}, id {vid}, score double")
+    return top(found, k)
+
+
+def _best_postings(asked: pa.Table, postings: pa.Table, k: int, cells: int = 1 << 20) -> pa.Table:
+    """(qid, id, score): the k best documents of each query, or more, by the sums of their words' weights. Documents are taken
+    a few thousand at a time, so that queries times documents are about `cells`."""
+    out = [pa.table({"qid": asked["asked_qid"].slice(0, 0), "id": postings["id"].slice(0, 0), "score": pa.array([], pa.float64())})]
+    if not asked.num_rows or not postings.num_rows:
+        return out[0]
+    asked, postings = asked.sort_by("asked_n"), postings.sort_by("id")
+    qids = asked["asked_qid"].combine_chunks().dictionary_encode()
+    q_of, qf, asked_n = qids.indices.to_numpy(), asked["qf"].to_numpy(), asked["asked_n"].to_numpy()
+    ids = postings["id"].combine_chunks().dictionary_encode()  # in ascending order
+    doc, n, w = ids.indices.to_numpy(), postings["n"].to_numpy(), postings["w"].to_numpy()
+    first, past = np.searchsorted(asked_n, n, side="left"), np.searchsorted(asked_n, n, side="right")
+    n_q, n_docs = len(qids.dictionary), len(ids.dictionary)
+    step = max(k, cells // n_q)
+    for a in range(0, n_docs, step):
+        b = min(n_docs, a + step)
+        own = slice(*np.searchsorted(doc, [a, b]))
+        times = (past - first)[own]
+        at = np.repeat(first[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = q_of[at].astype(np.int64) * (b - a) + np.repeat(doc[own] - a, times)
+        s = np.round(np.bincount(cell, np.repeat(w[own], times) * qf[at], n_q * (b - a)).reshape(n_q, b - a), 6)
+        i, j = _best_cells(np.where(s > 0, s, -np.inf), k)
+        out.append(pa.table({"qid": qids.dictionary.take(pa.array(i)), "id": ids.dictionary.take(pa.array(j + a)), "score": pa.array(s[i, j])}))
+    return pa.concat_tables(out)
+
+
+def _best_cells(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest values of each row, ties to the first column; those of minus infinity are left out."""
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((j, -s[i, j], i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept]
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
+    """search_index over docs, (id, text), whose index is written once and read for each of its uses."""
+    return search_index(materialise(term_index(docs), "terms"), queries, k, k1, b)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,22 +153,21 @@ def _best_of_block(asked: pa.Table, rows: pa.Table, k: int, slab: int = 128) ->
     parts = [out]
     for a in range(0, len(q), slab):
         s = np.round(q[a : a + slab] @ v, 6) + 0.0  # no negative zero
-        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        i, j = np.nonzero(s >= least[:, None])
-        order = np.lexsort((j, -s[i, j], i))
-        i, j = i[order], j[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[first], j[first]
+        i, j = _best_cells(s, k)
         parts.append(pa.table({"qid": asked["asked_qid"].take(pa.array(i + a)), "id": rows["id"].take(pa.array(j)), "score": pa.array(s[i, j])}))
     return pa.concat_tables(parts)
 
 
 def reciprocal_rank_fusion(lists: dict[str, DataFrame], weights: dict[str, float], k: int = RRF_K) -> DataFrame:
-    """(qid, id, score, rank, components): the sum of weight / (k + rank + 1) over the lists; ties by first appearance."""
+    """(qid, id, score, rank, components): the sum of weight / (k + rank + 1) over the lists; ties by first appearance.
+
+    components has each retriever's own score, to 4 places; null where a list has no scores.
+    """
     if set(lists) - set(weights):
         raise ValueError(f"no weight for {set(lists) - set(weights)}")
-    rows = [hits.select("qid", "id", "rank", F.lit(i).alias("place"), F.lit(name).alias("retriever"), (weights[name] / (F.lit(float(k)) + F.col("rank") + 1)).alias("part")) for i, (name, hits) in enumerate(lists.items())]
-    merged = reduce(DataFrame.unionByName, rows).groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score"), F.min(F.struct("place", "rank")).alias("first"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("retriever", F.round("part", 4).alias("part"))))).alias("components"))
+    own = lambda hits: F.round(F.col("score"), 4).cast("double") if "score" in hits.columns else F.lit(None).cast("double")
+    rows = [hits.select("qid", "id", "rank", F.lit(i).alias("place"), F.lit(name).alias("retriever"), own(hits).alias("own"), (weights[name] / (F.lit(float(k)) + F.col("rank") + 1)).alias("part")) for i, (name, hits) in enumerate(lists.items())]
+    merged = reduce(DataFrame.unionByName, rows).groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score"), F.min(F.struct("place", "rank")).alias("first"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("retriever", "own")))).alias("components"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first", "id"))
     return merged.withColumn("rank", place - 1).select("qid", "id", "score", "rank", "components")
 
@@ -166,8 +228,33 @@ def resolve(ids: DataFrame, children: DataFrame) -> DataFrame:
     return placed.join(children.select("id"), "id").select("qid", "id", (F.lit(1.0) / (1 + F.col("rank"))).alias("score"), "rank")
 
 
-def hybrid(lists: dict[str, DataFrame], parents_of: DataFrame, items: DataFrame, weights: dict[str, float], k: int = TOP) -> DataFrame:
-    """Fusion, de-duplication by parent, then diversity: (qid, id, rank). parents_of: (id, parent); items: (id, item)."""
-    fused = reciprocal_rank_fusion(lists, weights).join(parents_of, "id")
-    kept = deduplicate(fused)
-    return mmr(kept.join(items, "id").select("qid", "id", "rank", "item"), k)
+def with_items(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits with item, the token set of each hit's text. docs: (id, text). Only texts that are hits are tokenised, each once."""
+    wanted = docs.join(hits.select("id").distinct(), "id", "left_semi").select("id", token_set(F.col("text")).alias("item"))
+    return hits.join(wanted, "id")
+
+
+def fused(lists: dict[str, DataFrame], parents_of: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Fusion, then de-duplication by parent. parents_of: (id, parent)."""
+    return deduplicate(reciprocal_rank_fusion(lists, weights).join(parents_of, "id"))
+
+
+def hybrid(lists: dict[str, DataFrame], docs: DataFrame, weights: dict[str, float], k: int = TOP) -> DataFrame:
+    """Fusion, de-duplication by parent, then diversity: (qid, id, rank). docs: (id, parent, text)."""
+    kept = materialise(fused(lists, docs.select("id", "parent"), weights).select("qid", "id", "rank"), "fused")
+    return mmr(with_items(kept, docs).select("qid", "id", "rank", "item"), k)
+
+
+def ann(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.0, tables: int = 8, seed: int = 42) -> DataFrame:
+    """vectors: (id, vector), queries: (qid, vector), all of length 1. Approximate search by random-projection buckets: a query
+    meets the vectors that share a bucket in one of the tables. No distance is too far; a query whose buckets hold fewer than k
+    vectors is answered exactly.
+    """
+    plane = lambda df: df.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(plane(vectors))
+    cells = F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long"))).alias("table", "bucket")
+    placed = lambda df, key: model.transform(plane(df)).select(key, "vector", cells).select(key, "vector", F.struct("table", "bucket").alias("cell"))
+    found = materialise(dense(placed(vectors, "id"), placed(queries, "qid"), k), "found")
+    whole = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") == k).select("qid")
+    rest = queries.join(whole, "qid", "left_anti")
+    return found.join(whole, "qid", "left_semi").unionByName(dense(vectors, rest, k))

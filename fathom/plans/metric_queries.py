@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.operators import agent, audit, evaluation, retrieval
 from fathom.plans.registry import query, read, sql_claims, sql_content, sql_tokens
-from fathom.plans.search_queries import BM25_SQL, DENSE_SQL, RRF_SQL, dense_hits, fused_hits, sparse_hits, token_items
+from fathom.plans.search_queries import BM25_SQL, DENSE_SQL, RRF_SQL, dense_hits, fused_hits, mmr_sql, passages, sparse_hits
+from fathom.session import materialise
 
 TOP10 = "d AS (SELECT qid, list(id) AS ids FROM dn WHERE rank < 10 GROUP BY qid), s AS (SELECT qid, list(id) AS ids FROM bm WHERE rank < 10 GROUP BY qid)"
 
@@ -35,10 +36,24 @@ def provenance(spark, sf_dir):
 @query(f"""WITH {BM25_SQL}, t AS (SELECT qid, rank, list_distinct({sql_tokens('text')}) AS k FROM bm JOIN documents ON id = doc_id WHERE rank < 12)
 SELECT a.qid, round(avg(len(list_intersect(a.k, b.k))::DOUBLE / len(list_distinct(a.k || b.k))), 9) AS redundancy FROM t a JOIN t b ON a.qid = b.qid AND a.rank < b.rank GROUP BY a.qid""")
 def redundancy(spark, sf_dir):
-    hits = sparse_hits(spark, sf_dir).where(F.col("rank") < retrieval.TOP).join(token_items(spark, sf_dir), "id").select("qid", F.col("rank").alias("pos"), F.col("item").alias("tokens"))
+    few = materialise(sparse_hits(spark, sf_dir).where(F.col("rank") < retrieval.TOP), "hits")
+    hits = retrieval.with_items(few, passages(spark, sf_dir)).select("qid", F.col("rank").alias("pos"), F.col("item").alias("tokens"))
     return evaluation.mean_pairwise_redundancy(hits).withColumn("redundancy", F.round("redundancy", 9))
 
 
+@query(f"""WITH {BM25_SQL}, hits AS (SELECT qid, id, rank, {sql_tokens('text')} AS item FROM bm JOIN documents ON id = doc_id), {mmr_sql('hits', 12, 0.6)},
+sets AS (SELECT qid, id, list_distinct(item) AS k FROM hits), few AS (SELECT qid, id FROM bm WHERE rank < 12), one AS (SELECT qid, id, k FROM few JOIN sets USING (qid, id)), two AS (SELECT qid, id, k FROM picked JOIN sets USING (qid, id)),
+r AS (SELECT 'before' AS kind, a.qid, avg(len(list_intersect(a.k, b.k))::DOUBLE / len(list_distinct(a.k || b.k))) AS m FROM one a JOIN one b ON a.qid = b.qid AND a.id < b.id GROUP BY a.qid UNION ALL SELECT 'after', a.qid, avg(len(list_intersect(a.k, b.k))::DOUBLE / len(list_distinct(a.k || b.k))) FROM two a JOIN two b ON a.qid = b.qid AND a.id < b.id GROUP BY a.qid),
+q AS (SELECT (SELECT avg(coalesce(m, 0)) FROM (SELECT DISTINCT qid FROM one) LEFT JOIN (SELECT * FROM r WHERE kind = 'before') USING (qid)) AS before, (SELECT avg(coalesce(m, 0)) FROM (SELECT DISTINCT qid FROM two) LEFT JOIN (SELECT * FROM r WHERE kind = 'after') USING (qid)) AS after)
+SELECT round(before, 6) AS before, round(after, 6) AS after, round(CASE WHEN before > 0 THEN (before - after) / before ELSE 0 END, 6) AS drop FROM q""")
+def redundancy_drop(spark, sf_dir):
+    """How redundant the best hits are, and how much less so what diversity selection makes of the candidates."""
+    hits = materialise(retrieval.with_items(materialise(sparse_hits(spark, sf_dir), "hits"), passages(spark, sf_dir)), "items")
+    shown = lambda few: few.join(hits.select("qid", "id", F.col("item").alias("tokens")), ["qid", "id"]).select("qid", F.col("rank").alias("pos"), "tokens")
+    before, after = hits.where(F.col("rank") < retrieval.TOP).select("qid", "id", "rank"), retrieval.mmr(hits)
+    return evaluation.redundancy_drop(shown(before), shown(after)).select(*[F.round(c, 6).alias(c) for c in ("before", "after", "drop")])
+
+
 def talks(spark, sf_dir):
     """One row a conversation: the question, the answer and its contexts."""
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -114,23 +129,33 @@ def audit_stats(spark, sf_dir):
 SELECT 'runs' AS family, '' AS label, count(*)::BIGINT AS value FROM r UNION ALL SELECT 'escalations', '', count_if(outcome = 'escalate')::BIGINT FROM r UNION ALL SELECT 'reformulations', '', sum(greatest(attempts - 1, 0))::BIGINT FROM r
 UNION ALL SELECT 'outcome', outcome, count(*) FROM r GROUP BY outcome UNION ALL SELECT 'route', route, count(*) FROM r GROUP BY route""")
 def audit_counters(spark, sf_dir):
-    outcome = F.when(F.col("value") >= 75, "final").when(F.col("event_id") % 4 == 0, "escalate").otherwise("pending")
-    return audit.counters(read(spark, sf_dir, "events").select(outcome.alias("outcome"), F.col("event_type").alias("route"), (F.col("event_id") % 4).alias("attempts")))
+    return audit.counters(runs(spark, sf_dir))
 
 
-HIST_SQL = "WITH b AS (SELECT unnest([{bounds}]) AS b), e AS (SELECT value / 100 AS v FROM events) SELECT {le} AS le, count(*) AS n FROM b JOIN e ON v <= b GROUP BY b UNION ALL SELECT '+Inf', count(*) FROM e"
+HIST_SQL = "WITH b AS (SELECT unnest([{bounds}]) AS b), e AS (SELECT value / 100 AS v FROM events) SELECT {le} AS le, count(v) AS n FROM b LEFT JOIN e ON v <= b GROUP BY b UNION ALL SELECT '+Inf', count(v) FROM e"
 
 
 @query(HIST_SQL.format(bounds=", ".join(f"{b}::DOUBLE" for b in audit.GROUNDEDNESS), le="b::VARCHAR"))
 def histogram_le(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select((F.col("value") / 100).alias("v"))
-    return audit.histogram(rows, "v", audit.GROUNDEDNESS).where("n > 0").select("le", "n")
+    return audit.histogram(rows, "v", audit.GROUNDEDNESS).select("le", "n")
 
 
-@query("SELECT 'run_seconds_bucket{le=\"' || le || '\"} ' || n AS line FROM (" + HIST_SQL.format(bounds=", ".join(f"{float(b)}::DOUBLE" for b in audit.LATENCY), le="b::VARCHAR") + ")")
+COUNTER_SQL = """r AS (SELECT CASE WHEN value >= 75 THEN 'final' WHEN event_id % 4 = 0 THEN 'escalate' ELSE 'pending' END AS outcome, event_type AS route, (event_id % 4)::INTEGER AS attempts FROM events)"""
+
+
+def runs(spark, sf_dir):
+    """Events as runs with an outcome, a route and attempts."""
+    outcome = F.when(F.col("value") >= 75, "final").when(F.col("event_id") % 4 == 0, "escalate").otherwise("pending")
+    return read(spark, sf_dir, "events").select("event_id", "value", outcome.alias("outcome"), F.col("event_type").alias("route"), (F.col("event_id") % 4).alias("attempts"))
+
+
+@query("SELECT 'run_seconds_bucket{le=\"' || le || '\"} ' || n AS line FROM (" + HIST_SQL.format(bounds=", ".join(f"{float(b)}::DOUBLE" for b in audit.LATENCY), le="b::VARCHAR") + f""") UNION ALL SELECT '# TYPE run_seconds histogram' UNION ALL SELECT format('run_seconds_sum {{:.4f}}', sum(value / 100)) FROM events UNION ALL SELECT 'run_seconds_count ' || count(value) FROM events
+UNION ALL SELECT line FROM (WITH {COUNTER_SQL}, c AS (SELECT 'runs' AS f, '' AS l, count(*) AS n FROM r UNION ALL SELECT 'escalations', '', count_if(outcome = 'escalate') FROM r UNION ALL SELECT 'reformulations', '', sum(greatest(attempts - 1, 0)) FROM r UNION ALL SELECT 'outcome', outcome, count(*) FROM r GROUP BY outcome UNION ALL SELECT 'route', route, count(*) FROM r GROUP BY route)
+SELECT DISTINCT '# TYPE agent_' || f || '_total counter' AS line FROM c UNION ALL SELECT 'agent_' || f || '_total' || CASE WHEN l = '' THEN '' ELSE '{{' || f || '="' || l || '"}}' END || ' ' || n::BIGINT FROM c)""")
 def exposition(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select((F.col("value") / 100).alias("v"))
-    return audit.exposition(audit.histogram(rows, "v", audit.LATENCY).where("n > 0"), "run_seconds")
+    return audit.exposition(audit.histogram(rows, "v", audit.LATENCY), "run_seconds").unionByName(audit.counter_lines(audit.counters(runs(spark, sf_dir)), "agent"))
 
 
 @query("SELECT user_id AS client, epoch_us(date_trunc('minute', ts)) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -165,6 +190,21 @@ def cited_blocks(spark, sf_dir):
     return agent.cited_blocks(said, blocks).select("run_id.conv_id", "run_id.turn", "position")
 
 
+@query("""WITH r AS (SELECT event_id AS run_id, value / 100 AS v FROM events), a AS (SELECT run_id, k, least(1.0, v + CASE WHEN run_id % 2 = 0 THEN (k - 1) * 0.4::DOUBLE ELSE 0 END) AS g FROM r, range(1, 4) t(k)), f AS (SELECT run_id, min(k) FILTER (g >= 0.75) AS k, max(g) AS best FROM a GROUP BY run_id)
+SELECT run_id, CASE WHEN g >= 0.75 THEN 'final' ELSE 'escalate' END AS event, a.k::INTEGER AS attempts, round(g, 6) AS groundedness, 'q' || run_id || CASE WHEN run_id % 2 = 0 THEN repeat(' again', a.k::INTEGER - 1) ELSE '' END AS query FROM a JOIN f USING (run_id) WHERE a.k = coalesce(f.k, 3)""")
+def audit_rows(spark, sf_dir):
+    """One log row a finished run, of a loop in which a reworded question finds better grounds."""
+    runs = read(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.concat(F.lit("q"), "event_id").alias("query"), (F.col("value") / 100).alias("v"))
+    draft = lambda df: df.withColumn("answer", F.concat(F.lit("draft "), F.col("attempt").cast("string")))
+    words = F.size(F.split("query", " ")) - 1
+    judge = lambda df: df.withColumn("groundedness", F.least(F.lit(1.0), F.col("v") + words * F.lit(0.4)))
+    reworded = F.when(F.col("run_id") % 2 == 0, F.concat("query", F.lit(" again"))).otherwise(F.col("query"))
+    done = agent.run_loop(runs, draft, judge, lambda df: df.withColumn("query", reworded))
+    rows = agent.audit_rows(done)
+    found = F.from_json("detail", "query string, groundedness double, attempts int")
+    return rows.select("run_id", "event", found["attempts"].alias("attempts"), F.round(found["groundedness"], 6).alias("groundedness"), found["query"].alias("query"))
+
+
 @query("SELECT event_type, count(*) AS n, count_if(value < 5)::BIGINT AS errors, max(value) AS highest FROM events GROUP BY 1")
 def stream_counters(spark, sf_dir):
     from fathom.streaming.audit_stream import counters_stream, drained, event_stream

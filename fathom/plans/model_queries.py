@@ -1,4 +1,4 @@
-"""Model queries: rows only, as no SQL fits models."""
+"""Model queries. No SQL fits models: tests hold them against plain restatements."""
 
 from functools import reduce
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import ml
 from fathom.plans.registry import query, read
+from fathom.session import materialise
 
 FEATURES = ["price", "n_lines", "quantity", "discount", "acuity"]
 
@@ -19,42 +20,85 @@ def stays(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), noisy.cast("int").alias("admitted"), F.col("o_totalprice").alias("price"), "n_lines", "quantity", "discount", F.nullif(F.pmod(F.col("o_orderkey"), F.lit(6)), F.lit(0)).cast("double").alias("acuity"))
 
 
+def kept_stays(spark, sf_dir):
+    """The stays as a written table: models go over them again and again."""
+    return materialise(stays(spark, sf_dir), "stays")
+
+
+def logistic(train):
+    return ml.fit_logistic(train, FEATURES, "admitted")
+
+
+def calibrated(train):
+    return ml.fit_calibrated(train, FEATURES, "admitted", "subject")
+
+
+def boosted(train):
+    return ml.fit_boosted(train, FEATURES, "admitted")
+
+
+def by_groups(rows, fit, name):
+    return ml.metrics(ml.out_of_fold(rows, ml.grouped_folds(rows, "subject"), "subject", fit), "admitted", name)
+
+
 @query()
 def grouped_cv(spark, sf_dir):
-    """Logistic regression and the acuity baseline by group-aware folds, and the gap to folds that ignore groups."""
-    rows = stays(spark, sf_dir)
-    fit = lambda train: ml.fit_logistic(train, FEATURES, "admitted")
-    grouped = ml.metrics(ml.out_of_fold(rows, ml.grouped_folds(rows, "subject"), "subject", fit), "admitted", "logistic")
-    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", fit), "admitted", "logistic, ungrouped")
-    acuity = ml.metrics(rows.withColumn("p", (5 - F.coalesce("acuity", F.lit(3.0))) / 4), "admitted", "acuity alone")
+    """Logistic regression and the baselines, and what folds that ignore groups would have shown."""
+    rows = kept_stays(spark, sf_dir)
+    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", logistic), "admitted", "logistic, ungrouped")
+    middle = rows.agg(F.median("acuity").alias("middle"))  # one row
+    acuity = ml.metrics(rows.join(F.broadcast(middle)).withColumn("p", (5 - F.coalesce("acuity", "middle")) / 4), "admitted", "acuity alone")
     always = ml.metrics(rows.withColumn("p", F.lit(1.0)), "admitted", "always admit")
-    return reduce(DataFrame.unionByName, [grouped, mixed, acuity, always])
+    return reduce(DataFrame.unionByName, [by_groups(rows, logistic, "logistic"), mixed, acuity, always])
+
+
+@query()
+def inflation(spark, sf_dir):
+    """By how much folds that ignore groups flatter the boosted trees."""
+    rows = kept_stays(spark, sf_dir)
+    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", boosted), "admitted", "boosted, ungrouped")
+    return ml.inflation_gap(by_groups(rows, boosted, "boosted"), mixed)
 
 
 @query()
 def calibrated_lr(spark, sf_dir):
-    rows = stays(spark, sf_dir)
-    test = rows.join(ml.grouped_folds(rows, "subject"), "subject")
-    model = ml.fit_calibrated(test.where("fold <> 0").drop("fold"), FEATURES, "admitted", "subject")
-    return ml.metrics(model(test.where("fold = 0").drop("fold")), "admitted", "calibrated")
+    return by_groups(kept_stays(spark, sf_dir), calibrated, "calibrated")
 
 
 @query()
 def boosted_trees(spark, sf_dir):
-    rows = stays(spark, sf_dir)
-    test = rows.join(ml.grouped_folds(rows, "subject"), "subject")
-    model = ml.fit_boosted(test.where("fold <> 0").drop("fold"), FEATURES, "admitted", rounds=20)
-    return ml.metrics(model(test.where("fold = 0").drop("fold")), "admitted", "boosted")
+    return by_groups(kept_stays(spark, sf_dir), boosted, "boosted")
 
 
 @query()
-def predict_serve(spark, sf_dir):
-    rows = stays(spark, sf_dir)
-    model = ml.fit_logistic(rows, FEATURES, "admitted")
-    return ml.serve(rows.select("id"), rows, model)
+def model_info(spark, sf_dir):
+    """The model with the least Brier score of the three, its measures and its ten most telling features."""
+    rows = kept_stays(spark, sf_dir)
+    fits = {"logistic": logistic, "calibrated": calibrated, "boosted": boosted}
+    results = materialise(reduce(DataFrame.unionByName, [by_groups(rows, fit, name) for name, fit in fits.items()]), "results")
+    selected = ml.select_model(results).first()["model"]
+    return ml.model_info(results, ml.top_features(fits[selected](rows), FEATURES))
 
 
-@query("""WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS place FROM s)
-SELECT o_custkey, CASE WHEN (place // 5) % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END::INTEGER AS fold FROM p""")
+@query("SELECT o_orderkey AS stay_id, o_custkey AS subject_id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 6 END::DOUBLE AS acuity, round(o_totalprice, 2) AS price FROM orders ORDER BY o_orderkey LIMIT 25")
+def list_patients(spark, sf_dir):
+    rows = stays(spark, sf_dir).select(F.col("id").alias("stay_id"), F.col("subject").alias("subject_id"), "acuity", F.round("price", 2).alias("price"))
+    return ml.list_patients(rows, "stay_id", ["stay_id", "subject_id", "acuity", "price"])
+
+
+@query()
+def predict_serve(spark, sf_dir):
+    """Every stay, scored by models that were fitted without its patient."""
+    rows = kept_stays(spark, sf_dir)
+    dealt = materialise(rows.join(ml.grouped_folds(rows, "subject"), "subject"), "folds")
+    folds = [r[0] for r in dealt.select("fold").distinct().orderBy("fold").collect()]  # five or so
+    served = [ml.serve(held.select("id"), held, logistic(dealt.where(F.col("fold") != k).drop("fold"))) for k in folds for held in [dealt.where(F.col("fold") == k).drop("fold")]]
+    return reduce(DataFrame.unionByName, served)
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS place FROM orders GROUP BY 1), r AS (
+  SELECT 0::BIGINT AS place, NULL::BIGINT AS o_custkey, NULL::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load
+  UNION ALL SELECT s.place, s.o_custkey::BIGINT, list_position(load, list_min(load))::BIGINT, [CASE WHEN i = list_position(load, list_min(load)) THEN load[i] + s.n ELSE load[i] END FOR i IN range(1, 6)]::BIGINT[] FROM r JOIN s ON s.place = r.place + 1)
+SELECT o_custkey, (fold - 1)::INTEGER AS fold FROM r WHERE place > 0""")
 def grouped_folds(spark, sf_dir):
     return ml.grouped_folds(read(spark, sf_dir, "orders"), "o_custkey")

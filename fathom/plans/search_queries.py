@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.operators import corpus, graph, retrieval
 from fathom.plans.registry import query, read, sql_strip, sql_tokens
+from fathom.session import materialise
 
 BM25_SQL = f"""tok AS (SELECT doc_id AS id, {sql_tokens('text')} AS t FROM documents), tot AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM tok),
 tf AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM tok) GROUP BY id, len(t), term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -12,7 +13,7 @@ raw AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, tot),
 asked AS (SELECT qid, term, count(*) AS qf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT qid, id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN tf USING (term) JOIN idf USING (term), tot GROUP BY qid, id),
 bm AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM scored WHERE score > 0 QUALIFY rank < 40)"""
-DENSE_SQL = """dn AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_sum([p[1]::DOUBLE * p[2]::DOUBLE FOR p IN list_zip(q.embedding, c.embedding)]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 40) QUALIFY rank < 40)"""
+DENSE_SQL = """dn AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_sum([p[1]::DOUBLE * p[2]::DOUBLE FOR p IN list_zip(q.embedding, c.embedding)]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0) QUALIFY rank < 40)"""
 RRF_SQL = """rrf AS (SELECT qid, id, round(sum(w), 9) AS score, min((place, rank)) AS first FROM (SELECT qid, id, rank, 0 AS place, 1.0::DOUBLE / (60 + rank + 1) AS w FROM dn UNION ALL SELECT qid, id, rank, 1, 0.8::DOUBLE / (60 + rank + 1) FROM bm) GROUP BY qid, id),
 fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) - 1 AS rank FROM rrf)"""
 DEDUP_SQL = """dedup AS (SELECT qid, id, score, rank, source AS parent FROM fused JOIN documents ON id = doc_id QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY rank) = 1)"""
@@ -49,22 +50,29 @@ def sparse_hits(spark, sf_dir):
 ASKED = "id % 20 = 0"
 
 
-def dense_hits(spark, sf_dir, asked: str = "id < 40"):
-    """The default is what DENSE_SQL asks; queries without SQL ask ASKED."""
+def vectors_and_queries(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.dense(vectors, vectors.where(asked).withColumnRenamed("id", "qid"))
+    return vectors, vectors.where(ASKED).withColumnRenamed("id", "qid")
+
+
+def dense_hits(spark, sf_dir):
+    return retrieval.dense(*vectors_and_queries(spark, sf_dir))
+
+
+#: Weights of the retrievers' lists.
+WEIGHTS = {"dense": 1.0, "bm25": 0.8, "graph": 0.6}
 
 
 def fused_hits(spark, sf_dir):
-    return retrieval.reciprocal_rank_fusion({"dense": dense_hits(spark, sf_dir), "bm25": sparse_hits(spark, sf_dir)}, {"dense": 1.0, "bm25": 0.8})
+    return retrieval.reciprocal_rank_fusion({"dense": dense_hits(spark, sf_dir), "bm25": sparse_hits(spark, sf_dir)}, WEIGHTS)
 
 
 def sources_of(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent"))
 
 
-def token_items(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), retrieval.token_set(F.col("text")).alias("item"))
+def passages(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent"), "text")
 
 
 @query(f"WITH {BM25_SQL} SELECT qid, id, score, rank::INTEGER AS rank FROM bm")
@@ -77,14 +85,16 @@ def dense_topk(spark, sf_dir):
     return dense_hits(spark, sf_dir)
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 5) AS before, 1.0::DOUBLE AS after FROM embeddings")
+@query("SELECT vec_id, round(n, 5) AS before, round(sqrt(list_sum([CASE WHEN n > 0 THEN (x::DOUBLE / n) ** 2 ELSE 0.0::DOUBLE END FOR x IN embedding])), 6) AS after FROM (SELECT vec_id, embedding, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS n FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT -1 - vec_id, [x * 0 FOR x IN embedding] FROM embeddings))")
 def normalise_vectors(spark, sf_dir):
     v = F.col("embedding")
     unit = retrieval.normalise(v)
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)), 5).alias("before"), F.round(F.sqrt(retrieval.dot(unit, unit)), 6).alias("after"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    zeros = vectors.select((-1 - F.col("vec_id")).alias("vec_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"))
+    return vectors.unionByName(zeros).select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)), 5).alias("before"), F.round(F.sqrt(retrieval.dot(unit, unit)), 6).alias("after"))
 
 
-@query(f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL} SELECT f.qid, f.id, f.score, f.rank::INTEGER AS rank, round(1.0::DOUBLE / (60 + dn.rank + 1), 4) AS dense, round(0.8::DOUBLE / (60 + bm.rank + 1), 4) AS sparse FROM fused f LEFT JOIN dn USING (qid, id) LEFT JOIN bm USING (qid, id)")
+@query(f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL} SELECT f.qid, f.id, f.score, f.rank::INTEGER AS rank, round(dn.score, 4) AS dense, round(bm.score, 4) AS sparse FROM fused f LEFT JOIN dn USING (qid, id) LEFT JOIN bm USING (qid, id)")
 def rrf_fuse(spark, sf_dir):
     return fused_hits(spark, sf_dir).select("qid", "id", "score", "rank", F.col("components")["dense"].alias("dense"), F.col("components")["bm25"].alias("sparse"))
 
@@ -96,39 +106,25 @@ def dedup_parent(spark, sf_dir):
 
 @query(f"WITH {BM25_SQL}, hits AS (SELECT qid, id, rank, {sql_tokens('text')} AS item FROM bm JOIN documents ON id = doc_id), {mmr_sql('hits', 12, 0.6)} SELECT * FROM picked")
 def mmr_tokens(spark, sf_dir):
-    return retrieval.mmr(sparse_hits(spark, sf_dir).join(token_items(spark, sf_dir), "id"))
+    return retrieval.mmr(retrieval.with_items(materialise(sparse_hits(spark, sf_dir), "hits"), passages(spark, sf_dir)))
 
 
 @query(f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL}, {DEDUP_SQL}, hits AS (SELECT qid, dedup.id, rank, {sql_tokens('text')} AS item FROM dedup JOIN documents ON id = doc_id), {mmr_sql('hits', 12, 0.6)} SELECT qid, id, rank, substr(text, 1, 320) AS text FROM picked JOIN documents ON id = doc_id")
 def hybrid_context(spark, sf_dir):
     lists = {"dense": dense_hits(spark, sf_dir), "bm25": sparse_hits(spark, sf_dir)}
-    found = retrieval.hybrid(lists, sources_of(spark, sf_dir), token_items(spark, sf_dir), {"dense": 1.0, "bm25": 0.8})
+    found = retrieval.hybrid(lists, passages(spark, sf_dir), WEIGHTS)
     return found.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 320).alias("text")), "id").select("qid", "id", "rank", "text")
 
 
 @query()
 def mmr_vectors(spark, sf_dir):
     items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("item"))
-    return retrieval.mmr(dense_hits(spark, sf_dir, ASKED).join(items, "id").select("qid", "id", "rank", "item"), similarity=retrieval.dot)
+    return retrieval.mmr(dense_hits(spark, sf_dir).join(items, "id").select("qid", "id", "rank", "item"), similarity=retrieval.dot)
 
 
 @query()
 def ann_topk(spark, sf_dir):
-    """Random-projection buckets: on unit vectors the nearest are those of the highest product. No distance is too far; a
-    query whose buckets hold fewer than k vectors is answered exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    k = 10
-    plain = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    vectors = plain.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=8, seed=42).fit(vectors)
-    cells = F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long"))).alias("table", "bucket")
-    placed = model.transform(vectors).select("id", "vector", cells).select("id", "vector", F.struct("table", "bucket").alias("cell"))
-    found = retrieval.dense(placed, placed.where(ASKED).withColumnRenamed("id", "qid"), k)
-    whole = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") == k).select("qid")
-    asked = plain.where(ASKED).withColumnRenamed("id", "qid")
-    return found.join(whole, "qid", "left_semi").unionByName(retrieval.dense(plain, asked.join(whole, "qid", "left_anti"), k))
+    return retrieval.ann(*vectors_and_queries(spark, sf_dir), k=10)
 
 
 @query("""SELECT qid, id, 1.0::DOUBLE / (1 + rank) AS score, rank::INTEGER AS rank, p_brand AS parent_id, CASE WHEN p_brand LIKE '%1' OR p_brand LIKE '%2' THEN p_name ELSE 'brand ' || p_brand END AS text, NOT (p_brand LIKE '%1' OR p_brand LIKE '%2') AS expanded
@@ -201,18 +197,18 @@ def entity_nodes(spark, sf_dir):
     return graph.annotate_drugs(nodes(spark, sf_dir), names).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 
-@query("""WITH q AS (SELECT c_custkey AS qid, lower(c_mktsegment) || ' with ' || lower(n_name) AS text FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0), n AS (SELECT lower(n_name) AS key FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT 'united with'),
+@query("""WITH q AS (SELECT c_custkey AS qid, lower(c_mktsegment) || ' with ' || lower(n_name) AS text FROM customer JOIN nation ON n_nationkey = c_nationkey), n AS (SELECT lower(n_name) AS key FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT 'united with'),
 m AS (SELECT qid, key, CASE WHEN contains(text, key) THEN len(key) + 10.0::DOUBLE ELSE round(len(list_intersect(string_split(text, ' '), string_split(key, ' ')))::DOUBLE ** 2 / len(list_distinct(string_split(key, ' '))), 9) END AS score FROM q, n)
 SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key)::INTEGER AS place FROM m WHERE score > 0 QUALIFY place <= 3""")
 def match_entities(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
-    asked = read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     asked = asked.select(F.col("c_custkey").alias("qid"), F.concat("c_mktsegment", F.lit(" with "), "n_name").alias("text"))
     keys = nation.select(F.lower("n_name").alias("key")).union(read(spark, sf_dir, "region").select(F.lower("r_name"))).union(spark.createDataFrame([("united with",)], "key string")).distinct()
     return graph.match_entities(asked, keys, 3)
 
 
-TRAVERSE_SQL = f"""WITH {REL_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, rel) AS e FROM edge), seed AS (SELECT c_custkey AS qid, lower(c_mktsegment) AS key, 1 AS place FROM customer WHERE c_custkey % 50 = 0),
+TRAVERSE_SQL = f"""WITH {REL_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, rel) AS e FROM edge), seed AS (SELECT c_custkey AS qid, lower(c_mktsegment) AS key, 1 AS place FROM customer),
 one AS (SELECT qid, place, 1 AS hop, e AS e1, 0 AS e2, [src, dst] AS nodes, [rel] AS rels, weight / 2 AS score, dst FROM seed JOIN e ON key = src),
 two AS (SELECT qid, place, 2 AS hop, a.e AS e1, b.e AS e2, [a.src, a.dst, b.dst] AS nodes, [a.rel, b.rel] AS rels, b.weight / 3 AS score, b.dst FROM seed JOIN e a ON key = a.src JOIN e b ON a.dst = b.src AND b.dst <> a.src),
 p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place, hop, e1, e2) AS ordinal FROM (SELECT * FROM one UNION ALL SELECT * FROM two)), f AS (SELECT *, (row_number() OVER (PARTITION BY qid, dst ORDER BY ordinal) = 1)::INTEGER AS new FROM p),
@@ -220,7 +216,7 @@ paths AS (SELECT qid, ordinal, nodes, rels, score FROM f QUALIFY coalesce(sum(ne
 
 
 def found_paths(spark, sf_dir):
-    seeds = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("qid"), F.lower("c_mktsegment").alias("key"), F.lit(1).alias("place"))
+    seeds = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.lower("c_mktsegment").alias("key"), F.lit(1).alias("place"))
     return graph.traverse(seeds, graph.build_edges(relations(spark, sf_dir)))
 
 
@@ -247,3 +243,45 @@ def neighbors(spark, sf_dir):
 @query(f"WITH {REL_SQL}, {NODE_SQL} SELECT 'node' AS kind, coalesce(node_type, 'all') AS name, count(*) AS n FROM node GROUP BY ROLLUP (node_type) UNION ALL SELECT 'edge', coalesce(rel, 'all'), count(*) FROM edge GROUP BY ROLLUP (rel)")
 def graph_stats(spark, sf_dir):
     return graph.graph_stats(nodes(spark, sf_dir), graph.build_edges(relations(spark, sf_dir)))
+
+
+@query(f"WITH {REL_SQL} SELECT count_if(r <> 'made up')::BIGINT AS accepted, count_if(r = 'made up')::BIGINT AS rejected FROM rel")
+def extraction_counts(spark, sf_dir):
+    return graph.extraction_counts(relations(spark, sf_dir))
+
+
+#: The graph of documents: each source has its languages, each language its sources. A question names the source of one document.
+DOC_GRAPH_SQL = """grel AS (SELECT source AS s, 'references' AS r, 'lang ' || lang AS t, doc_id AS chunk_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL UNION ALL SELECT 'lang ' || lang, 'treats', source, doc_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+gedge AS (SELECT s AS src, r AS rel, t AS dst, count(*) AS weight FROM grel GROUP BY ALL), gnode AS (SELECT key, array_agg(chunk_id ORDER BY seq)[1:3] AS ids FROM (SELECT s AS key, chunk_id, chunk_id * 2 AS seq FROM grel WHERE r = 'references' UNION ALL SELECT t, chunk_id, chunk_id * 2 + 1 FROM grel WHERE r = 'references') GROUP BY key),
+ask AS (SELECT item_id AS qid, regexp_replace(lower(coalesce(b.text, '') || ' in ' || coalesce(d.source, '')), '\\s+', ' ', 'g') AS text FROM benchmark b LEFT JOIN documents d ON doc_id = item_id),
+seed AS (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS place FROM (SELECT qid, key, CASE WHEN contains(text, key) THEN len(key) + 10.0::DOUBLE ELSE round(len(list_intersect(string_split(text, ' '), string_split(key, ' ')))::DOUBLE ** 2 / len(list_distinct(string_split(key, ' '))), 9) END AS score FROM ask, gnode) WHERE score > 0 QUALIFY place <= 6),
+ge AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, rel) AS e FROM gedge), g1 AS (SELECT qid, place, 1 AS hop, e AS e1, 0 AS e2, [src, dst] AS nodes, weight / 2 AS score, dst FROM seed JOIN ge ON key = src),
+g2 AS (SELECT qid, place, 2 AS hop, a.e AS e1, b.e AS e2, [a.src, a.dst, b.dst] AS nodes, b.weight / 3 AS score, b.dst FROM seed JOIN ge a ON key = a.src JOIN ge b ON a.dst = b.src AND b.dst <> a.src),
+gp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place, hop, e1, e2) AS ordinal FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2)), gf AS (SELECT *, (row_number() OVER (PARTITION BY qid, dst ORDER BY ordinal) = 1)::INTEGER AS new FROM gp),
+gpath AS (SELECT qid, ordinal, nodes, score FROM gf QUALIFY coalesce(sum(new) OVER (PARTITION BY qid ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 25),
+gtop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ordinal) AS place FROM gpath QUALIFY place <= 12), gx AS (SELECT qid, place, unnest(nodes) AS key, generate_subscripts(nodes, 1) AS spot FROM gtop),
+gy AS (SELECT qid, unnest(ids) AS id, place * 1000 + spot * 10 + generate_subscripts(ids, 1) AS o FROM gx JOIN gnode USING (key)), gz AS (SELECT qid, id, min(o) AS o FROM gy GROUP BY ALL), gr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY o) - 1 AS rank FROM gz QUALIFY rank < 40)"""
+
+
+def graph_hits(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("source is not null and lang is not null").select("doc_id", "source", F.concat(F.lit("lang "), "lang").alias("lang"))
+    named = lambda c, seq: docs.select(F.col(c).alias("name"), F.lit("condition").alias("type"), F.col("doc_id").alias("chunk_id"), seq.alias("seq"))
+    nodes = graph.build_nodes(named("source", F.col("doc_id") * 2).unionByName(named("lang", F.col("doc_id") * 2 + 1)))
+    said = lambda a, rel, b: docs.select(F.col(a).alias("source"), F.lit(rel).alias("relation"), F.col(b).alias("target"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"))
+    edges = graph.build_edges(graph.accepted_relations(said("source", "references", "lang").unionByName(said("lang", "treats", "source"))))
+    about = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source")
+    asked = read(spark, sf_dir, "benchmark").join(about, "item_id", "left").select(F.col("item_id").alias("qid"), F.concat(F.coalesce("text", F.lit("")), F.lit(" in "), F.coalesce("source", F.lit(""))).alias("text"))
+    return graph.retrieve(asked, nodes, edges)
+
+
+@query(f"WITH {DOC_GRAPH_SQL} SELECT qid, id, 1.0::DOUBLE / (1 + rank) AS score, rank::INTEGER AS rank FROM gr")
+def graph_retrieve(spark, sf_dir):
+    return graph_hits(spark, sf_dir)
+
+
+@query(f"""WITH {BM25_SQL}, {DENSE_SQL}, {DOC_GRAPH_SQL}, rrf AS (SELECT qid, id, round(sum(w), 9) AS score, min((place, rank)) AS first FROM (SELECT qid, id, rank, 0 AS place, 1.0::DOUBLE / (60 + rank + 1) AS w FROM dn UNION ALL SELECT qid, id, rank, 1, 0.8::DOUBLE / (60 + rank + 1) FROM bm UNION ALL SELECT qid, id, rank, 2, 0.6::DOUBLE / (60 + rank + 1) FROM gr) GROUP BY qid, id),
+fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) - 1 AS rank FROM rrf), {DEDUP_SQL}, hits AS (SELECT qid, dedup.id, rank, {sql_tokens('text')} AS item FROM dedup JOIN documents ON id = doc_id), {mmr_sql('hits', 12, 0.6)} SELECT qid, id, rank FROM picked""")
+def hybrid_graph(spark, sf_dir):
+    """Sparse, dense and graph hits in one context."""
+    lists = {"dense": dense_hits(spark, sf_dir), "bm25": sparse_hits(spark, sf_dir), "graph": graph_hits(spark, sf_dir)}
+    return retrieval.hybrid(lists, passages(spark, sf_dir), WEIGHTS)

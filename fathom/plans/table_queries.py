@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import numbers as N
 from fathom.operators import cohort as C
+from fathom.operators.order import quantiles
 from fathom.plans.registry import query, read
 
 
@@ -13,10 +14,10 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orde
 def cohort_join(spark, sf_dir):
     orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     stays = C.left_join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), ["o_custkey"], "_triage")
-    vitals = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.round(F.stddev_samp("l_quantity"), 6).alias("hr_std"), F.min("l_extendedprice").alias("sbp_min"), F.min("l_discount").alias("o2sat_min"))
-    rows = stays.join(vitals, "o_orderkey", "left")
-    admitted = (F.upper(F.coalesce("o_orderstatus", F.lit(""))) == "F").cast("int")
-    return rows.select("o_orderkey", "o_custkey", admitted.alias("admitted"), "c_mktsegment", F.coalesce("n", F.lit(0)).cast("int").alias("n_diagnoses"), "hr_std", "sbp_min", "o2sat_min")
+    lines = lines.withColumnRenamed("l_orderkey", "o_orderkey")
+    vitals = lines.groupBy("o_orderkey").agg(F.round(F.stddev_samp("l_quantity"), 6).alias("hr_std"), F.min("l_extendedprice").alias("sbp_min"), F.min("l_discount").alias("o2sat_min"))
+    rows = C.with_counts(stays, lines, "o_orderkey", "n_diagnoses").join(vitals, "o_orderkey", "left")
+    return C.existing(rows.withColumn("admitted", C.label(F.col("o_orderstatus"), "F")), ["o_orderkey", "o_custkey", "admitted", "race", "c_mktsegment", "n_diagnoses", "hr_std", "sbp_min", "o2sat_min"])
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE round(epoch_us(l_shipdate - o_orderdate) / 3.6e9, 6) END AS hours, epoch_us(l_shipdate) / 1e6 AS epoch, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -44,10 +45,7 @@ def value_counts(spark, sf_dir):
 SELECT p_partkey, k.b AS category, (p.b = k.b)::INTEGER::DOUBLE AS flag FROM p, k""")
 def onehot_support(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand")).alias("brand"))
-    wanted = C.category_support(part, "brand", 10)
-    flags = part.select("p_partkey", *C.one_hot("brand", wanted))
-    wide = flags.unpivot(["p_partkey"], [f"`brand_{v}`" for v in wanted], "category", "flag")
-    return wide.withColumn("category", F.regexp_replace("category", "^`?brand_|`$", ""))
+    return C.long_one_hot(part, "p_partkey", "brand", 10)
 
 
 @query("""SELECT o_orderkey, round(o_totalprice / nullif((o_custkey % 5) * 20.0, 0), 6) AS shock_index, round((o_custkey % 5) * 20.0 - (o_orderkey % 7) * 10, 6) AS pulse_pressure, round((5 - coalesce(a, med)) / 4, 6) AS acuity_score, CASE WHEN p >= 0.75 THEN 'high' WHEN p >= 0.5 THEN 'elevated' WHEN p >= 0.25 THEN 'moderate' ELSE 'low' END AS band,
@@ -96,10 +94,13 @@ def bench_summary_wilson(spark, sf_dir):
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, max(o_totalprice) AS longest, min(o_totalprice) AS shortest FROM orders GROUP BY 1")
 def token_quantiles(spark, sf_dir):
     x = "o_totalprice"
-    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.percentile(x, 0.95), 4).alias("p95"), F.max(x).alias("longest"), F.min(x).alias("shortest"))
+    orders = read(spark, sf_dir, "orders").select("o_orderpriority", x)
+    sums = orders.groupBy("o_orderpriority").agg(F.round(F.avg(x), 4).alias("mean"), F.max(x).alias("longest"), F.min(x).alias("shortest"))
+    ranks = quantiles(orders, "o_orderpriority", x, {"median": 0.5, "p95": 0.95})
+    return sums.join(ranks, "o_orderpriority").select("o_orderpriority", "mean", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"), "longest", "shortest")
 
 
-@query("""SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN place = round_even((n - 1) * 0.95, 0) THEN value END) AS p95, n FROM
+@query("""SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(CASE WHEN place = round_even((n - 1) * 0.95, 0) THEN value END) AS p95, n FROM
 (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type, n""")
 def nearest_rank_p95(spark, sf_dir):
     from fathom.operators.evaluation import nearest_rank
@@ -134,9 +135,9 @@ def resume_listing(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").orderBy("doc_id").limit(100)
 
 
-@query("""SELECT source, level, reward FROM (SELECT source, min(doc_id) AS level, count(*)::BIGINT AS reward FROM documents GROUP BY source) WHERE reward >= 1""")
+@query("SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY source ORDER BY n DESC, source")
 def source_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("level"), F.count("*").alias("reward"))
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "source")
 
 
 @query("""WITH g AS (SELECT o_orderkey AS stay_id, CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS gender, (o_custkey % 5) * 30.0::DOUBLE AS sbp, (o_orderkey % 9) * 10.0::DOUBLE AS dbp, o_totalprice / 3000 AS heartrate, CASE o_orderkey % 2 WHEN 0 THEN 'Chest Pain' ELSE 'fall' END AS cc FROM orders)

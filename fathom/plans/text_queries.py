@@ -41,7 +41,7 @@ def sections(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id, 'd_' || substr(sha1(doc_id || '||' || source), 1, 16) AS stable_id,
-  regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS entity,
+  regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS entity,
   CASE WHEN len(text) > 320 THEN substr(text, 1, 320) || '…' ELSE text END AS snippet,
   regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS paragraphs FROM documents""")
 def text_scalars(spark, sf_dir):
@@ -49,7 +49,7 @@ def text_scalars(spark, sf_dir):
     return docs.select(
         "doc_id",
         T.stable_id("d", F.col("doc_id"), F.col("source")).alias("stable_id"),
-        T.normalize_entity(F.substring("text", 1, 80)).alias("entity"),
+        T.normalize_entity(F.col("text")).alias("entity"),
         T.snippet(F.col("text")).alias("snippet"),
         T.normalize_breaks(F.replace("text", F.lit(". "), F.lit(".\n\n\n"))).alias("paragraphs"),
     )
@@ -141,13 +141,13 @@ def request_validation(spark, sf_dir):
 
 
 @query(rf"""SELECT page_id, CASE WHEN lower(u) IN ('none', 'null') THEN '' ELSE u END AS url, coalesce(nullif({sql_strip('h')}, ''), {sql_strip('html')}) AS text, host || ' page ' || row_number() OVER (PARTITION BY host ORDER BY page_id) AS title
-FROM (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'null' ELSE url END AS u, CASE page_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE substr(html, 1, 100) END AS h, coalesce(nullif(split_part(url, '/', 3), ''), 'unknown') AS host FROM pages)""")
+FROM (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'null' ELSE url END AS u, CASE page_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'clean ' || html END AS h, coalesce(nullif(split_part(url, '/', 3), ''), 'unknown') AS host FROM pages)""")
 def title_clean(spark, sf_dir):
     from pyspark.sql import Window
 
     k, m = F.col("page_id") % 4, F.col("page_id") % 3
     url = F.when(k == 0, "None").when(k == 1, "null").otherwise(F.col("url"))
-    cleaned = F.when(m == 0, "  ").when(m == 2, F.substring("html", 1, 100))
+    cleaned = F.when(m == 0, "  ").when(m == 2, F.concat(F.lit("clean "), "html"))
     host = F.coalesce(F.nullif(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("")), F.lit("unknown"))
     rows = read(spark, sf_dir, "pages").select("page_id", T.clean_none(url).alias("url"), F.coalesce(F.nullif(T.strip(cleaned), F.lit("")), T.strip(F.col("html"))).alias("text"), host.alias("host"))
     n = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))

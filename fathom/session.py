@@ -1,11 +1,12 @@
-"""Makes this package importable on executors."""
+"""Makes this package importable on executors, and keeps tables in the folder that they share."""
 
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -19,3 +20,23 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(f"{tempfile.mkdtemp()}/fathom", "zip", ROOT, "fathom")
     context.addPyFile(archive)
     context._fathom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session, whose one process
+    sees its own disk, gets a folder of its own; any other is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathom.shared.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = Path(tempfile.mkdtemp(prefix="fathom-")).as_uri()
+        spark.conf.set("fathom.shared.dir", path)
+    return path
+
+
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder, or the given one in it, and reads it back: what is read twice is computed once, and lost executors take nothing along."""
+    spark = df.sparkSession
+    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fathom.operators import audit
+from fathom.session import shared_dir
 
 SILENCE_MS = 3_600_000
 
@@ -21,10 +23,19 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and returns its result, from memory: for results of few rows, as metrics are."""
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there now and returns its result, written as tables of the shared folder: each batch appends
+    its rows (append, update), or the last batch has them all (complete)."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # one row
+    return rows.drop("batch")
 
 
 def counters_stream(events: DataFrame) -> DataFrame:
