@@ -44,7 +44,7 @@ def _text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(_text(c), r"^\s+|\s+$", "")
+    return F.btrim(_text(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def words(c: Column) -> Column:
@@ -122,14 +122,23 @@ def complaint_flag(c: Column, name: str) -> Column:
 
 def quality_gate(text: Column, min_chars: int = 1200, min_ratio: float = 0.75) -> Column:
     """Why a document is rejected: empty, too_short, boilerplate or low_text_ratio, the first that holds; null if it is usable."""
-    bare = strip(text)
-    start = F.lower(F.substring(bare, 1, 3000))
-    boilerplate = F.lit(False)
-    for mark in BOILERPLATE:
-        boilerplate = boilerplate | start.contains(mark)
-    head = F.substring(bare, 1, 4000)
-    ratio = F.length(F.regexp_replace(head, r"[^\p{L}\s]", "")) / F.length(head)
-    return F.when(bare == "", "empty").when(F.length(bare) < min_chars, "too_short").when(boilerplate, "boilerplate").when(ratio < min_ratio, "low_text_ratio")
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # computed once, in filters too
+
+    def low_ratio(head: Column) -> Column:
+        return F.length(F.regexp_replace(head, r"[^\p{L}\s]", "")) / F.length(head) < min_ratio
+
+    def boilerplate(start: Column) -> Column:
+        found = F.lit(False)
+        for mark in BOILERPLATE:
+            found = found | start.contains(mark)
+        return found
+
+    def reason(bare: Column) -> Column:
+        marked = let(F.lower(F.substring(bare, 1, 3000)), boilerplate)
+        sparse = let(F.substring(bare, 1, 4000), low_ratio)
+        return F.when(bare == "", "empty").when(F.length(bare) < min_chars, "too_short").when(marked, "boilerplate").when(sparse, "low_text_ratio")
+
+    return let(strip(text), reason)
 
 
 def heuristic_route(query: Column, has_patient: Column) -> Column:

@@ -78,8 +78,16 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) ->
     (qid, ordinal, nodes, rels, score): in the order of a breadth-first search, seed by seed; edges by descending weight,
     then name. The score is the last edge's weight over the number of nodes. The search ends when max_nodes different
     targets have been reached, which is a prefix of that order. Two nodes have one edge a relation at most, as build_edges
-    makes them: so a node's first (max_nodes + 1) * relations edges are all that can count.
+    makes them: so a node's first (max_nodes + 1) * relations edges are all that can count. Queries with the same seeds, of
+    which each has a few, share one search.
     """
+    sets = seeds.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("seeds")).withColumn("set", F.to_json("seeds"))
+    each = sets.groupBy("set").agg(F.first("seeds").alias("seeds")).select(F.col("set").alias("qid"), F.explode("seeds").alias("s")).select("qid", "s.place", "s.key")
+    paths = _search(each, edges, max_nodes).withColumnRenamed("qid", "set")
+    return sets.select("qid", "set").join(paths, "set").select("qid", "ordinal", "nodes", "rels", "score")
+
+
+def _search(seeds: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
     edges = edges.withColumn("e", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst", "rel")))
     edges = edges.where(F.col("e") <= (max_nodes + 1) * len(EDGE_TYPES))
     a, b = edges.alias("a"), edges.alias("b")

@@ -30,9 +30,21 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def term_index(docs: DataFrame) -> DataFrame:
     """docs: (id, text) -> (id, dl, term, tf): one row for each different token of a document, and one without a term for the
     document itself, so that those without tokens count too. Texts are tokenised once; a saved index is searched as it is."""
-    tokens = docs.select("id", tokenize(F.col("text")).alias("t"))
-    each = tokens.select("id", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(None))).alias("term"))
-    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+    def counted(batches):
+        """A document's tokens are all in its row: they are counted there, and nothing is shuffled."""
+        for batch in batches:
+            tokens, ids = batch.column("t"), batch.column("id")
+            dl = np.diff(tokens.offsets.to_numpy())
+            coded = tokens.flatten().dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            cell, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            doc = np.concatenate([np.arange(len(dl)), cell // width])
+            terms = pa.concat_arrays([pa.nulls(len(dl), pa.string()), coded.dictionary.take(pa.array(cell % width)).cast(pa.string())])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(dl[doc].astype(np.int32)), terms, pa.array(np.concatenate([np.ones(len(dl), np.int64), tf]))], ["id", "dl", "term", "tf"])
+
+    key = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", tokenize(F.col("text")).alias("t")).mapInArrow(counted, f"id {key}, dl int, term string, tf long")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, block: int = 16_384) -> DataFrame:
@@ -59,7 +71,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1:
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     postings = index.join(small(terms.join(small(idf), "n")), "term").select("id", "n", weight.alias("w"))
     numbered = asked.join(small(terms), "term").select(F.col("qid").alias("asked_qid"), F.col("n").alias("asked_n"), "qf")
-    n_q, n_v = (max(1, -(-n // block)) for n in (queries.count(), total["n_docs"]))
+    docs_a_block = max(2048, asked.count() // 64)  # so that a block's postings outweigh the queries' words that meet them
+    n_q, n_v = max(1, -(-queries.count() // block)), max(1, -(-total["n_docs"] // docs_a_block))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     left = numbered.withColumn("q_block", part("asked_qid", n_q)).withColumn("v_block", every(n_v))
