@@ -3,7 +3,8 @@
 Each piece of the pre-tokenising pattern has a segment tree whose leaves are byte positions: a leaf holds the rank of the
 pair that starts there, the root the leftmost position of the least rank. A merge removes the pair's right symbol and
 updates three leaves (itself, its live left neighbour, the removed symbol) and their ancestors, so a piece of n bytes takes
-O(n log n) steps, however it merges. The trees of all pieces of like length step together as the rows of one array.
+O(n log n) steps, however it merges. The trees of all pieces of like length step together as the rows of one array; the last
+FEW, and so a very long piece, go one by one.
 """
 
 import base64
@@ -21,6 +22,7 @@ from fathom.llm.common import Generations, in_slices, whole, texts
 NONE = np.int64(1) << np.int64(62)
 CACHED_PARTS = 200_000
 SLICE_BYTES = 2 << 20
+FEW = 8
 
 
 class Bpe:
@@ -41,6 +43,7 @@ class Bpe:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
+        self.pairs = pairs
         self._hash_pairs(np.fromiter(pairs.keys(), np.int64), np.fromiter(pairs.values(), np.int64))
 
     def _hash_pairs(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -113,7 +116,7 @@ class Bpe:
             tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
             low //= 2
         live = np.flatnonzero(tree[:, 1] != NONE)
-        while len(live):
+        while len(live) > FEW:
             best = tree[live, 1]
             at = best % width
             gone = after[live, at]
@@ -129,11 +132,41 @@ class Bpe:
             self._update(tree, width, live, at, self._key(width, symbols, live, at, right, has_right))
             self._update(tree, width, live[has_left], left[has_left], self._key(width, symbols, live[has_left], left[has_left], at[has_left], None))
             live = live[tree[live, 1] != NONE]
+        for row in live.tolist():
+            symbols[row] = self._merge_one(symbols[row].tolist(), after[row].tolist(), before[row].tolist(), tree[row].tolist(), width, int(lengths[row]))
         kept = symbols >= 0
         ids = symbols[kept].astype("<u4").tobytes()
         ends = np.cumsum(kept.sum(1)) * 4
         return [ids[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
 
+    def _merge_one(self, symbols: list[int], after: list[int], before: list[int], tree: list[int], width: int, length: int) -> list[int]:
+        """The merges of one tree. A point update stops where a node's minimum stays what it was."""
+        none, pairs = int(NONE), self.pairs
+
+        def put(leaf: int, left: int, right: int) -> None:
+            rank = pairs.get(left << 32 | right) if left >= 0 else None
+            node, value = width + leaf, none if rank is None else rank * width + leaf
+            while node and tree[node] != value:
+                tree[node] = value
+                other = tree[node ^ 1] if node > 1 else none
+                node >>= 1
+                value = min(value, other)
+
+        while tree[1] != none:
+            rank, at = divmod(tree[1], width)
+            gone = after[at]
+            right = after[at] = after[gone]
+            symbols[at], symbols[gone] = rank, -1
+            put(gone, -1, -1)
+            if right < length:
+                before[right] = at
+                put(at, rank, symbols[right])
+            else:
+                put(at, -1, -1)
+            if before[at] >= 0:
+                put(before[at], symbols[before[at]], rank)
+        return symbols
+
     def _key(self, width, symbols, rows, at, right, real) -> np.ndarray:
         key = np.full(len(rows), NONE)
         where = slice(None) if real is None else np.flatnonzero(real)
@@ -175,7 +208,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (array<int>), decoded (binary).
 
     path: a rank file in base64, with a token for each byte; every executor must have it. Null and empty texts have no ids
-    and decode to nothing. Repeated rows each give a row; an empty table gives none. Other columns are not read.
+    and decode to nothing. A very long text, or one without a space, is encoded whole. Repeated rows each give a row; an empty table gives none. Other columns are not read.
     """
     schema = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 

@@ -46,6 +46,17 @@ def test_bpe_of_a_long_piece(bpe, reference):
     assert bpe.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_bpe_of_a_very_long_run_takes_seconds(bpe, reference):
+    import random
+    import time
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(60_000))
+    began = time.perf_counter()
+    assert bpe.encode([text])[0].tolist() == reference.encode_ordinary(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_bpe_digests(spark, odd_docs, no_docs, reference):
     wanted = []
     for r in odd_docs.collect():
