@@ -1,11 +1,14 @@
 """A hidden Markov language model over whole texts.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. The model's symbols are the SYMBOLS most frequent words of the
-training texts, a class for each shape of all other words, and the end. A word of a class is emitted as its class, then as
-a word of the class with its smoothed share of the class's training tokens, (c + 0.1) / (n + 0.1 * (v + 1)); the class's
-unseen words together count as one more. So each text has an exact probability: the scaled forward recursion's, times the
-shares. Baum-Welch runs over all training texts: each task adds up its expected counts, Spark sums them by symbol, and the
-new parameters, whose size doesn't depend on the corpus, go to the next round.
+Tokens are the words of a text, A-Z lower-cased, and one end. The model's symbols are the most frequent words of the training
+texts, a class for each shape of all other words, and the end. A word of a class is emitted as its class, then as a word of
+the class with its smoothed share of the class's training tokens, (c + 0.1) / (n + 0.1 * (v + 1)), times what the state
+makes of it. So each text has an exact probability: the scaled forward recursion's.
+
+Baum-Welch runs over all training texts: each task adds up its expected counts and Spark sums them by symbol. In the last round
+expected counts of every other training word go into a table of words and states, however many words there are: a state's
+share of a word's tokens, against its share of the class's, is what the state makes of that word. SHRINK of it is taken from
+the class. A word that training texts don't hold has the share of one unseen word, as in the base score, in every state.
 """
 
 import numpy as np
@@ -23,6 +26,9 @@ CLASSES = LENGTHS * SHAPES
 ALPHA = 0.1
 SLICE_BYTES = 4 << 20  # the fewer the slices, the more texts step together
 HELD_WORDS = 600_000
+HELD_EXPECTED = 200_000
+SHRINK = 0.3
+SEGMENT = 1 << 16
 
 
 def word_class(found: Words) -> np.ndarray:
@@ -69,17 +75,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """What all tasks know: the FREQUENT commonest words with their counts, of which the first SYMBOLS are symbols of
-    their own, and totals by class. Its size has a fixed bound."""
+    """What all tasks know: the `frequent` commonest words with their counts and classes, of which the first `symbols` are
+    symbols of their own, and totals by class. Its size has a fixed bound; all other words stay in tables."""
 
-    def __init__(self, frequent: list, classes: list, texts: int, total: int, distinct: int):
+    def __init__(self, frequent: list, symbols: int, classes: list, texts: int, total: int, distinct: int):
         h = np.array([r[0] for r in frequent], np.int64).view(np.uint64)
         self.order = np.argsort(h)
-        self.hashes, self.counts = h[self.order], np.array([r[1] for r in frequent], np.int64)[self.order]
+        self.hashes, self.counts, self.kinds = h[self.order], np.array([r[1] for r in frequent], np.int64)[self.order], np.array([r[2] for r in frequent], np.int64)[self.order]
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
         for c, n, v in classes:
             self.class_n[c], self.class_v[c] = n, v
-        self.symbols = min(SYMBOLS, len(h))
+        self.symbols = min(symbols, len(h))
         self.end = self.symbols + CLASSES
         self.texts, self.total, self.distinct = texts, total, distinct
 
@@ -91,6 +97,11 @@ class Lexicon:
         rank = self.order[at] if len(self.hashes) else at
         return np.where(known & (rank < self.symbols), rank, self.symbols + kind), np.where(known, at, -1), kind
 
+    def codes(self, found: Words) -> np.ndarray:
+        """Each word as one number: a symbol; end + 1 + its place, if it is frequent but none; else -1 - its class."""
+        symbol, place, kind = self.look_up(found)
+        return np.where(symbol < self.symbols, symbol, np.where(place >= 0, self.end + 1 + place, -1 - kind)).astype(np.int32)
+
     def base(self, counts) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
@@ -98,17 +109,16 @@ class Lexicon:
         return np.log10((counts + ALPHA) / (self.class_n[kind] + ALPHA * (self.class_v[kind] + 1)))
 
 
-def lexicon(counts: DataFrame, texts: int) -> Lexicon:
-    """From the counts of all words: at most FREQUENT rows and one a class come to the driver."""
-    frequent = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
-    frequent = list(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()))
+def lexicon(counts: DataFrame, texts: int, symbols: int = SYMBOLS, frequent: int = FREQUENT) -> Lexicon:
+    """From the counts of all words: at most `frequent` rows and one a class come to the driver."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word", "n", "class").toArrow()
+    rows = list(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), rows["class"].to_pylist()))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     classes = {r["class"]: [r["class"], r["n"], r["v"]] for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    kinds = dict(counts.join(F.broadcast(counts.sparkSession.createDataFrame([(h,) for h, _ in frequent[:SYMBOLS]], "word long")), "word").select("word", "class").collect()) if frequent else {}
-    for h, n in frequent[:SYMBOLS]:  # symbols of their own are in no class
-        classes[kinds[h]][1] -= n
-        classes[kinds[h]][2] -= 1
-    return Lexicon(frequent, list(classes.values()), texts, total + texts, distinct + (texts > 0))
+    for _, n, kind in rows[:symbols]:  # symbols of their own are in no class
+        classes[kind][1] -= n
+        classes[kind][2] -= 1
+    return Lexicon(rows, symbols, list(classes.values()), texts, total + texts, distinct + (texts > 0))
 
 
 class Model:
@@ -132,9 +142,24 @@ class Model:
     def of(start: np.ndarray, transition: np.ndarray, emission: np.ndarray) -> "Model":
         return Model(start / start.sum(), transition / transition.sum(1, keepdims=True), emission / emission.sum(0))
 
-    def forward_backward(self, symbols: list[np.ndarray], counts: tuple | None = None) -> np.ndarray:
+    def forward_backward(self, symbols: list[np.ndarray], counts: tuple | None = None, seen=None, emission: np.ndarray | None = None) -> np.ndarray:
         """The log10 probability of each symbol sequence (none is empty); with counts, (start, transition, emission), the
-        expected counts are added to them. All sequences step together, the long ones last."""
+        expected counts are added to them. seen(which, gamma) gets each sequence's state probabilities, by parts: which is
+        (sequences, places). emission: rows for symbols, if they are others than the model's.
+
+        Sequences of up to SEGMENT symbols step together, the long ones last; longer ones go alone, a segment at a time.
+        """
+        emission = self.emission if emission is None else emission
+        out = np.empty(len(symbols))
+        short = [k for k, s in enumerate(symbols) if len(s) <= SEGMENT]
+        if short:
+            out[short] = self._together([symbols[k] for k in short], np.array(short), counts, seen, emission)
+        for k, s in enumerate(symbols):
+            if len(s) > SEGMENT:
+                out[k] = self._alone(s, k, counts, seen, emission)
+        return out
+
+    def _together(self, symbols, numbers, counts, seen, emission) -> np.ndarray:
         lengths = np.array([len(s) for s in symbols])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
@@ -144,43 +169,87 @@ class Model:
         flat = np.empty(offsets[-1], np.int64)  # step by step: symbol t of all sequences that have one
         for i, k in enumerate(order):
             flat[offsets[: lengths[i]] + i] = symbols[k]
-        seen = self.emission[flat]
+        emitted = emission[flat]
         alpha, scale = np.empty((len(flat), states)), np.empty(len(flat))
-        a = self.start * seen[: alive[0]]
+        a = self.start * emitted[: alive[0]]
         for t in range(steps):
             if t:
                 a = a[: alive[t]] @ self.transition
-                a *= seen[offsets[t] : offsets[t + 1]]
+                a *= emitted[offsets[t] : offsets[t + 1]]
             c = a.sum(1)
             a /= c[:, None]
             alpha[offsets[t] : offsets[t + 1]], scale[offsets[t] : offsets[t + 1]] = a, c
-        logs = np.log10(scale)
-        owner = np.concatenate([np.arange(n) for n in alive]) if steps else np.zeros(0, int)
+        owner = np.concatenate([np.arange(n) for n in alive])
         out = np.empty(len(symbols))
-        out[order] = np.bincount(owner, logs, len(symbols))
+        out[order] = np.bincount(owner, np.log10(scale), len(symbols))
         if counts is not None:
-            self._backward(alpha, scale, seen, flat, alive, offsets, counts)
+            gamma = self._backward(alpha, scale, emitted, flat, alive, offsets, counts)
+            if seen:
+                seen((numbers[order][owner], np.repeat(np.arange(steps), alive)), gamma)
         return out
 
-    def _backward(self, alpha, scale, seen, flat, alive, offsets, counts) -> None:
+    def _backward(self, alpha, scale, emitted, flat, alive, offsets, counts) -> np.ndarray:
         start, transition, emission = counts
         steps, states = len(alive), len(self.start)
         beta = np.ones((alive[-1], states))
-        gamma = np.empty_like(alpha)
         back = self.transition.T.copy()
         for t in range(steps - 1, -1, -1):
             at = slice(offsets[t], offsets[t + 1])
-            gamma[at] = alpha[at] * beta
+            gamma = alpha[at] * beta
             if t:
-                u = seen[at] * beta
+                u = emitted[at] * beta
                 u /= scale[at, None]
                 transition += self.transition * (alpha[offsets[t - 1] : offsets[t - 1] + alive[t]].T @ u)
                 grown = np.ones((alive[t - 1], states))
                 grown[: alive[t]] = u @ back
                 beta = grown
-        start += gamma[: alive[0]].sum(0)
+            alpha[at] = gamma  # alpha isn't needed any more
+        start += alpha[: alive[0]].sum(0)
         for k in range(states):
-            emission[:, k] += np.bincount(flat, gamma[:, k], len(emission))
+            emission[:, k] += np.bincount(flat, alpha[:, k], len(emission))
+        return alpha
+
+    def _alone(self, symbols: np.ndarray, number: int, counts, seen, emission) -> float:
+        """One sequence: only what each segment begins with is kept, and a segment's steps are made again on the way back."""
+        cuts = [*range(0, len(symbols), SEGMENT), len(symbols)]
+        begins, logs = [self.start], 0.0  # begins: the state probabilities before each segment's first symbol
+        for a, b in zip(cuts, cuts[1:]):
+            alpha, scale = self._segment(begins[-1], emission[symbols[a:b]])
+            begins.append(alpha[-1] @ self.transition)
+            logs += float(np.log10(scale).sum())
+        if counts is None:
+            return logs
+        beta = np.ones(len(self.start))
+        for i in range(len(cuts) - 2, -1, -1):
+            a, b = cuts[i], cuts[i + 1]
+            emitted = emission[symbols[a:b]]
+            alpha, scale = self._segment(begins[i], emitted)
+            gamma = np.empty_like(alpha)
+            u = np.empty_like(alpha)
+            for t in range(b - a - 1, -1, -1):
+                gamma[t] = alpha[t] * beta
+                u[t] = emitted[t] * beta / scale[t]
+                beta = self.transition @ u[t]
+            counts[1][:] += self.transition * (alpha[:-1].T @ u[1:])
+            if i:  # from the last symbol of the segment before: begins[i] is its alpha times the transitions
+                last = self._segment(begins[i - 1], emission[symbols[cuts[i - 1] : a]])[0][-1]
+                counts[1][:] += self.transition * np.outer(last, u[0])
+            else:
+                counts[0][:] += gamma[0]
+            for k in range(len(self.start)):
+                counts[2][:, k] += np.bincount(symbols[a:b], gamma[:, k], len(counts[2]))
+            if seen:
+                seen((np.full(b - a, number), np.arange(a, b)), gamma)
+        return logs
+
+    def _segment(self, before: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
+        for t in range(len(emitted)):
+            a = before * emitted[t]
+            scale[t] = a.sum()
+            alpha[t] = a / scale[t]
+            before = alpha[t] @ self.transition
+        return alpha, scale
 
 
 def symbol_lists(w: Words, symbols: np.ndarray, end: int) -> list[np.ndarray]:
@@ -188,101 +257,162 @@ def symbol_lists(w: Words, symbols: np.ndarray, end: int) -> list[np.ndarray]:
     return [np.append(symbols[b[i] : b[i + 1]], end) for i in range(len(b) - 1)]
 
 
-def trained(docs: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, seed: int = 3) -> Model:
-    """Baum-Welch over all texts of docs. Each task sends one row a symbol, Spark sums them."""
+def trained(docs: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, seed: int = 3) -> tuple[Model, np.ndarray, DataFrame]:
+    """Baum-Welch over all texts of docs: the model, the expected counts of the classes by state, and a table of the other
+    words, (word, class, n, s0, s1, ...), their tokens by state. Each task sends a row a symbol and, in the last round, a row
+    a word; Spark sums them."""
     model = Model.first(lex, states, seed)
     context = docs.sparkSession.sparkContext
-    for _ in range(rounds if lex.texts else 0):
-        shared = context.broadcast((lex, model))
+    names = [f"s{k}" for k in range(states)]
+    kept = None
+    for number in range(rounds if lex.texts else 0):
+        shared, last = context.broadcast((lex, model)), number == rounds - 1
 
-        def run(batches):
+        def run(batches, last=last, shared=shared):
             lex, model = shared.value
             counts = np.zeros(states), np.zeros((states, states)), np.zeros(model.emission.shape)
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def merged():
+                h, c, g = (np.concatenate(x) for x in zip(*held))
+                h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                return h, c[first], np.stack([np.bincount(inverse, g[:, k], len(h)) for k in range(states)], axis=1)
+
+            def rows_of(row, word, g):
+                return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), word, *(pa.array(g[:, k].astype(np.float64)) for k in range(states))], ["row", "word", *names])
+
             for batch in batches:
                 found = binary_texts(batch.column("text"))
                 for a, b in in_slices(found, SLICE_BYTES):
                     w = words(found[a:b])
-                    model.forward_backward(symbol_lists(w, lex.look_up(w)[0], lex.end), counts)
+                    symbols = lex.look_up(w)[0]
+                    others = symbols >= lex.symbols
+                    each = np.zeros((len(symbols), states)) if last else None
+
+                    def seen(which, gamma, w=w, each=each):
+                        sequence, place = which
+                        inner = place < np.diff(w.bounds)[sequence]  # not the end
+                        each[w.bounds[sequence[inner]] + place[inner]] = gamma[inner]
+
+                    model.forward_backward(symbol_lists(w, symbols, lex.end), counts, seen if last else None)
+                    if last:
+                        held.append((w.hash[others], symbols[others] - lex.symbols, each[others]))
+                        held[:] = [merged()]
+                        if len(held[0][0]) > HELD_EXPECTED:
+                            h, c, g = held.pop()
+                            yield rows_of(-1 - c, pa.array(h.view(np.int64)), g)
+            if held:
+                h, c, g = held.pop()
+                yield rows_of(-1 - c, pa.array(h.view(np.int64)), g)
             rows = np.concatenate([counts[2], counts[1], counts[0][None]])
             used = np.flatnonzero(rows.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[used, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
+            yield rows_of(used, pa.nulls(len(used), pa.int64()), rows[used])
 
-        names = [f"s{k}" for k in range(states)]
-        sums = docs.select("text").mapInArrow(run, ", ".join(["row int", *(f"{k} double" for k in names)])).groupBy("row").agg(*[F.sum(k).alias(k) for k in names]).toArrow()
+        schema = ", ".join(["row int, word long", *(f"{k} double" for k in names)])
+        sums = docs.select("text").mapInArrow(run, schema).groupBy("row", "word").agg(*[F.sum(k).alias(k) for k in names])
+        if last:
+            sums = kept = materialise(sums, "expected")
+        sums = sums.where("row >= 0").toArrow()
         rows = np.zeros((lex.end + 1 + states + 1, states))
         rows[sums["row"].to_numpy()] = np.stack([sums[k].to_numpy() for k in names], axis=1)
         n = lex.end + 1
         model = Model.of(rows[n + states] + ALPHA, rows[n : n + states] + ALPHA, rows[:n] + ALPHA / 10)
         shared.unpersist()
-    return model
+    if kept is None:
+        kept = docs.sparkSession.createDataFrame([], ", ".join(["row int, word long", *(f"{k} double" for k in names)]))
+        return model, np.zeros((CLASSES, states)), _other_words(kept, names)
+    return model, rows[lex.symbols : lex.end], _other_words(kept, names)
+
+
+def _other_words(sums: DataFrame, names: list[str]) -> DataFrame:
+    total = sum((F.col(k) for k in names), F.lit(0.0))
+    return sums.where("row < 0").select("word", (-1 - F.col("row")).alias("class"), F.round(total).cast("long").alias("n"), *names)
+
+
+def leaning(expected: np.ndarray, n: np.ndarray, kind: np.ndarray, by_class: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
+    """What each state makes of words of the given classes: (words, states). expected: their tokens by state; n: in all. A class's
+    words, times their shares, add up to one in each state."""
+    usual = by_class / np.maximum(by_class.sum(1, keepdims=True), 1e-300)  # each state's share of a class's tokens
+    usual = usual[kind]
+    own = np.divide(expected, usual, out=np.repeat(n[:, None].astype(float), expected.shape[1], axis=1), where=usual > 1e-12)
+    return ((1 - shrink) * own + shrink * n[:, None] + ALPHA) / (n[:, None] + ALPHA)
 
 
 @whole
-def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the rows whose crc32(doc_id) mod modulus isn't remainder. A null or empty text is the end token alone.
-    Repeated rows count and are scored each; an empty table gives no rows; other columns are not read. Where nothing is
-    left to learn from, all tokens are unknown and the model is uniform. Sums of the same numbers in another order may
-    differ in their last digits.
+    Learns from the rows whose crc32(doc_id) mod modulus isn't remainder. A null or empty text is the end token alone. A very
+    long text is scored whole, its states a segment at a time. Repeated rows count and are scored each; an empty table gives
+    no rows; other columns are not read. Where nothing is left to learn from, all tokens are unknown and the model is uniform.
+    Sums of the same numbers in another order may differ in their last digits.
     """
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
     training = docs.where("not held_out")
     counts = materialise(word_counts(training), "words")
-    lex = lexicon(counts, training.select("doc_id").count())
-    model = trained(training, lex, states, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((lex, model))
-
-    def run(batches):
-        """For each document a row of its own (tf 0) with what the task knows, and one for each of its rare words."""
-        lex, model = shared.value
+    lex = lexicon(counts, training.select("doc_id").count(), symbols, frequent)
+    model, by_class, others = trained(training, lex, states, rounds)
+    names = [f"s{k}" for k in range(states)]
+    context = docs.sparkSession.sparkContext
+    few = docs.sparkSession.createDataFrame([(int(h),) for h in lex.hashes.view(np.int64)], "word long")  # at most `frequent`
+    known = others.join(F.broadcast(few), "word").toArrow()
+    own = np.ones((len(lex.hashes), states))
+    at = np.searchsorted(lex.hashes, known["word"].to_numpy().view(np.uint64))
+    own[at] = leaning(np.stack([known[k].to_numpy() for k in names], axis=1), lex.counts[at], lex.kinds[at], by_class)
+    emission = np.concatenate([model.emission, model.emission[lex.symbols + lex.kinds] * own])
+    shared = context.broadcast((lex, model, emission, by_class))
+
+    def coded(batches):
+        lex = shared.value[0]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            found, ids, out = binary_texts(batch.column("text")), batch.column("doc_id"), batch.column("held_out")
+            found = binary_texts(batch.column("text"))
             for a, b in in_slices(found, SLICE_BYTES):
                 w = words(found[a:b])
-                symbols, place, kind = lex.look_up(w)
-                n_docs = b - a
-                owner = w.owner()
-                seen = place >= 0
-                known = lex.counts[place[seen]]
-                logs = np.bincount(owner[seen], lex.base(known), n_docs) + lex.base(np.array(lex.texts))
-                classed = seen & (symbols >= lex.symbols)
-                scores = model.forward_backward(symbol_lists(w, symbols, lex.end)) + np.bincount(owner[classed], lex.share(lex.counts[place[classed]], kind[classed]), n_docs)
-                sizes = np.diff(w.bounds) + 1
-                numbers = row + np.arange(n_docs)
-                row += n_docs
-                pair = np.empty(int((~seen).sum()), [("owner", np.int64), ("hash", np.uint64)])
-                pair["owner"], pair["hash"] = owner[~seen], w.hash[~seen]
-                pair, first, tf = np.unique(pair, return_index=True, return_counts=True)
-                m, kinds = len(pair), kind[~seen][first]
-                none = np.zeros(m)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([numbers, numbers[pair["owner"]]])),
-                        pa.array(np.concatenate([numbers, pair["hash"].view(np.int64)])),
-                        pa.array(np.concatenate([np.zeros(n_docs), tf]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(n_docs), kinds]).astype(np.int32)),
-                        pa.concat_arrays([ids[a:b], pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([out[a:b], pa.nulls(m, pa.bool_())]),
-                        pa.array(np.concatenate([sizes, none]).astype(np.int64)),
-                        pa.array(np.concatenate([np.bincount(owner[seen], minlength=n_docs) + (lex.texts > 0), none]).astype(np.int64)),
-                        pa.array(np.concatenate([logs, none])),
-                        pa.array(np.concatenate([scores, none])),
-                    ],
-                    ["row", "word", "tf", "kind", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-    rows = docs.mapInArrow(run, "row long, word long, tf int, kind int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    rare = counts.select(F.col("word").alias("w"), "n")
-    rows = rows.join(rare, (F.col("word") == F.col("w")) & (F.col("tf") > 0), "left")
-    c = F.coalesce("n", F.lit(0)) + F.lit(ALPHA)
-    kinds = F.array(*[F.lit(float(x)) for x in lex.class_n + ALPHA * (lex.class_v + 1)])
-    rows = rows.select(
-        "row", "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        (F.col("base_score") + F.col("tf") * F.log10(c / F.lit(lex.total + ALPHA * (lex.distinct + 1)))).alias("base_score"),
-        (F.col("score") + F.col("tf") * F.log10(c / F.element_at(kinds, F.col("kind") + 1))).alias("score"),
-    )
-    sums = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base_score", "score")])
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")
+                code = lex.codes(w)
+                rare = code < 0
+                offsets = lambda bounds: pa.array(bounds.astype(np.int32))
+                codes = pa.ListArray.from_arrays(offsets(w.bounds + np.arange(b - a + 1)), pa.array(np.insert(code, w.bounds[1:], lex.end)))
+                hashes = pa.ListArray.from_arrays(offsets(np.concatenate([[0], np.cumsum(rare)])[w.bounds]), pa.array(w.hash[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b - a)), batch.column("doc_id")[a:b], batch.column("held_out")[a:b], codes, hashes], ["row", "doc_id", "held_out", "codes", "hashes"])
+                row += b - a
+
+    def scored(batches):
+        lex, model, emission, by_class = shared.value
+        first_rare = len(emission)
+        by_code = np.zeros(first_rare, np.int64)
+        by_code[lex.order[lex.order < lex.symbols]] = lex.counts[lex.order < lex.symbols]
+        by_code[lex.end], by_code[lex.end + 1 :] = lex.texts, lex.counts
+        kind_of = np.concatenate([np.full(lex.end + 1, -1), lex.kinds])
+        for batch in batches:
+            lists = batch.column("codes")
+            code, bounds = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+            code, bounds = code, bounds - bounds[0]
+            met = batch.column("found").flatten()
+            word, at = np.unique(met.field("word").to_numpy().view(np.uint64), return_index=True)
+            kind, n = (met.field(k).to_numpy()[at].astype(np.int64) for k in ("class", "n"))
+            own = leaning(np.stack([met.field(k).to_numpy()[at] for k in names], axis=1), n, kind, by_class)
+            every = np.concatenate([emission, model.emission[lex.symbols + kind] * own])
+            rare = np.flatnonzero(code < 0)
+            h = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+            place = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
+            there = word[place] == h if len(word) else np.zeros(len(h), bool)
+            token_kind = np.where(code >= 0, kind_of[np.maximum(code, 0)], -1 - code)
+            code[rare] = np.where(there, first_rare + place, lex.symbols + token_kind[rare])
+            count = np.concatenate([by_code, n])[code]
+            sums = lambda x: np.add.reduceat(x, bounds[:-1])  # no document is without its end
+            classed = token_kind >= 0
+            share = np.zeros(len(code))
+            share[classed] = lex.share(count[classed], token_kind[classed])
+            scores = model.forward_backward(np.split(code, bounds[1:-1]), emission=every) + sums(share)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds)), pa.array(sums((count > 0).astype(np.int64))), pa.array(sums(lex.base(count))), pa.array(scores)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    rows = materialise(docs.mapInArrow(coded, "row long, doc_id long, held_out boolean, codes array<int>, hashes array<long>"), "codes")
+    asked = rows.select("row", F.explode(F.array_distinct("hashes")).alias("word"))
+    found = asked.join(others, "word").groupBy("row").agg(F.collect_list(F.struct("word", "class", "n", *names)).alias("found"))  # a document's words
+    rows = rows.join(found, "row", "left").select("doc_id", "held_out", "codes", "hashes", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    out = rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -279,6 +279,96 @@ def test_forward_and_backward_are_the_sums_over_paths():
     assert np.allclose(counts[1], want_t) and np.allclose(counts[2], want_e)
 
 
+def test_long_sequences_go_by_segments(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = hmm_lm.Model.of(rng.random(3), rng.random((3, 3)), rng.random((5, 3)))
+    sequences = [rng.integers(0, 5, n) for n in (3, 40, 41, 1, 7)]
+    results = []
+    for segment in (1 << 16, 8):
+        monkeypatch.setattr(hmm_lm, "SEGMENT", segment)
+        counts, gammas = (np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))), {}
+
+        def seen(which, gamma, gammas=gammas):
+            gammas |= {(k, t): g for k, t, g in zip(which[0].tolist(), which[1].tolist(), gamma)}
+
+        logs = model.forward_backward(sequences, counts, seen)
+        results.append([logs, *counts, np.array([gammas[k, t] for k, s in enumerate(sequences) for t in range(len(s))])])
+    assert all(np.allclose(x, y) for x, y in zip(*results))
+
+
+def test_language_model_scores_are_those_of_a_plain_restatement(spark, no_docs):
+    """Baum-Welch, the words' leanings and the forward recursion in loops, with few symbols, so that most words are in tables."""
+    import random
+
+    import numpy as np
+
+    from fathom.llm.wordhash import words
+
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    docs = [(i, " ".join(rng.choice(vocabulary[(i % 2) * 12 :][:18]) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(60, "never seen"), (61, None)]
+    states, rounds, n_symbols, n_frequent = 3, 2, 4, 9
+    found = {w: words([w.encode()]) for w in {*vocabulary, "never", "seen"}}
+    number, kind = {w: int(f.hash.view(np.int64)[0]) for w, f in found.items()}, {w: int(hmm_lm.word_class(f)[0]) for w, f in found.items()}
+    split = {i: (t or "").split() for i, t in docs}
+    train = [i for i in split if zlib.crc32(str(i).encode()) % 10]
+    n = Counter(w for i in train for w in split[i])
+    ranked = sorted(n, key=lambda w: (-n[w], number[w]))
+    top = {w: k for k, w in enumerate(ranked[:n_symbols])}
+    classes = {c: [c, sum(n[w] for w in n if kind[w] == c and w not in top), sum(kind[w] == c and w not in top for w in n)] for c in {kind[w] for w in n}}
+    lex = hmm_lm.Lexicon([(number[w], n[w], kind[w]) for w in ranked[:n_frequent]], n_symbols, list(classes.values()), len(train), sum(n.values()) + len(train), len(n) + 1)
+    symbol = lambda w: top.get(w, n_symbols + kind[w])
+    model = hmm_lm.Model.first(lex, states, 3)
+
+    def passes(emitted):
+        alpha, beta = [model.start * emitted[0]], [np.ones(states)]
+        for e in emitted[1:]:
+            alpha.append((alpha[-1] @ model.transition) * e)
+        for e in emitted[:0:-1]:
+            beta.insert(0, model.transition @ (e * beta[0]))
+        return alpha, beta, alpha[-1].sum()
+
+    for _ in range(rounds):
+        start, transition, emission, by_word, by_class = np.zeros(states), np.zeros((states, states)), np.zeros(model.emission.shape), {}, np.zeros((hmm_lm.CLASSES, states))
+        for i in train:
+            seq = [*map(symbol, split[i]), lex.end]
+            emitted = model.emission[seq]
+            alpha, beta, total = passes(emitted)
+            start += alpha[0] * beta[0] / total
+            for t, k in enumerate(seq):
+                g = alpha[t] * beta[t] / total
+                emission[k] += g
+                if t:
+                    transition += np.outer(alpha[t - 1], emitted[t] * beta[t]) * model.transition / total
+                if n_symbols <= k < lex.end:
+                    by_word[split[i][t]] = by_word.get(split[i][t], 0) + g
+                    by_class[k - n_symbols] += g
+        model = hmm_lm.Model.of(start + 0.1, transition + 0.1, emission + 0.01)
+    wanted = {}
+    for i, ws in split.items():
+        emitted, share = [], 0.0
+        for w in ws:
+            e = model.emission[symbol(w)].copy()
+            if w not in top:
+                c = classes.get(kind[w], [0, 0, 0])
+                share += math.log10((n[w] + 0.1) / (c[1] + 0.1 * (c[2] + 1)))
+                if w in by_word:
+                    usual = by_class[kind[w]] / by_class[kind[w]].sum()
+                    e *= (0.7 * by_word[w] / usual + 0.3 * n[w] + 0.1) / (n[w] + 0.1)
+            emitted.append(e)
+        wanted[i] = share + math.log10(passes([*emitted, model.emission[lex.end]])[2])
+    got = hmm_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=states, rounds=rounds, symbols=n_symbols, frequent=n_frequent).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(wanted, rel=1e-6)
+    for c in range(hmm_lm.CLASSES):  # a class's words and its one unseen word have a probability of one together, in each state
+        own = [w for w in by_word if kind[w] == c]
+        if own:
+            usual = by_class[c] / by_class[c].sum()
+            size = classes[c][1] + 0.1 * (classes[c][2] + 1)
+            assert sum((0.7 * by_word[w] / usual + 0.3 * n[w] + 0.1) / size for w in own) + 0.1 / size == pytest.approx(np.ones(states))
+
+
 def test_language_model_beats_unigrams(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     base, model = hmm_lm.score(docs).where("held_out").selectExpr("sum(base_score)", "sum(score)").first()
