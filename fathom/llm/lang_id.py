@@ -10,14 +10,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import hash_threshold, held_out, whole, texts
+from fathom.llm.common import held_out, texts, whole
 
 BITS = 16
 STEPS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
-SAMPLE_DOCS, EPOCHS = 6_000, 3
+SAMPLE_DOCS, LEAST, EPOCHS = 6_000, 50, 3
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -123,15 +123,20 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """docs: (doc_id, text, lang) to learn from; rows without text or lang are left out.
 
-    Document frequencies and the list of languages cover all of docs. The weights are fitted on a uniform sample of at most
-    sample_docs documents (a documented bound); of rows that share a doc_id the one with the least text counts there.
+    Document frequencies and the list of languages cover all of docs. The weights are fitted on a seeded sample of about
+    sample_docs documents (a documented bound), as many of each language, LEAST or more, or all that there are; of rows that
+    share a doc_id the one with the least text counts there.
     """
     docs = docs.where("text is not null and lang is not null")
     languages = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
     df, n = document_frequency(docs)
     model = Model(languages, np.log((1 + n) / (1 + df)) + 1)
-    key, last = hash_threshold(docs.select("doc_id"), sample_docs)
-    sample = docs.where(key <= last).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "one.text", "one.lang")
+    each = max(LEAST, sample_docs // max(1, len(languages)))
+    key = F.xxhash64(F.lit(11), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = Window.partitionBy("lang").orderBy(key, "doc_id")  # each task lets its first ones by language through
+    chosen = docs.select("doc_id", "lang").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("spoken"))
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("spoken")))
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "one.text", "one.lang")
     place = {x: i for i, x in enumerate(languages)}
 
     def featured(batches):
@@ -153,8 +158,8 @@ def predict(docs: DataFrame, modulus: int = 4, remainder: int = 2, sample_docs:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from text and lang of rows whose crc32(doc_id) mod modulus isn't remainder; a prediction reads the text alone.
-    Null texts, those without a letter, and all texts where there is nothing to learn from are `und` with score 0. Repeated
-    rows each give a row; an empty table gives none; other columns are not read.
+    Null texts, those without a letter, and all texts where there is nothing to learn from are `und` with score 0. Very long
+    texts are read whole. Repeated rows each give a row; an empty table gives none; other columns are not read.
     """
     docs = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where("not held_out").select("doc_id", "text", "lang"), sample_docs))

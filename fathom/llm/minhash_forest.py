@@ -24,7 +24,7 @@ HASHES = TREES * DEPTH
 REGION = 512
 BLOCK = 8
 LIKELY = 0.60
-GROUP_SHINGLES = 1_000_000
+GROUP_SHINGLES = 1 << 17
 SLICE_BYTES = 1 << 20
 
 _state = np.random.default_rng(20240607)
@@ -281,8 +281,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION,
     Two documents are linked where the Jaccard similarity of their sets of k-word shingles is percent / 100 or more.
     Words are runs of anything but space and \\x09-\\x0D, A-Z lower-cased. Null, empty and blank texts, and rows without a
     doc_id, link with nothing: their component is their own doc_id and they are kept. Repeated rows are exact copies; rows
-    that share a doc_id but not a text are judged by their own text. An empty table gives no rows. Other columns are not
-    read.
+    that share a doc_id but not a text are judged by their own text. A very long text is one set, held whole by one task. An
+    empty table gives no rows. Other columns are not read.
     """
     described = materialise(describe(docs, k), "described")
     real = described.where("cid is not null and doc_id is not null")
@@ -294,9 +294,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION,
     named = one_of.join(parts, one_of.cid == parts.node, "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("part"))
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     lookup = named.join(least, "part").select("cid", "component_id")
-    own = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid"))
-    component = F.coalesce("component_id", "doc_id")
-    return own.join(lookup, "cid", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    linked = real.select("doc_id", "n_shingles", "cid").join(lookup, "cid").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    rest = described.where("cid is null or doc_id is null")  # apart, so that they are no key of the join
+    return linked.unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 @whole

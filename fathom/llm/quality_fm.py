@@ -149,7 +149,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     """One row per document: doc_id, held_out, score, predicted.
 
     A score reads the text and n_chars, never labels, lang, source or doc_id. Null and empty texts are scored by their
-    statistics alone. With nothing to learn from every score is 0.5. Repeated rows each give a row; an empty table gives
+    statistics alone, very long ones whole. With nothing to learn from every score is 0.5. Repeated rows each give a row; an empty table gives
     none; other columns are not read.
     """
     docs = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"))
@@ -168,7 +168,8 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 
 @whole
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all columns, whose score is threshold or more."""
+    """The rows of docs, with all columns, whose score is threshold or more. Null and empty texts are judged by their
+    statistics, repeated rows each; an empty table gives no rows."""
     machine = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")), labels))
 
     def run(batches):

@@ -330,7 +330,7 @@ def find(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """One row per document: doc_id, spans array<struct<kind, start, end>> in order of start, then kind.
 
     Offsets count code points; ends are exclusive. Null and empty texts have no spans. Without any labelled credential in
-    the sample only the fixed rules apply. Repeated rows each give a row; an empty table gives none; other columns are not
+    the sample only the fixed rules apply. A very long text, or run, is scanned whole. Repeated rows each give a row; an empty table gives none; other columns are not
     read.
     """
     return _found(docs, scanner or train(docs))

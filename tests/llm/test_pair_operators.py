@@ -213,3 +213,35 @@ def test_pipeline_stages(spark, sf):
     assert not any(base_spans(r.text) for r in clean.collect())
     assert sorted(r.decoded_sha256 for r in kept[5].collect()) == sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in mixed.collect())
     assert corpus_pipeline.run(spark, sf).count() == mixed.count()
+
+
+def test_stages_and_pipeline_on_an_empty_table(spark, no_docs, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, no_docs, str(tmp_path))
+        assert out.count() == 0 and (out.columns == no_docs.columns or i == len(corpus_pipeline.STAGES) - 1)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd_docs, sf):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and extra columns go through each stage."""
+    docs = odd_docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        assert out.columns == odd_docs.columns or i == len(corpus_pipeline.STAGES) - 1
+        assert out.count() >= 0
+
+
+def test_an_operator_leaves_its_result_alone_and_the_settings_as_they_were(spark, odd_docs, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from fathom.llm.common import BATCH_BYTES, shared_dir
+
+    folder = Path(urlparse(shared_dir(spark)).path)
+    before, size = {p.name for p in folder.iterdir()} if folder.exists() else set(), spark.conf.get(BATCH_BYTES)
+    out = minhash_forest.groups(odd_docs, 4)
+    left = {p.name for p in folder.iterdir()} - before
+    assert len(left) == 1 and next(iter(left)).startswith("groups-") and out.count() == odd_docs.count() and spark.conf.get(BATCH_BYTES) == size

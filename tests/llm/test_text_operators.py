@@ -408,3 +408,119 @@ def test_factorisation_identity():
         a, v = at[bounds[i] : bounds[i + 1]], x[bounds[i] : bounds[i + 1]]
         pairs = sum(machine.v[a[j]] @ machine.v[a[k]] * v[j] * v[k] for j in range(len(a)) for k in range(j))
         assert got[i] == pytest.approx(machine.bias + machine.w[a] @ v + pairs)
+
+
+def test_language_features_are_tf_idf_of_hashed_n_grams():
+    import numpy as np
+
+    def code(gram):
+        run = 0
+        for c, step in zip(gram, lang_id.STEPS):
+            run = (run + ord(c) + 1) * int(step) & 0xFFFFFFFF
+            run ^= run >> 15
+        return run >> 32 - lang_id.BITS
+
+    rng = np.random.default_rng(3)
+    idf = rng.uniform(1, 5, 1 << lang_id.BITS)
+    text = "Été in Łódź, straße 12"
+    low = text.lower()
+    tf = Counter(code(low[i : i + k]) for k in (1, 2, 3) for i in range(len(low) - k + 1))
+    raw = {f: (1 + math.log(n)) * idf[f] for f, n in tf.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    at, x = lang_id.Model(["a"], idf).features(text)
+    assert dict(zip(at.tolist(), x.tolist())) == pytest.approx({f: v / norm for f, v in raw.items()})
+
+
+def test_language_training_is_ftrl_with_elastic_net_and_a_temperature():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    width, languages, alpha, beta, l1, l2 = 12, ["a", "b", "c"], 0.5, 1.0, 0.02, 0.02
+    rows = []
+    for _ in range(300):
+        at = np.sort(rng.choice(width, 4, replace=False))
+        rows.append((at, rng.uniform(0, 1, 4), int(at[0] % 3 if rng.random() < 0.8 else rng.integers(3))))
+    model = lang_id.Model(languages, np.ones(width)).fit(rows, alpha, beta, l1, l2, epochs=2)
+    z, n = [[0.0] * 3 for _ in range(width + 1)], [[0.0] * 3 for _ in range(width + 1)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((beta + math.sqrt(n[i][k])) / alpha + l2)
+
+    def probabilities(s):
+        e = [math.exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    for _ in range(2):
+        for i, (at, x, y) in enumerate(rows):
+            if i % 10:
+                features = [*zip(at.tolist(), x.tolist()), (width, 1.0)]
+                w = {(f, k): weight(f, k) for f, _ in features for k in range(3)}
+                p = probabilities([sum(v * w[f, k] for f, v in features) for k in range(3)])
+                for f, v in features:
+                    for k in range(3):
+                        g = v * (p[k] - (k == y))
+                        z[f][k] += g - (math.sqrt(n[f][k] + g * g) - math.sqrt(n[f][k])) / alpha * w[f, k]
+                        n[f][k] += g * g
+    assert np.allclose(model.weights, [[weight(i, k) for k in range(3)] for i in range(width)]) and np.allclose(model.bias, [weight(width, k) for k in range(3)])
+
+    def loss(t):
+        return sum(-math.log(probabilities((model.logits(at, x) / t).tolist())[y]) for at, x, y in rows[::10])
+
+    assert all(loss(model.temperature) <= loss(model.temperature * f) + 1e-6 for f in (0.9, 0.99, 1.01, 1.1))
+
+
+def test_rare_languages_are_learnt(spark):
+    """A language of one document in some hundreds is drawn for the fit like any other."""
+    rows = [(i, "the cat sat on the mat with the dog " * 3, "en") for i in range(700)] + [(1000 + i, "žluťoučký kůň pěl ďábelské ódy " * 3, "cs") for i in range(4)]
+    got = lang_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=60).where("doc_id >= 1000").collect()
+    assert len(got) == 4 and all(r.lang_pred == "cs" for r in got)
+
+
+def test_factorisation_training_is_a_plain_restatement(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality_fm, "BATCH", 5)
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(17):
+        at = np.sort(rng.choice(30, 5, replace=False)).astype(np.int64)
+        rows.append((at, rng.uniform(0.1, 1, 5), int(at[0] % 2)))
+    start, machine = quality_fm.Machine(), quality_fm.Machine().fit(rows, epochs=3)
+    share = sum(y for _, _, y in rows) / len(rows)
+    bias, w, v = math.log(share / (1 - share)), start.w[:30].tolist(), start.v[:30].tolist()
+    w2, v2, factors = [1e-6] * 30, [[1e-6] * quality_fm.FACTORS for _ in range(30)], range(quality_fm.FACTORS)
+    for _ in range(3):
+        for first in range(0, len(rows), 5):
+            gw, gv, errors = Counter(), Counter(), []
+            for at, x, y in rows[first : first + 5]:
+                f = list(zip(at.tolist(), x.tolist()))
+                pairs = sum(sum(v[i][k] * v[j][k] for k in factors) * a * b for n, (i, a) in enumerate(f) for j, b in f[:n])
+                error = 1 / (1 + math.exp(-(bias + sum(w[i] * a for i, a in f) + pairs))) - y
+                errors.append(error)
+                for i, a in f:
+                    gw[i] += error * a
+                    for k in factors:
+                        gv[i, k] += error * a * sum(v[j][k] * b for j, b in f if j != i)
+            for i in gw:
+                g = gw[i] + 1e-4 * w[i]
+                w2[i] += g * g
+                w[i] -= 0.1 * g / math.sqrt(w2[i])
+            for i, k in gv:
+                g = gv[i, k] + 1e-4 * v[i][k]
+                v2[i][k] += g * g
+                v[i][k] -= 0.025 * g / math.sqrt(v2[i][k])
+            bias -= 0.01 * sum(errors) / len(errors)
+    assert machine.bias == pytest.approx(bias) and np.allclose(machine.w[:30], w) and np.allclose(machine.v[:30], v)
+
+
+def test_words_of_two_letters_in_a_row_have_hashes_of_their_own():
+    """Sequences that collide under every polynomial modulo 2**64."""
+    from fathom.llm.wordhash import words
+
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    found = words([one.encode(), one.translate(str.maketrans("ab", "ba")).encode(), b"x" * 300_000 + b" " + b"x" * 300_000])
+    assert found.hash[0] != found.hash[1] and found.hash[2] == found.hash[3] and found.bounds.tolist() == [0, 1, 2, 4]
