@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import numbers as N
 from fathom.functions import text as T
-from fathom.operators import agent, cohort, corpus, evaluation, graph, ml, retrieval
+from fathom.operators import agent, cohort, corpus, evaluation, graph, ml, order, retrieval
 from fathom.plans import QUERIES
 from fathom.sources import sse, tables
 
@@ -249,6 +249,122 @@ def test_dense_by_blocks_is_exact(spark, sf, block):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
 
 
+def test_saved_index_is_searched_as_it_is(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text").limit(5)
+    tables.save_index({"terms": retrieval.term_index(docs)}, str(tmp_path))
+    found = retrieval.search_index(tables.load_index(spark, ["terms"], str(tmp_path))["terms"], asked, 7)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.bm25(docs, asked, 7).collect())) and found.count()
+    assert retrieval.bm25(docs.where("false"), asked).count() == 0
+
+
+def test_fused_hits_keep_their_retrievers_scores(spark):
+    scored = lambda rows: spark.createDataFrame(rows, "qid long, id string, score double, rank int")
+    fused = retrieval.reciprocal_rank_fusion({"dense": scored([(1, "a", 0.91236, 0), (1, "b", 0.5, 1)]), "bm25": scored([(1, "b", 7.25, 0)])}, {"dense": 1.0, "bm25": 0.8}).collect()
+    assert {r.id: r.components for r in fused} == {"a": {"dense": 0.9124}, "b": {"dense": 0.5, "bm25": 7.25}}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=40), st.integers(1, 6))
+def test_dealing_is_greedy(sizes, folds):
+    load, wanted = [0] * folds, []
+    for size in sorted(sizes, reverse=True):
+        k = load.index(min(load))
+        load[k] += size
+        wanted.append((size, k))
+    got = []
+    for size, (first, turn) in sorted(ml.deal([(s, sizes.count(s)) for s in set(sizes)], folds).items(), reverse=True):
+        n = sizes.count(size)
+        got += [(size, first[i] if i < len(first) else turn[(i - len(first)) % len(turn)]) for i in range(n)]
+    assert got == wanted
+
+
+def test_folds_are_no_more_than_groups(spark):
+    rows = spark.createDataFrame([(g, i) for g in range(3) for i in range(4)], "subject long, id long")
+    assert sorted(r.fold for r in ml.grouped_folds(rows, "subject").collect()) == [0, 1, 2]
+
+
+@pytest.fixture(scope="module")
+def patients(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(240):
+        a, b = rng.normal(size=2)
+        rows.append((i, i // 3, int(rng.random() < 1 / (1 + math.exp(-(1.5 * a - 0.5)))), float(a), None if i % 11 == 0 else float(b)))
+    return spark.createDataFrame(rows, "id long, subject long, y int, a double, b double")
+
+
+def test_logistic_regression_is_the_penalised_balanced_fit(patients):
+    """Against Newton's method on the same objective: median imputation, standardised features, balanced classes, C = 0.3."""
+    rows = patients.collect()
+    middle = np.median([r.b for r in rows if r.b is not None])
+    x = np.array([[r.a, middle if r.b is None else r.b] for r in rows])
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    y = np.array([r.y for r in rows])
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    design, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(3)
+    penalty = np.diag([1 / 0.3, 1 / 0.3, 0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ w))
+        w -= np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + penalty, design.T @ (weight * (p - y)) + penalty @ w)
+    p = 1 / (1 + np.exp(-design @ w))
+    got = {r.id: r.p for r in ml.fit_logistic(patients, ["a", "b"], "y")(patients).collect()}
+    assert all(got[r.id] == pytest.approx(q, abs=2e-3) for r, q in zip(rows, p))
+
+
+def test_models_by_folds_are_measured_and_selected(spark, patients):
+    fit = lambda train: ml.fit_logistic(train, ["a", "b"], "y")
+    folds = ml.grouped_folds(patients, "subject")
+    out = ml.out_of_fold(patients, folds, "subject", fit)
+    assert sorted(r.id for r in out.select("id").collect()) == list(range(240))
+    row = ml.metrics(out, "y", "logistic").first()
+    p, y = (np.array(x) for x in zip(*[(r.p, r.y) for r in out.select("p", "y").collect()]))
+    pairs = (p[y == 1][:, None] > p[y == 0]) + 0.5 * (p[y == 1][:, None] == p[y == 0])
+    assert row.auc == pytest.approx(pairs.mean()) and row.brier == pytest.approx(((p - y) ** 2).mean()) and row.n == 240
+    assert row.low < row.auc < row.high and row.slope > 0 and row.observed == pytest.approx(y.mean())
+    results = spark.createDataFrame([("b", 0.2), ("a", 0.2), ("c", 0.3)], "model string, brier double")
+    assert ml.select_model(results).first().model == "a"
+    best = ml.top_features(fit(patients), ["a", "b"])
+    assert best[0][0] == "a" and best[0][1] > best[1][1] > 0
+    info = ml.model_info(results, best).first()
+    assert info.model == "a" and info.top_features[0].feature == "a"
+
+
+def test_calibration_slope_is_that_of_the_fit(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(4000):
+        m = rng.normal() * 2
+        rows.append((float(1 / (1 + math.exp(-m))), int(rng.random() < 1 / (1 + math.exp(-m / 2)))))
+    assert ml.calibration_slope(spark.createDataFrame(rows, "score double, label long")) == pytest.approx(0.5, abs=0.08)
+    assert ml.calibration_slope(spark.createDataFrame([(0.5, 1)], "score double, label long")) is None
+
+
+def test_bootstrap_interval_is_that_of_resampling(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random(300) < 0.4).astype(int)
+    s = np.round(rng.normal(size=300) + y, 2)
+    areas = []
+    for _ in range(1500):
+        at = rng.integers(0, 300, 300)
+        a, b = s[at][y[at] == 1], s[at][y[at] == 0]
+        areas.append(((a[:, None] > b).mean() + (a[:, None] == b).mean() / 2))
+    got = evaluation.auc_bootstrap(spark.createDataFrame(list(zip(s.tolist(), y.tolist())), "score double, label long")).first()
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(areas, [2.5, 97.5])), abs=0.012)
+
+
+def test_places_and_sums_by_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[int(rng.random() < 0.3)], int(x), i) for i, x in enumerate(rng.permutation(200))]
+    df = spark.createDataFrame(rows, "g string, x long, i long").repartition(5)
+    assert {r.x: r.position for r in order.positions(df, ["x"]).collect()} == {x: x for x in range(200)}
+    assert {r.x: r.below for r in order.running_sums(df, ["x"], {"below": F.col("x")}).collect()} == {x: x * (x - 1) // 2 for x in range(200)}
+    got = {r.g: (r.n, r.m, r.q) for r in order.quantiles(df, "g", "x", {"m": 0.5, "q": 0.95}).collect()}
+    for g in "ab":
+        values = [x for k, x, _ in rows if k == g]
+        assert got[g] == (len(values), pytest.approx(np.median(values)), pytest.approx(np.percentile(values, 95)))
+
+
 def test_every_stay_is_served(spark, sf):
     wanted = sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
     assert sorted(r.id for r in QUERIES["predict_serve"](spark, sf).select("id").collect()) == wanted
