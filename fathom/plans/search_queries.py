@@ -94,7 +94,7 @@ def normalise_vectors(spark, sf_dir):
     return vectors.unionByName(zeros).select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)), 5).alias("before"), F.round(F.sqrt(retrieval.dot(unit, unit)), 6).alias("after"))
 
 
-@query(f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL} SELECT f.qid, f.id, f.score, f.rank::INTEGER AS rank, round(dn.score, 4) AS dense, round(bm.score, 4) AS sparse FROM fused f LEFT JOIN dn USING (qid, id) LEFT JOIN bm USING (qid, id)")
+@query(f"WITH {BM25_SQL}, {DENSE_SQL}, {RRF_SQL} SELECT f.qid, f.id, f.score, f.rank::INTEGER AS rank, round(dn.score::DECIMAL(20, 6), 4)::DOUBLE AS dense, round(bm.score::DECIMAL(20, 6), 4)::DOUBLE AS sparse FROM fused f LEFT JOIN dn USING (qid, id) LEFT JOIN bm USING (qid, id)")
 def rrf_fuse(spark, sf_dir):
     return fused_hits(spark, sf_dir).select("qid", "id", "score", "rank", F.col("components")["dense"].alias("dense"), F.col("components")["bm25"].alias("sparse"))
 
