@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.text import TOKENS_PER_WORD, count_tokens, detect_section, normalize_breaks, quality_gate, split_sentences, stable_id, words
 from fathom.operators.order import positions_by
-from fathom.session import materialise
+from fathom.session import materialise, spread
 
 CHILD, OVERLAP, PARENT = 450, 60, 2000
 
@@ -40,7 +40,7 @@ def stratified(docs: DataFrame, limit: int, min_chars: int = 1200) -> DataFrame:
 
     Each source gives its quota by even stride through its usable documents in doc_id order.
     """
-    usable = docs.where(quality_gate(F.col("text"), min_chars).isNull()).select("doc_id", "source")
+    usable = spread(docs.select("doc_id", "source", "text")).where(quality_gate(F.col("text"), min_chars).isNull()).select("doc_id", "source")
     rows = positions_by(materialise(usable, "usable"), "source", ["doc_id"], "place")  # texts are read once
     given = quotas(rows.groupBy("source").agg(F.count("*").alias("n")), limit)
     rows = rows.join(F.broadcast(given), rows.source.eqNullSafe(given.source)).drop(given.source)  # one row a source
@@ -108,7 +108,7 @@ def pack(units: Column, limit: int, overlap: int = 0) -> Column:
 def chunk_documents(docs: DataFrame, separator: str = "\n\n", child: int = CHILD, overlap: int = OVERLAP, parent: int = PARENT) -> tuple[DataFrame, DataFrame]:
     """docs: (doc_id, text, title, source, url) -> parents and children, with stable ids. Blank texts have neither."""
     units = F.filter(F.transform(F.split(normalize_breaks(F.col("text")), separator), lambda p: F.trim(p)), lambda p: p != "")
-    rows = docs.select("doc_id", "title", "source", "url", units.alias("units"))
+    rows = spread(docs.select("doc_id", "title", "source", "url", "text")).select("doc_id", "title", "source", "url", units.alias("units"))
     blocks = rows.select("doc_id", "title", "source", "url", F.posexplode(pack(F.col("units"), parent)).alias("p", "block"))
     text = F.array_join("block", " ")
     parents = blocks.select(stable_id("p", F.col("doc_id"), F.col("p")).alias("parent_id"), "doc_id", text.alias("text"), "title", "source", detect_section(text).alias("section"), "p", "url")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokenize
-from fathom.session import materialise
+from fathom.session import materialise, spread
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
 BROADCAST_TERMS = 400_000
@@ -44,7 +44,7 @@ def term_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(dl[doc].astype(np.int32)), terms, pa.array(np.concatenate([np.ones(len(dl), np.int64), tf]))], ["id", "dl", "term", "tf"])
 
     key = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", tokenize(F.col("text")).alias("t")).mapInArrow(counted, f"id {key}, dl int, term string, tf long")
+    return spread(docs.select("id", "text")).select("id", tokenize(F.col("text")).alias("t")).mapInArrow(counted, f"id {key}, dl int, term string, tf long")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, block: int = 16_384) -> DataFrame:

@@ -34,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: a small file of few row groups is read by few. Larger tables stay as
+    they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it can go when the application has ended."""
+    return f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder, or the given one in it, and reads it back: what is read twice is computed once, and lost executors take nothing along."""
+    """Writes df as a table in the application's folder, or a given one, and reads it back: what is read twice is computed once,
+    the lineage is cut, and lost executors take nothing along."""
     spark = df.sparkSession
-    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
