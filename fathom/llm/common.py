@@ -1,45 +1,29 @@
 """Helpers that several operators share."""
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom import session
+
 #: A word is a run of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
 _folder: ContextVar[str | None] = ContextVar("fathom_folder", default=None)
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session, whose one process
-    sees its own disk, gets a folder of its own; any other is refused."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathom.shared.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = Path(tempfile.mkdtemp(prefix="fathom-")).as_uri()
-        spark.conf.set("fathom.shared.dir", path)
-    return path
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors.
+    """Writes df as a table of the application's folder in spark.checkpoint.dir and reads it back.
 
     Within an operator marked `whole` the table goes when the operator is done.
     """
-    spark = df.sparkSession
-    path = f"{_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return session.materialise(df, name, _folder.get())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -65,7 +49,7 @@ def small_batches(spark: SparkSession, size: str = "4m"):
 @contextmanager
 def scratch(spark: SparkSession):
     """A folder for tables that are needed no longer than this lasts."""
-    path = f"{_folder.get() or shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or session.own_dir(spark)}/work-{uuid.uuid4().hex}"
     held = _folder.set(path)
     try:
         yield

@@ -238,9 +238,10 @@ def test_an_operator_leaves_its_result_alone_and_the_settings_as_they_were(spark
     from pathlib import Path
     from urllib.parse import urlparse
 
-    from fathom.llm.common import BATCH_BYTES, shared_dir
+    from fathom.llm.common import BATCH_BYTES
+    from fathom.session import own_dir
 
-    folder = Path(urlparse(shared_dir(spark)).path)
+    folder = Path(urlparse(own_dir(spark)).path)
     before, size = {p.name for p in folder.iterdir()} if folder.exists() else set(), spark.conf.get(BATCH_BYTES)
     out = minhash_forest.groups(odd_docs, 4)
     left = {p.name for p in folder.iterdir()} - before
