@@ -195,7 +195,8 @@ def links(cut: DataFrame, pairs: DataFrame, kind: str, directions: np.ndarray, c
                 yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(n[used]), pa.array(ids[label[used]])], ["cid", "n", "other"])
 
     if small:
-        met = pairs.repartition("left", "right").join(F.broadcast(side("left", "l")), "left").join(F.broadcast(side("right", "r")), "right")
+        tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work a row: kept apart
+        met = pairs.repartition(tasks, "left", "right").join(F.broadcast(side("left", "l")), "left").join(F.broadcast(side("right", "r")), "right")
     else:
         met = pairs
         for name, short, other in (("left", "l", "right"), ("right", "r", "left")):
