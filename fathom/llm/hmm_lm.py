@@ -6,9 +6,10 @@ the class with its smoothed share of the class's training tokens, (c + 0.1) / (n
 makes of it. So each text has an exact probability: the scaled forward recursion's.
 
 Baum-Welch runs over all training texts: each task adds up its expected counts and Spark sums them by symbol. In the last round
-expected counts of every other training word go into a table of words and states, however many words there are: a state's
-share of a word's tokens, against its share of the class's, is what the state makes of that word. SHRINK of it is taken from
-the class. A word that training texts don't hold has the share of one unseen word, as in the base score, in every state.
+expected counts of every other word seen SEEN times or more go into a table of words and states, however many words there are:
+a state's share of a word's tokens, against its share of all such words' of the class, is what the state makes of that word.
+SHRINK of it is taken from the class. Rarer words are to all states what their class is. A word that training texts don't
+hold has the share of one unseen word, as in the base score, in every state.
 """
 
 import numpy as np
@@ -29,6 +30,7 @@ HELD_WORDS = 600_000
 HELD_EXPECTED = 200_000
 SHRINK = 0.3
 SEGMENT = 1 << 16
+SEEN, MARKS = 8, 1 << 22
 
 
 def word_class(found: Words) -> np.ndarray:
@@ -257,19 +259,29 @@ def symbol_lists(w: Words, symbols: np.ndarray, end: int) -> list[np.ndarray]:
     return [np.append(symbols[b[i] : b[i + 1]], end) for i in range(len(b) - 1)]
 
 
-def trained(docs: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, seed: int = 3) -> tuple[Model, np.ndarray, DataFrame]:
-    """Baum-Welch over all texts of docs: the model, the expected counts of the classes by state, and a table of the other
-    words, (word, class, n, s0, s1, ...), their tokens by state. Each task sends a row a symbol and, in the last round, a row
-    a word; Spark sums them."""
+def marks(counts: DataFrame, seen: int) -> np.ndarray:
+    """Flags, by the last bits of a word's hash, that hold for all words seen often enough; of fixed size. The more such words,
+    the more others share a flag with one: they only cost rows, which are left out later."""
+    found = counts.where(F.col("n") >= seen).select(F.col("word").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("mark")).distinct().toArrow()
+    out = np.zeros(MARKS, bool)
+    out[found["mark"].to_numpy()] = True
+    return out
+
+
+def trained(docs: DataFrame, lex: Lexicon, often: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 3, least: int = SEEN) -> tuple[Model, np.ndarray, DataFrame]:
+    """Baum-Welch over all texts of docs: the model, a table of the other words seen least times or more, (word, class, s0, s1,
+    ...), their tokens by state, and its sums by class. Each task sends a row a symbol and, in the last round, a row a word of
+    marks `often`; Spark sums them."""
     model = Model.first(lex, states, seed)
     context = docs.sparkSession.sparkContext
     names = [f"s{k}" for k in range(states)]
     kept = None
     for number in range(rounds if lex.texts else 0):
-        shared, last = context.broadcast((lex, model)), number == rounds - 1
+        last = number == rounds - 1
+        shared = context.broadcast((lex, model, often if last else None))
 
         def run(batches, last=last, shared=shared):
-            lex, model = shared.value
+            lex, model, often = shared.value
             counts = np.zeros(states), np.zeros((states, states)), np.zeros(model.emission.shape)
             held: list[tuple[np.ndarray, ...]] = []
 
@@ -286,7 +298,7 @@ def trained(docs: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = R
                 for a, b in in_slices(found, SLICE_BYTES):
                     w = words(found[a:b])
                     symbols = lex.look_up(w)[0]
-                    others = symbols >= lex.symbols
+                    others = (symbols >= lex.symbols) & often[(w.hash & np.uint64(MARKS - 1)).astype(np.int64)] if last else None
                     each = np.zeros((len(symbols), states)) if last else None
 
                     def seen(which, gamma, w=w, each=each):
@@ -320,18 +332,17 @@ def trained(docs: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = R
         shared.unpersist()
     if kept is None:
         kept = docs.sparkSession.createDataFrame([], ", ".join(["row int, word long", *(f"{k} double" for k in names)]))
-        return model, np.zeros((CLASSES, states)), _other_words(kept, names)
-    return model, rows[lex.symbols : lex.end], _other_words(kept, names)
-
-
-def _other_words(sums: DataFrame, names: list[str]) -> DataFrame:
     total = sum((F.col(k) for k in names), F.lit(0.0))
-    return sums.where("row < 0").select("word", (-1 - F.col("row")).alias("class"), F.round(total).cast("long").alias("n"), *names)
+    others = kept.where("row < 0").where(F.round(total) >= least).select("word", (-1 - F.col("row")).alias("class"), *names)  # its tokens are the sum
+    by_class = np.zeros((CLASSES, states))
+    for r in others.groupBy("class").agg(*[F.sum(k).alias(k) for k in names]).collect():
+        by_class[r["class"]] = [r[k] for k in names]
+    return model, by_class, others
 
 
 def leaning(expected: np.ndarray, n: np.ndarray, kind: np.ndarray, by_class: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
-    """What each state makes of words of the given classes: (words, states). expected: their tokens by state; n: in all. A class's
-    words, times their shares, add up to one in each state."""
+    """What each state makes of words of the given classes: (words, states). expected: their tokens by state; n: in all; by_class:
+    the same of all such words of a class. A class's words, times their shares, add up to one in each state."""
     usual = by_class / np.maximum(by_class.sum(1, keepdims=True), 1e-300)  # each state's share of a class's tokens
     usual = usual[kind]
     own = np.divide(expected, usual, out=np.repeat(n[:, None].astype(float), expected.shape[1], axis=1), where=usual > 1e-12)
@@ -339,7 +350,7 @@ def leaning(expected: np.ndarray, n: np.ndarray, kind: np.ndarray, by_class: np.
 
 
 @whole
-def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, frequent: int = FREQUENT, seen: int = SEEN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(doc_id) mod modulus isn't remainder. A null or empty text is the end token alone. A very
@@ -351,7 +362,7 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int =
     training = docs.where("not held_out")
     counts = materialise(word_counts(training), "words")
     lex = lexicon(counts, training.select("doc_id").count(), symbols, frequent)
-    model, by_class, others = trained(training, lex, states, rounds)
+    model, by_class, others = trained(training, lex, marks(counts, seen), states, rounds, least=seen)
     names = [f"s{k}" for k in range(states)]
     context = docs.sparkSession.sparkContext
     few = docs.sparkSession.createDataFrame([(int(h),) for h in lex.hashes.view(np.int64)], "word long")  # at most `frequent`
@@ -390,11 +401,18 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int =
             code, bounds = code, bounds - bounds[0]
             met = batch.column("found").flatten()
             word, at = np.unique(met.field("word").to_numpy().view(np.uint64), return_index=True)
-            kind, n = (met.field(k).to_numpy()[at].astype(np.int64) for k in ("class", "n"))
-            own = leaning(np.stack([met.field(k).to_numpy()[at] for k in names], axis=1), n, kind, by_class)
-            every = np.concatenate([emission, model.emission[lex.symbols + kind] * own])
+            n = met.field("n").to_numpy()[at].astype(np.int64)
             rare = np.flatnonzero(code < 0)
             h = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+            kind = np.zeros(len(word), np.int64)
+            where = np.searchsorted(word, h)
+            hit = np.flatnonzero(where < len(word))
+            hit = hit[word[where[hit]] == h[hit]]
+            kind[where[hit]] = -1 - code[rare[hit]]
+            own, leans = np.ones((len(word), len(names))), met.field("s").take(pa.array(at))
+            leant = np.flatnonzero(leans.is_valid().to_numpy(zero_copy_only=False))
+            own[leant] = leaning(leans.flatten().to_numpy().reshape(-1, len(names)).astype(np.float64), n[leant], kind[leant], by_class)
+            every = np.concatenate([emission, model.emission[lex.symbols + kind] * own])
             place = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
             there = word[place] == h if len(word) else np.zeros(len(h), bool)
             token_kind = np.where(code >= 0, kind_of[np.maximum(code, 0)], -1 - code)
@@ -412,7 +430,9 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int =
 
     rows = materialise(docs.mapInArrow(coded, "row long, doc_id long, held_out boolean, codes array<int>, hashes array<long>"), "codes")
     asked = rows.select("row", F.explode(F.array_distinct("hashes")).alias("word"))
-    found = asked.join(others, "word").groupBy("row").agg(F.collect_list(F.struct("word", "class", "n", *names)).alias("found"))  # a document's words
+    by_state = F.when(F.col("s0").isNotNull(), F.array(*[F.col(k).cast("float") for k in names])).alias("s")
+    met = asked.join(counts.select("word", "n").join(others.select("word", *names), "word", "left"), "word")
+    found = met.select("row", "word", "n", by_state).groupBy("row").agg(F.collect_list(F.struct("word", "n", "s")).alias("found"))  # a document's words
     rows = rows.join(found, "row", "left").select("doc_id", "held_out", "codes", "hashes", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
     out = rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -298,7 +298,8 @@ def test_long_sequences_go_by_segments(monkeypatch):
     assert all(np.allclose(x, y) for x, y in zip(*results))
 
 
-def test_language_model_scores_are_those_of_a_plain_restatement(spark, no_docs):
+@pytest.mark.parametrize("seen", [1, 12])
+def test_language_model_scores_are_those_of_a_plain_restatement(spark, seen):
     """Baum-Welch, the words' leanings and the forward recursion in loops, with few symbols, so that most words are in tables."""
     import random
 
@@ -343,8 +344,9 @@ def test_language_model_scores_are_those_of_a_plain_restatement(spark, no_docs):
                 if t:
                     transition += np.outer(alpha[t - 1], emitted[t] * beta[t]) * model.transition / total
                 if n_symbols <= k < lex.end:
-                    by_word[split[i][t]] = by_word.get(split[i][t], 0) + g
-                    by_class[k - n_symbols] += g
+                    if n[split[i][t]] >= seen:
+                        by_word[split[i][t]] = by_word.get(split[i][t], 0) + g
+                        by_class[k - n_symbols] += g
         model = hmm_lm.Model.of(start + 0.1, transition + 0.1, emission + 0.01)
     wanted = {}
     for i, ws in split.items():
@@ -359,14 +361,15 @@ def test_language_model_scores_are_those_of_a_plain_restatement(spark, no_docs):
                     e *= (0.7 * by_word[w] / usual + 0.3 * n[w] + 0.1) / (n[w] + 0.1)
             emitted.append(e)
         wanted[i] = share + math.log10(passes([*emitted, model.emission[lex.end]])[2])
-    got = hmm_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=states, rounds=rounds, symbols=n_symbols, frequent=n_frequent).collect()
+    got = hmm_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=states, rounds=rounds, symbols=n_symbols, frequent=n_frequent, seen=seen).collect()
     assert {r.doc_id: r.score for r in got} == pytest.approx(wanted, rel=1e-6)
     for c in range(hmm_lm.CLASSES):  # a class's words and its one unseen word have a probability of one together, in each state
-        own = [w for w in by_word if kind[w] == c]
-        if own:
+        own = [w for w in n if kind[w] == c and w not in top]
+        if own and by_class[c].any():
             usual = by_class[c] / by_class[c].sum()
             size = classes[c][1] + 0.1 * (classes[c][2] + 1)
-            assert sum((0.7 * by_word[w] / usual + 0.3 * n[w] + 0.1) / size for w in own) + 0.1 / size == pytest.approx(np.ones(states))
+            assert sum((0.7 * by_word[w] / usual + 0.3 * n[w] + 0.1 if w in by_word else n[w] + 0.1) / size for w in own) + 0.1 / size == pytest.approx(np.ones(states))
+    assert by_word and (seen == 1 or len(by_word) < len(n) - n_symbols)
 
 
 def test_language_model_beats_unigrams(spark):
