@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import binary_texts, held_out, in_slices, materialise, whole
 from fathom.llm.wordhash import Words, words
 
-STATES, ROUNDS, SYMBOLS, FREQUENT = 6, 3, 16_384, 131_072
+STATES, ROUNDS, SYMBOLS, FREQUENT = 6, 3, 16_384, 262_144
 LENGTHS, SHAPES = 16, 3
 CLASSES = LENGTHS * SHAPES
 ALPHA = 0.1
