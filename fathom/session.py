@@ -4,11 +4,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: The folder in which tables are written now, where it isn't the application's.
+working_folder: ContextVar[str | None] = ContextVar("fathom_folder", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,10 +50,28 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes df as a table in the application's folder, or a given one, and reads it back: what is read twice is computed once,
-    the lineage is cut, and lost executors take nothing along."""
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder for tables that are needed no longer than this lasts."""
+    path = f"{working_folder.get() or own_dir(spark)}/work-{uuid.uuid4().hex}"
+    held = working_folder.set(path)
+    try:
+        yield
+    finally:
+        working_folder.reset(held)
+        delete(spark, path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the application's folder, or in the `scratch` folder that is open, and reads it back: what is
+    read twice is computed once, the lineage is cut, and lost executors take nothing along."""
     spark = df.sparkSession
-    path = f"{folder or own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{working_folder.get() or own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
