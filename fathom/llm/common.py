@@ -1,37 +1,20 @@
 """Helpers that several operators share."""
 
-import uuid
 from contextlib import contextmanager
-from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom import session
+from fathom.session import materialise, scratch, working_folder
 
 #: A word is a run of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_folder: ContextVar[str | None] = ContextVar("fathom_folder", default=None)
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table of the application's folder in spark.checkpoint.dir and reads it back.
-
-    Within an operator marked `whole` the table goes when the operator is done.
-    """
-    return session.materialise(df, name, _folder.get())
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "4m"):
     """While this lasts texts go to Python in batches of about size, unless the session has a size of its own: the default,
@@ -46,32 +29,20 @@ def small_batches(spark: SparkSession, size: str = "4m"):
             spark.conf.unset(BATCH_BYTES)
 
 
-@contextmanager
-def scratch(spark: SparkSession):
-    """A folder for tables that are needed no longer than this lasts."""
-    path = f"{_folder.get() or session.own_dir(spark)}/work-{uuid.uuid4().hex}"
-    held = _folder.set(path)
-    try:
-        yield
-    finally:
-        _folder.reset(held)
-        _delete(spark, path)
-
-
 def whole(operator):
     """An operator, its first argument a DataFrame, whose result is written as one table of the shared folder, texts going to
     Python in small batches. All other tables it wrote are deleted then, and the session's settings are as before."""
 
     @wraps(operator)
     def run(df: DataFrame, *args, **kwargs) -> DataFrame:
-        outside = _folder.get()
+        outside = working_folder.get()
         with small_batches(df.sparkSession), scratch(df.sparkSession):
             out = operator(df, *args, **kwargs)
-            inside = _folder.set(outside)  # the result stays
+            inside = working_folder.set(outside)  # the result stays
             try:
                 return materialise(out, operator.__name__)
             finally:
-                _folder.reset(inside)
+                working_folder.reset(inside)
 
     return run
 
