@@ -111,3 +111,22 @@ def hash_threshold(ids: DataFrame, n: int, seed: int = 11) -> tuple[Column, int]
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     last = ids.select(key.alias("key")).orderBy("key").limit(n).agg(F.max("key")).first()[0]
     return key, -(1 << 63) if last is None else last
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, limit: int = 50_000) -> DataFrame:
+    """rows left-joined with the groups they belong to: one row a key, with a count of its rows in column `size`.
+
+    Up to limit groups are sent to all executors. Of more, those that hold over a limit-th of all grouped rows, of which there
+    can't be more than limit, are sent, so that no key of the shuffle that joins the others has more rows than that. Rows with
+    a null key belong to no group and don't move. groups is read several times: a written table.
+    """
+    n, total = groups.agg(F.count("*"), F.sum(size)).first()
+    if n <= limit:
+        return rows.join(F.broadcast(groups), key, "left")
+    hot = F.col(size) * limit > total
+    names = [*rows.columns, *[c for c in groups.columns if c != key]]
+    sent, keyed = groups.where(hot), rows.where(F.col(key).isNotNull())
+    in_hot = keyed.join(F.broadcast(sent), key).select(names)
+    in_cold = keyed.join(F.broadcast(sent.select(key)), key, "left_anti").join(groups.where(~hot), key, "left").select(names)
+    in_none = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(t).alias(c) for c, t in groups.dtypes if c != key])
+    return in_hot.unionByName(in_cold).unionByName(in_none)
