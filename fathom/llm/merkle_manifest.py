@@ -109,7 +109,7 @@ def _open_nodes(run: int, tree: str, first: int, leaves: int, nodes: Nodes) -> l
     return [{"run": run, "tree": tree, "first": first, "leaves": leaves, "level": k, "index": i, "hash": h, "top": k == height} for (k, i), h in nodes.items()]
 
 
-def _fold_run(key, rows: pa.Table, trees: pa.Table) -> pa.Table:
+def _fold_run(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
     of = {t["tree"]: t for t in trees.to_pylist()}
     out = []
     for tree, leaves in _by_tree(rows.select(["tree", "place", "leaf"]).to_pylist()).items():
@@ -120,7 +120,7 @@ def _fold_run(key, rows: pa.Table, trees: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, NODES)
 
 
-def _merge(key, rows: pa.Table) -> pa.Table:
+def _merge(key: tuple, rows: pa.Table) -> pa.Table:
     out = []
     for tree, part in _by_tree(rows.to_pylist()).items():
         nodes = {(r["level"], r["index"]): r["hash"] for r in part}
@@ -177,7 +177,7 @@ def _paths(part: list[dict], leaves: int, ways: list[dict]):
     return spread_paths(made, {(w["level"], w["index"]): linked(w["before"], w["after"]) for w in ways}), ways[0]["tops"]
 
 
-def _widen(key, nodes: pa.Table, ways: pa.Table) -> pa.Table:
+def _widen(key: tuple, nodes: pa.Table, ways: pa.Table) -> pa.Table:
     """The ways of the nodes that a round merged, from those of the nodes it made of them."""
     known, out = _by_tree(ways.to_pylist()), []
     for tree, part in _by_tree(nodes.drop_columns(["wide"]).to_pylist()).items():
@@ -188,7 +188,7 @@ def _widen(key, nodes: pa.Table, ways: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, WAYS)
 
 
-def _hand_down(key, rows: pa.Table, ways: pa.Table) -> pa.Table:
+def _hand_down(key: tuple, rows: pa.Table, ways: pa.Table) -> pa.Table:
     """The ways of a run's leaves."""
     known, members = _by_tree(ways.to_pylist()), defaultdict(list)
     for i, tree in enumerate(rows.column("tree").to_pylist()):
