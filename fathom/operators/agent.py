@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import CITATION, citations, strip
+from fathom.session import materialise
 
 THRESHOLD, MAX_REFORMULATIONS = 0.75, 2
 ABSTAIN = "INSUFFICIENT_EVIDENCE"
@@ -55,14 +56,16 @@ def run_loop(runs: DataFrame, draft: Callable[[DataFrame], DataFrame], judge: Ca
     """runs: (run_id, query, ...). Each pass drafts and judges the runs still open; at most max_reformulations + 1 passes.
 
     draft adds answer; judge adds groundedness; reformulate changes query. One row a run: run_id, answer, groundedness, best,
-    attempts, outcome, query (as it was last asked).
+    attempts, outcome, query (as it was last asked). Each pass is written before it is judged and before the next one begins:
+    a draft is made once, and the answer, its score and the decision are of the same draft, whatever made it.
     """
     best = F.lit(0.0)
     open_, done = runs.withColumn("best", best), None
     for attempt in range(1, max_reformulations + 2):
-        judged = judge(draft(open_.withColumn("attempt", F.lit(attempt))))
+        judged = judge(materialise(draft(open_.withColumn("attempt", F.lit(attempt))), "drafts"))
         score = F.when(F.col("answer") == ABSTAIN, 0.0).otherwise(F.coalesce("groundedness", F.lit(0.0)))
         judged = judged.withColumn("groundedness", score).withColumn("best", F.greatest("best", score)).withColumn("outcome", decision(score, F.col("attempt"), threshold, max_reformulations))
+        judged = materialise(judged, "judged")
         asked = F.col("query") if "query" in judged.columns else F.lit(None).cast("string")
         ended = judged.where("outcome <> 'reformulate'").select("run_id", "answer", "groundedness", "best", F.col("attempt").alias("attempts"), "outcome", asked.alias("query"))
         done = ended if done is None else done.unionByName(ended)

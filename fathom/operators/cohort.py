@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.numbers import coerce_pain, ratio
 from fathom.functions.text import COMPLAINTS, complaint_flag
+from fathom.session import materialise
 
 # Feature and column names that define the results.
 NUMERIC = ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "acuity")
@@ -65,11 +66,27 @@ def category_support(df: DataFrame, column: str, support: int, most: int = 10_00
     return found
 
 
-def long_one_hot(df: DataFrame, key: str, column: str, support: int) -> DataFrame:
-    """(key, category, flag): one row for each row of df and supported category."""
+def long_one_hot(df: DataFrame, key: str, column: str, support: int, page: int = 10_000) -> DataFrame:
+    """(key, category, flag): one row for each row of df and supported category, as a dense indicator matrix has them.
+
+    The categories are as many as there are; about `page` of them are a literal of the plan at a time.
+    """
+    own = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
+    wanted = materialise(supported(df, column, support), "categories")
+    pages = max(1, -(-wanted.count() // page))
+
+    def of(i: int) -> DataFrame:
+        some = [r[0] for r in wanted.where(F.pmod(F.xxhash64("category"), F.lit(pages)) == i).collect()]
+        rows = df.select(key, own.alias("own"), F.explode(F.lit(some).cast("array<string>")).alias("category"))
+        return rows.select(key, "category", (F.col("own") == F.col("category")).cast("double").alias("flag"))
+
+    return reduce(DataFrame.unionByName, map(of, range(pages)))
+
+
+def sparse_one_hot(df: DataFrame, key: str, column: str, support: int) -> DataFrame:
+    """(key, category) of the flags that are 1: a row of df whose category has support. Nothing grows with their number."""
     own = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    wanted = category_support(df, column, support)
-    return df.select(key, own.alias("own"), F.explode(F.lit(wanted).cast("array<string>")).alias("category")).select(key, "category", (F.col("own") == F.col("category")).cast("double").alias("flag"))
+    return df.select(key, own.alias("category")).join(supported(df, column, support), "category", "left_semi").select(key, "category")
 
 
 def one_hot(column: str, values: list[str]) -> list[Column]:

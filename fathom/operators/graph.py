@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import normalize_entity
+from fathom.session import materialise
 
 # Types and bounds that define the results.
 NODE_TYPES = ("condition", "medication", "symptom", "guideline_section")
@@ -11,10 +12,11 @@ EDGE_TYPES = ("treats", "contraindicated_with", "symptom_of", "references", "int
 MAX_NAME, MAX_NODES, PER_NODE = 90, 25, 3
 
 
-def build_nodes(entities: DataFrame) -> DataFrame:
+def build_nodes(entities: DataFrame, max_name: int | None = MAX_NAME) -> DataFrame:
     """entities: (name, type, chunk_id, seq) -> (key, label, node_type, chunk_ids). The first label and type by seq win;
-    chunk ids are the first PER_NODE * 2 mentions in order, repeats kept. Names that are blank or over MAX_NAME go."""
-    rows = entities.withColumn("key", normalize_entity(F.col("name"))).where((F.col("key") != "") & (F.length("name") <= MAX_NAME))
+    chunk ids are the first PER_NODE * 2 mentions in order, repeats kept. Names that are blank or over max_name go."""
+    rows = entities.withColumn("key", normalize_entity(F.col("name"))).where(F.col("key") != "")
+    rows = rows if max_name is None else rows.where(F.length("name") <= max_name)
     kind = F.when(F.col("type").isin(*NODE_TYPES), F.col("type")).otherwise("condition")
     place = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
     few = rows.withColumn("place", place).where(F.col("place") <= PER_NODE * 2).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
@@ -72,36 +74,50 @@ def match_entities(queries: DataFrame, nodes: DataFrame, limit: int) -> DataFram
     return found.select("qid", "key", score.cast("double").alias("score")).withColumn("place", place).where(F.col("place") <= limit)
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """seeds: (qid, key, place), edges: (src, rel, dst, weight): simple paths of one or two hops from the seeds.
+def traverse(seeds: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES, max_hops: int = 2) -> DataFrame:
+    """seeds: (qid, key, place), edges: (src, rel, dst, weight): simple paths of up to max_hops edges from the seeds.
 
     (qid, ordinal, nodes, rels, score): in the order of a breadth-first search, seed by seed; edges by descending weight,
     then name. The score is the last edge's weight over the number of nodes. The search ends when max_nodes different
     targets have been reached, which is a prefix of that order. Two nodes have one edge a relation at most, as build_edges
-    makes them: so a node's first (max_nodes + 1) * relations edges are all that can count. Queries with the same seeds, of
-    which each has a few, share one search.
+    makes them: so a node's first (max_nodes + max_hops) * relations edges are all that can count. Queries with the same
+    seeds, of which each has a few, share one search.
     """
     sets = seeds.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("seeds")).withColumn("set", F.to_json("seeds"))
     each = sets.groupBy("set").agg(F.first("seeds").alias("seeds")).select(F.col("set").alias("qid"), F.explode("seeds").alias("s")).select("qid", "s.place", "s.key")
-    paths = _search(each, edges, max_nodes).withColumnRenamed("qid", "set")
+    paths = _search(each, edges, max_nodes, max_hops).withColumnRenamed("qid", "set")
     return sets.select("qid", "set").join(paths, "set").select("qid", "ordinal", "nodes", "rels", "score")
 
 
-def _search(seeds: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
-    edges = edges.withColumn("e", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst", "rel")))
-    edges = edges.where(F.col("e") <= (max_nodes + 1) * len(EDGE_TYPES))
-    a, b = edges.alias("a"), edges.alias("b")
-    one = seeds.join(a, F.col("key") == F.col("a.src"))
-    step = lambda hop, e1, e2, nodes, rels, weight: (F.lit(hop).alias("hop"), e1.alias("e1"), e2.alias("e2"), F.array(*nodes).alias("nodes"), F.array(*rels).alias("rels"), (weight / len(nodes)).alias("score"))
-    first = one.select("qid", "place", *step(1, F.col("a.e"), F.lit(0), (F.col("a.src"), F.col("a.dst")), (F.col("a.rel"),), F.col("a.weight")))
-    two = one.join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") != F.col("a.src")))
-    second = two.select("qid", "place", *step(2, F.col("a.e"), F.col("b.e"), (F.col("a.src"), F.col("a.dst"), F.col("b.dst")), (F.col("a.rel"), F.col("b.rel")), F.col("b.weight")))
-    paths = first.unionByName(second).withColumn("target", F.element_at("nodes", -1))
-    order = Window.partitionBy("qid").orderBy("place", "hop", "e1", "e2")
-    paths = paths.withColumn("ordinal", F.row_number().over(order))
+def _prefix(paths: DataFrame, max_nodes: int) -> DataFrame:
+    """paths with their ordinal, without those before which max_nodes targets have been reached."""
+    order = Window.partitionBy("qid").orderBy("place", "hop", "es")
+    paths = paths.withColumn("ordinal", F.row_number().over(order)).withColumn("target", F.element_at("nodes", -1))
     new = (F.row_number().over(Window.partitionBy("qid", "target").orderBy("ordinal")) == 1).cast("int")
     met = F.coalesce(F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return paths.withColumn("new", new).withColumn("met", met).where(F.col("met") < max_nodes).select("qid", "ordinal", "nodes", "rels", "score")
+    return paths.withColumn("new", new).withColumn("met", met).where(F.col("met") < max_nodes).drop("new", "met", "target")
+
+
+def _search(seeds: DataFrame, edges: DataFrame, max_nodes: int, max_hops: int) -> DataFrame:
+    """Hop by hop: the paths that the last one added go on along the edges of their ends.
+
+    Of what stands before a path in the whole order, a part is known after each hop. Where that part reaches max_nodes
+    targets already, neither the path nor what follows from it can count, and both go before the next hop.
+    """
+    edges = edges.withColumn("e", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst", "rel")))
+    edges = edges.where(F.col("e") <= (max_nodes + max_hops) * len(EDGE_TYPES))
+    edges = materialise(edges.select("src", F.col("rel").alias("_rel"), F.col("dst").alias("_dst"), F.col("weight").alias("_weight"), "e"), "edges")
+    step = lambda hop: (F.lit(hop).alias("hop"), F.concat("es", F.array("e")).alias("es"), F.concat("nodes", F.array("_dst")).alias("nodes"), F.concat("rels", F.array("_rel")).alias("rels"), (F.col("_weight") / (hop + 1)).alias("score"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    ends = seeds.select("qid", "place", none("int").alias("es"), F.array("key").alias("nodes"), none("string").alias("rels"))
+    paths = None
+    for hop in range(1, max_hops + 1):
+        met = ends.withColumn("src", F.element_at("nodes", -1)).join(edges, "src").where(~F.array_contains("nodes", F.col("_dst"))).select("qid", "place", *step(hop))
+        paths = _prefix(met if paths is None else paths.unionByName(met), max_nodes)
+        if hop < max_hops:
+            paths = materialise(paths, "paths").drop("ordinal")
+            ends = paths.where(F.col("hop") == hop).select("qid", "place", "es", "nodes", "rels")
+    return paths.select("qid", "ordinal", "nodes", "rels", "score")
 
 
 def collect_chunk_ids(paths: DataFrame, nodes: DataFrame, best: int = 12, limit: int = 40) -> DataFrame:

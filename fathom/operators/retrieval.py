@@ -258,6 +258,20 @@ def hybrid(lists: dict[str, DataFrame], docs: DataFrame, weights: dict[str, floa
     return mmr(with_items(kept, docs).select("qid", "id", "rank", "item"), k)
 
 
+def fusion_blocks(lists: dict[str, DataFrame], docs: DataFrame, children: DataFrame, parents: DataFrame, weights: dict[str, float], k: int = TOP) -> DataFrame:
+    """The context of each query: (qid, position from 1, id, parent_id, score, components, text, matched_text, expanded).
+
+    docs, lists and weights as of `hybrid`; children: (id, parent_id, text); parents: (parent_id, text). text is the whole
+    passage that a hit stands for, or the hit's own where there is none. A list without hits adds nothing; a query without
+    any has no blocks. Only the texts of what was picked are read: they are joined last.
+    """
+    merged = materialise(deduplicate(reciprocal_rank_fusion(lists, weights).join(docs.select("id", "parent"), "id")).select("qid", "id", "rank", "score", "components"), "fused")
+    picked = mmr(with_items(merged, docs).select("qid", "id", "rank", "item"), k).select("qid", "id", (F.col("rank") + 1).alias("position"))
+    blocks = expand_parents(picked.join(merged.drop("rank"), ["qid", "id"]), children, parents)
+    matched = children.select("id", F.col("text").alias("matched_text"))
+    return blocks.join(matched, "id").select("qid", "position", "id", "parent_id", F.round("score", 4).alias("score"), "components", "text", "matched_text", "expanded")
+
+
 def ann(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.0, tables: int = 8, seed: int = 42) -> DataFrame:
     """vectors: (id, vector), queries: (qid, vector), all of length 1. Approximate search by random-projection buckets: a query
     meets the vectors that share a bucket in one of the tables. No distance is too far; a query whose buckets hold fewer than k
