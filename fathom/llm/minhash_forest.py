@@ -1,13 +1,19 @@
 """Near-duplicates by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
-Exact copies of a set are one class. Each class has TREES signatures of DEPTH min-hashes. A region is all classes that share
-the first BASE hashes in a tree. One of more than BLOCK * REGION members is dealt into blocks of that size, and each pair of
-blocks is a task's group, so that all pairs of a region meet, however large it is. Within a group, those whose signatures
-agree in less than LIKELY of all positions are let go (a true link falls below that with a probability under 1e-5); the
-others span a forest of candidate links, fewer than the group has members, however dense it is. The classes that candidates
-connect are then compared on their full sets until all links between different parts are known to be there or not. A pair
-at the threshold shares no region in any tree with a probability of (1 - 0.8**3)**16 = 1e-5; that is the miss rate of dense
-regions too.
+Exact copies of a set are one class. Each class has TREES signatures of DEPTH min-hashes, and stands in TREES sorted orders, one
+by each whole signature. Neighbours are those of the longest common prefix: a region, the classes that share a tree's first
+BASE hashes, is one run of its order, and is gone through in blocks of BLOCK * REGION classes at most. A region that is no
+larger is one block. A larger one is cut where neighbours share the fewest hashes, so the denser a region is, the deeper the
+prefix that its blocks share. Orders are range-partitioned by the whole signature where a region is large, so that none, however
+large, is one task's.
+
+Within a block, those whose signatures agree in less than LIKELY of all positions are let go (a true link falls below that
+with a probability under 1e-5); the others span a forest of candidate links, fewer than the block has members, however dense it
+is. Blocks part pairs of a large region. Where its classes aren't all connected by then, pairs of blocks dealt by hash are
+compared, each a task's group, what is connected already being passed over: so all pairs of a region meet, however large it is.
+The classes that candidates connect are then compared on their full sets until all links between different parts are known to
+be there or not. A pair at the threshold shares no region in any tree with a probability of (1 - 0.8**3)**16 = 1e-5; that is
+the miss rate of dense regions too.
 """
 
 import numpy as np
@@ -85,20 +91,25 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """For each class and tree: the tree, its first BASE hashes there (the region), the class, and one byte of each of its hashes."""
+    """For each class and tree: the tree, its first BASE hashes there (the region), the others, the class, and one byte of each
+    of its hashes."""
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, TREES, DEPTH * 4)
             low = [x.tobytes() for x in sig.reshape(len(sig), HASHES, 4)[:, :, 3]]
             for tree in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array([x.tobytes() for x in sig[:, tree, : 4 * BASE]], pa.binary()), batch.column("cid"), pa.array(low, pa.binary())], ["tree", "key", "cid", "low"])
+                first, rest = sig[:, tree, : 4 * BASE], sig[:, tree, 4 * BASE :]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(sig), tree, np.int32)), pa.array([x.tobytes() for x in first], pa.binary()), pa.array([x.tobytes() for x in rest], pa.binary()), batch.column("cid"), pa.array(low, pa.binary())], ["tree", "key", "deep", "cid", "low"]
+                )
 
-    return classes.select("cid", "signature").mapInArrow(run, "tree int, key binary, cid long, low binary")
+    return classes.select("cid", "signature").mapInArrow(run, "tree int, key binary, deep binary, cid long, low binary")
 
 
-def spanning(low: np.ndarray) -> list[tuple[int, int]]:
-    """A forest over the rows that connects those whose bytes agree in at least LIKELY of the positions, directly or not."""
+def spanning(low: np.ndarray, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest over the rows that connects those whose bytes agree in at least LIKELY of the positions, directly or not. Rows
+    of one label are connected already, and get no links for that."""
     rest, links = np.arange(len(low)), []
     left = low  # the rows of rest
     while len(rest):
@@ -106,59 +117,115 @@ def spanning(low: np.ndarray) -> list[tuple[int, int]]:
         while queue and len(rest):
             i = queue.pop()
             near = (left == low[i]).sum(axis=1) >= LIKELY * HASHES
-            if near.any():
+            if label is not None:
+                known = label[rest] == label[i]
+                links += [(i, j) for j in rest[near & ~known]]
+                near |= known
+            elif near.any():
                 links += [(i, j) for j in rest[near]]
+            if near.any():
                 queue += rest[near].tolist()
                 rest, left = rest[~near], left[~near]
     return links
 
 
+def cuts(prefix: np.ndarray, limit: int) -> list[int]:
+    """Where to cut sorted signatures (rows of bytes), so that no block has more than limit rows: each cut stands where, in the
+    second half of what a block may hold, neighbours share the fewest hashes."""
+    out, first = [], 0
+    while len(prefix) - first > limit:
+        span = prefix[first + limit // 2 : first + limit + 1]
+        same = (span[1:].view(">u4") == span[:-1].view(">u4")).reshape(len(span) - 1, -1)
+        shared = np.cumprod(same, axis=1).sum(axis=1)
+        first += limit // 2 + 1 + int(shared.argmin())
+        out.append(first)
+    return out
+
+
+def _sorted_runs(batches, by: list[str], found_in):
+    """Calls found_in(table) for each run of rows that agree in `by`, rows coming sorted by it; links as record batches."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, table]).combine_chunks() if held else table
+        starts = _run_starts(held, by)
+        yield _links_of(held, starts, found_in)
+        held = held.slice(starts[-1])  # the last run may go on
+    if held:
+        yield _links_of(held, np.append(_run_starts(held, by), len(held)), found_in)
+
+
+def _run_starts(table: pa.Table, by: list[str]) -> np.ndarray:
+    changes = np.zeros(max(0, len(table) - 1), bool)
+    for name in by:
+        column = table[name].combine_chunks()
+        values = np.frombuffer(b"".join(column.to_pylist()), f"V{4 * BASE}") if name == "key" else column.to_numpy()
+        changes |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(changes) + 1])
+
+
+def _links_of(table: pa.Table, starts: np.ndarray, found_in) -> pa.RecordBatch:
+    cid, found = table["cid"].to_numpy(), []
+    for i in np.flatnonzero(np.diff(starts) > 1):
+        a, b = int(starts[i]), int(starts[i + 1])
+        found += [(i + a, j + a) for i, j in found_in(table.slice(a, b - a))]
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(cid[at[:, 0]]), pa.array(cid[at[:, 1]])], ["a", "b"])
+
+
+def _bytes_of(table: pa.Table, name: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, width)
+
+
+def neighbour_links(rows: DataFrame, block: int) -> DataFrame:
+    """Candidate links (a, b) within the blocks of each tree's sorted order. rows: of forest_rows, `place` being what a large
+    region is spread by, and null in others, which so are never parted."""
+
+    def found_in(region: pa.Table):
+        low = _bytes_of(region, "low", HASHES)
+        at = [0, *cuts(_bytes_of(region, "deep", 4 * (DEPTH - BASE)), block), len(low)]
+        for a, b in zip(at, at[1:]):
+            yield from ((i + a, j + a) for i, j in spanning(low[a:b]))
+
+    def run(batches):
+        return _sorted_runs(batches, ["tree", "key"], found_in)
+
+    order = ["tree", "key", "place"]
+    return rows.repartitionByRange(*order).sortWithinPartitions("tree", "key", "deep", "cid").mapInArrow(run, "a long, b long")
+
+
+def links_across(rows: DataFrame) -> DataFrame:
+    """Candidate links between classes of different labels that share a large region. rows: (tree, key, blocks, cid, label, low)
+    of large regions. Each is dealt into blocks by hash, and each pair of them is a group."""
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by = ["tree", "key", "first", "second"]
+    rows = rows.select("tree", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "cid", "label", "low")
+
+    def run(batches):
+        return _sorted_runs(batches, by, lambda group: spanning(_bytes_of(group, "low", HASHES), group["label"].to_numpy()))
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(run, "a long, b long")
+
+
 def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
-    """Candidate links (a, b) between classes. A group is a region, or two blocks of one of more than BLOCK * region classes."""
+    """Candidate links (a, b) between classes: neighbours in the sorted orders, and then what large regions are still lacking."""
     block = BLOCK * region
     rows = forest_rows(classes)
     large = rows.groupBy("tree", "key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("tree", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     large = materialise(large, "regions")
     n_large = large.count()
-    if n_large:
-        rows = joined(rows, large, ["tree", "key"], "left", n_large)
-        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        rows = rows.select("tree", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "cid", "low")
-        by = ["tree", "key", "first", "second"]
-    else:
-        by = ["tree", "key"]
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]).combine_chunks() if held else table
-            starts = group_starts(held)
-            yield links_of(starts, held)
-            held = held.slice(starts[-1])  # the last group may go on
-        if held:
-            yield links_of(np.append(group_starts(held), len(held)), held)
-
-    def group_starts(table):
-        changes = np.zeros(max(0, len(table) - 1), bool)
-        for name in by:
-            column = table[name].combine_chunks()
-            values = np.frombuffer(b"".join(column.to_pylist()), f"V{4 * BASE}") if name == "key" else column.to_numpy()
-            changes |= values[1:] != values[:-1]
-        return np.concatenate([[0], np.flatnonzero(changes) + 1])
-
-    def links_of(starts, table):
-        cid, low = table["cid"].to_numpy(), np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(-1, HASHES)
-        found = []
-        for i in np.flatnonzero(np.diff(starts) > 1):
-            a, b = starts[i], starts[i + 1]
-            found += [(i + a, j + a) for i, j in spanning(low[a:b])]
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(cid[at[:, 0]]), pa.array(cid[at[:, 1]])], ["a", "b"])
-
-    grouped = rows.repartition(*by).sortWithinPartitions(*by, "cid")
-    return grouped.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tidy = lambda links: links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not n_large:
+        return tidy(neighbour_links(rows.withColumn("place", F.lit(None).cast("binary")), block))
+    rows = joined(rows, large, ["tree", "key"], "left", n_large).withColumn("place", F.when(F.col("blocks").isNotNull(), F.col("deep")))
+    near = materialise(tidy(neighbour_links(rows, block)), "neighbours")
+    labels = materialise(components(near), "near-parts")
+    dense = joined(rows.where("blocks is not null"), labels.withColumnRenamed("node", "cid"), "cid", "left", labels.count())
+    dense = materialise(dense.select("tree", "key", "blocks", "cid", F.coalesce("component", "cid").alias("label"), "low"), "dense")
+    several = dense.groupBy("tree", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("tree", "key")
+    rest = joined(dense, materialise(several, "several"), ["tree", "key"], "left_semi", n_large)
+    return near.unionByName(tidy(links_across(rest)))
 
 
 def linked_parts(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndarray:

@@ -87,6 +87,60 @@ def test_forest_misses_no_pair_of_a_large_region(spark):
     assert {tuple(r) for r in minhash_forest.candidates(df, region=4).collect()} == {(i, 300 + i) for i in range(20)}
 
 
+@pytest.mark.parametrize("limit", [3, 8, 50])
+def test_blocks_of_a_sorted_order_follow_its_common_prefixes(limit):
+    """No block is larger than the limit or, but for the last, smaller than half of it; and no cut in its reach is better."""
+    rng = np.random.default_rng(limit)
+    hashes = rng.integers(0, 3, (200, 3)).astype(">u4")
+    rows = np.array(sorted(hashes.tolist()), ">u4").view(np.uint8).reshape(200, 12)
+    at = [0, *minhash_forest.cuts(rows, limit), 200]
+    shared = lambda i: next((k for k in range(3) if (rows[i - 1, 4 * k : 4 * k + 4] != rows[i, 4 * k : 4 * k + 4]).any()), 3)
+    for a, b in zip(at, at[1:]):
+        assert b - a <= limit
+        if b < 200:
+            reach = range(a + limit // 2 + 1, a + limit + 1)
+            assert b in reach and shared(b) == min(map(shared, reach))
+
+
+def test_prefix_neighbours_are_the_links_of_each_sorted_order(spark):
+    """Small regions: exactly the likely pairs that share a tree's first hashes are connected, as by brute force; a block deals
+    with neighbours alone."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, (12, minhash_forest.TREES, minhash_forest.DEPTH), dtype=np.uint32)
+    sigs = np.repeat(base, 10, axis=0)
+    changed = rng.random(sigs.shape) < rng.choice([0.05, 0.2, 0.35, 0.6], (120, 1, 1))
+    sigs[changed] = rng.integers(0, 1 << 32, changed.sum(), dtype=np.uint32)
+    same = (sigs[:, None].astype(">u4").view(np.uint8).reshape(120, 1, -1, 4)[..., 3] == sigs[None].astype(">u4").view(np.uint8).reshape(1, 120, -1, 4)[..., 3]).sum(-1) >= minhash_forest.LIKELY * minhash_forest.HASHES
+    met = (sigs[:, None, :, : minhash_forest.BASE] == sigs[None, :, :, : minhash_forest.BASE]).all(-1).any(-1)
+    links = [(i, j) for j in range(120) for i in range(j) if same[i, j] and met[i, j]]
+    wanted = least_labels(range(120), links)
+    df = spark.createDataFrame([(i, bytearray(x.astype(">u4").tobytes())) for i, x in enumerate(sigs)], "cid long, signature binary")
+    for region in (512, 1):
+        got = [tuple(r) for r in minhash_forest.candidates(df, region=region).collect()]
+        assert least_labels(range(120), got) == wanted and {p for p in got if not same[p]} == set()
+
+
+def test_forest_recall_in_a_dense_region_at_default_settings(spark):
+    """6,000 classes in one region of every tree, beyond a block; 200 pairs that agree in 0.8 of their other hashes on average, and
+    which the sorted orders' blocks mostly part: all are found that agree in LIKELY of all positions."""
+    rng = np.random.default_rng(11)
+    n, pairs = 6000, 200
+    sigs = rng.integers(0, 1 << 32, (n, minhash_forest.TREES, minhash_forest.DEPTH), dtype=np.uint32)
+    sigs[:, :, : minhash_forest.BASE] = 7
+    sigs[:, :, minhash_forest.BASE + 1 :] = rng.integers(0, 1 << 32, (n, minhash_forest.TREES, minhash_forest.DEPTH - minhash_forest.BASE - 1), dtype=np.uint32)
+    sigs[n - pairs :] = sigs[:pairs]
+    changed = rng.random((pairs, minhash_forest.TREES, minhash_forest.DEPTH)) < 0.2
+    changed[:, :, : minhash_forest.BASE] = False
+    sigs[n - pairs :][changed] = rng.integers(0, 1 << 32, changed.sum(), dtype=np.uint32)
+    sigs[:, 1:, 0] = np.arange(n)[:, None]  # apart in all trees but the first
+    sigs[n - pairs :, 1:, 0] = np.arange(pairs)[:, None] + (np.arange(1, minhash_forest.TREES) % 5 == 0) * n
+    df = spark.createDataFrame([(i, bytearray(x.astype(">u4").tobytes())) for i, x in enumerate(sigs)], "cid long, signature binary")
+    got = {tuple(r) for r in minhash_forest.candidates(df).collect()}
+    low = sigs.astype(">u4").view(np.uint8).reshape(n, -1, 4)[..., 3]
+    likely = {(i, n - pairs + i) for i in range(pairs) if (low[i] == low[n - pairs + i]).sum() >= minhash_forest.LIKELY * minhash_forest.HASHES}
+    assert len(likely) > 150 and likely <= got
+
+
 def test_forest_on_odd_rows(spark, odd_docs, no_docs):
     got = minhash_forest.groups(odd_docs, 4).collect()
     assert len(got) == odd_docs.count() and minhash_forest.groups(no_docs, 4).count() == 0
