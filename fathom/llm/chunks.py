@@ -10,6 +10,7 @@ from fathom.llm.common import Generations
 #: A cut goes before a space that white space doesn't follow: the pattern always starts a match there.
 CUT = regex.compile(r" (?=\S)")
 ODD_SPACE = regex.compile(r" \s")
+CACHED_LENGTH = 1024
 
 
 def parts(text: str) -> list[str]:
@@ -55,6 +56,9 @@ def encode_batch(batch: list[str], cache: Generations, encode_parts) -> list[np.
     missing = cache.absent(found)
     cache.update(zip(missing, encode_parts(missing), strict=True))
     coded = list(map(cache.__getitem__, found))
+    for part in missing:
+        if len(part) > CACHED_LENGTH:  # what is that long doesn't recur, and a cache of few entries would hold much
+            del cache[part]
     cache.age()
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     pool = np.frombuffer(b"".join(coded), "<u4")

@@ -5,17 +5,17 @@ texts, a class for each shape of all other words, and the end. A word of a class
 the class with its smoothed share of the class's training tokens, (c + 0.1) / (n + 0.1 * (v + 1)), times what the state
 makes of it. So each text has an exact probability: the scaled forward recursion's.
 
-Baum-Welch runs over all training texts: each task adds up its expected counts and Spark sums them by symbol. In the last round
-expected counts of every other word seen SEEN times or more go into a table of words and states, however many words there are:
-a state's share of a word's tokens, against its share of all such words' of the class, is what the state makes of that word.
-SHRINK of it is taken from the class. Rarer words are to all states what their class is. A word that training texts don't
-hold has the share of one unseen word, as in the base score, in every state.
+Texts are turned into numbers once, and all that follows reads these. Baum-Welch runs over all training texts: each task adds up
+its expected counts and Spark sums them by symbol. In the last round expected counts of every other training word go into a
+table of words and states, however many words there are and however seldom they are seen: a state's share of a word's tokens,
+against its share of all such words' of the class, is what the state makes of that word. SHRINK of it is taken from the class.
+A word that training texts don't hold has the share of one unseen word, as in the base score, in every state.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import binary_texts, held_out, in_slices, materialise, whole
@@ -30,7 +30,7 @@ HELD_WORDS = 600_000
 HELD_EXPECTED = 200_000
 SHRINK = 0.3
 SEGMENT = 1 << 16
-SEEN, MARKS = 8, 1 << 22
+PARTS = 256  # of a token: how finely a rare word's tokens are told apart by state, so that sums are exact
 
 
 def word_class(found: Words) -> np.ndarray:
@@ -91,18 +91,19 @@ class Lexicon:
         self.end = self.symbols + CLASSES
         self.texts, self.total, self.distinct = texts, total, distinct
 
-    def look_up(self, found: Words):
-        """Each word's symbol, its place among the frequent (-1: it is not), and its class."""
+    def codes(self, found: Words) -> np.ndarray:
+        """Each word as one number: a symbol; end + 1 + its place among the hashes, if it is frequent but none; else -1 - its class."""
         at = np.minimum(np.searchsorted(self.hashes, found.hash), max(0, len(self.hashes) - 1))
         known = self.hashes[at] == found.hash if len(self.hashes) else np.zeros(len(found.hash), bool)
-        kind = word_class(found)
         rank = self.order[at] if len(self.hashes) else at
-        return np.where(known & (rank < self.symbols), rank, self.symbols + kind), np.where(known, at, -1), kind
+        return np.where(known, np.where(rank < self.symbols, rank, self.end + 1 + at), -1 - word_class(found)).astype(np.int32)
 
-    def codes(self, found: Words) -> np.ndarray:
-        """Each word as one number: a symbol; end + 1 + its place, if it is frequent but none; else -1 - its class."""
-        symbol, place, kind = self.look_up(found)
-        return np.where(symbol < self.symbols, symbol, np.where(place >= 0, self.end + 1 + place, -1 - kind)).astype(np.int32)
+    def symbols_of(self, code: np.ndarray) -> np.ndarray:
+        """The symbols of codes: frequent words that are none, and rarer ones, are their class."""
+        out = np.where(code >= 0, code, self.symbols - 1 - code)
+        frequent = code > self.end
+        out[frequent] = self.symbols + self.kinds[code[frequent] - self.end - 1]
+        return out
 
     def base(self, counts) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
@@ -254,90 +255,149 @@ class Model:
         return alpha, scale
 
 
-def symbol_lists(w: Words, symbols: np.ndarray, end: int) -> list[np.ndarray]:
-    b = w.bounds
-    return [np.append(symbols[b[i] : b[i + 1]], end) for i in range(len(b) - 1)]
+def coded(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(row, doc_id, held_out, codes, hashes): each text's codes and its end's, and the hashes of its rare words in their order."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
+    def run(batches):
+        lex = shared.value
+        row = TaskContext.get().partitionId() << 40
+        offsets = lambda bounds: pa.array(bounds.astype(np.int32))
+        for batch in batches:
+            found = binary_texts(batch.column("text"))
+            for a, b in in_slices(found, SLICE_BYTES):
+                w = words(found[a:b])
+                code = lex.codes(w)
+                rare = code < 0
+                codes = pa.ListArray.from_arrays(offsets(w.bounds + np.arange(b - a + 1)), pa.array(np.insert(code, w.bounds[1:], lex.end)))
+                hashes = pa.ListArray.from_arrays(offsets(np.concatenate([[0], np.cumsum(rare)])[w.bounds]), pa.array(w.hash[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b - a)), batch.column("doc_id")[a:b], batch.column("held_out")[a:b], codes, hashes], ["row", "doc_id", "held_out", "codes", "hashes"])
+                row += b - a
 
-def marks(counts: DataFrame, seen: int) -> np.ndarray:
-    """Flags, by the last bits of a word's hash, that hold for all words seen often enough; of fixed size. The more such words,
-    the more others share a flag with one: they only cost rows, which are left out later."""
-    found = counts.where(F.col("n") >= seen).select(F.col("word").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("mark")).distinct().toArrow()
-    out = np.zeros(MARKS, bool)
-    out[found["mark"].to_numpy()] = True
-    return out
+    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, codes array<int>, hashes array<long>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts and where each text's begin and end."""
+    lists = batch.column("codes")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy().astype(np.int64), bounds - bounds[0]
+
+
+def in_parts(gamma: np.ndarray) -> np.ndarray:
+    """State probabilities in whole PARTS, which make one token together."""
+    upto = np.rint(np.cumsum(gamma, axis=1) * PARTS)
+    upto[:, -1] = PARTS
+    return np.diff(upto, axis=1, prepend=0) / PARTS
+
+
+class Expected:
+    """Expected tokens by state of one task's words: frequent ones by place, others by hash."""
+
+    def __init__(self, lex: Lexicon, states: int):
+        self.lex, self.frequent = lex, np.zeros((len(lex.hashes), states))
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, code: np.ndarray, hashes: np.ndarray, rare_at: np.ndarray, at: np.ndarray, gamma: np.ndarray) -> None:
+        """gamma: state probabilities of the tokens at `at`; rare_at: for each token, how many before it are rare."""
+        c = code[at]
+        often, rare = c > self.lex.end, c < 0
+        place = c[often] - self.lex.end - 1
+        for k in range(gamma.shape[1]):
+            self.frequent[:, k] += np.bincount(place, gamma[often, k], len(self.frequent))
+        self.held.append((hashes[rare_at[at[rare]]], -1 - c[rare], in_parts(gamma[rare])))
+        self.size += int(rare.sum())
+
+    def taken(self, least: int = 0):
+        """The sums by hash, which go, if least words or more are held: (hashes, classes, tokens by state)."""
+        if self.size <= 2 * least or not self.held:
+            return None
+        h, c, g = (np.concatenate(x) for x in zip(*self.held))
+        h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        found = h, c[first], np.stack([np.bincount(inverse, g[:, k], len(h)) for k in range(g.shape[1])], axis=1)
+        self.held, self.size = ([], 0) if len(h) > least else ([found], len(h))
+        return found if not self.held else None
 
 
-def trained(docs: DataFrame, lex: Lexicon, often: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 3, least: int = SEEN) -> tuple[Model, np.ndarray, DataFrame]:
-    """Baum-Welch over all texts of docs: the model, a table of the other words seen least times or more, (word, class, s0, s1,
-    ...), their tokens by state, and its sums by class. Each task sends a row a symbol and, in the last round, a row a word of
-    marks `often`; Spark sums them."""
+def trained(rows: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, seed: int = 3) -> tuple[Model, np.ndarray, DataFrame]:
+    """Baum-Welch over rows (codes, hashes): the model; tokens by state of the frequent words; and a table of all other words,
+    (word, class, s0, s1, ...), with theirs. Each task sends a row a symbol and, in the last round, a row a word; Spark sums
+    them."""
     model = Model.first(lex, states, seed)
-    context = docs.sparkSession.sparkContext
+    context = rows.sparkSession.sparkContext
     names = [f"s{k}" for k in range(states)]
-    kept = None
+    schema = ", ".join(["row int, word long", *(f"{k} double" for k in names)])
+    n, kept, frequent = lex.end + 1, None, np.zeros((len(lex.hashes), states))
     for number in range(rounds if lex.texts else 0):
         last = number == rounds - 1
-        shared = context.broadcast((lex, model, often if last else None))
+        shared = context.broadcast((lex, model))
 
         def run(batches, last=last, shared=shared):
-            lex, model, often = shared.value
+            lex, model = shared.value
             counts = np.zeros(states), np.zeros((states, states)), np.zeros(model.emission.shape)
-            held: list[tuple[np.ndarray, ...]] = []
-
-            def merged():
-                h, c, g = (np.concatenate(x) for x in zip(*held))
-                h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                return h, c[first], np.stack([np.bincount(inverse, g[:, k], len(h)) for k in range(states)], axis=1)
+            expected = Expected(lex, states)
 
             def rows_of(row, word, g):
-                return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), word, *(pa.array(g[:, k].astype(np.float64)) for k in range(states))], ["row", "word", *names])
+                return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), word, *(pa.array(g[:, k]) for k in range(states))], ["row", "word", *names])
 
             for batch in batches:
-                found = binary_texts(batch.column("text"))
-                for a, b in in_slices(found, SLICE_BYTES):
-                    w = words(found[a:b])
-                    symbols = lex.look_up(w)[0]
-                    others = (symbols >= lex.symbols) & often[(w.hash & np.uint64(MARKS - 1)).astype(np.int64)] if last else None
-                    each = np.zeros((len(symbols), states)) if last else None
-
-                    def seen(which, gamma, w=w, each=each):
-                        sequence, place = which
-                        inner = place < np.diff(w.bounds)[sequence]  # not the end
-                        each[w.bounds[sequence[inner]] + place[inner]] = gamma[inner]
-
-                    model.forward_backward(symbol_lists(w, symbols, lex.end), counts, seen if last else None)
-                    if last:
-                        held.append((w.hash[others], symbols[others] - lex.symbols, each[others]))
-                        held[:] = [merged()]
-                        if len(held[0][0]) > HELD_EXPECTED:
-                            h, c, g = held.pop()
-                            yield rows_of(-1 - c, pa.array(h.view(np.int64)), g)
-            if held:
-                h, c, g = held.pop()
-                yield rows_of(-1 - c, pa.array(h.view(np.int64)), g)
-            rows = np.concatenate([counts[2], counts[1], counts[0][None]])
-            used = np.flatnonzero(rows.any(1))
-            yield rows_of(used, pa.nulls(len(used), pa.int64()), rows[used])
-
-        schema = ", ".join(["row int, word long", *(f"{k} double" for k in names)])
-        sums = docs.select("text").mapInArrow(run, schema).groupBy("row", "word").agg(*[F.sum(k).alias(k) for k in names])
+                code, bounds = _flat(batch)
+                if not len(code):
+                    continue
+                hashes, rare_at = batch.column("hashes").flatten().to_numpy(), np.cumsum(code < 0) - (code < 0)
+
+                def seen(which, gamma, code=code, bounds=bounds, hashes=hashes, rare_at=rare_at):
+                    expected.add(code, hashes, rare_at, bounds[which[0]] + which[1], gamma)
+
+                model.forward_backward(np.split(lex.symbols_of(code), bounds[1:-1]), counts, seen if last else None)
+                if found := expected.taken(HELD_EXPECTED):
+                    yield rows_of(-1 - found[1], pa.array(found[0]), found[2])
+            if found := expected.taken():
+                yield rows_of(-1 - found[1], pa.array(found[0]), found[2])
+            sums = np.concatenate([counts[2], counts[1], counts[0][None], *([expected.frequent] if last else [])])
+            used = np.flatnonzero(sums.any(1))
+            yield rows_of(used, pa.nulls(len(used), pa.int64()), sums[used])
+
+        sums = rows.select("codes", "hashes").mapInArrow(run, schema).groupBy("row", "word").agg(*[F.sum(k).alias(k) for k in names])
         if last:
             sums = kept = materialise(sums, "expected")
-        sums = sums.where("row >= 0").toArrow()
-        rows = np.zeros((lex.end + 1 + states + 1, states))
-        rows[sums["row"].to_numpy()] = np.stack([sums[k].to_numpy() for k in names], axis=1)
-        n = lex.end + 1
-        model = Model.of(rows[n + states] + ALPHA, rows[n : n + states] + ALPHA, rows[:n] + ALPHA / 10)
+        sums = sums.where("row >= 0").toArrow()  # a row a symbol, state and frequent word
+        table = np.zeros((n + states + 1 + len(frequent), states))
+        table[sums["row"].to_numpy()] = np.stack([sums[k].to_numpy() for k in names], axis=1)
+        model = Model.of(table[n + states] + ALPHA, table[n : n + states] + ALPHA, table[:n] + ALPHA / 10)
+        frequent = table[n + states + 1 :]
         shared.unpersist()
     if kept is None:
-        kept = docs.sparkSession.createDataFrame([], ", ".join(["row int, word long", *(f"{k} double" for k in names)]))
-    total = sum((F.col(k) for k in names), F.lit(0.0))
-    others = kept.where("row < 0").where(F.round(total) >= least).select("word", (-1 - F.col("row")).alias("class"), *names)  # its tokens are the sum
-    by_class = np.zeros((CLASSES, states))
-    for r in others.groupBy("class").agg(*[F.sum(k).alias(k) for k in names]).collect():
-        by_class[r["class"]] = [r[k] for k in names]
-    return model, by_class, others
+        kept = rows.sparkSession.createDataFrame([], schema)
+    return model, frequent, kept.where("row < 0").select("word", (-1 - F.col("row")).alias("class"), *names)
+
+
+def packed(names: list[str], n: Column) -> Column:
+    """A word's shares by state as one long: whole parts of 2**bits - 1, which are one together."""
+    bits = 60 // len(names)
+    upto, before, out = F.lit(0.0), F.lit(0), F.lit(0)
+    for k, name in enumerate(names):
+        upto = upto + F.col(name)
+        now = F.round(upto / n * F.lit((1 << bits) - 1)).cast("long")
+        out = out + F.shiftleft(now - before, bits * k)
+        before = now
+    return out
+
+
+def unpacked(p: np.ndarray, states: int) -> np.ndarray:
+    bits = 60 // states
+    return np.stack([(p >> (bits * k)) & ((1 << bits) - 1) for k in range(states)], axis=1) / ((1 << bits) - 1)
+
+
+def sums_by_class(others: DataFrame, states: int) -> np.ndarray:
+    """Tokens by class and state of all words of others (class, n, p)."""
+    bits = 60 // states
+    share = [(F.shiftright("p", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) * F.col("n")).alias(f"s{k}") for k in range(states)]
+    out = np.zeros((CLASSES, states))
+    for r in others.select("class", *share).groupBy("class").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).collect():
+        out[r["class"]] = [r[f"s{k}"] / ((1 << bits) - 1) for k in range(states)]
+    return out
 
 
 def leaning(expected: np.ndarray, n: np.ndarray, kind: np.ndarray, by_class: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
@@ -350,7 +410,7 @@ def leaning(expected: np.ndarray, n: np.ndarray, kind: np.ndarray, by_class: np.
 
 
 @whole
-def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, frequent: int = FREQUENT, seen: int = SEEN) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(doc_id) mod modulus isn't remainder. A null or empty text is the end token alone. A very
@@ -362,31 +422,18 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int =
     training = docs.where("not held_out")
     counts = materialise(word_counts(training), "words")
     lex = lexicon(counts, training.select("doc_id").count(), symbols, frequent)
-    model, by_class, others = trained(training, lex, marks(counts, seen), states, rounds, least=seen)
-    names = [f"s{k}" for k in range(states)]
-    context = docs.sparkSession.sparkContext
-    few = docs.sparkSession.createDataFrame([(int(h),) for h in lex.hashes.view(np.int64)], "word long")  # at most `frequent`
-    known = others.join(F.broadcast(few), "word").toArrow()
+    rows = materialise(coded(docs, lex), "codes")
+    model, tokens, expected = trained(rows.where("not held_out"), lex, states, rounds)
+    n = sum((F.col(f"s{k}") for k in range(states)), F.lit(0.0))  # a word's parts make its tokens
+    others = materialise(expected.select("word", "class", F.round(n).cast("long").alias("n"), packed([f"s{k}" for k in range(states)], n).alias("p")), "others")
+    by_class = sums_by_class(others, states)
+    none = np.zeros(len(lex.hashes), bool)
+    none[lex.order < lex.symbols] = True
+    np.add.at(by_class, lex.kinds[~none], tokens[~none])
     own = np.ones((len(lex.hashes), states))
-    at = np.searchsorted(lex.hashes, known["word"].to_numpy().view(np.uint64))
-    own[at] = leaning(np.stack([known[k].to_numpy() for k in names], axis=1), lex.counts[at], lex.kinds[at], by_class)
+    own[~none] = leaning(tokens[~none], lex.counts[~none], lex.kinds[~none], by_class) if lex.texts else 1
     emission = np.concatenate([model.emission, model.emission[lex.symbols + lex.kinds] * own])
-    shared = context.broadcast((lex, model, emission, by_class))
-
-    def coded(batches):
-        lex = shared.value[0]
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            found = binary_texts(batch.column("text"))
-            for a, b in in_slices(found, SLICE_BYTES):
-                w = words(found[a:b])
-                code = lex.codes(w)
-                rare = code < 0
-                offsets = lambda bounds: pa.array(bounds.astype(np.int32))
-                codes = pa.ListArray.from_arrays(offsets(w.bounds + np.arange(b - a + 1)), pa.array(np.insert(code, w.bounds[1:], lex.end)))
-                hashes = pa.ListArray.from_arrays(offsets(np.concatenate([[0], np.cumsum(rare)])[w.bounds]), pa.array(w.hash[rare].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b - a)), batch.column("doc_id")[a:b], batch.column("held_out")[a:b], codes, hashes], ["row", "doc_id", "held_out", "codes", "hashes"])
-                row += b - a
+    shared = docs.sparkSession.sparkContext.broadcast((lex, model, emission, by_class))
 
     def scored(batches):
         lex, model, emission, by_class = shared.value
@@ -396,26 +443,19 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int =
         by_code[lex.end], by_code[lex.end + 1 :] = lex.texts, lex.counts
         kind_of = np.concatenate([np.full(lex.end + 1, -1), lex.kinds])
         for batch in batches:
-            lists = batch.column("codes")
-            code, bounds = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-            code, bounds = code, bounds - bounds[0]
+            code, bounds = _flat(batch)
             met = batch.column("found").flatten()
-            word, at = np.unique(met.field("word").to_numpy().view(np.uint64), return_index=True)
-            n = met.field("n").to_numpy()[at].astype(np.int64)
+            word, at = np.unique(met.field("word").to_numpy(), return_index=True)
+            n, p = met.field("n").to_numpy()[at].astype(np.int64), met.field("p").to_numpy()[at]
             rare = np.flatnonzero(code < 0)
-            h = batch.column("hashes").flatten().to_numpy().view(np.uint64)
-            kind = np.zeros(len(word), np.int64)
-            where = np.searchsorted(word, h)
-            hit = np.flatnonzero(where < len(word))
-            hit = hit[word[where[hit]] == h[hit]]
-            kind[where[hit]] = -1 - code[rare[hit]]
-            own, leans = np.ones((len(word), len(names))), met.field("s").take(pa.array(at))
-            leant = np.flatnonzero(leans.is_valid().to_numpy(zero_copy_only=False))
-            own[leant] = leaning(leans.flatten().to_numpy().reshape(-1, len(names)).astype(np.float64), n[leant], kind[leant], by_class)
-            every = np.concatenate([emission, model.emission[lex.symbols + kind] * own])
+            h = batch.column("hashes").flatten().to_numpy()
             place = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
             there = word[place] == h if len(word) else np.zeros(len(h), bool)
             token_kind = np.where(code >= 0, kind_of[np.maximum(code, 0)], -1 - code)
+            kind = np.zeros(len(word), np.int64)
+            kind[place[there]] = token_kind[rare[there]]
+            own = leaning(unpacked(p, states) * n[:, None], n, kind, by_class)
+            every = np.concatenate([emission, model.emission[lex.symbols + kind] * own])
             code[rare] = np.where(there, first_rare + place, lex.symbols + token_kind[rare])
             count = np.concatenate([by_code, n])[code]
             sums = lambda x: np.add.reduceat(x, bounds[:-1])  # no document is without its end
@@ -428,11 +468,8 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, states: int =
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    rows = materialise(docs.mapInArrow(coded, "row long, doc_id long, held_out boolean, codes array<int>, hashes array<long>"), "codes")
     asked = rows.select("row", F.explode(F.array_distinct("hashes")).alias("word"))
-    by_state = F.when(F.col("s0").isNotNull(), F.array(*[F.col(k).cast("float") for k in names])).alias("s")
-    met = asked.join(counts.select("word", "n").join(others.select("word", *names), "word", "left"), "word")
-    found = met.select("row", "word", "n", by_state).groupBy("row").agg(F.collect_list(F.struct("word", "n", "s")).alias("found"))  # a document's words
+    found = asked.join(others.select("word", "n", "p"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "p")).alias("found"))  # a document's words
     rows = rows.join(found, "row", "left").select("doc_id", "held_out", "codes", "hashes", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
     out = rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -368,7 +368,11 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION,
 
 @whole
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all columns, that stay: one of each group of near-duplicates. Of repeated rows one stays."""
+    """The rows of docs, with all columns, that stay: one of each group of near-duplicates. Of repeated rows one stays.
+
+    Null, empty and blank texts, and rows without a doc_id, are near nothing, and stay. Rows that share a doc_id but not a text
+    stay or go together. A very long text is one set, held by one task. An empty table stays empty. Columns may have any names.
+    """
     judged = materialise(groups(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")), "judged")
     gone = judged.where("not kept").select("doc_id")
     again = judged.where("kept and copies > 1").select("doc_id")

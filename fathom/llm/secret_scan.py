@@ -349,7 +349,12 @@ def _found(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
 @whole
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_inferred, base_sha256, spans (kind:start:end, comma-joined)."""
+    """doc_id, n_assign, n_access, n_hex, n_inferred, base_sha256, spans (kind:start:end, comma-joined): one row per document.
+
+    Null and empty texts have no spans: counts of 0, the digest of nothing and an empty string. Spans of one start stand by kind.
+    A very long text is scanned whole. Repeated rows each give a row; an empty table gives none; other columns, whatever
+    their names, are not read.
+    """
     found = _found(docs, train(docs))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -359,7 +364,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 @whole
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans replaced by mark; n_chars, if there, follows the text. All rows and columns stay."""
+    """docs with each run of overlapping spans replaced by mark; n_chars, if there, follows the text. All rows and columns stay.
+
+    Null and empty texts, and those without a secret, stay as they are. A very long text is scanned whole. Repeated rows stay as
+    often as they come; an empty table stays empty.
+    """
     scanner = train(docs)
     counted = "n_chars" in docs.columns
 

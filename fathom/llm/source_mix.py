@@ -89,7 +89,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 @whole
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole repetition, and the first words of the document
-    (with the white space between them) where the fractional one ends within it. n_chars, if there, follows the text."""
+    (with the white space between them) where the fractional one ends within it. n_chars, if there, follows the text.
+
+    Null and blank texts have no words, so no row. Null is a source of its own. A very long text is cut as any other. Repeated
+    rows are documents of their own; of ties in the seeded order the smaller doc_id, then the shorter text, comes first. An
+    empty table gives no rows. Columns of docs may have any names.
+    """
     rows = _taken(docs, plan(docs, weights, max_epochs, seed), seed)
     cut = (F.col("part_taken") > 0) & (F.col("part_taken") < F.col("size"))
     head = F.regexp_extract("row.text", r"^[\x20\x09-\x0D]*", 0)

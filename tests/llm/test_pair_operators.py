@@ -1,5 +1,6 @@
 """Near-duplicates, top-k search, the grid join, components and the pipeline against brute force."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -7,9 +8,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathom.llm import grid_order_join, minhash_forest, topk_search
+from fathom.llm import grid_order_join, minhash_forest, quality_fm, source_mix, topk_search
 from fathom.llm.components import components
 from fathom.llm.queries import QUERIES
 
@@ -280,12 +282,42 @@ def test_stages_and_pipeline_on_an_empty_table(spark, no_docs, tmp_path):
 
 
 def test_stages_on_odd_rows(spark, odd_docs, sf):
-    """Nulls in every column, empty, blank and very long texts, repeated rows and extra columns go through each stage."""
-    docs = odd_docs
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, sf)
-        assert out.columns == odd_docs.columns or i == len(corpus_pipeline.STAGES) - 1
-        assert out.count() >= 0
+    """Nulls in every column, empty, blank and very long texts, repeated rows and extra columns go through each stage, and each
+    does to them what its operator says."""
+    stages, labels = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    good = stages["quality classifier"](spark, odd_docs, sf)
+    accepted = Counter((r.doc_id, r.n_tokens) for r in quality_fm.score(odd_docs, labels).where("predicted = 1").withColumn("n_tokens", F.lit(0)).collect())
+    assert Counter((r.doc_id, 0) for r in good.collect()) == accepted and not rows(good) - rows(odd_docs)
+
+    single = stages["MinHash near-dedup"](spark, odd_docs, sf)
+    judged = minhash_forest.groups(odd_docs, 5).collect()
+    assert {r.doc_id for r in single.collect()} == {r.doc_id for r in judged if r.kept} and not rows(single) - rows(odd_docs)
+    assert max(Counter(r.doc_id for r in single.collect()).values()) == 1
+
+    safe = stages["secret scans"](spark, odd_docs, sf)
+    found = texts(safe)
+    assert sum(found.values()) == odd_docs.count() and found[4, next(t for i, t in found if i == 4)] == 2
+    (clean,) = [t for i, t in found if i == 9]
+    assert clean == "[SECRET] [SECRET] [SECRET]" and found[1, None] == found[2, ""] == found[3, " \n\t "] == 1
+    assert {r.n_chars for r in safe.where("doc_id = 9").collect()} == {len(clean)}
+
+    mixed = stages["mixing sources to target weights"](spark, odd_docs, sf)
+    taken = Counter()
+    for r in source_mix.mix(odd_docs).collect():
+        taken[r.doc_id] += r.taken
+    got = Counter()
+    for r in mixed.collect():
+        got[r.doc_id] += len((r.text or "").split())
+    assert got == +taken and all(r.n_chars == len(r.text) or r.doc_id == 4 for r in mixed.where("n_chars is not null").collect())
+
+    told = stages["byte-level BPE encoding and decoding"](spark, odd_docs, sf)
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in told.collect()) == Counter((r.doc_id, digest(r.text)) for r in odd_docs.collect())
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, odd_docs.limit(0), sf).columns == odd_docs.columns and stages[name](spark, odd_docs.limit(0), sf).count() == 0
 
 
 def test_an_operator_leaves_its_result_alone_and_the_settings_as_they_were(spark, odd_docs, tmp_path):
