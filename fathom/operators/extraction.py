@@ -7,27 +7,25 @@ An extractor is a function that a task calls once, for a function from texts to
 import re
 from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import normalize_entity, strip
-from fathom.operators import graph
+from fathom.operators import automaton, graph
 from fathom.session import spread
 
 Extractor = Callable[[], Callable[[list[str]], list[dict]]]
 
 ENTITIES, RELATIONS = "array<struct<name: string, type: string>>", "array<struct<source: string, relation: string, target: string>>"
-#: Texts that an extractor gets at a time, and names of one automaton.
-AT_ONCE, AUTOMATON_NAMES = 32, 200_000
+#: Texts that an extractor gets at a time.
+AT_ONCE = 32
 # Words between two names that say how they are related.
 CUES = {"treats": "treats", "treat": "treats", "contraindicated": "contraindicated_with", "symptom": "symptom_of", "interacts": "interacts_with", "interact": "interacts_with"}
 CUE = re.compile(r"\b(" + "|".join(CUES) + r")\b")
 STOP = re.compile("[.!?] ")
 
 _STRUCT = {ENTITIES: pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())])), RELATIONS: pa.list_(pa.struct([("source", pa.string()), ("relation", pa.string()), ("target", pa.string())]))}
-_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("type", pa.string())]))
 
 
 def _said(value) -> str:
@@ -77,28 +75,6 @@ def _schema(chunks: DataFrame) -> str:
     return f"chunk_id {kind['chunk_id']}, seq {kind['seq']}, entities {ENTITIES}, relations {RELATIONS}, error string"
 
 
-def _matcher(rows: list[tuple[str, str]]):
-    """Adds the whole-word occurrences of the names to `found`. One pass over a text finds all, however many names there are."""
-
-    def run(batches):
-        automaton = ahocorasick.Automaton()
-        for name, kind in rows:
-            automaton.add_word(name, (len(name), name, kind))
-        if rows:
-            automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for text, before in zip(batch.column("plain").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                for last, (n, name, kind) in automaton.iter(text) if rows else ():
-                    a, b = last - n + 1, last + 1
-                    if not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
-                        before.append({"start": a, "end": b, "name": name, "type": kind})
-                out.append(before)
-            yield batch.set_column(batch.schema.get_field_index("found"), "found", pa.array(out, _FOUND))
-
-    return run
-
-
 def _linked(text: str, found: list[dict]) -> tuple[list[dict], list[dict]]:
     """The leftmost and longest of overlapping names, and a relation between each two that follow each other in a sentence."""
     taken: list[dict] = []
@@ -114,19 +90,15 @@ def _linked(text: str, found: list[dict]) -> tuple[list[dict], list[dict]]:
     return [{"name": x["name"], "type": x["type"]} for x in taken], relations
 
 
-def by_dictionary(chunks: DataFrame, names: DataFrame, automaton_names: int = AUTOMATON_NAMES) -> DataFrame:
+def by_dictionary(chunks: DataFrame, names: DataFrame, automaton_names: int = automaton.NAMES) -> DataFrame:
     """As `extract`, by the names of a table (name, type). Texts and names are compared in normal form, names as whole words;
     of names of one form the first type in alphabetical order counts.
 
-    Tasks get an automaton of automaton_names names at most. More names are several automata, which texts pass one after the
-    other within one stage: nothing is shuffled, and no task holds all names.
+    Nothing is shuffled, and no task holds all names, as `automaton.occurrences` says.
     """
     keys = names.select(normalize_entity(F.col("name")).alias("name"), "type").where("name <> ''").groupBy("name").agg(F.min(F.coalesce("type", F.lit("condition"))).alias("type"))
-    parts = max(1, -(-keys.count() // automaton_names))
-    rows = spread(chunks.select("chunk_id", "seq", "text")).select("chunk_id", "seq", normalize_entity(F.coalesce("text", F.lit(""))).alias("plain"), F.array().cast("array<struct<start: int, end: int, name: string, type: string>>").alias("found"))
-    for part in range(parts):
-        own = [(r["name"], r["type"]) for r in keys.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).collect()]  # about automaton_names
-        rows = rows.mapInArrow(_matcher(own), rows.schema)
+    rows = spread(chunks.select("chunk_id", "seq", "text")).select("chunk_id", "seq", normalize_entity(F.coalesce("text", F.lit(""))).alias("plain"))
+    rows = automaton.occurrences(rows, "plain", keys, automaton_names)
 
     def run(batches):
         for batch in batches:

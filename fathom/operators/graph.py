@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import normalize_entity
+from fathom.operators import automaton
 from fathom.session import materialise
 
 # Types and bounds that define the results.
@@ -55,19 +56,16 @@ def match_entities(queries: DataFrame, nodes: DataFrame, limit: int) -> DataFram
     """queries: (qid, text), nodes: (key): (qid, key, score, place). A key that occurs in the text as characters scores its
     length + 10; else shared words squared over the key's words.
 
-    Nodes meet queries through shared words and, for keys inside a text, through its substrings of the lengths that keys
-    have, MAX_NAME at most: no query is compared with all nodes.
+    Nodes meet queries through shared words, and keys inside a text are found by an automaton in one pass over it: no query is
+    compared with all nodes.
     """
     text = normalize_entity(F.col("text"))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     q = queries.select("qid", text.alias("text"), words(text).alias("qw"))
     n = nodes.select("key", words(F.col("key")).alias("nw"))
     shared = q.select("qid", F.explode("qw").alias("w")).join(n.select("key", F.explode("nw").alias("w")), "w").groupBy("qid", "key").agg(F.count("*").alias("shared"))
-    lengths = [r[0] for r in nodes.select(F.length("key")).distinct().where(F.length("key").between(1, MAX_NAME)).collect()]  # MAX_NAME at most
-    size = F.explode(F.lit(lengths).cast("array<int>"))
-    sized = q.where("text <> ''").select("qid", "text", size.alias("m")).where(F.length("text") >= F.col("m"))
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("m") + 1), lambda i: F.substr("text", i, F.col("m"))))
-    inside = sized.select("qid", gram.alias("key")).distinct().join(nodes.select("key"), "key").select("qid", "key", F.lit(True).alias("inside"))
+    named = automaton.occurrences(q.select("qid", "text"), "text", nodes.where("key <> ''").select(F.col("key").alias("name"), F.lit("").alias("type")).distinct(), whole_words=False)
+    inside = named.select("qid", F.explode(F.array_distinct(F.transform("found", lambda x: x["name"]))).alias("key")).withColumn("inside", F.lit(True)).distinct()
     found = shared.join(inside, ["qid", "key"], "full").join(n, "key")
     score = F.when(F.col("inside"), F.length("key") + 10.0).otherwise(F.round(F.pow("shared", F.lit(2)) / F.size("nw"), 9))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))

@@ -1,21 +1,24 @@
 """Risk models: grouped folds, three model kinds, out-of-fold predictions, serving."""
 
 from collections.abc import Callable
+from contextvars import copy_context
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.numbers import logit, risk_band
+from fathom.operators import boosting
+from fathom.operators.cohort import look_up
 from fathom.operators.evaluation import auc_bootstrap, average_precision, brier, roc_auc
-from fathom.operators.order import positions_by
+from fathom.operators.order import medians_by_fold, positions_by
 from fathom.session import materialise
+from fathom.sources.tables import read_manifest, write_manifest
 
 SEED, FOLDS = 42, 5
 
@@ -67,63 +70,143 @@ def stratified_folds(rows: DataFrame, key: str, label: str, folds: int = FOLDS)
 
 
 class Prepared:
-    """Median imputation and class weights, fitted on training rows only."""
+    """Median imputation and class weights, fitted on training rows only. medians: where they are known already."""
 
-    def __init__(self, train: DataFrame, features: list[str], label: str):
-        sums = train.agg(*[F.median(c).alias(c) for c in features], F.count("*").alias("_n"), F.sum(label).alias("_pos")).first()
-        self.medians = {c: 0.0 if sums[c] is None else float(sums[c]) for c in features}
-        n, pos = sums["_n"], max(1, min(sums["_n"] - 1, sums["_pos"] or 0))
+    def __init__(self, train: DataFrame, features: list[str], label: str, medians: dict[str, float | None] | None = None):
+        medians = medians_by_fold(train, features)[0] if medians is None else medians
+        self.medians = {c: 0.0 if medians[c] is None else float(medians[c]) for c in features}
+        n, pos = train.agg(F.count("*"), F.sum(label)).first()
+        pos = max(1, min(n - 1, pos or 0))
         self.n, self.weights = n, (n / (2 * (n - pos)), n / (2 * pos))
         self.features, self.label = features, label
 
     def __call__(self, rows: DataFrame) -> DataFrame:
-        filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in self.medians.items()})
-        if self.label in rows.columns:
-            filled = filled.withColumn("_w", F.when(F.col(self.label) == 1, self.weights[1]).otherwise(self.weights[0])).withColumn("_y", F.col(self.label).cast("double"))
-        return filled
+        weight = F.when(F.col(self.label) == 1, self.weights[1]).otherwise(self.weights[0])
+        return filled(rows, self.medians).withColumn("_w", weight).withColumn("_y", F.col(self.label).cast("double"))
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 0.3) -> Callable[[DataFrame], DataFrame]:
-    """L2-penalised balanced logistic regression on standardised features; the result adds p."""
-    prepared = Prepared(train, features, label)
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1 / (c * max(1, prepared.n)), standardization=False, probabilityCol="_p", rawPredictionCol="_m", predictionCol="_c")]
-    return _predictor(prepared, Pipeline(stages=stages).fit(prepared(train)))
+def filled(rows: DataFrame, medians: dict[str, float]) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()})
 
 
-def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int = 120) -> Callable[[DataFrame], DataFrame]:
-    """Gradient-boosted trees of depth 2, each round's on a sample of the rows."""
-    prepared = Prepared(train, features, label)
-    stages = [VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=2, stepSize=0.06, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED).setProbabilityCol("_p").setRawPredictionCol("_m").setPredictionCol("_c")]
-    return _predictor(prepared, Pipeline(stages=stages).fit(prepared(train)))
+class Logistic:
+    """A fitted logistic regression: a function from rows to rows with p, made of column expressions alone."""
 
+    kind = "logistic"
 
-def _predictor(prepared: Prepared, model) -> Callable[[DataFrame], DataFrame]:
-    def predict(rows: DataFrame) -> DataFrame:
-        out = model.transform(prepared(rows))
-        return out.withColumn("p", vector_to_array("_p")[1]).drop(*[c for c in out.columns if c.startswith("_")])
+    def __init__(self, medians: dict[str, float], centre: list[float], scale: list[float], weights: list[float], intercept: float):
+        self.medians, self.centre, self.scale, self.weights, self.intercept = medians, centre, scale, weights, intercept
 
-    predict.model = model
-    return predict
+    @property
+    def features(self) -> list[str]:
+        return list(self.medians)
 
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        terms = [(F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(mu)) * F.lit(w / sd if sd else 0.0) for (c, m), mu, sd, w in zip(self.medians.items(), self.centre, self.scale, self.weights, strict=True)]
+        return rows.withColumn("p", 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))))
 
-def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str, inner: int = 3) -> Callable[[DataFrame], DataFrame]:
-    """Sigmoid-calibrated logistic regressions, one for each inner fold, averaged. Inner folds keep groups together."""
-    folds = materialise(train.join(grouped_folds(train, group, inner), group), "inner-folds")
-    parts = []
-    for k in range(inner):
-        base = fit_logistic(folds.where(F.col("fold") != k).drop("fold"), features, label)
-        held = base(folds.where(F.col("fold") == k).drop("fold")).select(F.col(label).cast("double").alias("_y"), logit(F.col("p")).alias("m"))
-        parts.append((base, _line(held)))
+    def importance(self) -> list[float]:
+        return [abs(w) for w in self.weights]
+
+    def to_dict(self) -> dict:
+        return {"kind": self.kind, "medians": list(self.medians.items()), "centre": self.centre, "scale": self.scale, "weights": self.weights, "intercept": self.intercept}
+
+    @staticmethod
+    def from_dict(d: dict) -> "Logistic":
+        return Logistic(dict(d["medians"]), d["centre"], d["scale"], d["weights"], d["intercept"])
+
+
+class Calibrated:
+    """The mean of logistic regressions, each with its own sigmoid."""
+
+    kind = "calibrated"
+
+    def __init__(self, parts: list[tuple[Logistic, float, float]]):
+        self.parts = parts
+
+    @property
+    def features(self) -> list[str]:
+        return self.parts[0][0].features
 
-    def predict(rows: DataFrame) -> DataFrame:
+    def __call__(self, rows: DataFrame) -> DataFrame:
         out, names = rows, []
-        for k, (base, (slope, intercept)) in enumerate(parts):
-            out = base(out).withColumn(f"p{k}", 1 / (1 + F.exp(-(slope * logit(F.col("p")) + intercept)))).drop("p")
-            names.append(f"p{k}")
+        for k, (base, slope, intercept) in enumerate(self.parts):
+            out = base(out).withColumn(f"_p{k}", 1 / (1 + F.exp(-(slope * logit(F.col("p")) + intercept)))).drop("p")
+            names.append(f"_p{k}")
         return out.withColumn("p", sum(F.col(c) for c in names) / len(names)).drop(*names)
 
-    predict.parts = [base for base, _ in parts]
-    return predict
+    def importance(self) -> list[float]:
+        each = [base.importance() for base, _, _ in self.parts]
+        return [sum(x) / len(each) for x in zip(*each)]
+
+    def to_dict(self) -> dict:
+        return {"kind": self.kind, "parts": [[base.to_dict(), slope, intercept] for base, slope, intercept in self.parts]}
+
+    @staticmethod
+    def from_dict(d: dict) -> "Calibrated":
+        return Calibrated([(Logistic.from_dict(base), slope, intercept) for base, slope, intercept in d["parts"]])
+
+
+class Boosted:
+    """Boosted trees on imputed features."""
+
+    kind = "boosted"
+
+    def __init__(self, medians: dict[str, float], trees: list[boosting.Tree]):
+        self.medians, self.trees = medians, trees
+
+    @property
+    def features(self) -> list[str]:
+        return list(self.medians)
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        own = [f"_f{i}" for i in range(len(self.medians))]  # rows keep their own, as they are
+        named = rows.withColumns({f: F.coalesce(F.col(c).cast("double"), F.lit(m)) for f, (c, m) in zip(own, self.medians.items(), strict=True)})
+        return boosting.predict(named, self.trees, own).drop(*own)
+
+    def importance(self) -> list[float]:
+        """Each feature's share of all gains."""
+        gains = [sum(g for t in self.trees for f, g in zip(t.feature, t.gain, strict=True) if f == i) for i in range(len(self.medians))]
+        return [g / (sum(gains) or 1.0) for g in gains]
+
+    def to_dict(self) -> dict:
+        return {"kind": self.kind, "medians": list(self.medians.items()), "trees": [vars(t) for t in self.trees]}
+
+    @staticmethod
+    def from_dict(d: dict) -> "Boosted":
+        return Boosted(dict(d["medians"]), [boosting.Tree(**t) for t in d["trees"]])
+
+
+KINDS = {m.kind: m for m in (Logistic, Calibrated, Boosted)}
+Model = Logistic | Calibrated | Boosted
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 0.3, medians: dict | None = None) -> Logistic:
+    """L2-penalised balanced logistic regression on standardised features; the result adds p."""
+    prepared = Prepared(train, features, label, medians)
+    stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1 / (c * max(1, prepared.n)), standardization=False, probabilityCol="_p", rawPredictionCol="_m", predictionCol="_c")]
+    _, scaler, model = Pipeline(stages=stages).fit(prepared(train)).stages
+    return Logistic(prepared.medians, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), model.coefficients.toArray().tolist(), float(model.intercept))
+
+
+def fit_boosted(train: DataFrame, features: list[str], label: str, key: str, rounds: int = boosting.ROUNDS, medians: dict | None = None) -> Boosted:
+    """Second-order boosted trees of depth 2, each on a sample of the rows, drawn by key, and of the features."""
+    medians = medians_by_fold(train, features)[0] if medians is None else medians
+    medians = {c: 0.0 if medians[c] is None else float(medians[c]) for c in features}
+    return Boosted(medians, boosting.fit(filled(train, medians), features, label, key, rounds))
+
+
+def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str, inner: int = 3, medians: dict | None = None) -> Calibrated:
+    """Sigmoid-calibrated logistic regressions, one for each inner fold, averaged. Inner folds keep groups together, and each
+    has medians of its own rows, from one pass; medians, those of all rows, aren't needed."""
+    folds = materialise(train.join(grouped_folds(train, group, inner), group), "inner-folds")
+    own = medians_by_fold(folds, features, "fold", inner)
+    parts = []
+    for k in range(inner):
+        base = fit_logistic(folds.where(F.col("fold") != k).drop("fold"), features, label, medians=own[k])
+        held = base(folds.where(F.col("fold") == k).drop("fold")).select(F.col(label).cast("double").alias("_y"), logit(F.col("p")).alias("m"))
+        parts.append((base, *_line(held)))
+    return Calibrated(parts)
 
 
 def _line(rows: DataFrame) -> tuple[float, float]:
@@ -132,22 +215,56 @@ def _line(rows: DataFrame) -> tuple[float, float]:
     return float(model.coefficients[0]), float(model.intercept)
 
 
+def save_model(spark: SparkSession, model: Model, path: str, **told) -> None:
+    """A manifest with the model, its features in order and what is told of it: kind, medians and parameters, which are few."""
+    write_manifest(spark, {"features": model.features, "model": model.to_dict(), **told}, path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[Model, dict] | None:
+    """(model, manifest) of a saved model, in any session; None where there is none."""
+    found = read_manifest(spark, path)
+    return None if found is None else (KINDS[found["model"]["kind"]].from_dict(found["model"]), found)
+
+
+def predict_risk(wanted: DataFrame, cohort: DataFrame, saved: tuple[Model, dict] | None) -> DataFrame:
+    """wanted: (id); cohort: (stay_id, subject_id, seq, features) -> (id, matched_on, probability, band, model): each wanted id as
+    a stay's, else as a subject's, whose last stay by seq counts, else without a probability, as where there is no model.
+
+    The features are those that the model was saved with: others in cohort are not read, and one that cohort lacks is 0.
+    """
+    if saved is None:
+        none = lambda t: F.lit(None).cast(t)
+        return wanted.select("id", none("string").alias("matched_on"), none("double").alias("probability"), none("string").alias("band"), none("string").alias("model"))
+    model, told = saved
+    own = [F.col(c) if c in cohort.columns else F.lit(0.0).alias(c) for c in told["features"]]
+    rows = cohort.select(F.col("stay_id").cast("string").alias("stay_id"), F.col("subject_id").cast("string").alias("subject_id"), "seq", *own)
+    asked = wanted.select("id", F.trim(F.col("id").cast("string")).alias("_asked"))
+    found = model(look_up(asked.select(F.col("_asked").alias("id")).distinct(), rows))
+    matched = F.when(F.col("stay_id") == F.col("id"), "stay_id").otherwise("subject_id")
+    scored = found.select(F.col("id").alias("_asked"), matched.alias("matched_on"), F.round("p", 4).alias("probability"), risk_band(F.col("p")).alias("band"), F.lit(told["model"]["kind"]).alias("model"))
+    return asked.join(scored, "_asked", "left").drop("_asked")
+
+
 def calibration_slope(rows: DataFrame) -> float | None:
     """rows: (score, label). None where only one class is there."""
     labels = rows.agg(F.countDistinct("label")).first()[0]
     return None if labels < 2 else _line(rows.select(F.col("label").cast("double").alias("_y"), logit(F.col("score")).alias("m")))[0]
 
 
-def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[[DataFrame], Callable], parallel: int = FOLDS) -> DataFrame:
-    """rows with p, predicted by models that haven't seen the row's fold. The folds' models are fitted at the same time."""
+def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[..., Callable], parallel: int = FOLDS, features: list[str] | None = None) -> DataFrame:
+    """rows with p, predicted by models that haven't seen the row's fold. The folds' models are fitted at the same time. With
+    features, fit also gets the fold's medians, all of which one pass finds."""
     dealt = materialise(rows.join(folds, on), "folds")
     numbers = [r[0] for r in dealt.select("fold").distinct().orderBy("fold").collect()]  # five or so
+    medians = medians_by_fold(dealt, features, "fold", max(numbers) + 1) if features and numbers else None
 
     def one(k: int) -> DataFrame:
-        return fit(dealt.where(F.col("fold") != k).drop("fold"))(dealt.where(F.col("fold") == k))
+        known = {} if medians is None else {"medians": medians[k]}
+        return fit(dealt.where(F.col("fold") != k).drop("fold"), **known)(dealt.where(F.col("fold") == k))
 
+    own = inheritable_thread_target(rows.sparkSession)(lambda context, k: context.run(one, k))
     with ThreadPool(parallel) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(one), numbers))
+        return reduce(DataFrame.unionByName, pool.starmap(own, [(copy_context(), k) for k in numbers]))
 
 
 def metrics(predictions: DataFrame, label: str, name: str, resamples: int = 2000) -> DataFrame:
@@ -170,18 +287,9 @@ def inflation_gap(grouped: DataFrame, ungrouped: DataFrame) -> DataFrame:
     return both.withColumn("gap", F.col("ungrouped_auc") - F.col("grouped_auc"))
 
 
-def importance(predict) -> list[float]:
-    """How much each feature counts: the size of its coefficient, the mean over inner folds, or its share of the trees' gains."""
-    if hasattr(predict, "parts"):
-        each = [importance(p) for p in predict.parts]
-        return [sum(x) / len(each) for x in zip(*each)]
-    last = predict.model.stages[-1]
-    return [abs(float(x)) for x in (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()]
-
-
 def top_features(predict, features: list[str], n: int = 10) -> list[tuple[str, float]]:
-    """The features that count most, ties by name."""
-    return sorted(zip(features, importance(predict)), key=lambda x: (-x[1], x[0]))[:n]
+    """The features that count most, ties by name: by the size of coefficients, or by their share of the trees' gains."""
+    return sorted(zip(features, predict.importance()), key=lambda x: (-x[1], x[0]))[:n]
 
 
 def model_info(results: DataFrame, features: list[tuple[str, float]]) -> DataFrame:

@@ -55,3 +55,27 @@ def quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float], near
     found = placed.where(asked).groupBy(by, "n").agg(*[value_at(low[k]).alias(f"_low_{k}") for k in wanted], *[value_at(high[k]).alias(f"_high_{k}") for k in wanted])
     share = {name: x - F.floor(x) for name, x in at.items()}
     return found.select(by, "n", *[(F.col(f"_low_{k}") if nearest else F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * share[k]).alias(k) for k in wanted])
+
+
+def medians_by_fold(rows: DataFrame, features: list[str], fold: str | None = None, folds: int = 1) -> list[dict[str, float | None]]:
+    """For each fold k the exact medians of the features over the rows of all other folds; without `fold`, over all rows.
+
+    One pass over ranges of (feature, value) yields the ranks of all features and folds together; only the values at the middle
+    come to the driver, two a feature and fold. A value that many rows share is spread by a hash of the row.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)]))
+    part = F.col(fold) if fold else F.lit(-1)
+    long = rows.select(part.cast("int").alias("k"), F.xxhash64(*features).alias("spread"), each.alias("e")).select("k", "spread", "e.f", "e.v").where("v is not null")
+    inside = {f"n{k}": (F.col("k") != k).cast("long") for k in range(folds)}
+    placed = materialise(running_sums(long, ["f", "v", "spread"], inside), "ranks")
+    limits = placed.groupBy("f").agg(*[F.min(n).alias(f"low_{n}") for n in inside], *[F.sum(c).alias(f"all_{n}") for n, c in inside.items()])
+    met = placed.join(F.broadcast(limits), "f")  # a row a feature
+    found = []
+    for k in range(folds):
+        rank, n = F.col(f"n{k}") - F.col(f"low_n{k}"), F.col(f"all_n{k}")
+        middle = (rank == F.floor((n - 1) / 2)) | (rank == F.ceil((n - 1) / 2))
+        found.append(met.where((F.col("k") != k) & middle).select(F.lit(k).alias("fold"), "f", "v"))
+    out: list[dict[str, float | None]] = [dict.fromkeys(features) for _ in range(folds)]
+    for r in reduce(DataFrame.unionByName, found).groupBy("fold", "f").agg(F.avg("v").alias("v")).collect():
+        out[r["fold"]][features[r["f"]]] = r["v"]
+    return out

@@ -71,8 +71,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1:
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     postings = index.join(small(terms.join(small(idf), "n")), "term").select("id", "n", weight.alias("w"))
     numbered = asked.join(small(terms), "term").select(F.col("qid").alias("asked_qid"), F.col("n").alias("asked_n"), "qf")
-    docs_a_block = max(2048, asked.count() // 64)  # so that a block's postings outweigh the queries' words that meet them
-    n_q, n_v = max(1, -(-queries.count() // block)), max(1, -(-total["n_docs"] // docs_a_block))
+    n_q = max(1, -(-queries.count() // block))
+    docs_a_block = max(2048, asked.count() // (64 * n_q))  # so that a block's postings outweigh its queries' words, which they meet
+    n_v = max(1, -(-total["n_docs"] // docs_a_block))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     left = numbered.withColumn("q_block", part("asked_qid", n_q)).withColumn("v_block", every(n_v))

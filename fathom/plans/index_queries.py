@@ -1,12 +1,15 @@
 """Queries over what is built from texts and vectors first: graph index, embeddings, extracted graph; deep traversal; blocks."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators import ann_graph, embedding, extraction, graph, retrieval
-from fathom.plans.registry import query, read, sql_tokens
+from fathom.plans.registry import ORACLES, query, read, sql_tokens
 from fathom.plans.search_queries import BM25_SQL, DEDUP_SQL, DENSE_SQL, RRF_SQL, WEIGHTS, dense_hits, docs_and_queries, mmr_sql, passages, sparse_hits, vectors_and_queries
-from fathom.session import materialise
+from fathom.session import materialise, table_dir
+from fathom.sources import keyed
 
 
 @query()
@@ -90,6 +93,18 @@ def extraction_report(spark, sf_dir):
     return extraction.counts(extracted(spark, sf_dir))
 
 
+@query(ORACLES["upsert_latest"])
+def upsert_buckets(spark, sf_dir):
+    """upsert_latest into a table by key, in two batches, of which each rewrites the buckets it touches."""
+    path = f"{table_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    keyed.create(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), path, "c_custkey", 16)
+    key = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
+    new = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(key.alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("seq"))
+    keyed.upsert(new.where("c_custkey < 1000000"), path, ["c_acctbal"])
+    keyed.upsert(new.where("c_custkey >= 1000000"), path, ["c_acctbal"])
+    return keyed.read(spark, path)
+
+
 HOPS, TARGETS = 4, 12
 HOPS_SQL = f"""WITH RECURSIVE g AS (SELECT source AS src, 'references' AS rel, 'lang ' || lang AS dst FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL UNION ALL SELECT 'lang ' || lang, 'treats', source FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
 e AS (SELECT src, rel, dst, count(*) AS weight, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst, rel) AS e FROM g GROUP BY src, rel, dst),

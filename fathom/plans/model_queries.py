@@ -1,13 +1,15 @@
 """Model queries. No SQL fits models: tests hold them against plain restatements."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators import ml
+from fathom.operators.order import medians_by_fold
 from fathom.plans.registry import query, read
-from fathom.session import materialise
+from fathom.session import materialise, table_dir
 
 FEATURES = ["price", "n_lines", "quantity", "discount", "acuity"]
 
@@ -25,29 +27,29 @@ def kept_stays(spark, sf_dir):
     return materialise(stays(spark, sf_dir), "stays")
 
 
-def logistic(train):
-    return ml.fit_logistic(train, FEATURES, "admitted")
+def logistic(train, medians=None):
+    return ml.fit_logistic(train, FEATURES, "admitted", medians=medians)
 
 
-def calibrated(train):
+def calibrated(train, medians=None):
     return ml.fit_calibrated(train, FEATURES, "admitted", "subject")
 
 
-def boosted(train):
-    return ml.fit_boosted(train, FEATURES, "admitted")
+def boosted(train, medians=None):
+    return ml.fit_boosted(train, FEATURES, "admitted", "id", medians=medians)
 
 
 def by_groups(rows, fit, name):
-    return ml.metrics(ml.out_of_fold(rows, ml.grouped_folds(rows, "subject"), "subject", fit), "admitted", name)
+    return ml.metrics(ml.out_of_fold(rows, ml.grouped_folds(rows, "subject"), "subject", fit, features=FEATURES), "admitted", name)
 
 
 @query()
 def grouped_cv(spark, sf_dir):
     """Logistic regression and the baselines, and what folds that ignore groups would have shown."""
     rows = kept_stays(spark, sf_dir)
-    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", logistic), "admitted", "logistic, ungrouped")
-    middle = rows.agg(F.median("acuity").alias("middle"))  # one row
-    acuity = ml.metrics(rows.join(F.broadcast(middle)).withColumn("p", (5 - F.coalesce("acuity", "middle")) / 4), "admitted", "acuity alone")
+    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", logistic, features=FEATURES), "admitted", "logistic, ungrouped")
+    middle = medians_by_fold(rows, ["acuity"])[0]["acuity"]
+    acuity = ml.metrics(rows.withColumn("p", (5 - F.coalesce("acuity", F.lit(middle))) / 4), "admitted", "acuity alone")
     always = ml.metrics(rows.withColumn("p", F.lit(1.0)), "admitted", "always admit")
     return reduce(DataFrame.unionByName, [by_groups(rows, logistic, "logistic"), mixed, acuity, always])
 
@@ -56,7 +58,7 @@ def grouped_cv(spark, sf_dir):
 def inflation(spark, sf_dir):
     """By how much folds that ignore groups flatter the boosted trees."""
     rows = kept_stays(spark, sf_dir)
-    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", boosted), "admitted", "boosted, ungrouped")
+    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", boosted, features=FEATURES), "admitted", "boosted, ungrouped")
     return ml.inflation_gap(by_groups(rows, boosted, "boosted"), mixed)
 
 
@@ -96,6 +98,18 @@ def predict_serve(spark, sf_dir):
     return reduce(DataFrame.unionByName, served)
 
 
+@query()
+def predict_saved(spark, sf_dir):
+    """A calibrated model, saved, and loaded by another session: every stay, every subject by its last stay, and ids of neither."""
+    rows = kept_stays(spark, sf_dir)
+    path = f"{table_dir(spark)}/model-{uuid.uuid4().hex}"
+    ml.save_model(spark, calibrated(rows), path)
+    saved = ml.load_model(spark.newSession(), path)
+    cohort = rows.select(F.col("id").alias("stay_id"), F.concat(F.lit("s"), "subject").alias("subject_id"), F.col("id").alias("seq"), *FEATURES)
+    wanted = cohort.select(F.col("stay_id").cast("string").alias("id")).union(cohort.select("subject_id").distinct()).union(cohort.select(F.concat(F.lit("x"), "stay_id")))
+    return ml.predict_risk(wanted, cohort, saved)
+
+
 @query("""WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS place FROM orders GROUP BY 1), r AS (
   SELECT 0::BIGINT AS place, NULL::BIGINT AS o_custkey, NULL::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load
   UNION ALL SELECT s.place, s.o_custkey::BIGINT, list_position(load, list_min(load))::BIGINT, [CASE WHEN i = list_position(load, list_min(load)) THEN load[i] + s.n ELSE load[i] END FOR i IN range(1, 6)]::BIGINT[] FROM r JOIN s ON s.place = r.place + 1)

@@ -1,5 +1,7 @@
 """Queries by name, each with DuckDB SQL for the same rows where SQL can say them."""
 
+from fathom.session import tidy
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -8,8 +10,10 @@ from fathom.functions import text as _t  # noqa: E402
 
 
 def query(sql: str | None = None):
+    """Registers a query. The tables that its operators write on the way are deleted when its result is there."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = tidy(f)
         if sql:
             ORACLES[f.__name__] = sql
         return f

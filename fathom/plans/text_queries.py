@@ -143,15 +143,15 @@ def request_validation(spark, sf_dir):
 @query(rf"""SELECT page_id, CASE WHEN lower(u) IN ('none', 'null') THEN '' ELSE u END AS url, coalesce(nullif({sql_strip('h')}, ''), {sql_strip('html')}) AS text, host || ' page ' || row_number() OVER (PARTITION BY host ORDER BY page_id) AS title
 FROM (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'null' ELSE url END AS u, CASE page_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'clean ' || html END AS h, coalesce(nullif(split_part(url, '/', 3), ''), 'unknown') AS host FROM pages)""")
 def title_clean(spark, sf_dir):
-    from pyspark.sql import Window
+    from fathom.operators.order import positions_by
 
     k, m = F.col("page_id") % 4, F.col("page_id") % 3
     url = F.when(k == 0, "None").when(k == 1, "null").otherwise(F.col("url"))
     cleaned = F.when(m == 0, "  ").when(m == 2, F.concat(F.lit("clean "), "html"))
     host = F.coalesce(F.nullif(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("")), F.lit("unknown"))
     rows = read(spark, sf_dir, "pages").select("page_id", T.clean_none(url).alias("url"), F.coalesce(F.nullif(T.strip(cleaned), F.lit("")), T.strip(F.col("html"))).alias("text"), host.alias("host"))
-    n = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
-    return rows.select("page_id", "url", "text", F.concat("host", F.lit(" page "), n.cast("string")).alias("title"))
+    numbered = positions_by(rows.select("page_id", "host"), "host", ["page_id"]).select("page_id", (F.col("position") + 1).cast("string").alias("n"))
+    return rows.join(numbered, "page_id").select("page_id", "url", "text", F.concat("host", F.lit(" page "), "n").alias("title"))
 
 
 @query(f"""SELECT o_orderkey, 'Q: order ' || o_orderkey || chr(10) || 'A) ' || o_orderstatus || chr(10) || 'B) ' || o_orderpriority AS question, 'c' || o_custkey || ' -[placed]-> o' || o_orderkey || ' → o' || o_orderkey || ' -[has]-> ' || o_orderstatus AS path,

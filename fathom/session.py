@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many tasks as there are cores: a small file of few row groups is read by few. Larger tables stay as
-    they are."""
+    """df over at least as many tasks as there are cores: a table of few files is read by few. Larger tables stay as they are.
+
+    Only the names of the files that df reads are asked for: nothing is planned or run.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def own_dir(spark: SparkSession) -> str:
@@ -50,28 +53,53 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def table_dir(spark: SparkSession) -> str:
+    """Where tables are written now."""
+    return working_folder.get() or own_dir(spark)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """A folder for tables that are needed no longer than this lasts."""
-    path = f"{working_folder.get() or own_dir(spark)}/work-{uuid.uuid4().hex}"
+    """A folder for tables that are needed no longer than this lasts; its path."""
+    path = f"{table_dir(spark)}/work-{uuid.uuid4().hex}"
     held = working_folder.set(path)
     try:
-        yield
+        yield path
     finally:
         working_folder.reset(held)
-        delete(spark, path)
+        folder, files = _folder(spark, path)
+        files.delete(folder, True)
+
+
+def tidy(query):
+    """A function of (spark, ...) whose result, if tables were written on the way, is written too; those are deleted then."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        outside = working_folder.get()
+        with scratch(spark) as path:
+            out = query(spark, *args, **kwargs)
+            folder, files = _folder(spark, path)
+            if not files.exists(folder):
+                return out
+            inside = working_folder.set(outside)  # the result stays
+            try:
+                return materialise(out, query.__name__)
+            finally:
+                working_folder.reset(inside)
+
+    return run
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the application's folder, or in the `scratch` folder that is open, and reads it back: what is
     read twice is computed once, the lineage is cut, and lost executors take nothing along."""
     spark = df.sparkSession
-    path = f"{working_folder.get() or own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{table_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from fathom.operators import audit
-from fathom.session import own_dir
+from fathom.session import table_dir
 
 SILENCE_MS = 3_600_000
 
@@ -26,7 +26,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there now and returns its result, written as tables of the shared folder: each batch appends
     its rows (append, update), or the last batch has them all (complete)."""
     spark = stream.sparkSession
-    path = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{table_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
