@@ -193,12 +193,12 @@ def test_embedding_is_the_same_everywhere_and_of_length_one(spark):
 
 def test_embedding_run_goes_on_where_it_was_killed(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text number {i} {i % 7}") for i in range(300)] + [(None, "without an id")], "id long, text string").cache()
-    marks, path = tmp_path / "marks", str(tmp_path / "vectors")
-    marks.mkdir()
+    path = str(tmp_path / "vectors")
 
-    def failing(limit):
-        """Marks each text that it encodes, and dies at one of them."""
-        folder = str(marks)
+    def failing(limit, run):
+        """Marks each text that it encodes, in a folder of its run (tasks of a dying one may go on a while), and dies at one of them."""
+        folder = str(tmp_path / run)
+        (tmp_path / run).mkdir()
 
         def encoder():
             encode = embedding.hashed()()
@@ -216,16 +216,16 @@ def test_embedding_run_goes_on_where_it_was_killed(spark, tmp_path):
 
         return encoder
 
-    written = lambda: sum(int(p.read_text()) for p in marks.iterdir())
+    written = lambda run: sum(int(p.read_text()) for p in (tmp_path / run).iterdir())
     with pytest.raises(Exception, match="killed"):
-        embedding.write_resumed(docs, path, failing(200), shard_rows=10, waves=4)
-    before, kept = written(), embedding.load(spark, path).count()
+        embedding.write_resumed(docs, path, failing(200, "first"), shard_rows=10, waves=4)
+    kept = embedding.load(spark, path).count()
     assert 0 < kept < 301
-    report = embedding.write_resumed(docs, path, failing(None), shard_rows=10, waves=4)
-    assert report == {"encoded": 301 - kept, "kept": kept} and written() - before == 301 - kept
+    report = embedding.write_resumed(docs, path, failing(None, "second"), shard_rows=10, waves=4)
+    assert report == {"encoded": 301 - kept, "kept": kept} and written("second") == 301 - kept
     whole = {r.id: r.vector for r in embedding.embed(docs).collect()}
     assert {r.id: r.vector for r in embedding.load(spark, path).collect()} == whole and embedding.load(spark, path).count() == 301
-    assert embedding.write_resumed(docs, path, failing(None), shard_rows=10, waves=4) == {"encoded": 0, "kept": 301}
+    assert embedding.write_resumed(docs, path, failing(None, "third"), shard_rows=10, waves=4) == {"encoded": 0, "kept": 301} and written("third") == 0
     shape = embedding.manifest(spark, path).agg(F.sum("rows"), F.min("dim"), F.max("dim"), F.min("length"), F.max("rows")).first()
     assert tuple(shape)[:3] == (301, embedding.DIM, embedding.DIM) and shape[3] > 0.999 and shape[4] < 40
     with pytest.raises(ValueError, match="was begun with"):
