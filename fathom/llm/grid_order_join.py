@@ -21,6 +21,8 @@ from fathom.llm.vectors import matrix, usable
 SHIPPED, LEAF = 1 << 20, 128
 GRID_DIMENSIONS, BOX_DIMENSIONS = 6, 12
 BROADCAST, COPIES = 64 << 20, 4
+#: Intervals that one of a cell's tasks compares with all its others.
+SHARE = 256
 
 
 def principal(vectors: DataFrame, width: int, n: int) -> np.ndarray:
@@ -104,12 +106,15 @@ def coordinates(points: bytes, kind: str, directions: np.ndarray) -> tuple[np.nd
     return x, x @ directions
 
 
-def near_pairs(cut: DataFrame, eps: float) -> DataFrame:
+def near_pairs(cut: DataFrame, eps: float, share: int = SHARE) -> DataFrame:
     """(left, right): each pair of intervals whose boxes are no further apart than eps, once, and each with itself.
 
-    They meet in the cells of a coarse grid over two directions, in the first cell that both touch; boxes alone are shuffled.
+    They meet in the cells of a coarse grid over two directions, in the first cell that both touch; boxes alone are shuffled. A
+    cell, of which there are few, may hold all boxes: its right ones are dealt into shares of about `share`, its left ones meet
+    each, so that there are as many tasks as the intervals are worth.
     """
     side = max(eps, 0.1)
+    shares = max(1, -(-cut.count() // share))
     two = cut.select("interval", "low", "high")
     at = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k + 1)), F.lit(0.0))
     cells = lambda name, more: [F.floor((at(F.col("low"), k) - more) / side).alias(f"{name}_from{k}") for k in (0, 1)] + [F.floor((at(F.col("high"), k) + more) / side).alias(f"{name}_to{k}") for k in (0, 1)]
@@ -120,7 +125,9 @@ def near_pairs(cut: DataFrame, eps: float) -> DataFrame:
             rows = rows.withColumn(f"cell{k}", F.explode(F.sequence(f"{name}_from{k}", f"{name}_to{k}")))
         return rows
 
-    met = spread("left", eps).join(spread("right", 0.0), ["cell0", "cell1"]).where("left <= right")
+    left = spread("left", eps).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
+    right = spread("right", 0.0).withColumn("share", F.pmod(F.xxhash64("right"), F.lit(shares)))
+    met = left.join(right, ["cell0", "cell1", "share"]).where("left <= right")
     for k in (0, 1):
         met = met.where(F.col(f"cell{k}") == F.greatest(f"left_from{k}", f"right_from{k}"))
     apart = lambda low, high: F.zip_with(low, high, lambda x, y: x - y)
