@@ -74,12 +74,11 @@ class Block:
         return [256 * int(x) if abs(x) >= 1 << 53 else math.floor(256 * x) for x in self.raw[:, i].tolist()] if self.wide else self.raw[:, i].tolist()
 
 
-def best_of(queries: np.ndarray, rows: np.ndarray, own: list[np.ndarray], k: int, floor: np.ndarray, error: float, step: int = DIMENSIONS) -> list[tuple[np.ndarray, np.ndarray]]:
+def best_of(queries: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray, error: float, step: int = DIMENSIONS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the places and scores of rows that may be among its k best: all that score its k-th best here, and floor,
     or more, but for an error of up to `error` times both norms.
 
-    queries, rows: dimension by dimension. own: the places of rows that are no candidates of a query. floor: each query's
-    k-th best score elsewhere.
+    queries, rows: dimension by dimension. floor: each query's k-th best score elsewhere.
     """
     width = max(len(queries), len(rows))
     q = np.zeros((width, queries.shape[1]))
@@ -91,10 +90,7 @@ def best_of(queries: np.ndarray, rows: np.ndarray, own: list[np.ndarray], k: int
     out = []
     for i in range(q.shape[1]):
         alive = np.arange(x.shape[1])
-        if len(own[i]):
-            alive = np.delete(alive, own[i])
-        moved = len(own[i]) > 0
-        score, columns, floor_i = np.zeros(len(alive)), x[:, alive] if moved else x, floor[i]
+        score, columns, floor_i = np.zeros(len(alive)), x, floor[i]
         blur, rounding = (part * q_left[0, i] * x_left[0][alive] for part in (error, max(error, 2.0**-50)))
         for a in range(0, width, step):
             b = min(width, a + step)
@@ -113,8 +109,8 @@ def best_of(queries: np.ndarray, rows: np.ndarray, own: list[np.ndarray], k: int
     return out
 
 
-def first_k(held: list[tuple[int, float, int | None]], k: int) -> list:
-    """(-score, id or infinity, id): the k best, ties to the smaller id, those without an id last."""
+def first_k(held: list[tuple[int, float, int | None, bool]], k: int) -> list:
+    """(-score, id or infinity, id, own): the k best, ties to the smaller id, those without an id last."""
     return sorted(held, key=lambda x: x[:2])[:k]
 
 
@@ -127,8 +123,9 @@ def sortable(score: int) -> bytes | None:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """vectors, queries: (id, vector). For each query its k rows of the highest integer inner product of floor(256 * x).
 
-    query_id, rank (from 1), vec_id, score. Ties go to the smaller id, rows without an id coming last. A query's own id is no
-    candidate; with fewer candidates all are returned. Vectors that are null, empty or hold null or non-finite components
+    query_id, rank (from 1), vec_id, score. Ties go to the smaller id, rows without an id coming last. A query is a row of
+    vectors, and its own row, one of its id and score, is no candidate; other rows of its id are. With fewer candidates all are
+    returned. Vectors that are null, empty or hold null or non-finite components
     take no part, nor do queries without an id: their results could not be told apart. Rows are ranked by exact scores,
     however large; one that no long can hold is shown as the nearest long. Shorter vectors are as if filled with zeros.
     Repeated rows are candidates each; repeated queries are answered each. An empty table gives no rows. Other columns are not
@@ -143,6 +140,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     copied = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
     pairs = dealt.join(copied, ["q_block", "cell"])  # a cell: the rows of some CELL_BLOCKS blocks and one block of queries
 
+    more = k + 1  # the query's own row is among the best, or it isn't missed
+
     def run(batches):
         best: dict = {}
         for batch in batches:
@@ -151,29 +150,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
                 q_ids, held = best.setdefault(r["q_block"], (r["q_ids"], [[] for _ in r["q_ids"]]))
                 width = max(r["width"], r["q_width"])
                 exact = not (q.wide or x.wide) and width * q.top * x.top < 1 << 53
-                at: dict = {}
-                for j, n in enumerate(ids):
-                    at.setdefault(n, []).append(j)
-                own = [np.array(at.get(n, []), np.int64) for n in q_ids]
-                floor = np.array([scaled(-h[k - 1][0], q.shift + x.shift) if len(h) >= k else -math.inf for h in held])
-                for i, (places, scores) in enumerate(best_of(q.columns, x.columns, own, k, floor, 0.0 if exact else width * 2.0**-50)):
-                    if exact:
-                        new = [(-int(s), math.inf if ids[j] is None else ids[j], ids[j]) for j, s in zip(places.tolist(), scores.tolist())]
-                    else:
-                        whole_q = q.integers(i)
-                        new = [(-sum(a * b for a, b in zip(whole_q, x.integers(j))), math.inf if ids[j] is None else ids[j], ids[j]) for j in places.tolist()]
-                    held[i] = first_k(held[i] + new, k)
+                floor = np.array([scaled(-h[more - 1][0], q.shift + x.shift) if len(h) >= more else -math.inf for h in held])
+                for i, (places, scores) in enumerate(best_of(q.columns, x.columns, more, floor, 0.0 if exact else width * 2.0**-50)):
+                    whole_q = None if exact else q.integers(i)
+                    told = [int(s) for s in scores.tolist()] if exact else [sum(a * b for a, b in zip(whole_q, x.integers(j))) for j in places.tolist()]
+                    new = [(-s, math.inf if ids[j] is None else ids[j], ids[j], ids[j] == q_ids[i] and s == sum(a * a for a in q.integers(i))) for j, s in zip(places.tolist(), told, strict=True)]
+                    held[i] = first_k(held[i] + new, more)
         for block, (q_ids, held) in best.items():
-            found = [(i, q, n, s) for i, (q, h) in enumerate(zip(q_ids, held)) for s, _, n in h]
+            found = [(i, q, n, s, own) for i, (q, h) in enumerate(zip(q_ids, held)) for s, _, n, own in h]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(found), pa.int64()), pa.array([i for i, _, _, _ in found], pa.int32()), pa.array([q for _, q, _, _ in found], pa.int64()), pa.array([n for _, _, n, _ in found], pa.int64()),
-                 pa.array([max(-LONGEST - 1, min(LONGEST, -s)) for _, _, _, s in found], pa.int64()), pa.array([sortable(-s) for _, _, _, s in found], pa.binary())],
-                ["q_block", "place", "query_id", "vec_id", "score", "beyond"],
+                [pa.array([block] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()),
+                 pa.array([max(-LONGEST - 1, min(LONGEST, -x[3])) for x in found], pa.int64()), pa.array([sortable(-x[3]) for x in found], pa.binary()), pa.array([x[4] for x in found], pa.bool_())],
+                ["q_block", "place", "query_id", "vec_id", "score", "beyond", "own"],
             )
 
-    few = pairs.mapInArrow(run, "q_block long, place int, query_id long, vec_id long, score long, beyond binary")
-    place = F.row_number().over(Window.partitionBy("q_block", "place").orderBy(F.desc("score"), F.desc("beyond"), F.col("vec_id").asc_nulls_last()))
-    return few.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    few = pairs.mapInArrow(run, "q_block long, place int, query_id long, vec_id long, score long, beyond binary, own boolean")
+    each = Window.partitionBy("q_block", "place")
+    ranked = few.withColumn("place_all", F.row_number().over(each.orderBy(F.desc("score"), F.desc("beyond"), F.col("vec_id").asc_nulls_last()))).where(F.col("place_all") <= more)
+    ranked = ranked.withColumn("own_place", F.coalesce(F.min(F.when(F.col("own"), F.col("place_all"))).over(each), F.lit(more + 1)))
+    others = ranked.where(F.col("place_all") != F.col("own_place")).withColumn("rank", F.col("place_all") - (F.col("place_all") > F.col("own_place")).cast("int"))
+    return others.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def scaled(score: int, shift: int) -> float:
@@ -189,11 +185,11 @@ def scaled(score: int, shift: int) -> float:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+  SELECT row_number() OVER () AS own, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id IS DISTINCT FROM c.vec_id WHERE q.vec_id % 50 = 0
+  FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )

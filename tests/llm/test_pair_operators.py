@@ -213,19 +213,32 @@ def test_grid_join_is_exact(spark, monkeypatch, kind, interval, broadcast):
         assert grid_order_join.groups(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [1, 3, 256])
+def test_boxes_meet_once_whatever_their_shares(spark, share):
+    rng = np.random.default_rng(9)
+    low = rng.uniform(-1, 1, (25, 3))
+    high = low + rng.uniform(0, 0.6, (25, 3))
+    eps = 0.3
+    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+    wanted = Counter((i, j) for j in range(25) for i in range(j + 1) if (gap[i, j] ** 2).sum() <= eps * eps)
+    cut = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(low, high))], "interval long, low array<double>, high array<double>")
+    assert Counter(tuple(sorted(r)) for r in grid_order_join.near_pairs(cut, eps, share).collect()) == wanted
+
+
 def brute_top(rows, asked, k=5):
     """(query_id, rank, vec_id, score), by integers of any length."""
     good = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     wanted = Counter()
-    for q, v in good:
+    for own, (q, v) in enumerate(good):
         if q is not None and asked(q):
-            best = sorted(((-sum(a * b for a, b in zip(v, u)), i is None, i or 0) for i, u in good if i != q))[:k]
+            best = sorted(((-sum(a * b for a, b in zip(v, u)), i is None, i or 0) for at, (i, u) in enumerate(good) if at != own))[:k]
             wanted.update((q, n + 1, None if none else i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, none, i) in enumerate(best))
     return wanted
 
 
 def test_top_k_is_exact(spark):
     rows = vectors(7)
+    rows += [(13, rows[0][1]), (26, [-x for x in rows[26][1]]), (39, rows[39][1]), (39, rows[39][1])]  # ids that several rows have
     df = spark.createDataFrame(rows, "id long, vector array<double>").selectExpr("*", "1 as block", "2 as width", "3 as cell")
     wanted = brute_top(rows, lambda q: q % 13 == 0)
     asked = df.where("id % 13 = 0")
@@ -245,8 +258,8 @@ def test_top_k_of_large_components_is_exact(spark):
         assert Counter(map(tuple, topk_search.top_k(df, df, 5, *sizes).collect())) == brute_top(rows, lambda q: True)
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_one_query_an_operator_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf):
