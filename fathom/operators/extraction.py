@@ -61,7 +61,7 @@ def extract(chunks: DataFrame, extractor: Extractor, at_once: int = AT_ONCE) ->
 
     def run(batches):
         f = extractor()
-        for batch in batches:
+        for batch in automaton.few(batches):
             found = [x or "" for x in batch.column("text").to_pylist()]
             out = [row for a in range(0, len(found), at_once) for row in tried(f, found[a : a + at_once])]
             entities, relations, errors = zip(*out, strict=True) if out else ((), (), ())
@@ -101,7 +101,7 @@ def by_dictionary(chunks: DataFrame, names: DataFrame, automaton_names: int = au
     rows = automaton.occurrences(rows, "plain", keys, automaton_names)
 
     def run(batches):
-        for batch in batches:
+        for batch in automaton.few(batches):
             out = [_linked(*x) for x in zip(batch.column("plain").to_pylist(), batch.column("found").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("seq"), pa.array([x[0] for x in out], _STRUCT[ENTITIES]), pa.array([x[1] for x in out], _STRUCT[RELATIONS]), pa.nulls(len(out), pa.string())], ["chunk_id", "seq", "entities", "relations", "error"])
 
