@@ -1,19 +1,20 @@
 """Second-order boosting: trees of a fixed depth by sums of gradients and hessians over histograms.
 
 Rows are binned once. A level of a tree is one pass: each task adds up gradient and hessian by node, feature and bin, Spark sums
-them, and the driver, which gets one row a node, feature and bin, picks the splits. Margins are carried along every few trees.
+them, and the driver, which gets one row a node, feature and bin, picks the splits. Models of several samples of the rows, such as
+those of folds, grow together: a pass serves all. Margins are carried along every few trees.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.session import materialise
+from fathom.session import materialise, spread
 
 ROUNDS, DEPTH, RATE, PENALTY, FLOOR, SHARE, BINS = 120, 2, 0.06, 3.0, 5.0, 0.8, 64
 #: Trees after which rows are written with their margins.
-CARRIED = 20
+CARRIED = 10
 
 
 class Tree:
@@ -80,76 +81,142 @@ def fit(rows: DataFrame, features: list[str], label: str, key: str, rounds: int
     """rows: features without nulls, a label of 0 or 1, and a long key for sampling -> trees; a row's log odds are the sum of their
     margins. Leaves are penalised by `penalty` (L2), and no side of a split has less hessian than `floor`. Each tree sees a
     `share` of the rows and of the features."""
-    cuts = cut_points(rows, features, bins)
-    width = max([1, *(len(c) + 1 for c in cuts)])
-    x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
-    table = materialise(rows.select(x, F.col(label).cast("double").alias("y"), F.col(key).cast("long").alias("key"), F.lit(0.0).alias("margin")), "binned")
-    trees: list[Tree] = []
+    return fit_together(rows, features, label, key, F.lit(1), [[0.0] * len(features)], rounds, depth, rate, penalty, floor, share, bins, seed)[0]
+
+
+def has_bit(bits: Column, k: int) -> Column:
+    return bits.cast("long").bitwiseAND(F.lit(1 << k)) != 0
+
+
+def fit_together(rows: DataFrame, features: list[str], label: str, key: str, seen: Column, fills: list[list[float]], rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, penalty: float = PENALTY, floor: float = FLOOR, share: float = SHARE, bins: int = BINS, seed: int = 42) -> list[list[Tree]]:
+    """One model as of `fit` for each element of fills, what the features' nulls are to it. It sees the rows whose `seen` has its
+    bit, at most 60 of which there are."""
+    if bins > 256 or len(fills) > 60:
+        raise ValueError(f"{bins} bins, {len(fills)} models: at most 256 and 60")
+    models, width = range(len(fills)), len(features)
+    given = rows.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"), F.col(key).cast("long").alias("key"), seen.cast("long").alias("seen"))
+    share_of = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    value = lambda k, f: F.when(has_bit(F.col("seen"), k), F.coalesce(F.col("x")[f], F.lit(fills[k][f])))
+    found = given.agg(*[F.percentile_approx(value(k, f), share_of, 100_000).alias(f"c{k}_{f}") for k in models for f in range(width)]).first()
+    cuts = [[sorted(set(found[f"c{k}_{f}"] or [])) for f in range(width)] for k in models]
+    table = materialise(_binned(spread(given), cuts, fills), "binned")
+    trees: list[list[Tree]] = [[] for _ in models]
+    codes: list[list[list[int]]] = [[] for _ in models]  # of each tree, the bins with which left sides end
     carried = 0
     leaf = lambda g, h: -rate * float(g.sum()) / (float(h.sum()) + penalty)
     for number in range(rounds):
         if number - carried == CARRIED:
-            table = materialise(_with_margins(table, trees[carried:]), "margins")
+            table = materialise(_with_margins(table, _packed(trees, codes, carried), width), "margins")
             carried = number
-        own, tree, open_ = columns_of(number, len(features), share, seed), Tree.of_depth(depth), [0]
+        own = columns_of(number, width, share, seed)
+        earlier, new, open_ = _packed(trees, codes, carried), [Tree.of_depth(depth) for _ in models], [[0] for _ in models]
+        ends = [[0] * len(new[0].feature) for _ in models]
         for _ in range(depth):
-            sums = _histograms(table, trees[carried:], tree, own, cuts, number, width, share, seed)
-            following = []
-            for i in (i for i in open_ if i in sums):
-                g, h = sums[i]
-                if i == 0:
-                    tree.value[0] = leaf(g[0], h[0])
-                if found := best_split(g, h, penalty, floor):
-                    gain, f, b = found
-                    tree.feature[i], tree.cut[i], tree.gain[i] = own[f], cuts[own[f]][b], gain
-                    tree.value[2 * i + 1], tree.value[2 * i + 2] = leaf(g[f, : b + 1], h[f, : b + 1]), leaf(g[f, b + 1 :], h[f, b + 1 :])
-                    following += [2 * i + 1, 2 * i + 2]
-            open_ = following
-            if not open_:
+            sums = _histograms(table, earlier, [(t.feature, e) for t, e in zip(new, ends)], own, width, bins, number, share, seed)
+            for k in models:
+                following = []
+                for i in (i for i in open_[k] if (k, i) in sums):
+                    g, h = sums[k, i]
+                    if i == 0:
+                        new[k].value[0] = leaf(g[0], h[0])
+                    if found := best_split(g, h, penalty, floor):
+                        gain, f, b = found
+                        new[k].feature[i], new[k].cut[i], new[k].gain[i], ends[k][i] = own[f], cuts[k][own[f]][b], gain, b
+                        new[k].value[2 * i + 1], new[k].value[2 * i + 2] = leaf(g[f, : b + 1], h[f, : b + 1]), leaf(g[f, b + 1 :], h[f, b + 1 :])
+                        following += [2 * i + 1, 2 * i + 2]
+                open_[k] = following
+            if not any(open_):
                 break
-        trees.append(tree)
+        for k in models:
+            trees[k].append(new[k])
+            codes[k].append(ends[k])
     return trees
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+def _packed(trees: list[list[Tree]], codes: list[list[list[int]]], since: int) -> list[list[tuple]]:
+    return [[(t.feature, c, t.value) for t, c in zip(own[since:], ends[since:])] for own, ends in zip(trees, codes)]
 
 
-def _with_margins(table: DataFrame, trees: list[Tree]) -> DataFrame:
+def _reached(feature: list[int], code: list[int], value, bins: np.ndarray, at: int = 0):
+    """What value has for the node at which each row ends. bins: (features, rows)."""
+    if feature[at] < 0:
+        return value[at]
+    return np.where(bins[feature[at]] <= code[at], _reached(feature, code, value, bins, 2 * at + 1), _reached(feature, code, value, bins, 2 * at + 2))
+
+
+def _sum_of(trees: list[tuple], bins: np.ndarray) -> np.ndarray:
+    return sum((_reached(*t, bins) for t in trees), np.zeros(bins.shape[1]))
+
+
+def _unpacked(column: pa.Array, kind, rows: int) -> np.ndarray:
+    """(width, rows) of a binary column of equally long values."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    flat = np.frombuffer(data, np.uint8)[offsets[column.offset] : offsets[column.offset + rows]]
+    return np.ascontiguousarray(flat.view(kind).reshape(rows, -1).T)
+
+
+def _bytes_of(rows: np.ndarray) -> pa.Array:
+    """A binary column with the bytes of each row."""
+    rows = np.ascontiguousarray(rows)
+    n = rows.itemsize * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(n)), pa.py_buffer(rows.tobytes())])
+
+
+def _binned(given: DataFrame, cuts: list[list[list[float]]], fills: list[list[float]]) -> DataFrame:
+    """bins: a byte for each model and feature; margins: a double for each model."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            null = batch.column("x").flatten().is_null().to_numpy(zero_copy_only=False).reshape(x.shape)
+            bins = [np.searchsorted(c, np.where(null[:, f], fill, x[:, f]), side="left") for own, fills_ in zip(cuts, fills) for f, (c, fill) in enumerate(zip(own, fills_))]
+            yield pa.RecordBatch.from_arrays([_bytes_of(np.stack(bins, axis=1).astype(np.uint8)), _bytes_of(np.zeros((len(x), len(cuts)))), *(batch.column(c) for c in ("y", "key", "seen"))], ["bins", "margins", "y", "key", "seen"])
+
+    return given.mapInArrow(run, "bins binary, margins binary, y double, key long, seen long")
+
+
+def _with_margins(table: DataFrame, trees: list[list[tuple]], width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            x = _matrix(batch)
-            margin = batch.column("margin").to_numpy() + sum((t.margin(x) for t in trees), np.zeros(len(x)))
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
+            if batch.num_rows:
+                bins, margins = _unpacked(batch.column("bins"), np.uint8, batch.num_rows), _unpacked(batch.column("margins"), float, batch.num_rows)
+                added = [_sum_of(own, bins[k * width : (k + 1) * width]) for k, own in enumerate(trees)]
+                yield batch.set_column(batch.schema.get_field_index("margins"), "margins", _bytes_of((margins + np.stack(added)).T))
 
     return table.mapInArrow(run, table.schema)
 
 
-def _histograms(table: DataFrame, trees: list[Tree], tree: Tree, own: list[int], cuts: list[list[float]], number: int, width: int, share: float, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Gradients and hessians of the nodes that `tree` ends in so far: {node: (g, h)}, each (features of own, bins)."""
-    size = len(tree.feature)
+def _histograms(table: DataFrame, trees: list[list[tuple]], growing: list[tuple], own: list[int], features: int, width: int, number: int, share: float, seed: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Gradients and hessians of the nodes in which the growing trees, (feature, code) of each model, end so far: {(model, node):
+    (g, h)}, each (features of own, bins)."""
+    size, models = len(growing[0][0]), len(growing)
+    cells = size * len(own) * width
 
     def run(batches):
-        g, h = np.zeros(size * len(own) * width), np.zeros(size * len(own) * width)
+        g, h = np.zeros((models, cells)), np.zeros((models, cells))
         for batch in batches:
-            x = _matrix(batch)
-            kept = drawn(batch.column("key").to_numpy(), number, share, seed)
-            x = x[kept]
-            margin = batch.column("margin").to_numpy()[kept] + sum((t.margin(x) for t in trees), np.zeros(len(x)))
-            p = 1 / (1 + np.exp(-margin))
-            at = tree.leaves(x)
-            for j, f in enumerate(own):
-                cell = (at * len(own) + j) * width + np.searchsorted(cuts[f], x[:, f], side="left")
-                g += np.bincount(cell, p - batch.column("y").to_numpy()[kept], len(g))
-                h += np.bincount(cell, p * (1 - p), len(h))
+            if not batch.num_rows:
+                continue
+            bins, margins = _unpacked(batch.column("bins"), np.uint8, batch.num_rows), _unpacked(batch.column("margins"), float, batch.num_rows)
+            y, seen, kept = batch.column("y").to_numpy(), batch.column("seen").to_numpy(), drawn(batch.column("key").to_numpy(), number, share, seed)
+            for k, (feature, code) in enumerate(growing):
+                use = np.flatnonzero(kept & ((seen >> k) & 1 == 1))
+                b = bins[k * features : (k + 1) * features, use]
+                p = 1 / (1 + np.exp(-(margins[k, use] + _sum_of(trees[k], b))))
+                at = np.zeros(len(use), np.int64) + _reached(feature, code, range(size), b)
+                for j, f in enumerate(own):
+                    cell = (at * len(own) + j) * width + b[f]
+                    g[k] += np.bincount(cell, p - y[use], cells)
+                    h[k] += np.bincount(cell, p * (1 - p), cells)
         used = np.flatnonzero(h)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g[used]), pa.array(h[used])], ["cell", "g", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g.ravel()[used]), pa.array(h.ravel()[used])], ["cell", "g", "h"])
 
     sums = table.mapInArrow(run, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    g, h = np.zeros(size * len(own) * width), np.zeros(size * len(own) * width)
+    g, h = np.zeros(models * cells), np.zeros(models * cells)
     g[sums["cell"].to_numpy()], h[sums["cell"].to_numpy()] = sums["g"].to_numpy(), sums["h"].to_numpy()
-    shaped = lambda v: v.reshape(size, len(own), width)
-    return {i: (shaped(g)[i], shaped(h)[i]) for i in range(size) if shaped(h)[i].any()}
+    g, h = (v.reshape(models, size, len(own), width) for v in (g, h))
+    return {(k, i): (g[k, i], h[k, i]) for k in range(models) for i in range(size) if h[k, i].any()}
 
 
 def predict(rows: DataFrame, trees: list[Tree], features: list[str], name: str = "p") -> DataFrame:

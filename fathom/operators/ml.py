@@ -9,7 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.numbers import logit, risk_band
@@ -196,6 +196,18 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, key: str, rou
     return Boosted(medians, boosting.fit(filled(train, medians), features, label, key, rounds))
 
 
+def fit_boosted_folds(dealt: DataFrame, numbers: list[int], medians: list[dict], features: list[str], label: str, key: str, rounds: int = boosting.ROUNDS) -> list[Boosted]:
+    """fit_boosted of the rows outside each of the folds, all at the same time. dealt has fold; medians: by fold."""
+    own = [{c: 0.0 if medians[k][c] is None else float(medians[k][c]) for c in features} for k in numbers]
+    trees = boosting.fit_together(dealt, features, label, key, seen_bits(numbers), [list(m.values()) for m in own], rounds)
+    return [Boosted(m, t) for m, t in zip(own, trees)]
+
+
+def seen_bits(numbers: list[int]) -> Column:
+    """One bit for each fold, set in the rows outside it."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("fold") != k, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(numbers)])
+
+
 def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str, inner: int = 3, medians: dict | None = None) -> Calibrated:
     """Sigmoid-calibrated logistic regressions, one for each inner fold, averaged. Inner folds keep groups together, and each
     has medians of its own rows, from one pass; medians, those of all rows, aren't needed."""
@@ -251,9 +263,10 @@ def calibration_slope(rows: DataFrame) -> float | None:
     return None if labels < 2 else _line(rows.select(F.col("label").cast("double").alias("_y"), logit(F.col("score")).alias("m")))[0]
 
 
-def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[..., Callable], parallel: int = FOLDS, features: list[str] | None = None) -> DataFrame:
+def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[..., Callable] | None, parallel: int = FOLDS, features: list[str] | None = None, together: Callable[..., list] | None = None) -> DataFrame:
     """rows with p, predicted by models that haven't seen the row's fold. The folds' models are fitted at the same time. With
-    features, fit also gets the fold's medians, all of which one pass finds."""
+    features, fit also gets the fold's medians, all of which one pass finds. together, in place of fit, is a function of (rows with
+    fold, folds, medians by fold) to the models of all folds, which share their passes."""
     dealt = materialise(rows.join(folds, on), "folds")
     numbers = [r[0] for r in dealt.select("fold").distinct().orderBy("fold").collect()]  # five or so
     medians = medians_by_fold(dealt, features, "fold", max(numbers) + 1) if features and numbers else None
@@ -262,6 +275,9 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[..., C
         known = {} if medians is None else {"medians": medians[k]}
         return fit(dealt.where(F.col("fold") != k).drop("fold"), **known)(dealt.where(F.col("fold") == k))
 
+    if together is not None:
+        models = together(dealt, numbers, medians)
+        return reduce(DataFrame.unionByName, [model(dealt.where(F.col("fold") == k)) for k, model in zip(numbers, models)])
     own = inheritable_thread_target(rows.sparkSession)(lambda context, k: context.run(one, k))
     with ThreadPool(parallel) as pool:
         return reduce(DataFrame.unionByName, pool.starmap(own, [(copy_context(), k) for k in numbers]))

@@ -39,15 +39,27 @@ def boosted(train, medians=None):
     return ml.fit_boosted(train, FEATURES, "admitted", "id", medians=medians)
 
 
+def boosted_folds(dealt, numbers, medians):
+    return ml.fit_boosted_folds(dealt, numbers, medians, FEATURES, "admitted", "id")
+
+
+#: Kinds whose models of all folds are fitted in the same passes.
+TOGETHER = {boosted: boosted_folds}
+
+
+def unseen(rows, folds, on, fit):
+    return ml.out_of_fold(rows, folds, on, fit, features=FEATURES, together=TOGETHER.get(fit))
+
+
 def by_groups(rows, fit, name):
-    return ml.metrics(ml.out_of_fold(rows, ml.grouped_folds(rows, "subject"), "subject", fit, features=FEATURES), "admitted", name)
+    return ml.metrics(unseen(rows, ml.grouped_folds(rows, "subject"), "subject", fit), "admitted", name)
 
 
 @query()
 def grouped_cv(spark, sf_dir):
     """Logistic regression and the baselines, and what folds that ignore groups would have shown."""
     rows = kept_stays(spark, sf_dir)
-    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", logistic, features=FEATURES), "admitted", "logistic, ungrouped")
+    mixed = ml.metrics(unseen(rows, ml.stratified_folds(rows, "id", "admitted"), "id", logistic), "admitted", "logistic, ungrouped")
     middle = medians_by_fold(rows, ["acuity"])[0]["acuity"]
     acuity = ml.metrics(rows.withColumn("p", (5 - F.coalesce("acuity", F.lit(middle))) / 4), "admitted", "acuity alone")
     always = ml.metrics(rows.withColumn("p", F.lit(1.0)), "admitted", "always admit")
@@ -58,7 +70,7 @@ def grouped_cv(spark, sf_dir):
 def inflation(spark, sf_dir):
     """By how much folds that ignore groups flatter the boosted trees."""
     rows = kept_stays(spark, sf_dir)
-    mixed = ml.metrics(ml.out_of_fold(rows, ml.stratified_folds(rows, "id", "admitted"), "id", boosted, features=FEATURES), "admitted", "boosted, ungrouped")
+    mixed = ml.metrics(unseen(rows, ml.stratified_folds(rows, "id", "admitted"), "id", boosted), "admitted", "boosted, ungrouped")
     return ml.inflation_gap(by_groups(rows, boosted, "boosted"), mixed)
 
 
