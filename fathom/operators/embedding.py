@@ -23,7 +23,45 @@ Encoder = Callable[[], Callable[[list[str]], np.ndarray]]
 
 DIM, AT_ONCE, SHARD_ROWS, WAVES = 64, 128, 2048, 8
 WORD = re.compile(r"\w+")
-CACHED_WORDS = 200_000
+CACHED_WORDS, WORDS_AT_ONCE = 200_000, 32_768
+
+
+class Rows:
+    """Vectors by key, made when they are first asked for. About CACHED_WORDS are kept."""
+
+    def __init__(self, dim: int):
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, dim), np.float32)
+
+    def places(self, keys: list[str], make: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """Each key's row of `table`, until the next call."""
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+        new = [k for k in dict.fromkeys(keys) if k not in self.known]
+        if new:
+            n = len(self.known)
+            made = make(new)
+            if n + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:n], np.zeros((max(n, 1024) + len(new), self.table.shape[1]), np.float32)])
+            self.table[n : n + len(new)] = made
+            self.known.update(zip(new, range(n, n + len(new))))
+        return np.array([self.known[k] for k in keys], np.int64)
+
+    def of(self, keys: list[str], make: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        at = self.places(keys, make)
+        return self.table[at]
+
+
+def _parts(sizes: list[int]) -> list[list[int]]:
+    """The places in turn, in parts of WORDS_AT_ONCE or one place."""
+    out, held = [[]], 0
+    for i, n in enumerate(sizes):
+        if out[-1] and held + n > WORDS_AT_ONCE:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += n
+    return [x for x in out if x]
 
 
 def hashed(dim: int = DIM, seed: int = 0, trigram_weight: float = 0.5) -> Encoder:
@@ -31,26 +69,33 @@ def hashed(dim: int = DIM, seed: int = 0, trigram_weight: float = 0.5) -> Encode
     by its hash; a text is their sum, a word that occurs n times counting 1 + ln n times. No vocabulary, no shared state: any
     task maps a text to the same vector."""
 
-    def signs(feature: str) -> np.ndarray:
-        raw = b"".join(xxhash.xxh64_digest(feature, seed * 1000 + i) for i in range(-(-dim // 64)))
-        return np.unpackbits(np.frombuffer(raw, np.uint8))[:dim].astype(np.float32) * 2 - 1
+    def signs(features: list[str]) -> np.ndarray:
+        raw = b"".join(xxhash.xxh64_digest(f, seed * 1000 + i) for f in features for i in range(-(-dim // 64)))
+        return np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(len(features), -1)[:, :dim].astype(np.float32) * 2 - 1
 
     def encoder():
-        known: dict[str, np.ndarray] = {}
+        words, trigrams = Rows(dim), Rows(dim)
 
-        def of_word(word: str) -> np.ndarray:
-            v = known.get(word)
-            if v is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                v = known[word] = signs(word) + trigram_weight * sum((signs(f"\0{word}\0"[i : i + 3]) for i in range(len(word))), np.zeros(dim, np.float32))
-            return v
+        def of_words(new: list[str]) -> np.ndarray:
+            parts = [[f"\0{w}\0"[i : i + 3] for i in range(len(w))] for w in new]
+            vectors = trigrams.of([p for own in parts for p in own], signs)
+            return signs(new) + trigram_weight * np.add.reduceat(vectors, np.cumsum([0, *map(len, parts[:-1])]), axis=0)  # whole numbers: exact in any order
 
         def encode(texts: list[str]) -> np.ndarray:
+            """A text's words are added in their order, those of all texts side by side."""
             out = np.zeros((len(texts), dim), np.float32)
-            for row, text in zip(out, texts, strict=True):
-                for word, n in Counter(WORD.findall(text.lower())).items():
-                    row += (1 + np.log(n)) * of_word(word)
+            counts = [Counter(WORD.findall(text.lower())) for text in texts]
+            for some in _parts([len(c) for c in counts]):
+                order = sorted(some, key=lambda i: -len(counts[i]))
+                lengths = np.array([len(counts[i]) for i in order])
+                at = words.places([w for i in order for w in counts[i]], of_words)
+                weight = 1 + np.log(np.array([n for i in order for n in counts[i].values()], float))
+                first, sums = np.cumsum(lengths) - lengths, np.zeros((len(order), dim), np.float32)
+                for j in range(lengths.max(initial=0)):
+                    n = int(np.searchsorted(-lengths, -j, side="left"))  # texts with more than j words
+                    here = first[:n] + j
+                    sums[:n] += weight[here, None] * words.table[at[here]]
+                out[order] = sums
             return out
 
         return encode
