@@ -106,7 +106,8 @@ def predict_serve(spark, sf_dir):
     rows = kept_stays(spark, sf_dir)
     dealt = materialise(rows.join(ml.grouped_folds(rows, "subject"), "subject"), "folds")
     folds = [r[0] for r in dealt.select("fold").distinct().orderBy("fold").collect()]  # five or so
-    served = [ml.serve(held.select("id"), held, logistic(dealt.where(F.col("fold") != k).drop("fold"))) for k in folds for held in [dealt.where(F.col("fold") == k).drop("fold")]]
+    medians = medians_by_fold(dealt, FEATURES, "fold", max(folds, default=0) + 1)  # of all folds in one pass
+    served = [ml.serve(held.select("id"), held, logistic(dealt.where(F.col("fold") != k).drop("fold"), medians[k])) for k in folds for held in [dealt.where(F.col("fold") == k).drop("fold")]]
     return reduce(DataFrame.unionByName, served)
 
 
