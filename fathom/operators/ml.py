@@ -16,11 +16,11 @@ from fathom.functions.numbers import logit, risk_band
 from fathom.operators import boosting
 from fathom.operators.cohort import look_up
 from fathom.operators.evaluation import auc_bootstrap, average_precision, brier, roc_auc
-from fathom.operators.order import medians_by_fold, positions_by
+from fathom.operators.order import medians_by_fold, medians_of_sets, positions_by
 from fathom.session import materialise
 from fathom.sources.tables import read_manifest, write_manifest
 
-SEED, FOLDS = 42, 5
+SEED, FOLDS, INNER = 42, 5, 3
 
 
 def deal(sizes: list[tuple[int, int]], folds: int) -> dict[int, tuple[list[int], list[int]]]:
@@ -52,10 +52,14 @@ def grouped_folds(rows: DataFrame, group: str, folds: int = FOLDS) -> DataFrame:
 
     The driver gets one row for each different group size, of which there are few: groups of sizes 1 to s have s * s / 2 rows.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    return deal_groups(rows.groupBy(group).agg(F.count("*").alias("_size")), group, folds)
+
+
+def deal_groups(sizes: DataFrame, group: str, folds: int = FOLDS) -> DataFrame:
+    """grouped_folds of groups with known sizes: (group, _size)."""
     counts = [tuple(r) for r in sizes.groupBy("_size").agg(F.count("*")).collect()]
     dealt = deal(counts, max(1, min(folds, sum(n for _, n in counts))))
-    table = rows.sparkSession.createDataFrame([(size, first, turn) for size, (first, turn) in dealt.items()], "_size long, first array<int>, turn array<int>")
+    table = sizes.sparkSession.createDataFrame([(size, first, turn) for size, (first, turn) in dealt.items()], "_size long, first array<int>, turn array<int>")
     placed = positions_by(sizes, "_size", [group]).join(F.broadcast(table), "_size")
     began = F.size("first")
     later = F.element_at("turn", (F.pmod(F.col("position") - began, F.size("turn")) + 1).cast("int"))
@@ -199,24 +203,47 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, key: str, rou
 def fit_boosted_folds(dealt: DataFrame, numbers: list[int], medians: list[dict], features: list[str], label: str, key: str, rounds: int = boosting.ROUNDS) -> list[Boosted]:
     """fit_boosted of the rows outside each of the folds, all at the same time. dealt has fold; medians: by fold."""
     own = [{c: 0.0 if medians[k][c] is None else float(medians[k][c]) for c in features} for k in numbers]
-    trees = boosting.fit_together(dealt, features, label, key, seen_bits(numbers), [list(m.values()) for m in own], rounds)
+    trees = boosting.fit_together(dealt, features, label, key, seen_bits([F.col("fold") != k for k in numbers]), [list(m.values()) for m in own], rounds)
     return [Boosted(m, t) for m, t in zip(own, trees)]
 
 
-def seen_bits(numbers: list[int]) -> Column:
-    """One bit for each fold, set in the rows outside it."""
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("fold") != k, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(numbers)])
+def seen_bits(sets: list[Column]) -> Column:
+    """One bit for each set of rows, set in the rows of which its condition holds."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(sets)])
 
 
-def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str, inner: int = 3, medians: dict | None = None) -> Calibrated:
+def fit_calibrated(train: DataFrame, features: list[str], label: str, group: str, inner: int = INNER, medians: dict | None = None) -> Calibrated:
     """Sigmoid-calibrated logistic regressions, one for each inner fold, averaged. Inner folds keep groups together, and each
-    has medians of its own rows, from one pass; medians, those of all rows, aren't needed."""
+    has medians of its own rows, from one job; medians, those of all rows, aren't needed."""
     folds = materialise(train.join(grouped_folds(train, group, inner), group), "inner-folds")
-    own = medians_by_fold(folds, features, "fold", inner)
+    return _calibrated(folds, "fold", features, label, medians_by_fold(folds, features, "fold", inner))
+
+
+def fit_calibrated_folds(dealt: DataFrame, numbers: list[int], features: list[str], label: str, group: str, inner: int = INNER, parallel: int = FOLDS) -> list[Calibrated]:
+    """fit_calibrated of the rows outside each of the folds, all at the same time. dealt has fold. The inner folds of all are
+    columns of one table, which is written once, and one job has the medians of all."""
+    sizes = materialise(dealt.groupBy(group, "fold").agg(F.count("*").alias("_n")), "sizes")
+    outside = [sizes.where(F.col("fold") != k).groupBy(group).agg(F.sum("_n").alias("_size")) for k in numbers]
+    each = reduce(DataFrame.unionByName, [deal_groups(own, group, inner).withColumn("_k", F.lit(k)) for own, k in zip(outside, numbers)])
+    columns = each.groupBy(group).agg(*[F.max(F.when(F.col("_k") == k, F.col("fold"))).alias(f"_inner{k}") for k in numbers])
+    table = materialise(dealt.join(columns, group, "left"), "inner-folds")
+    bits = seen_bits([(F.col("fold") != k) & (F.col(f"_inner{k}") != i) for k in numbers for i in range(inner)])
+    medians = medians_of_sets(table, features, bits, len(numbers) * inner)
+
+    def one(at: int, k: int) -> Calibrated:
+        return _calibrated(table.where(F.col("fold") != k), f"_inner{k}", features, label, medians[at * inner : (at + 1) * inner])
+
+    own = inheritable_thread_target(dealt.sparkSession)(lambda context, at, k: context.run(one, at, k))
+    with ThreadPool(parallel) as pool:
+        return pool.starmap(own, [(copy_context(), at, k) for at, k in enumerate(numbers)])
+
+
+def _calibrated(train: DataFrame, inner: str, features: list[str], label: str, medians: list[dict]) -> Calibrated:
+    """train has its inner folds; medians: by inner fold, of the rows outside it."""
     parts = []
-    for k in range(inner):
-        base = fit_logistic(folds.where(F.col("fold") != k).drop("fold"), features, label, medians=own[k])
-        held = base(folds.where(F.col("fold") == k).drop("fold")).select(F.col(label).cast("double").alias("_y"), logit(F.col("p")).alias("m"))
+    for k, own in enumerate(medians):
+        base = fit_logistic(train.where(F.col(inner) != k), features, label, medians=own)
+        held = base(train.where(F.col(inner) == k)).select(F.col(label).cast("double").alias("_y"), logit(F.col("p")).alias("m"))
         parts.append((base, *_line(held)))
     return Calibrated(parts)
 

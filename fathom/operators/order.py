@@ -2,12 +2,16 @@
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.session import materialise
 
 WITHIN = (1 << 33) - 1
+#: Quantiles at which values are cut into cells before their median is sought.
+GRID = sorted({i / 64 for i in range(1, 64)} | {i / 2000 for i in range(980, 1021)})
 
 
 def running_sums(df: DataFrame, order: list, columns: dict[str, Column]) -> DataFrame:
@@ -58,24 +62,73 @@ def quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float], near
 
 
 def medians_by_fold(rows: DataFrame, features: list[str], fold: str | None = None, folds: int = 1) -> list[dict[str, float | None]]:
-    """For each fold k the exact medians of the features over the rows of all other folds; without `fold`, over all rows.
+    """For each fold k the exact medians of the features over the rows of all other folds; without `fold`, over all rows."""
+    outside = [F.when(F.col(fold) != k, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(folds)] if fold else [F.lit(1).cast("long")]
+    return medians_of_sets(rows, features, reduce(lambda a, b: a.bitwiseOR(b), outside), folds)
 
-    One pass over ranges of (feature, value) yields the ranks of all features and folds together; only the values at the middle
-    come to the driver, two a feature and fold. A value that many rows share is spread by a hash of the row.
+
+def medians_of_sets(rows: DataFrame, features: list[str], sets: Column, n_sets: int) -> list[dict[str, float | None]]:
+    """For each of up to 63 sets of rows the exact medians of the features. sets: a long whose bit k is set in the rows of set k.
+
+    A sketch of all values cuts each feature into cells, narrow ones in the middle; a second pass counts each set's rows in each
+    cell; a third ranks the distinct values of the cells that hold a median, alone. However the sketch errs the medians are exact:
+    it settles no more than how many rows these cells have.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)]))
-    part = F.col(fold) if fold else F.lit(-1)
-    long = rows.select(part.cast("int").alias("k"), F.xxhash64(*features).alias("spread"), each.alias("e")).select("k", "spread", "e.f", "e.v").where("v is not null")
-    inside = {f"n{k}": (F.col("k") != k).cast("long") for k in range(folds)}
-    placed = materialise(running_sums(long, ["f", "v", "spread"], inside), "ranks")
-    limits = placed.groupBy("f").agg(*[F.min(n).alias(f"low_{n}") for n in inside], *[F.sum(c).alias(f"all_{n}") for n, c in inside.items()])
-    met = placed.join(F.broadcast(limits), "f")  # a row a feature
-    found = []
-    for k in range(folds):
-        rank, n = F.col(f"n{k}") - F.col(f"low_n{k}"), F.col(f"all_n{k}")
-        middle = (rank == F.floor((n - 1) / 2)) | (rank == F.ceil((n - 1) / 2))
-        found.append(met.where((F.col("k") != k) & middle).select(F.lit(k).alias("fold"), "f", "v"))
-    out: list[dict[str, float | None]] = [dict.fromkeys(features) for _ in range(folds)]
-    for r in reduce(DataFrame.unionByName, found).groupBy("fold", "f").agg(F.avg("v").alias("v")).collect():
-        out[r["fold"]][features[r["f"]]] = r["v"]
+    named = rows.select(sets.alias("sets"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(features)]).where("sets <> 0")
+    sketches = [F.percentile_approx(F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")), GRID) for i in range(len(features))]
+    cuts = [np.unique(np.array(x or [], float)) for x in named.agg(*sketches).first()]
+
+    def cells_of(batch):
+        """(feature, bits, values, cells) of the values that are there; NaN is in the last cell."""
+        bits = batch.column("sets").to_numpy(zero_copy_only=False)
+        for i, own in enumerate(cuts):
+            column = batch.column(f"v{i}")
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            values = column.fill_null(0.0).to_numpy(zero_copy_only=False)[there]
+            yield i, bits[there], values, np.searchsorted(own, values)
+
+    def count(batches):
+        n = np.zeros((n_sets, len(features), len(GRID) + 1), np.int64)
+        for batch in batches:
+            for i, bits, _, cells in cells_of(batch):
+                for k in range(n_sets):
+                    n[k, i] += np.bincount(cells[bits >> k & 1 == 1], minlength=n.shape[2])
+        at = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*at, n[at])], ["k", "f", "cell", "n"])
+
+    n = np.zeros((n_sets, len(features), len(GRID) + 1), np.int64)
+    for r in named.mapInArrow(count, "k long, f long, cell long, n long").groupBy("k", "f", "cell").agg(F.sum("n").alias("n")).collect():
+        n[r["k"], r["f"], r["cell"]] = r["n"]
+    wanted: dict[tuple[int, int], list[int]] = {}  # (feature, cell) -> sets
+    ranks = []
+    for k, i in np.ndindex(n_sets, len(features)):
+        upto = n[k, i].cumsum()
+        if upto[-1]:
+            low, high = int(upto[-1] - 1) // 2, int(upto[-1]) // 2
+            first, last = (int(np.searchsorted(upto, x, "right")) for x in (low, high))
+            before = int(upto[first] - n[k, i, first])
+            ranks.append((k, i, low - before, high - before))
+            for cell in {first, last}:
+                wanted.setdefault((i, cell), []).append(k)
+    out: list[dict[str, float | None]] = [dict.fromkeys(features) for _ in range(n_sets)]
+    if not ranks:
+        return out
+
+    def pick(batches):
+        for batch in batches:
+            for i, bits, values, cells in cells_of(batch):
+                for cell, ks in ((c, ks) for (f, c), ks in wanted.items() if f == i):
+                    own = cells == cell
+                    for k in ks:
+                        v, times = np.unique(values[own][bits[own] >> k & 1 == 1], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k)), pa.array(np.full(len(v), i)), pa.array(v), pa.array(times)], ["k", "f", "v", "n"])
+
+    values = named.mapInArrow(pick, "k long, f long, v double, n long").groupBy("k", "f", "v").agg(F.sum("n").alias("n"))
+    placed = materialise(running_sums(values, ["k", "f", "v"], {"below": F.col("n")}), "ranks")
+    asked = rows.sparkSession.createDataFrame(ranks, "k long, f long, low long, high long")
+    begun = placed.groupBy("k", "f").agg(F.min("below").alias("_first")).join(F.broadcast(asked), ["k", "f"])  # a row a set and feature
+    place = F.col("below") - F.col("_first")
+    middle = ((place <= F.col("low")) & (F.col("low") < place + F.col("n"))) | ((place <= F.col("high")) & (F.col("high") < place + F.col("n")))
+    for r in placed.join(F.broadcast(begun), ["k", "f"]).where(middle).groupBy("k", "f").agg(F.avg("v").alias("v")).collect():
+        out[r["k"]][features[r["f"]]] = r["v"]
     return out

@@ -43,12 +43,17 @@ def boosted_folds(dealt, numbers, medians):
     return ml.fit_boosted_folds(dealt, numbers, medians, FEATURES, "admitted", "id")
 
 
-#: Kinds whose models of all folds are fitted in the same passes.
-TOGETHER = {boosted: boosted_folds}
+def calibrated_folds(dealt, numbers, medians):
+    return ml.fit_calibrated_folds(dealt, numbers, FEATURES, "admitted", "subject")
+
+
+#: Kinds whose models of all folds are fitted together.
+TOGETHER = {boosted: boosted_folds, calibrated: calibrated_folds}
 
 
 def unseen(rows, folds, on, fit):
-    return ml.out_of_fold(rows, folds, on, fit, features=FEATURES, together=TOGETHER.get(fit))
+    features = None if fit is calibrated else FEATURES  # whose inner folds have medians of their own
+    return ml.out_of_fold(rows, folds, on, fit, features=features, together=TOGETHER.get(fit))
 
 
 def by_groups(rows, fit, name):
