@@ -1,6 +1,6 @@
 """Evaluation statistics."""
 
-import struct
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from fathom.functions.numbers import clamp, wilson
 from fathom.functions.text import content_tokens, split_claims
 from fathom.operators.order import quantiles, running_sums
+from fathom.session import materialise
+
+#: Places of a block that is resampled with one seed, and draws held at once.
+BLOCK, DRAWN = 2048, 1 << 17
+#: A Poisson(1) number is at most k with AT_MOST[k]; SIXTEEN has it by the first 16 bits of a random number, or OPEN.
+AT_MOST = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])
+OPEN = 255
+_low, _high = (np.searchsorted(AT_MOST, np.arange(65536) / 65536 + x, "right") for x in (0, 1 / 65536))
+SIXTEEN = np.where(_low == _high, _low, OPEN).astype(np.uint8)
 
 
 def summarize(rows: DataFrame) -> DataFrame:
@@ -77,44 +86,115 @@ def _by_score(rows: DataFrame) -> DataFrame:
     return rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
 
 
+def steps(rows: DataFrame) -> DataFrame:
+    """rows: (score, label 0/1) -> (score, n, pos, below, hits): at each distinct score its rows and positives, and the negatives
+    and positives of all lower scores. The areas and their intervals follow from it."""
+    return running_sums(_by_score(rows), ["score"], {"below": F.col("n") - F.col("pos"), "hits": F.col("pos")})
+
+
+def auc_of_steps(found: DataFrame) -> DataFrame:
+    right = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2))
+    return found.agg((right / F.nullif((F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).cast("double"), F.lit(0.0))).alias("auc"))
+
+
 def roc_auc(rows: DataFrame) -> DataFrame:
     """rows: (score, label 0/1) -> auc: of all pairs of a positive and a negative, the share ranked right; ties count half."""
-    steps = running_sums(_by_score(rows), ["score"], {"below": F.col("n") - F.col("pos")})
-    right = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2))
-    return steps.agg((right / F.nullif((F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).cast("double"), F.lit(0.0))).alias("auc"))
+    return auc_of_steps(steps(rows))
+
+
+def precision_of_steps(found: DataFrame) -> DataFrame:
+    all_pos, all_n = found.agg(F.sum("pos"), F.sum("n")).first()
+    hits = F.lit(all_pos) - F.col("hits")  # at this score and all higher ones
+    precision = hits / (F.lit(all_n) - F.col("hits") - F.col("below"))
+    return found.agg((F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """rows: (score, label 0/1) -> average_precision: the sum over distinct thresholds of recall gained times precision."""
-    steps = running_sums(_by_score(rows), [F.desc("score")], {"hits": F.col("pos"), "found": F.col("n")})
-    steps = steps.withColumn("precision", (F.col("hits") + F.col("pos")) / (F.col("found") + F.col("n")))
-    return steps.agg((F.sum(F.col("pos") * F.col("precision")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+    return precision_of_steps(materialise(steps(rows), "steps"))
 
 
 def brier(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"), F.avg("score").alias("mean_predicted"), F.avg("label").alias("observed"))
 
 
+def draw(rng: np.random.Generator, counts: np.ndarray, resamples: int) -> np.ndarray:
+    """(cells, resamples): how often the rows of each cell are drawn, a Poisson number with the mean of its rows.
+
+    Sixteen random bits tell a Poisson(1) number by a table; where its steps lie within their range, further bits do.
+    """
+    bits = rng.bit_generator.random_raw(-(-len(counts) * resamples // 4)).view(np.uint16)[: len(counts) * resamples]
+    out = SIXTEEN[bits]
+    open_bits = np.flatnonzero(out == OPEN)
+    out[open_bits] = np.searchsorted(AT_MOST, (bits[open_bits] + rng.random(len(open_bits))) / 65536, "right")
+    out = out.reshape(len(counts), resamples)
+    ties = np.flatnonzero(counts > 1)
+    if len(ties):
+        out = out.astype(np.int64)
+        out[ties] = rng.poisson(counts[ties, None], (len(ties), resamples))
+    return out
+
+
+def resample(rng: np.random.Generator, n: np.ndarray, pos: np.ndarray, resamples: int) -> np.ndarray:
+    """(3, resamples): positives, negatives, and pairs ranked right, of resamples of rows with n and pos by ascending score."""
+    counts = np.stack([n - pos, pos], 1).ravel()  # a score's negatives, then its positives
+    kept = np.flatnonzero(counts)
+    positive = kept % 2 == 1
+    own_at, other_at = np.flatnonzero(positive), np.flatnonzero(~positive)
+    tied = np.flatnonzero(positive[1:] & (kept[1:] == kept[:-1] + 1)) + 1
+    before = np.cumsum(~positive)[positive]  # how many cells of negatives precede each of positives
+    exact = np.int32 if counts.sum() < 4 * BLOCK else np.float64  # sums of few rows' products fit
+    out = np.zeros((3, resamples))
+    step = max(1, DRAWN // max(1, len(kept)))
+    for at in range(0, resamples, step):
+        drawn = draw(rng, counts[kept], min(step, resamples - at))
+        own = drawn[own_at].astype(exact)
+        below = np.zeros((len(other_at) + 1, drawn.shape[1]), exact)
+        np.cumsum(drawn[other_at], axis=0, dtype=exact, out=below[1:])
+        right = np.einsum("ij,ij->j", own, below[before]).astype(float)
+        if len(tied):  # of pairs of one score half are right
+            right -= (drawn[tied].astype(float) * drawn[tied - 1]).sum(axis=0) / 2
+        out[:, at : at + drawn.shape[1]] = own.sum(axis=0), below[-1], right
+    return out
+
+
 def auc_bootstrap(rows: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """low, high: the 2.5 and 97.5 percentiles of the area over Poisson resamples; those without both classes are left out.
 
-    A row is drawn a Poisson(1) number of times, so n rows of one score and label are drawn a Poisson(n) number of times. Each
-    range of scores sends one row a resample: its positives, negatives, and the pairs ranked right within it.
+    A row is drawn a Poisson(1) number of times, so n rows of one score and label are drawn a Poisson(n) number of times.
     """
+    return interval_of_steps(steps(rows.where("score is not null and label is not null")), resamples, seed)
+
+
+def interval_of_steps(found: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """auc_bootstrap of steps. Scores are resampled a block of places at a time, with the block's own seed, however they are dealt
+    over tasks. Each task sends one row a resample: its positives, negatives, and the pairs ranked right within it."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        pos, neg, right = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+        total = np.zeros((3, resamples))  # positives, negatives, pairs
+
+        def add(block, n, pos):
+            own = resample(np.random.default_rng([seed, block]), n, pos, resamples)
+            total[2] += own[2] + own[0] * total[1]
+            total[:2] += own[:2]
+
+        held, open_block = [], None  # the scores of a block that may go on in the next batch
         for batch in batches:
-            for score, n, p in zip(*(batch.column(c).to_pylist() for c in ("score", "n", "pos"))):
-                rng = np.random.default_rng([seed, int.from_bytes(struct.pack("<d", score), "little")])
-                own_pos, own_neg = rng.poisson(p, resamples), rng.poisson(n - p, resamples)
-                right += own_pos * (neg + own_neg / 2)
-                pos, neg = pos + own_pos, neg + own_neg
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, part)), pa.array(np.arange(resamples)), pa.array(pos), pa.array(neg), pa.array(right)], ["part", "resample", "pos", "neg", "inside"])
-
-    steps = _by_score(rows.where("score is not null and label is not null")).select(F.col("score").cast("double").alias("score"), "n", "pos")
-    sums = steps.repartitionByRange("score").sortWithinPartitions("score").mapInArrow(run, "part long, resample long, pos double, neg double, inside double")
+            blocks, n, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "n", "pos"))
+            for own in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else []:
+                if held and blocks[own[0]] != open_block:
+                    add(open_block, *(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                open_block = int(blocks[own[0]])
+                held.append((n[own], pos[own]))
+        if held:
+            add(open_block, *(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, part)), pa.array(np.arange(resamples)), *map(pa.array, total)], ["part", "resample", "pos", "neg", "inside"])
+
+    block = F.floor((F.col("below") + F.col("hits")) / BLOCK).cast("long").alias("block")
+    dealt = found.select(block, "score", "n", F.col("pos").cast("long").alias("pos")).repartitionByRange("block").sortWithinPartitions("block", "score")
+    sums = dealt.select("block", "n", "pos").mapInArrow(run, "part long, resample long, pos double, neg double, inside double")
     below = Window.partitionBy("resample").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("right", F.col("inside") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     pairs = F.sum("pos") * F.sum("neg")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fathom.functions.numbers import logit, risk_band
 from fathom.operators import boosting
 from fathom.operators.cohort import look_up
-from fathom.operators.evaluation import auc_bootstrap, average_precision, brier, roc_auc
+from fathom.operators.evaluation import auc_of_steps, brier, interval_of_steps, precision_of_steps, steps
 from fathom.operators.order import medians_by_fold, medians_of_sets, positions_by
 from fathom.session import materialise
 from fathom.sources.tables import read_manifest, write_manifest
@@ -315,7 +315,8 @@ def metrics(predictions: DataFrame, label: str, name: str, resamples: int = 2000
     observed, slope (of calibration; null where it can't be fitted)."""
     s = materialise(predictions.select(F.col("p").alias("score"), F.col(label).cast("long").alias("label")), "scored")
     slope = F.lit(calibration_slope(s)).cast("double").alias("slope")
-    one = roc_auc(s).join(auc_bootstrap(s, resamples)).join(average_precision(s)).join(brier(s)).join(s.agg(F.count("*").alias("n")))  # one row each
+    found = materialise(steps(s), "steps")
+    one = auc_of_steps(found).join(interval_of_steps(found, resamples)).join(precision_of_steps(found)).join(brier(s)).join(s.agg(F.count("*").alias("n")))  # one row each
     return one.select(F.lit(name).alias("model"), "n", "auc", "low", "high", "average_precision", "brier", "mean_predicted", "observed", slope)
 
 
