@@ -13,8 +13,8 @@ from fathom.functions.text import content_tokens, split_claims
 from fathom.operators.order import quantiles, running_sums
 from fathom.session import materialise
 
-#: Places of a block that is resampled with one seed, and draws held at once.
-BLOCK, DRAWN = 2048, 1 << 17
+#: Places of a block that is resampled with one seed, draws held at once, and tasks a core.
+BLOCK, DRAWN, TASKS = 2048, 1 << 17, 4
 #: A Poisson(1) number is at most k with AT_MOST[k]; SIXTEEN has it by the first 16 bits of a random number, or OPEN.
 AT_MOST = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])
 OPEN = 255
@@ -193,7 +193,8 @@ def interval_of_steps(found: DataFrame, resamples: int = 2000, seed: int = 42) -
         yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, part)), pa.array(np.arange(resamples)), *map(pa.array, total)], ["part", "resample", "pos", "neg", "inside"])
 
     block = F.floor((F.col("below") + F.col("hits")) / BLOCK).cast("long").alias("block")
-    dealt = found.select(block, "score", "n", F.col("pos").cast("long").alias("pos")).repartitionByRange("block").sortWithinPartitions("block", "score")
+    tasks = TASKS * found.sparkSession.sparkContext.defaultParallelism  # by work, not by bytes, of which there are few
+    dealt = found.select(block, "score", "n", F.col("pos").cast("long").alias("pos")).repartitionByRange(tasks, "block").sortWithinPartitions("block", "score")
     sums = dealt.select("block", "n", "pos").mapInArrow(run, "part long, resample long, pos double, neg double, inside double")
     below = Window.partitionBy("resample").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("right", F.col("inside") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
