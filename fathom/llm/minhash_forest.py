@@ -220,7 +220,7 @@ def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
         return tidy(neighbour_links(rows.withColumn("place", F.lit(None).cast("binary")), block))
     rows = joined(rows, large, ["tree", "key"], "left", n_large).withColumn("place", F.when(F.col("blocks").isNotNull(), F.col("deep")))
     near = materialise(tidy(neighbour_links(rows, block)), "neighbours")
-    labels = materialise(components(near), "near-parts")
+    labels = components(near)
     dense = joined(rows.where("blocks is not null"), labels.withColumnRenamed("node", "cid"), "cid", "left", labels.count())
     dense = materialise(dense.select("tree", "key", "blocks", "cid", F.coalesce("component", "cid").alias("label"), "low"), "dense")
     several = dense.groupBy("tree", "key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("tree", "key")
@@ -263,7 +263,8 @@ def linked_parts(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.
 
 
 def confirm(members: DataFrame, percent: int) -> DataFrame:
-    """members: (grp, cid, label, shingles) -> (a, b): each cid with the label of its part, all links in grp being known."""
+    """members: (grp, cid, label, shingles) -> (a, b): the label of each cid in grp with that of its part, all links in grp being
+    known."""
 
     def run(batches):
         def done(cids, labels, sets):
@@ -285,7 +286,7 @@ def confirm(members: DataFrame, percent: int) -> DataFrame:
         if cids:
             yield done(cids, labels, sets)
 
-    return members.repartition("grp").sortWithinPartitions("grp").select("grp", "cid", "label", "shingles").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("grp").sortWithinPartitions("grp").select("grp", "cid", "label", "shingles").mapInArrow(run, "a long, b long")
 
 
 def shingles_of(docs: DataFrame, k: int) -> DataFrame:
@@ -303,42 +304,47 @@ def shingles_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text", "cid", "grp").mapInArrow(run, "grp long, cid long, n long, shingles binary")
 
 
-def confirmed_links(docs: DataFrame, one_of: DataFrame, found: DataFrame, k: int, percent: int, group_shingles: int) -> DataFrame:
-    """Links (a, b) that connect exactly the classes which links on full sets connect. found: (node, component) of candidates.
+def confirmed_parts(docs: DataFrame, one_of: DataFrame, found: DataFrame, k: int, percent: int, group_shingles: int) -> DataFrame:
+    """(node, component): the classes of found with the parts that links on full sets connect. found: (node, component) of
+    candidates.
 
     A component of up to group_shingles shingles is one task's group. A larger one is dealt into blocks. Links within blocks
-    come first, then those among one class of each part. Only where a component is still in several parts after that, each
-    pair of blocks is compared, what is in one part already being skipped.
+    come first, then those among one class of each part: as each class is in one block there, its part is known at once. Only
+    where a component is still in several parts after that, each pair of blocks is compared, what is in one part already being
+    skipped, and the parts' links are followed.
     """
-    wanted = materialise(found.join(one_of, found.node == one_of.cid).select("doc_id", "cid", F.col("component").alias("grp"), "n_shingles"), "members")
-    sets = shingles_of(joined(docs.select("doc_id", "text"), wanted.select("doc_id", "cid", "grp"), "doc_id", "inner", wanted.count()), k)
+    n = found.count()
+    wanted = materialise(joined(one_of, found.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "cid", "inner", n), "members")
+    sets = shingles_of(joined(docs.select("doc_id", "text"), wanted.select("doc_id", "cid", "grp"), "doc_id", "inner", n), k)
     blocks = wanted.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("blocks"))
     large = materialise(blocks.where("blocks > 1"), "large")
     n_large = large.count()
+    part = lambda a, b: (F.col("a").alias(a), F.col("b").alias(b))
     if not n_large:
-        return confirm(sets.withColumn("label", F.col("cid")), percent)
-    sets = materialise(joined(sets, large, "grp", "left", n_large), "sets").withColumn("label", F.col("cid"))
+        return materialise(confirm(sets.withColumn("label", F.col("cid")), percent), "parts").select(*part("node", "component"))
+    sets = materialise(joined(sets, large, "grp", "left", n_large), "sets")
     block = lambda n: F.when(n.isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("cid"), n)))
-    links = materialise(confirm(sets.withColumn("grp", block(F.col("blocks"))), percent), "links")
-    for across in (False, True):
-        members = _labelled(sets.where("blocks is not null"), links)
-        if not across:  # one of each part: they are few, and most often linked
-            leaders = members.where("cid = label")
-            sizes = leaders.groupBy("grp").agg(F.ceil(F.sum("n") / group_shingles).alias("n_blocks"))
-            more = confirm(leaders.join(sizes, "grp").withColumn("grp", block(F.col("n_blocks"))), percent)
-        else:  # groups still in several parts: all pairs of blocks
-            several = members.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("grp")
-            other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-            own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-            pairs = members.join(several, "grp", "left_semi").withColumn("block", own).withColumn("other", other).where("other <> block")
-            more = confirm(pairs.withColumn("grp", F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))), percent)
-        links = materialise(links.unionByName(more), "links")
-    return links
-
-
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    parts = materialise(components(links), "labels")
-    return sets.drop("label").join(parts, sets.cid == parts.node, "left").withColumn("label", F.coalesce("component", "cid")).drop("node", "component")
+    first = materialise(confirm(sets.withColumn("label", F.col("cid")).withColumn("grp", block(F.col("blocks"))), percent), "blocks")
+    labelled = lambda parts: joined(sets.where("blocks is not null"), parts, "cid", "inner", n)
+    # one of each part: they are few, and most often linked
+    leaders = labelled(first.select(*part("cid", "label"))).where("cid = label")
+    sizes = leaders.groupBy("grp").agg(F.ceil(F.sum("n") / group_shingles).alias("n_blocks"))
+    second = materialise(confirm(joined(leaders, sizes, "grp", "inner", n_large).withColumn("grp", block(F.col("n_blocks"))), percent), "leaders")
+    n_leaders = second.count()
+    parts = joined(first.select(*part("node", "label")), second.select(*part("label", "part")), "label", "left", n_leaders)
+    parts = materialise(parts.select("node", F.coalesce("part", "label").alias("component")), "parts")
+    ends = joined(wanted.select("cid", "grp"), second.select(*part("cid", "part")), "cid", "inner", n_leaders).groupBy("grp").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    several = materialise(ends.where("a <> b").select("grp"), "several")
+    if not several.count():
+        return parts
+    # groups still in several parts: all pairs of blocks
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    members = joined(labelled(parts.select(F.col("node").alias("cid"), F.col("component").alias("label"))), several, "grp", "left_semi", n_large)
+    pairs = members.withColumn("block", own).withColumn("other", other).where("other <> block")
+    more = components(confirm(pairs.withColumn("grp", F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))), percent))
+    parts = joined(parts, more.select(F.col("node").alias("component"), F.col("component").alias("part")), "component", "left", more.count())
+    return materialise(parts.select("node", F.coalesce("part", "component").alias("component")), "parts")
 
 
 @whole
@@ -354,13 +360,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, region: int = REGION,
     described = materialise(describe(docs, k), "described")
     real = described.where("cid is not null and doc_id is not null")
     classes = real.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    found = materialise(components(candidates(classes, region)), "candidates")
-    one_of = real.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    links = materialise(confirmed_links(docs, one_of, found, k, percent, group_shingles), "confirmed")
-    parts = materialise(components(links), "parts")
-    named = one_of.join(parts, one_of.cid == parts.node, "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("part"))
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    lookup = named.join(least, "part").select("cid", "component_id")
+    classes = materialise(classes, "classes")
+    found = components(candidates(classes, region))
+    one_of = classes.select("cid", "doc_id", "n_shingles")
+    parts = confirmed_parts(docs, one_of, found, k, percent, group_shingles)
+    n = parts.count()
+    named = joined(one_of, parts.withColumnRenamed("node", "cid"), "cid", "inner", n).select("cid", "doc_id", "component")
+    least = joined(named, named.groupBy("component").agg(F.min("doc_id").alias("least")), "component", "inner", n).select("cid", "least")
+    lookup = joined(one_of, least, "cid", "left", n).select("cid", F.coalesce("least", "doc_id").alias("component_id"))
     linked = real.select("doc_id", "n_shingles", "cid").join(lookup, "cid").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     rest = described.where("cid is null or doc_id is null")  # apart, so that they are no key of the join
     return linked.unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

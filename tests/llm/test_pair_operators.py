@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fathom.llm import grid_order_join, minhash_forest, quality_fm, source_mix, topk_search
+from fathom.llm import components as parts
 from fathom.llm.common import WORD
-from fathom.llm.components import components
+from fathom.llm.components import components, joined
 from fathom.llm.queries import QUERIES
 
 
@@ -186,6 +187,38 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 400_000])
+def test_components_with_minima_sent_or_shuffled(spark, monkeypatch, limit):
+    """Stars, a long path in shuffled order, a cycle, a dense part, repeated links and a node's link with itself alone."""
+    monkeypatch.setattr(parts, "joined", lambda large, small, on, how, rows: joined(large, small, on, how, rows, limit))
+    rng = random.Random(6)
+    path = rng.sample(range(1000, 2000), 90)
+    links = [*zip(path, path[1:]), *[(i, (i + 1) % 20) for i in range(20)], *[(i, j) for i in range(30, 38) for j in range(30, i)], *[(90, 50 + i) for i in range(20)], *[(-5, 80)] * 3]
+    rng.shuffle(links)
+    wanted = least_labels({x for p in links for x in p}, links)
+    got = [tuple(r) for r in components(spark.createDataFrame([*links, (7000, 7000)], "a long, b long")).collect()]
+    assert len(got) == len(wanted) and dict(got) == wanted
+
+
+def test_forest_starts_few_tasks(spark):
+    """Where small partitions aren't joined, each shuffle costs a task a partition: with 7 they were 1,179 tasks when known labels
+    were looked for again and a round of components shuffled six times."""
+    df = spark.createDataFrame(copies(), "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    tracker = spark.sparkContext.statusTracker()
+    earlier = set(tracker.getJobIdsForGroup())
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert minhash_forest.groups(df, 4, group_shingles=900).count() == df.count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    jobs = [tracker.getJobInfo(i) for i in set(tracker.getJobIdsForGroup()) - earlier]
+    stages = [tracker.getStageInfo(i) for i in {i for job in jobs if job for i in job.stageIds}]
+    assert 100 < sum(stage.numCompletedTasks for stage in stages if stage) < 750
+
+
 def vectors(seed=1, n=260, width=16):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, width))
