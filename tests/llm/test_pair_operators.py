@@ -187,7 +187,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 400_000])
+@pytest.mark.parametrize("limit", [-1, 400_000])
 def test_components_with_minima_sent_or_shuffled(spark, monkeypatch, limit):
     """Stars, a long path in shuffled order, a cycle, a dense part, repeated links and a node's link with itself alone."""
     monkeypatch.setattr(parts, "joined", lambda large, small, on, how, rows: joined(large, small, on, how, rows, limit))
@@ -200,6 +200,17 @@ def test_components_with_minima_sent_or_shuffled(spark, monkeypatch, limit):
     assert len(got) == len(wanted) and dict(got) == wanted
 
 
+def test_forest_finds_all_links_by_shuffled_joins(spark, monkeypatch):
+    """As on tables beyond what is sent to executors."""
+    shuffled = lambda large, small, on, how, rows: joined(large, small, on, how, rows, -1)
+    monkeypatch.setattr(parts, "joined", shuffled)
+    monkeypatch.setattr(minhash_forest, "joined", shuffled)
+    df = spark.createDataFrame(copies(8, 10), "doc_id long, text string")
+    sets, label = linked_docs(df.collect(), 4)
+    got = minhash_forest.groups(df, 4, region=4, group_shingles=600).collect()
+    assert len(got) == len(label) and {r.doc_id: r.component_id for r in got} == label
+
+
 def test_forest_starts_few_tasks(spark):
     """Where small partitions aren't joined, each shuffle costs a task a partition: with 7 they were 1,179 tasks when known labels
     were looked for again and a round of components shuffled six times."""
