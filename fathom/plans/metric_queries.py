@@ -6,18 +6,21 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.operators import agent, audit, evaluation, retrieval
 from fathom.plans.registry import query, read, sql_claims, sql_content, sql_tokens
-from fathom.plans.search_queries import BM25_SQL, DENSE_SQL, RRF_SQL, dense_hits, fused_hits, mmr_sql, passages, sparse_hits
+from fathom.plans.search_queries import BM25_SQL, DENSE_SQL, EVERY_DENSE_SQL, RRF_SQL, dense_hits, docs_and_queries, fused_hits, mmr_sql, passages, sparse_hits, vectors_of
 from fathom.session import materialise
 
 TOP10 = "d AS (SELECT qid, list(id) AS ids FROM dn WHERE rank < 10 GROUP BY qid), s AS (SELECT qid, list(id) AS ids FROM bm WHERE rank < 10 GROUP BY qid)"
 
 
 def tops(spark, sf_dir, k=10):
+    """Both searches' ids for every question. A vector that no question belongs to would meet nothing in the join: it isn't asked."""
+    vectors, questions = vectors_of(spark, sf_dir), docs_and_queries(spark, sf_dir)[1]
+    asked = vectors.withColumnRenamed("id", "qid").join(questions, "qid", "left_semi")
     ids = lambda hits, name: hits.where(F.col("rank") < k).groupBy("qid").agg(F.collect_list("id").alias(name))
-    return ids(dense_hits(spark, sf_dir), "d").join(ids(sparse_hits(spark, sf_dir), "s"), "qid")
+    return ids(retrieval.dense(vectors, asked), "d").join(ids(sparse_hits(spark, sf_dir), "s"), "qid")
 
 
-@query(f"WITH {BM25_SQL}, {DENSE_SQL}, {TOP10} SELECT qid, len(list_intersect(d.ids, s.ids))::DOUBLE / len(list_distinct(d.ids || s.ids)) AS overlap, len(list_filter(d.ids, lambda x: list_contains(s.ids, x))) = 0 AS complementary FROM d JOIN s USING (qid)")
+@query(f"WITH {BM25_SQL}, {EVERY_DENSE_SQL}, {TOP10} SELECT qid, len(list_intersect(d.ids, s.ids))::DOUBLE / len(list_distinct(d.ids || s.ids)) AS overlap, len(list_filter(d.ids, lambda x: list_contains(s.ids, x))) = 0 AS complementary FROM d JOIN s USING (qid)")
 def overlap_at_10(spark, sf_dir):
     both = tops(spark, sf_dir)
     return both.select("qid", evaluation.jaccard(F.col("d"), F.col("s"), 1.0).alias("overlap"), (F.size(F.array_intersect("d", "s")) == 0).alias("complementary"))
