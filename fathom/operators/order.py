@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fathom.session import materialise
 
 WITHIN = (1 << 33) - 1
+#: Cells into which values are cut before those at many shares are sought.
+CELLS = 1024
 #: Quantiles at which values are cut into cells before their median is sought.
 GRID = sorted({i / 64 for i in range(1, 64)} | {i / 2000 for i in range(980, 1021)})
 
@@ -132,3 +134,84 @@ def medians_of_sets(rows: DataFrame, features: list[str], sets: Column, n_sets:
     for r in placed.join(F.broadcast(begun), ["k", "f"]).where(middle).groupBy("k", "f").agg(F.avg("v").alias("v")).collect():
         out[r["k"]][features[r["f"]]] = r["v"]
     return out
+
+
+def quantiles_of_sets(rows: DataFrame, features: list[str], sets: Column, n_sets: int, shares: list[float], fills: list[list[float]] | None = None) -> list[list[list[float]]]:
+    """For each of up to 63 sets of rows, as of medians_of_sets, and each feature the different exact values at the shares: the
+    least value that at least such a share of the set's rows doesn't exceed. Nulls are to set k what fills[k] says, or left out.
+    NaN is above all values, and is none.
+
+    As with medians, cells by a sketch are counted, and the distinct values of those that hold a share are ranked, for all sets and
+    features together.
+    """
+    named = rows.select(sets.alias("sets"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(features)]).where("sets <> 0")
+    grid = [i / CELLS for i in range(1, CELLS)]
+    sketches = [F.percentile_approx(F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")), grid) for i in range(len(features))]
+    cuts = [np.unique(np.array(x or [], float)) for x in named.agg(*sketches).first()]
+    size = (n_sets, len(features), CELLS + 1)  # the last place is that of nulls
+
+    def values_of(batch):
+        """(feature, bits, values, cells) of the values that are there, and the bits of the nulls."""
+        bits = batch.column("sets").to_numpy(zero_copy_only=False)
+        for i, own in enumerate(cuts):
+            column = batch.column(f"v{i}")
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            values = column.fill_null(0.0).to_numpy(zero_copy_only=False)[there]
+            yield i, bits[there], values, np.searchsorted(own, values), bits[~there]
+
+    def count(batches):
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            for i, bits, _, cells, null in values_of(batch):
+                for k in range(n_sets):
+                    n[k, i, :-1] += np.bincount(cells[bits >> k & 1 == 1], minlength=CELLS)
+                    n[k, i, -1] += np.count_nonzero(null >> k & 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at])], ["at", "n"])
+
+    found = named.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(size, np.int64)
+    n.ravel()[found["at"].to_numpy()] = found["n"].to_numpy()
+    n, nulls = n[:, :, :-1], n[:, :, -1] * (fills is not None)
+    filled = [(k, i, float(fills[k][i]), int(nulls[k, i])) for k, i in np.argwhere(nulls).tolist()]
+    for k, i, fill, many in filled:
+        n[k, i, np.searchsorted(cuts[i], fill)] += many
+    upto = n.cumsum(axis=2)
+    ranks = np.maximum(1, np.ceil(np.multiply.outer(upto[:, :, -1], shares) - 1e-9)).astype(np.int64)  # from 1
+    cell = np.array([[np.searchsorted(upto[k, i], ranks[k, i]) for i in range(len(features))] for k in range(n_sets)])
+    wanted = np.zeros((len(features), CELLS + 1), bool)
+    for k, i in np.argwhere(upto[:, :, -1]).tolist():
+        wanted[i, cell[k, i]] = True
+    kept = (n * wanted[:, :-1]).reshape(n_sets, -1)  # rows of the cells whose values are ranked
+    before = kept.cumsum(axis=1) - kept
+
+    def pick(batches):
+        for batch in batches:
+            for i, bits, values, cells, _ in values_of(batch):
+                use = wanted[i, cells]
+                for own in np.unique(bits[use]).tolist():
+                    v, times = np.unique(values[use & (bits == own)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i)), pa.array(np.full(len(v), own)), pa.array(v), pa.array(times)], ["f", "bits", "v", "n"])
+
+    added = [(i, 1 << k, fill, many) for k, i, fill, many in filled if wanted[i, np.searchsorted(cuts[i], fill)]]
+    schema = "f long, bits long, v double, n long"
+    values = named.mapInArrow(pick, schema).unionByName(rows.sparkSession.createDataFrame(added, schema))
+    times = [F.sum(F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(n_sets)]
+    placed = running_sums(values.groupBy("f", "v").agg(*times), ["f", "v"], {f"below{k}": F.col(f"n{k}") for k in range(n_sets)})
+    asked = []  # by set, places in the running sum, from 1
+    for k in range(n_sets):
+        asked.append(np.unique([before[k, i * CELLS + c] + r - (upto[k, i, c] - n[k, i, c]) for i in range(len(features)) if upto[k, i, -1] for r, c in zip(ranks[k, i], cell[k, i])]).astype(np.int64))
+
+    def answer(batches):
+        for batch in batches:
+            v, f = batch.column("v"), batch.column("f")
+            for k, places in enumerate(asked):
+                below, many = (batch.column(f"{c}{k}").to_numpy(zero_copy_only=False) for c in ("below", "n"))
+                hit = np.flatnonzero(np.searchsorted(places, below, "right") < np.searchsorted(places, below + many, "right"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), k)), f.take(pa.array(hit)), v.take(pa.array(hit))], ["k", "f", "v"])
+
+    out: list[list[list[float]]] = [[[] for _ in features] for _ in range(n_sets)]
+    for r in placed.mapInArrow(answer, "k long, f long, v double").orderBy("k", "f", "v").collect():
+        if r["v"] == r["v"]:
+            out[r["k"]][r["f"]].append(r["v"])
+    return out
