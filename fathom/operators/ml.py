@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 from contextvars import copy_context
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -233,9 +233,7 @@ def fit_calibrated_folds(dealt: DataFrame, numbers: list[int], features: list[st
     def one(at: int, k: int) -> Calibrated:
         return _calibrated(table.where(F.col("fold") != k), f"_inner{k}", features, label, medians[at * inner : (at + 1) * inner])
 
-    own = inheritable_thread_target(dealt.sparkSession)(lambda context, at, k: context.run(one, at, k))
-    with ThreadPool(parallel) as pool:
-        return pool.starmap(own, [(copy_context(), at, k) for at, k in enumerate(numbers)])
+    return side_by_side(dealt.sparkSession, [partial(one, at, k) for at, k in enumerate(numbers)], parallel)
 
 
 def _calibrated(train: DataFrame, inner: str, features: list[str], label: str, medians: list[dict]) -> Calibrated:
@@ -290,24 +288,42 @@ def calibration_slope(rows: DataFrame) -> float | None:
     return None if labels < 2 else _line(rows.select(F.col("label").cast("double").alias("_y"), logit(F.col("score")).alias("m")))[0]
 
 
+def side_by_side(spark: SparkSession, calls: list[Callable], parallel: int) -> list:
+    """What the calls return, which run at the same time, each with this thread's folder for tables."""
+    own = inheritable_thread_target(spark)(lambda context, call: context.run(call))
+    with ThreadPool(parallel) as pool:
+        return pool.starmap(own, [(copy_context(), call) for call in calls])
+
+
+class Dealt:
+    """rows with their fold, written once, and with features each fold's medians, which one pass finds. Several kinds of models
+    may be held against the same folds."""
+
+    def __init__(self, rows: DataFrame, folds: DataFrame, on: str, features: list[str] | None = None):
+        self.rows = materialise(rows.join(folds, on), "folds")
+        self.numbers = [r[0] for r in self.rows.select("fold").distinct().orderBy("fold").collect()]  # five or so
+        self.medians = medians_by_fold(self.rows, features, "fold", max(self.numbers) + 1) if features and self.numbers else None
+
+
 def out_of_fold(rows: DataFrame, folds: DataFrame, on: str, fit: Callable[..., Callable] | None, parallel: int = FOLDS, features: list[str] | None = None, together: Callable[..., list] | None = None) -> DataFrame:
     """rows with p, predicted by models that haven't seen the row's fold. The folds' models are fitted at the same time. With
     features, fit also gets the fold's medians, all of which one pass finds. together, in place of fit, is a function of (rows with
     fold, folds, medians by fold) to the models of all folds, which share their passes."""
-    dealt = materialise(rows.join(folds, on), "folds")
-    numbers = [r[0] for r in dealt.select("fold").distinct().orderBy("fold").collect()]  # five or so
-    medians = medians_by_fold(dealt, features, "fold", max(numbers) + 1) if features and numbers else None
+    return unseen(Dealt(rows, folds, on, features), fit, parallel, together)
+
 
-    def one(k: int) -> DataFrame:
-        known = {} if medians is None else {"medians": medians[k]}
-        return fit(dealt.where(F.col("fold") != k).drop("fold"), **known)(dealt.where(F.col("fold") == k))
+def unseen(dealt: Dealt, fit: Callable[..., Callable] | None, parallel: int = FOLDS, together: Callable[..., list] | None = None) -> DataFrame:
+    """out_of_fold of rows that are dealt already."""
+    rows, medians = dealt.rows, dealt.medians
+
+    def one(k: int) -> Callable:
+        return fit(rows.where(F.col("fold") != k).drop("fold"), **({} if medians is None else {"medians": medians[k]}))
 
     if together is not None:
-        models = together(dealt, numbers, medians)
-        return reduce(DataFrame.unionByName, [model(dealt.where(F.col("fold") == k)) for k, model in zip(numbers, models)])
-    own = inheritable_thread_target(rows.sparkSession)(lambda context, k: context.run(one, k))
-    with ThreadPool(parallel) as pool:
-        return reduce(DataFrame.unionByName, pool.starmap(own, [(copy_context(), k) for k in numbers]))
+        models = together(rows, dealt.numbers, medians)
+    else:
+        models = side_by_side(rows.sparkSession, [partial(one, k) for k in dealt.numbers], parallel)
+    return reduce(DataFrame.unionByName, [model(rows.where(F.col("fold") == k)) for k, model in zip(dealt.numbers, models)])
 
 
 def metrics(predictions: DataFrame, label: str, name: str, resamples: int = 2000) -> DataFrame:

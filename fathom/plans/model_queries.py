@@ -1,7 +1,7 @@
 """Model queries. No SQL fits models: tests hold them against plain restatements."""
 
 import uuid
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +60,15 @@ def by_groups(rows, fit, name):
     return ml.metrics(unseen(rows, ml.grouped_folds(rows, "subject"), "subject", fit), "admitted", name)
 
 
+def ungrouped(rows, fit, name):
+    return ml.metrics(unseen(rows, ml.stratified_folds(rows, "id", "admitted"), "id", fit), "admitted", name)
+
+
 @query()
 def grouped_cv(spark, sf_dir):
     """Logistic regression and the baselines, and what folds that ignore groups would have shown."""
     rows = kept_stays(spark, sf_dir)
-    mixed = ml.metrics(unseen(rows, ml.stratified_folds(rows, "id", "admitted"), "id", logistic), "admitted", "logistic, ungrouped")
+    mixed = ungrouped(rows, logistic, "logistic, ungrouped")
     middle = medians_by_fold(rows, ["acuity"])[0]["acuity"]
     acuity = ml.metrics(rows.withColumn("p", (5 - F.coalesce("acuity", F.lit(middle))) / 4), "admitted", "acuity alone")
     always = ml.metrics(rows.withColumn("p", F.lit(1.0)), "admitted", "always admit")
@@ -75,8 +79,7 @@ def grouped_cv(spark, sf_dir):
 def inflation(spark, sf_dir):
     """By how much folds that ignore groups flatter the boosted trees."""
     rows = kept_stays(spark, sf_dir)
-    mixed = ml.metrics(unseen(rows, ml.stratified_folds(rows, "id", "admitted"), "id", boosted), "admitted", "boosted, ungrouped")
-    return ml.inflation_gap(by_groups(rows, boosted, "boosted"), mixed)
+    return ml.inflation_gap(*ml.side_by_side(spark, [partial(by_groups, rows, boosted, "boosted"), partial(ungrouped, rows, boosted, "boosted, ungrouped")], 2))
 
 
 @query()
