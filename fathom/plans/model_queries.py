@@ -97,7 +97,10 @@ def model_info(spark, sf_dir):
     """The model with the least Brier score of the three, its measures and its ten most telling features."""
     rows = kept_stays(spark, sf_dir)
     fits = {"logistic": logistic, "calibrated": calibrated, "boosted": boosted}
-    results = materialise(reduce(DataFrame.unionByName, [by_groups(rows, fit, name) for name, fit in fits.items()]), "results")
+    dealt = ml.Dealt(rows, ml.grouped_folds(rows, "subject"), "subject", FEATURES)
+    told = lambda *names: [ml.metrics(ml.unseen(dealt, fits[name], together=TOGETHER.get(fits[name])), "admitted", name) for name in names]
+    found = ml.side_by_side(spark, [partial(told, "logistic", "calibrated"), partial(told, "boosted")], 2)
+    results = materialise(reduce(DataFrame.unionByName, sum(found, [])), "results")
     selected = ml.select_model(results).first()["model"]
     return ml.model_info(results, ml.top_features(fits[selected](rows), FEATURES))
 
